@@ -113,10 +113,10 @@ class BatchEncoder(Encoder):
 
 @dataclass
 class SentenceTransformerEncoder(BatchEncoder):
-    """A local model, loaded once per task. Documents never take the query path."""
+    """A local model, loaded once per task. Documents never take the query path. Dimension 0 is read from the model."""
 
     model_id: str
-    dimension: int
+    dimension: int = 0
     revision: str = "main"
     adapter: str = "sentence-transformers"
     batch_size: int = 32
@@ -124,6 +124,13 @@ class SentenceTransformerEncoder(BatchEncoder):
     device: str | None = None
     max_length: int | None = None
 
+    def encode(self, df: DataFrame, kind: str) -> DataFrame:
+        if not self.dimension:
+            from sentence_transformers import SentenceTransformer
+
+            self.dimension = SentenceTransformer(self.model_id, revision=self.revision).get_sentence_embedding_dimension()
+        return super().encode(df, kind)
+
     @property
     def encoding_config(self) -> dict:
         return {"adapter": self.adapter, "query_instruction": self.query_instruction, "max_length": self.max_length}
@@ -181,7 +188,7 @@ def create_encoder(config: dict) -> Encoder:
     if "hash" in (adapter, model_id):
         return HashEncoder(config.get("dimension", 64), config.get("seed", 0))
     common = {k: config[k] for k in ("revision", "batch_size", "query_instruction") if k in config}
-    if config.get("provider"):
+    if config.get("provider") is not None:
         if "dimension" not in config:
             raise ValueError(f"hosted model {model_id} needs a dimension")
         more = {k: config[k] for k in ("empty_text_placeholder",) if k in config}
@@ -189,5 +196,5 @@ def create_encoder(config: dict) -> Encoder:
     if adapter not in LOCAL:
         raise KeyError(f"no local encoder for adapter {adapter}")
     more = {k: config[k] for k in ("device", "max_length") if k in config}
-    return SentenceTransformerEncoder(model_id, config["dimension"], adapter=adapter, **common, **more)
+    return SentenceTransformerEncoder(model_id, config.get("dimension") or 0, adapter=adapter, **common, **more)
 
