@@ -2,7 +2,7 @@
 
 A document is its tokens and an end token. Only documents of over `capacity` tokens are cut, into pieces of `capacity`, of which the first may be shorter. Whole pieces are sequences of their own; the others are dealt at random to parts of about part_rows pieces, and each part is packed by best-fit decreasing.
 
-Dual feasible functions bound from below how many sequences a part needs. A part that meets its bound is certified and final. One with a gap keeps its well-filled sequences and gives its loosest to a pool, enough that their free room covers the gap. The pool is dealt to new parts, so that documents of different parts meet, and packed again, until there is no gap, a round saves nothing (its result is then not used), or `rounds` are over.
+Dual feasible functions bound from below how many sequences a part needs. A part that meets its bound is certified and final. One with a gap keeps its well-filled sequences and gives its loosest to a pool, enough that their free room covers the gap. The pool is dealt to new parts, of up to four times the pieces, so that documents of different parts meet, and packed again, until there is no gap, a round saves nothing (its result is then not used), or `rounds` are over.
 
 Null text is empty and gives the end token alone. Rows that repeat an id are packed as documents of their own; other columns, whatever their names, don't matter.
 """
@@ -141,7 +141,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = 1024, part_rows
         before = pool.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         if not before[0]:
             break
-        again = _pack(pool, before[0], code, capacity, part_rows)
+        again = _pack(pool, before[0], code, capacity, 4 * part_rows)
         if again.select("sequence_id").distinct().count() >= before[1]:
             break
         final.append(again.where("not released"))
