@@ -196,7 +196,7 @@ def links(distinct: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
     if n_hot:
         marked = dealt.join(F.broadcast(sizes), "node", "left") if n_hot <= 100_000 else left_join_groups(dealt, sizes, "node", "_size", 6 * distinct.count())
         again = _under_pairs(marked.where(F.col("_size").isNotNull()).drop("_size"), "rest", 8, "part")
-        cold = marked.where(F.col("_size").isNull()).withColumn("part", F.lit(-1).cast("long")).unionByName(again)
+        cold = marked.where(F.col("_size").isNull()).withColumn("part", F.lit(-1).cast("long")).drop("_size").unionByName(again)
     rows = cold.select("node", "part", "fp").repartition("node", "part").sortWithinPartitions("node", "part")
     return rows.mapInPandas(_node_links(distance), "a long, b long")
 
