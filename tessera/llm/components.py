@@ -24,17 +24,17 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the pairs (a[i], b[i]), those that merged() needs to join their classes: fewer than there are members."""
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of the pairs (a[i], b[i]), which are apart[i] from each other, those that merged() needs to join their classes: fewer than there are members."""
     kept = [np.empty((2, 0), np.int64)]
     while True:
         x, y = labels[a], labels[b]
-        apart = x != y
-        if not apart.any():
+        open_ = x != y
+        if not open_.any():
             return np.concatenate(kept, axis=1)
-        a, b, low, high = a[apart], b[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-        order = np.lexsort([low, high])
-        first = order[np.unique(high[order], return_index=True)[1]]  # each class joins its smallest neighbour by one pair
+        a, b, apart, low, high = a[open_], b[open_], apart[open_], np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+        order = np.lexsort([low, apart, high])
+        first = order[np.unique(high[order], return_index=True)[1]]  # each class joins its closest smaller neighbour by one pair
         kept.append(np.stack([a[first], b[first]]))
         labels = merged(labels, a[first], b[first])
 

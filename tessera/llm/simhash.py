@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then bands of neighbouring bits, as wide as the number of fingerprints asks for, and a node's members are compared by 64 bits of their own, in Gray order as above. What links there is compared over all bits: far enough within the similarity it counts, and near its edge, unless it joins nothing new, the texts' shingle sets decide. Copies of similarity 0.8, 0.85, 0.9 share a band with a chance of 95, 99.6 and 99.99 % at 250,000 documents; the bands grow, and this falls, with the logarithm of their number, and more bits raise it again.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then bands of neighbouring bits, as wide as the number of fingerprints asks for, and a node's members are compared by 64 bits of their own, in Gray order as above. Every fourth band goes first; the others give only pairs between classes that those have not joined, so a large group of copies isn't linked anew in each band. What links there is compared over all bits: far enough within the similarity it counts, and near its edge, unless it joins nothing new, the texts' shingle sets decide. Copies of similarity 0.8, 0.85, 0.9 share a band with a chance of 95, 99.6 and 99.99 % at 250,000 documents; the bands grow, and this falls, with the logarithm of their number, and more bits raise it again.
 
 Rows that repeat link like copies. Null ids take part; a component's id is its smallest non-null one. Other columns don't matter.
 """
@@ -107,9 +107,9 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return rank
 
 
-def classes(fps: np.ndarray, distance: int, pairs: list[np.ndarray] | None = None) -> np.ndarray:
-    """For each fingerprint, in Gray order, the index of its class's smallest member. pairs: gets linked pairs (2, n) that join the classes."""
-    labels = np.arange(len(fps))
+def classes(fps: np.ndarray, distance: int, pairs: list[np.ndarray] | None = None, labels: np.ndarray | None = None) -> np.ndarray:
+    """For each fingerprint, in Gray order, the index of its class's smallest member. pairs: gets linked pairs (2, n) that join the classes. labels: the classes known before."""
+    labels = np.arange(len(fps)) if labels is None else labels
     levels = [(fps, np.full(len(fps), ~np.uint64(0)))]  # of (pattern, mask of the bits that all share)
     width = FAN
     while len(levels[-1][0]) > FAN:
@@ -127,7 +127,7 @@ def classes(fps: np.ndarray, distance: int, pairs: list[np.ndarray] | None = Non
         a, b = a[near], b[near]
         if level == 0:
             if pairs is not None:
-                pairs.append(joined(labels, a, b))
+                pairs.append(joined(labels, a, b, np.bitwise_count(fps[a] ^ fps[b])))
             labels = merged(labels, a, b)
             continue
         below = len(levels[level - 1][0])
@@ -213,8 +213,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _banded(batches: Iterator[pa.RecordBatch], band: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) -> (node, key, fp) for each band of a fingerprint, where fp is 64 bits of it that the band doesn't take part in."""
+def _banded(batches: Iterator[pa.RecordBatch], band: int, bits: int, bands: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, known, fp) -> (node, key, known, fp) for each of these bands of a fingerprint, where fp is 64 bits of it that the band doesn't take part in."""
     for batch in batches:
         keys = batch.column("key").to_numpy()
         if not len(keys):
@@ -223,35 +223,39 @@ def _banded(batches: Iterator[pa.RecordBatch], band: int, bits: int) -> Iterator
         spread = np.unpackbits(fps, axis=1, bitorder="little")
         whole = fps.view("<u8")
         weights = np.int64(1) << np.arange(band, dtype=np.int64)
-        for n in range(bits // band):
+        for n in bands:
             node = spread[:, n * band : (n + 1) * band] @ weights * (bits // band) + n
             other = whole[:, (n * band // 64 + bits // 128) % (bits // 64)].view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys), pa.array(other)], names=["node", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys), batch.column("known"), pa.array(other)], names=["node", "key", "known", "fp"])
 
 
 def _node_pairs(distance: int):
-    """Over rows (node, key, fp), sorted by node: pairs (a, b) of keys that join the node's classes."""
+    """Over rows (node, key, known, fp), sorted by node: pairs (a, b) of keys that join the node's classes, but for those that are known to be one."""
 
-    def pairs_of(node: np.ndarray, key: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+    def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         edges = np.flatnonzero(node[1:] != node[:-1]) + 1
         starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(node)]])
         out = [np.empty((2, 0), np.int64)]
         two = starts[stops - starts == 2]
-        near = two[np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance]
+        near = two[(known[two] != known[two + 1]) & (np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance)]
         out.append(np.stack([key[near], key[near + 1]]))
         for k in np.flatnonzero(stops - starts > 2):
-            own, keys = fps[starts[k] : stops[k]].view(np.uint64), key[starts[k] : stops[k]]
+            part = slice(starts[k], stops[k])
+            if (known[part] == known[starts[k]]).all():
+                continue
+            own = fps[part].view(np.uint64)
             order = np.argsort(gray_rank(own))
+            _, first, place = np.unique(known[part][order], return_index=True, return_inverse=True)
             found: list[np.ndarray] = []
-            classes(own[order], distance, found)
-            out += [keys[order][p] for p in found]
+            classes(own[order], distance, found, first[place])
+            out += [key[part][order][p] for p in found]
         a, b = np.concatenate(out, axis=1)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            held = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("node", "key", "fp"), strict=True)]
+            held = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("node", "key", "known", "fp"), strict=True)]
             last = int(np.argmax(held[0] == held[0][-1])) if len(held[0]) else 0
             if last:
                 yield pairs_of(*(h[:last] for h in held))
@@ -267,11 +271,12 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _close_pairs(distinct: DataFrame, total: int, similarity: float, bits: int, most: int) -> DataFrame:
-    """(a, b, apart): keys of distinct (key, fp) that share a band, at `most` or fewer differing bits. Enough of them to join what links."""
+def _close_pairs(distinct: DataFrame, total: int, similarity: float, bits: int, most: int, again: bool) -> DataFrame:
+    """(a, b, apart): keys of distinct (key, known, fp) that share a band, at `most` or fewer differing bits. Enough of them to join what links and isn't known to be of one class. Every fourth band counts, or again the others."""
     band = max(12, int(np.ceil(np.log2(max(total, 1)))))
+    bands = [n for n in range(bits // band) if (n % 4 > 0) == again]
     distance = min(20, 2 * bits_apart(similarity, 64))
-    dealt = distinct.mapInArrow(lambda batches: _banded(batches, band, bits), "node long, key long, fp long")
+    dealt = distinct.mapInArrow(lambda batches: _banded(batches, band, bits, bands), "node long, key long, known long, fp long")
     rows = dealt.repartition("node").sortWithinPartitions("node")
     found = staged(rows.mapInPandas(_node_pairs(distance), "a long, b long").distinct(), "candidates")
     one, two = distinct.select(F.col("key").alias("a"), F.col("fp").alias("_fa")), distinct.select(F.col("key").alias("b"), F.col("fp").alias("_fb"))
@@ -299,10 +304,13 @@ def similar_links(docs: DataFrame, distinct: DataFrame, total: int, id_col: str,
     """(a, b): links between keys of distinct (key, fp, least), least being the id of a document with that fingerprint."""
     edge = bits_apart(similarity, bits)
     margin = round(2.5 * np.sqrt(edge * (1 - edge / bits)))  # so many bits the estimate may be off
-    close = _close_pairs(distinct.select("key", "fp"), total, similarity, bits, edge + margin)
-    sure = close.where(F.col("apart") <= edge - margin).select("a", "b")
-    known = components(sure).withColumnRenamed("node", "key")
-    doubtful = close.where(F.col("apart") > edge - margin)
+    apart = F.col("apart")
+    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp"), total, similarity, bits, edge + margin, again=False)
+    known = components(first.where(apart <= edge - margin)).withColumnRenamed("node", "key")
+    labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp")
+    second = _close_pairs(staged(labelled, "labelled"), total, similarity, bits, edge + margin, again=True)
+    sure = known.toDF("a", "b").unionByName(second.where(apart <= edge - margin).select("a", "b"))
+    doubtful = first.unionByName(second).where(apart > edge - margin).select("a", "b").distinct()
     for side in ("a", "b"):
         doubtful = doubtful.join(known.toDF(side, f"_{side}"), side, "left")
     doubtful = staged(doubtful.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "doubtful-pairs")
