@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then bands of neighbouring bits, as wide as the number of fingerprints asks for, and a node's members are compared by 64 bits of their own, in Gray order as above. Every fourth band goes first; the others give only pairs between classes that those have not joined, so a large group of copies isn't linked anew in each band. What links there is compared over all bits: far enough within the similarity it counts, and near its edge, unless it joins nothing new, the texts' shingle sets decide. Copies of similarity 0.8, 0.85, 0.9 share a band with a chance of 95, 99.6 and 99.99 % at 250,000 documents; the bands grow, and this falls, with the logarithm of their number, and more bits raise it again.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by 64 bits, in Gray order as above. Every fourth band goes first; the others give only pairs between classes that those have not joined, so a large group of copies isn't linked anew in each band. What links there is compared over all bits: far enough within the similarity it counts, and near its edge, unless it joins nothing new, the texts' shingle sets decide.
 
 Rows that repeat link like copies. Null ids take part; a component's id is its smallest non-null one. Other columns don't matter.
 """
@@ -28,6 +28,9 @@ SEED = 42
 HOT = 4096
 FAN = 8
 _CHUNK = 1 << 16
+#: Bands of near_dedup, and least shingles in each.
+BANDS, ROWS = 20, 5
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -73,30 +76,53 @@ def bit_counts(words: np.ndarray) -> np.ndarray:
     return (bits << np.arange(len(planes))[:, None]).sum(0)
 
 
-def wide_fingerprint(text: str | None, words: int, bits: int) -> bytes:
-    """The SimHash of `bits` bits of the distinct shingles: each one's XXH64 is mixed with an odd number per 64 bits."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the distinct shingles, ascending."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8"))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8"))
+
+
+def _mixed(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    mixed = hashes[:, None] * odd
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ mixed >> np.uint64(32)
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
+    """The SimHash of `bits` bits of the distinct shingles: each one's XXH64 is mixed with an odd number per 64 bits."""
     odd = 2 * np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
     ones = np.zeros(bits, np.int64)
     for i in range(0, len(hashes), 4096):
-        mixed = hashes[i : i + 4096, None] * odd
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        ones += bit_counts(mixed ^ mixed >> np.uint64(32))
+        ones += bit_counts(_mixed(hashes[i : i + 4096], odd))
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
+def nodes_of(hashes: np.ndarray) -> list[int]:
+    """The nodes, one per band, of a text with these shingles: a band's node is a hash of the least shingle in each of ROWS orders of its own."""
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, _mixed(hashes[i : i + 1024], _ODD).min(0))
+    return [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def chance(similarity: float, bands: int = BANDS) -> float:
+    """That two texts of this Jaccard similarity share a node. The number of texts doesn't count."""
+    return 1 - (1 - similarity**ROWS) ** bands
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
-    """(_id, fp) of each row, fp being binary."""
+    """(_id, fp, nodes) of each row, fp being binary."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([wide_fingerprint(t.as_py(), words, bits) for t in batch.column("_text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), fps], names=["_id", "fp"])
+            hashes = [shingle_hashes(t.as_py(), words) for t in batch.column("_text")]
+            fps = pa.array([wide_fingerprint(h, bits) for h in hashes], pa.binary())
+            nodes = np.array([nodes_of(h) for h in hashes], np.uint64).reshape(-1, BANDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), fps, pa.array(list(nodes), pa.list_(pa.int64()))], names=["_id", "fp", "nodes"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(hashed, f"_id {docs.schema[id_col].dataType.simpleString()}, fp binary")
+    return rows.mapInArrow(hashed, f"_id {docs.schema[id_col].dataType.simpleString()}, fp binary, nodes array<long>")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -213,22 +239,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _banded(batches: Iterator[pa.RecordBatch], band: int, bits: int, bands: list[int]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, known, fp) -> (node, key, known, fp) for each of these bands of a fingerprint, where fp is 64 bits of it that the band doesn't take part in."""
-    for batch in batches:
-        keys = batch.column("key").to_numpy()
-        if not len(keys):
-            continue
-        fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(keys), bits // 8)
-        spread = np.unpackbits(fps, axis=1, bitorder="little")
-        whole = fps.view("<u8")
-        weights = np.int64(1) << np.arange(band, dtype=np.int64)
-        for n in bands:
-            node = spread[:, n * band : (n + 1) * band] @ weights * (bits // band) + n
-            other = whole[:, (n * band // 64 + bits // 128) % (bits // 64)].view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys), batch.column("known"), pa.array(other)], names=["node", "key", "known", "fp"])
-
-
 def _node_pairs(distance: int):
     """Over rows (node, key, known, fp), sorted by node: pairs (a, b) of keys that join the node's classes, but for those that are known to be one."""
 
@@ -271,16 +281,15 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _close_pairs(distinct: DataFrame, total: int, similarity: float, bits: int, most: int, again: bool) -> DataFrame:
-    """(a, b, apart): keys of distinct (key, known, fp) that share a band, at `most` or fewer differing bits. Enough of them to join what links and isn't known to be of one class. Every fourth band counts, or again the others."""
-    band = max(12, int(np.ceil(np.log2(max(total, 1)))))
-    bands = [n for n in range(bits // band) if (n % 4 > 0) == again]
+def _close_pairs(distinct: DataFrame, similarity: float, bits: int, most: int, again: bool) -> DataFrame:
+    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a band, at `most` or fewer differing bits. Enough of them to join what links and isn't known to be of one class. Every fourth band counts, or again the others."""
+    bands = [n for n in range(BANDS) if (n % 4 > 0) == again]
     distance = min(20, 2 * bits_apart(similarity, 64))
-    dealt = distinct.mapInArrow(lambda batches: _banded(batches, band, bits, bands), "node long, key long, known long, fp long")
+    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    dealt = distinct.select(F.explode(F.array(*[F.get("nodes", F.lit(n)) for n in bands])).alias("node"), "key", "known", word("fp", 0).alias("fp"))
     rows = dealt.repartition("node").sortWithinPartitions("node")
     found = staged(rows.mapInPandas(_node_pairs(distance), "a long, b long").distinct(), "candidates")
     one, two = distinct.select(F.col("key").alias("a"), F.col("fp").alias("_fa")), distinct.select(F.col("key").alias("b"), F.col("fp").alias("_fb"))
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     apart = sum((F.bit_count(word("_fa", i).bitwiseXOR(word("_fb", i))) for i in range(bits // 64)), F.lit(0))
     return staged(found.join(one, "a").join(two, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "close-pairs")
 
@@ -290,25 +299,21 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in batch.column("text"):
-                parts = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-                sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), "<u8")).view(np.int64))
+            sets = [shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "set"])
 
     return rows.mapInArrow(hashed, "key long, set array<long>")
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, total: int, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): links between keys of distinct (key, fp, least), least being the id of a document with that fingerprint."""
+def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int) -> DataFrame:
+    """(a, b): links between keys of distinct (key, fp, nodes, least), least being the id of a document with that fingerprint."""
     edge = bits_apart(similarity, bits)
     margin = round(2.5 * np.sqrt(edge * (1 - edge / bits)))  # so many bits the estimate may be off
     apart = F.col("apart")
-    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp"), total, similarity, bits, edge + margin, again=False)
+    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), similarity, bits, edge + margin, again=False)
     known = components(first.where(apart <= edge - margin)).withColumnRenamed("node", "key")
-    labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp")
-    second = _close_pairs(staged(labelled, "labelled"), total, similarity, bits, edge + margin, again=True)
+    labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
+    second = _close_pairs(staged(labelled, "labelled"), similarity, bits, edge + margin, again=True)
     sure = known.toDF("a", "b").unionByName(second.where(apart <= edge - margin).select("a", "b"))
     doubtful = first.unionByName(second).where(apart > edge - margin).select("a", "b").distinct()
     for side in ("a", "b"):
@@ -327,11 +332,11 @@ def similar_links(docs: DataFrame, distinct: DataFrame, total: int, id_col: str,
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1024, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs but those that link, directly or not, to one of a smaller id; rows of one id stay or go together, and rows of null id stay."""
     prints = staged(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, bits), "wide-fingerprints")
-    same = prints.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("_size"))
+    same = prints.groupBy("fp").agg(F.min("_id").alias("least"), F.min_by("nodes", "_id").alias("nodes"), F.count(F.lit(1)).alias("_size"))
     distinct = staged(same.withColumn("key", F.monotonically_increasing_id()), "distinct-wide")
     total = distinct.count()
-    linked = components(similar_links(docs, distinct, total, id_col, text_col, words, similarity, bits, broadcast_rows)).withColumnRenamed("node", "key")
-    known = staged(distinct.drop("fp").join(linked, "key"), "linked")
+    linked = components(similar_links(docs, distinct, id_col, text_col, words, similarity, bits, broadcast_rows)).withColumnRenamed("node", "key")
+    known = staged(distinct.drop("fp", "nodes").join(linked, "key"), "linked")
     sizes = known.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("_members"))
     first = left_join_groups(known, sizes, "component", "_members", total).select("key", "first")
     groups = distinct.join(first, "key", "left").where(F.col("first").isNotNull() | (F.col("_size") > 1)).select("fp", "_size", F.coalesce("first", "least").alias("first"))

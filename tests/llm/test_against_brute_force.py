@@ -271,6 +271,15 @@ def test_near_dedup_by_similarity(spark, docs):
         assert max(similar(i, j) for j in texts if j < i) >= 0.7
 
 
+def test_candidates_at_the_limit_at_any_size():
+    rng = np.random.default_rng(5)
+    met = []
+    for _ in range(1500):  # sets of similarity 0.8: 80 shared of 100
+        hashes = rng.integers(0, 2**63, 100).astype(np.uint64)
+        met.append(bool(set(simhash.nodes_of(np.sort(hashes[:90]))) & set(simhash.nodes_of(np.sort(hashes[10:])))))
+    assert np.mean(met) >= 0.997 and simhash.chance(0.8) >= 0.999
+
+
 RULES = [
     (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
     (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
