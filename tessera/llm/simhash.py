@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by 64 bits, in Gray order as above. Every fourth band goes first; the others give only pairs between classes that those have not joined, so a large group of copies isn't linked anew in each band. What links there is compared over all bits: far enough within the similarity it counts, and near its edge, unless it joins nothing new, the texts' shingle sets decide.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity count and join classes, and each other pair near its edge, unless its classes are joined by surer ones, is decided by the texts' shingle sets. Every fourth band goes first, with the sure pairs alone; then all bands give what joins the classes that those left.
 
 Rows that repeat link like copies. Null ids take part; a component's id is its smallest non-null one. Other columns don't matter.
 """
@@ -239,31 +239,53 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _node_pairs(distance: int):
-    """Over rows (node, key, known, fp), sorted by node: pairs (a, b) of keys that join the node's classes, but for those that are known to be one."""
+def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int) -> np.ndarray:
+    """(a, b, apart) of a node's members, which are rows of 64-bit words: pairs at `sure` or fewer differing bits that join their classes (labels[x] is the smallest member of x's class), and all others at `most` or fewer whose classes stay apart. A pair merges classes only once it is sure."""
+    common = np.bincount(labels).argmax()
+    rest = np.flatnonzero(labels != common)
+    columns, place = np.ascontiguousarray(words.T), np.full(len(words), -1)
+    place[rest] = np.arange(len(rest))
+    found, doubtful = [np.empty((3, 0), np.int64)], []
+    step = max(1, _CHUNK // len(words))
+    for i in range(0, len(rest), step):
+        block = rest[i : i + step]
+        apart = np.zeros((len(block), len(words)), np.int16)
+        for c in columns:
+            apart += np.bitwise_count(c[block, None] ^ c)
+        x, b = np.nonzero((apart <= most) & (labels[block, None] != labels) & ((place < 0) | (place > place[block, None])))
+        a, apart = block[x], apart[x, b].astype(np.int64)
+        near = apart <= sure
+        # The distance is found again from the pair, since joined() gives the pairs alone.
+        kept = joined(labels, a[near], b[near], apart[near])
+        found.append(np.concatenate([kept, np.bitwise_count(words[kept[0]] ^ words[kept[1]]).sum(1, dtype=np.int64)[None]]))
+        labels = merged(labels, a[near], b[near])
+        doubtful.append(np.stack([a, b, apart])[:, ~near])
+    return np.concatenate(found + [d[:, labels[d[0]] != labels[d[1]]] for d in doubtful], axis=1)
+
+
+def _node_pairs(sure: int, most: int):
+    """Over rows (node, key, known, fp), sorted by node: pairs_between() of keys, known being their class."""
 
     def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         edges = np.flatnonzero(node[1:] != node[:-1]) + 1
         starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(node)]])
-        out = [np.empty((2, 0), np.int64)]
+        out = [np.empty((3, 0), np.int64)]
+        words = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
         two = starts[stops - starts == 2]
-        near = two[(known[two] != known[two + 1]) & (np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance)]
-        out.append(np.stack([key[near], key[near + 1]]))
+        apart = np.bitwise_count(words[two] ^ words[two + 1]).sum(1, dtype=np.int64)
+        near = (known[two] != known[two + 1]) & (apart <= most)
+        out.append(np.stack([key[two][near], key[two + 1][near], apart[near]]))
         for k in np.flatnonzero(stops - starts > 2):
             part = slice(starts[k], stops[k])
-            if (known[part] == known[starts[k]]).all():
-                continue
-            own = fps[part].view(np.uint64)
-            order = np.argsort(gray_rank(own))
-            _, first, place = np.unique(known[part][order], return_index=True, return_inverse=True)
-            found: list[np.ndarray] = []
-            classes(own[order], distance, found, first[place])
-            out += [key[part][order][p] for p in found]
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            _, first, place = np.unique(known[part], return_index=True, return_inverse=True)
+            if len(first) > 1:
+                a, b, apart = pairs_between(words[part], first[place], sure, most)
+                out.append(np.stack([key[part][a], key[part][b], apart]))
+        a, b, apart = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart})
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 3 + [np.empty(0, object)]
         for batch in batches:
             held = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("node", "key", "known", "fp"), strict=True)]
             last = int(np.argmax(held[0] == held[0][-1])) if len(held[0]) else 0
@@ -281,17 +303,19 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _close_pairs(distinct: DataFrame, similarity: float, bits: int, most: int, again: bool) -> DataFrame:
-    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a band, at `most` or fewer differing bits. Enough of them to join what links and isn't known to be of one class. Every fourth band counts, or again the others."""
-    bands = [n for n in range(BANDS) if (n % 4 > 0) == again]
-    distance = min(20, 2 * bits_apart(similarity, 64))
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    dealt = distinct.select(F.explode(F.array(*[F.get("nodes", F.lit(n)) for n in bands])).alias("node"), "key", "known", word("fp", 0).alias("fp"))
-    rows = dealt.repartition("node").sortWithinPartitions("node")
-    found = staged(rows.mapInPandas(_node_pairs(distance), "a long, b long").distinct(), "candidates")
-    one, two = distinct.select(F.col("key").alias("a"), F.col("fp").alias("_fa")), distinct.select(F.col("key").alias("b"), F.col("fp").alias("_fb"))
-    apart = sum((F.bit_count(word("_fa", i).bitwiseXOR(word("_fb", i))) for i in range(bits // 64)), F.lit(0))
-    return staged(found.join(one, "a").join(two, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "close-pairs")
+def _shared(distinct: DataFrame, bands: list[int]) -> DataFrame:
+    """(node, key, known, _size): distinct (key, known, nodes) in each node of these bands that holds more than one class."""
+    dealt = staged(distinct.select(F.explode(F.array(*[F.get("nodes", F.lit(n)) for n in bands])).alias("node"), "key", "known"), "dealt")
+    sizes = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("_size"), F.min("known").alias("_low"), F.max("known").alias("_high"))
+    sizes = staged(sizes.where("_low < _high").select("node", "_size"), "shared-nodes")
+    return left_join_groups(dealt, sizes, "node", "_size", dealt.count()).where(F.col("_size").isNotNull())
+
+
+def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int) -> DataFrame:
+    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node."""
+    rows = _shared(distinct, bands).join(distinct.select("key", "fp"), "key").select("node", "key", "known", "fp")
+    rows = rows.repartition("node").sortWithinPartitions("node")
+    return staged(rows.mapInPandas(_node_pairs(sure, most), "a long, b long, apart long").distinct(), "close-pairs")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -305,28 +329,44 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(hashed, "key long, set array<long>")
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): links between keys of distinct (key, fp, nodes, least), least being the id of a document with that fingerprint."""
-    edge = bits_apart(similarity, bits)
-    margin = round(2.5 * np.sqrt(edge * (1 - edge / bits)))  # so many bits the estimate may be off
-    apart = F.col("apart")
-    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), similarity, bits, edge + margin, again=False)
-    known = components(first.where(apart <= edge - margin)).withColumnRenamed("node", "key")
-    labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
-    second = _close_pairs(staged(labelled, "labelled"), similarity, bits, edge + margin, again=True)
-    sure = known.toDF("a", "b").unionByName(second.where(apart <= edge - margin).select("a", "b"))
-    doubtful = first.unionByName(second).where(apart > edge - margin).select("a", "b").distinct()
+def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes of known (node, component), with these as (_a, _b), the smaller first."""
+    columns = pairs.columns
     for side in ("a", "b"):
-        doubtful = doubtful.join(known.toDF(side, f"_{side}"), side, "left")
-    doubtful = staged(doubtful.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "doubtful-pairs")
-    asked = staged(doubtful.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", "least"), "key"), "asked")
+        pairs = pairs.join(known.toDF(side, f"_{side}"), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    pairs = pairs.where("_a <> _b").select(*columns, F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+    return staged(pairs, "doubtful-pairs")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) of keys whose texts' shingle sets have the similarity."""
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", "least"), "key"), "asked")
     side = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
     texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(side, "least").select("key", "text")
     sets = staged(shingle_sets(texts, words), "shingle-sets").dropDuplicates(["key"])
     one, two = sets.select(F.col("key").alias("a"), F.col("set").alias("_sa")), sets.select(F.col("key").alias("b"), F.col("set").alias("_sb"))
     shared = F.size(F.array_intersect("_sa", "_sb"))
     jaccard = shared / (F.size("_sa") + F.size("_sb") - shared)
-    return sure.unionByName(doubtful.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b"))
+    return staged(pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b"), "similar-pairs")
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int) -> DataFrame:
+    """(a, b): links between keys of distinct (key, fp, nodes, least), least being the id of a document with that fingerprint."""
+    edge = bits_apart(similarity, bits)
+    off = np.sqrt(edge * (1 - edge / bits))
+    sure, most = edge - round(2.5 * off), edge + round(4 * off)  # the estimate may be off by as much; a pair beyond `most` is lost
+    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), list(range(0, BANDS, 4)), sure, sure)
+    known = components(first).withColumnRenamed("node", "key")
+    labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
+    second = _close_pairs(staged(labelled, "labelled"), list(range(BANDS)), sure, most)
+    found = known.toDF("a", "b").unionByName(second.where(F.col("apart") <= sure).select("a", "b"))
+    doubtful = second.where(F.col("apart") > sure)
+    # The closest pair of two classes comes first: where its sets link, the other pairs of those classes need no look.
+    classes_apart = _between(doubtful, components(found))
+    asked = staged(classes_apart.groupBy("_a", "_b").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "asked-pairs")
+    found = staged(found.unionByName(_similar(docs, asked, distinct, id_col, text_col, words, similarity, broadcast_rows)), "found-links")
+    left = staged(_between(classes_apart.select("a", "b"), components(found)).select("a", "b").join(asked, ["a", "b"], "left_anti"), "asked-pairs")
+    return found.unionByName(_similar(docs, left, distinct, id_col, text_col, words, similarity, broadcast_rows))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1024, broadcast_rows: int = 1_000_000) -> DataFrame:

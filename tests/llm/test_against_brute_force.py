@@ -280,6 +280,36 @@ def test_candidates_at_the_limit_at_any_size():
     assert np.mean(met) >= 0.997 and simhash.chance(0.8) >= 0.999
 
 
+def templated_family(members, length=220):
+    """Texts of one template with slots filled anew: pairs lie on both sides of similarity 0.8."""
+    rng = np.random.default_rng(11)
+    template = [f"w{i}" for i in range(length)]
+    texts = {}
+    for n in range(members):
+        own, at = list(template), rng.choice(length, rng.integers(2, 7), False)
+        for i in at:
+            own[i] = f"x{rng.integers(0, 3)}"
+        texts[n] = " ".join(own)
+    return texts
+
+
+def test_templated_family_equals_brute_force(spark):
+    texts = templated_family(300)
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sets = {i: five_words(t) for i, t in texts.items()}
+    least = brute_components(texts, [(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    assert kept == {i for i in texts if least[i] == i}
+
+
+def test_a_rejected_pair_stands_for_no_other():
+    zero = np.zeros(16, np.uint64)
+    flipped = lambda bits: np.packbits([i in bits for i in range(1024)], bitorder="little").view(np.uint64)
+    c, a, b, d = zero, flipped(range(150)), flipped(range(140)) ^ flipped(range(500, 510)), flipped(range(100))
+    words = np.stack([c, a, b, d])
+    got = {(min(p), max(p), n) for *p, n in simhash.pairs_between(words, np.arange(4), 20, 160).T.tolist()}
+    assert got == {(1, 2, 20), (0, 1, 150), (0, 2, 150), (0, 3, 100), (1, 3, 50), (2, 3, 50)}
+
+
 RULES = [
     (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
     (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
