@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity count and join classes, and each other pair near its edge, unless its classes are joined by surer ones, is decided by the texts' shingle sets. Every fourth band goes first, with the sure pairs alone; then all bands give what joins the classes that those left.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity count and join classes, and each other pair near its edge, unless its classes are joined by surer ones, is decided by the texts' shingle sets. Every fourth band goes first, with the sure pairs alone; then all bands give what joins the classes that those left. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; the work is the size of the node times the texts outside of its largest class.
 
 Rows that repeat link like copies. Null ids take part; a component's id is its smallest non-null one. Other columns don't matter.
 """
@@ -30,6 +30,8 @@ FAN = 8
 _CHUNK = 1 << 16
 #: Bands of near_dedup, and least shingles in each.
 BANDS, ROWS = 20, 5
+#: A node over NODE texts has so many of them as pivots.
+NODE, PIVOTS = 1024, 16
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -311,11 +313,66 @@ def _shared(distinct: DataFrame, bands: list[int]) -> DataFrame:
     return left_join_groups(dealt, sizes, "node", "_size", dealt.count()).where(F.col("_size").isNotNull())
 
 
-def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int) -> DataFrame:
-    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node."""
-    rows = _shared(distinct, bands).join(distinct.select("key", "fp"), "key").select("node", "key", "known", "fp")
-    rows = rows.repartition("node").sortWithinPartitions("node")
-    return staged(rows.mapInPandas(_node_pairs(sure, most), "a long, b long, apart long").distinct(), "close-pairs")
+def _pivot_links(rows: DataFrame, fps: DataFrame, sure: int) -> DataFrame:
+    """rows (node, key) of large nodes -> (a, b, apart): links of each member to its node's closest pivot and to the first one, at `sure` or fewer differing bits. The driver holds PIVOTS fingerprints a node, of which there are fewer than rows / NODE."""
+    drawn = rows.groupBy("node", F.pmod(F.xxhash64("key", "node"), F.lit(PIVOTS)).alias("_slot")).agg(F.min("key").alias("key")).join(fps, "key")
+    held: dict[int, list] = {}
+    for r in drawn.select("node", "key", "fp").collect():
+        held.setdefault(r["node"], []).append((r["key"], bytes(r["fp"])))
+    pivots = {n: (np.array([k for k, _ in sorted(p)]), np.frombuffer(b"".join(f for _, f in sorted(p)), "<u8").reshape(len(p), -1)) for n, p in held.items()}
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [np.empty((3, 0), np.int64)]
+            for node, part in batch.groupby("node"):
+                keys, own = pivots[node]
+                key, words = part["key"].to_numpy(), np.frombuffer(b"".join(part["fp"]), "<u8").reshape(len(part), -1)
+                apart = np.stack([np.bitwise_count(words ^ w).sum(1, dtype=np.int64) for w in own], axis=1)
+                apart[key[:, None] == keys] = 1 << 30
+                for at in (apart.argmin(1), (apart <= sure).argmax(1)):
+                    d = apart[np.arange(len(key)), at]
+                    out.append(np.stack([key, keys[at], d])[:, d <= sure])
+            a, b, d = np.concatenate(out, axis=1)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": d})
+
+    return rows.join(fps, "key").select("node", "key", "fp").mapInPandas(linked, "a long, b long, apart long").distinct()
+
+
+def _cells(rows: DataFrame, most: int) -> DataFrame:
+    """rows (node, key, known) of large nodes, known being their class -> the same, node being a cell of about `most` members: any two of a node that are of different classes meet in a cell.
+
+    A node's largest class and the rest of it are each dealt out by the key's hash into chunks; a cell holds one chunk of each, or two of the rest. So only the rest's number counts more than once.
+    """
+    per = rows.groupBy("node", "known").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.groupBy("node").agg(F.max(F.struct("_n", "known")).alias("_core"), F.sum("_n").alias("_all"))
+    chunks = lambda n: F.ceil(n / F.lit(max(most // 2, 1))).cast("int")
+    per = per.select("node", F.col("_core.known").alias("_common"), chunks(F.col("_core._n")).alias("_c"), chunks(F.col("_all") - F.col("_core._n")).alias("_r")).where("_r > 0")
+    rows = rows.join(F.broadcast(staged(per, "large-nodes")), "node")
+    core = F.col("known") == F.col("_common")
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("key", "node"), F.when(core, F.col("_c")).otherwise(F.col("_r"))).cast("int"))
+    cell = lambda x, y: F.xxhash64("node", x, y)
+    beside = F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda j: cell(F.col("_chunk"), F.col("_c") + j))
+    under = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda i: cell(i, F.col("_c") + F.col("_chunk")))
+    others = F.filter(F.sequence(F.lit(0), F.col("_r") - 1), lambda j: j != F.col("_chunk"))
+    across = F.transform(others, lambda j: cell(F.col("_c") + F.least(j, "_chunk"), F.col("_c") + F.greatest(j, "_chunk")))
+    return rows.select(F.explode(F.when(core, beside).otherwise(F.concat(under, across))).alias("node"), "key", "known")
+
+
+def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, node: int, pivots: bool) -> DataFrame:
+    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells."""
+    rows = staged(_shared(distinct, bands), "shared")
+    fps = distinct.select("key", "fp")
+    large = rows.where(F.col("_size") > node).select("node", "key", "known")
+    rows = rows.where(F.col("_size") <= node).select("node", "key", "known")
+    found = None
+    if not large.isEmpty():
+        if pivots:
+            found = _pivot_links(large.select("node", "key"), fps, sure)
+        else:
+            rows = rows.unionByName(_cells(large, node))
+    rows = rows.join(fps, "key").select("node", "key", "known", "fp").repartition("node").sortWithinPartitions("node")
+    pairs = rows.mapInPandas(_node_pairs(sure, most), "a long, b long, apart long").distinct()
+    return staged(pairs if found is None else pairs.unionByName(found), "close-pairs")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -350,15 +407,15 @@ def _similar(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str
     return staged(pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b"), "similar-pairs")
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int) -> DataFrame:
+def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int, node: int = NODE) -> DataFrame:
     """(a, b): links between keys of distinct (key, fp, nodes, least), least being the id of a document with that fingerprint."""
     edge = bits_apart(similarity, bits)
     off = np.sqrt(edge * (1 - edge / bits))
     sure, most = edge - round(2.5 * off), edge + round(4 * off)  # the estimate may be off by as much; a pair beyond `most` is lost
-    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), list(range(0, BANDS, 4)), sure, sure)
+    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), list(range(0, BANDS, 4)), sure, sure, node, pivots=True)
     known = components(first).withColumnRenamed("node", "key")
     labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
-    second = _close_pairs(staged(labelled, "labelled"), list(range(BANDS)), sure, most)
+    second = _close_pairs(staged(labelled, "labelled"), list(range(BANDS)), sure, most, node, pivots=False)
     found = known.toDF("a", "b").unionByName(second.where(F.col("apart") <= sure).select("a", "b"))
     doubtful = second.where(F.col("apart") > sure)
     # The closest pair of two classes comes first: where its sets link, the other pairs of those classes need no look.
@@ -369,13 +426,13 @@ def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: s
     return found.unionByName(_similar(docs, left, distinct, id_col, text_col, words, similarity, broadcast_rows))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1024, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1024, broadcast_rows: int = 1_000_000, node: int = NODE) -> DataFrame:
     """The rows of docs but those that link, directly or not, to one of a smaller id; rows of one id stay or go together, and rows of null id stay."""
     prints = staged(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, bits), "wide-fingerprints")
     same = prints.groupBy("fp").agg(F.min("_id").alias("least"), F.min_by("nodes", "_id").alias("nodes"), F.count(F.lit(1)).alias("_size"))
     distinct = staged(same.withColumn("key", F.monotonically_increasing_id()), "distinct-wide")
     total = distinct.count()
-    linked = components(similar_links(docs, distinct, id_col, text_col, words, similarity, bits, broadcast_rows)).withColumnRenamed("node", "key")
+    linked = components(similar_links(docs, distinct, id_col, text_col, words, similarity, bits, broadcast_rows, node)).withColumnRenamed("node", "key")
     known = staged(distinct.drop("fp", "nodes").join(linked, "key"), "linked")
     sizes = known.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("_members"))
     first = left_join_groups(known, sizes, "component", "_members", total).select("key", "first")

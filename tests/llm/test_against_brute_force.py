@@ -310,6 +310,21 @@ def test_a_rejected_pair_stands_for_no_other():
     assert got == {(1, 2, 20), (0, 1, 150), (0, 2, 150), (0, 3, 100), (1, 3, 50), (2, 3, 50)}
 
 
+def test_large_nodes_are_dealt_out_and_lose_nothing(spark):
+    texts = templated_family(300)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = [{r["doc_id"] for r in simhash.near_dedup(frame, node=node).collect()} for node in (1024, 8)]
+    assert kept[0] == kept[1]
+    rows = spark.range(500).selectExpr("id % 2 as node", "id as key", "if(id < 400, 0, id % 7 + 1) as known")
+    cells = collections.defaultdict(set)
+    for r in simhash._cells(rows, 60).collect():
+        cells[r["node"]].add(r["key"])
+    known = {r["key"]: r["known"] for r in rows.collect()}
+    met = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    assert {(a, b) for a in known for b in known if a < b and a % 2 == b % 2 and known[a] != known[b]} <= met
+    assert max(map(len, cells.values())) < 120
+
+
 RULES = [
     (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
     (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
