@@ -2,7 +2,7 @@
 
 Pages are read into blocks, one per block-level element, in page order. What is inside scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments, by element or by class and id, is chrome and goes. If a page has an article (article, main or role=main), the blocks inside it are its text, whole, even if other pages repeat them.
 
-Pages without one have open blocks: neither chrome nor article. For those, the token streams of a host's pages are taken together, and a token goes if it lies in a substring of min_tokens or more that another page of the host repeats; unique runs stay. Whether a suffix shares min_tokens tokens with a suffix of another page only takes its first min_tokens: suffixes are grouped by host and by a hash of those, which is the suffix array cut into the runs that matter, so that no task holds a host. Groups count the distinct pages by combining within tasks first; hot groups are joined back by broadcast.
+Pages without one have open blocks: neither chrome nor article. For those, the token streams of a host's pages are taken together, each page's over all its open blocks, and a token goes if it lies in a substring of min_tokens or more that a page of other contents of the host repeats; a substring may run over the ends of blocks, and unique runs stay. Pages of the same open blocks are copies, which don't erase each other. Whether a suffix shares min_tokens tokens with a suffix of another page only takes its first min_tokens: suffixes are grouped by host and by a hash of those, which is the suffix array cut into the runs that matter, so that no task holds a host. Groups tell distinct contents apart by combining within tasks first; hot groups are joined back by broadcast.
 
 White space within a block becomes one space, character references are decoded, blocks are joined by two line feeds. Null or empty html gives empty text. Pages are told apart by row, so rows that repeat an id are pages of their own. A null url is a host of its own. Other columns don't matter.
 """
@@ -138,21 +138,33 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def unique_runs(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
-    """pages (_uid, host, open) -> (_uid, text): the open blocks without what other pages of the host repeat."""
-    tokens = pages.select("_uid", "host", F.posexplode("open").alias("block", "line")).select("_uid", "host", "block", F.split("line", " ").alias("tokens"))
-    places = tokens.where(F.size("tokens") >= min_tokens).select("_uid", "host", "block", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - min_tokens)).alias("at"))
-    prefix = F.sha2(F.concat_ws("\u0000", F.array(F.coalesce("host", F.lit("\u0000"))), F.slice("tokens", F.col("at") + 1, min_tokens)), 256)
-    suffixes = staged(places.select("_uid", "block", "at", prefix.alias("prefix")), "suffixes")
-    repeated = suffixes.groupBy("prefix").agg(F.min("_uid").alias("_low"), F.max("_uid").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
+    """pages (_uid, host, open) -> (_uid, _runs): the open blocks without what other pages of the host repeat."""
+    pages = pages.select("_uid", "host", "open", F.sha2(F.to_json(F.struct("open")), 256).alias("body"))
+    tokens = F.flatten(F.transform("open", lambda line: F.split(line, " ")))
+    prefix = lambda at: F.sha2(F.concat_ws("\u0000", F.array(F.coalesce("host", F.lit("\u0000"))), F.slice("tokens", at + 1, min_tokens)), 256)
+    places = F.transform(F.sequence(F.lit(0), F.size("tokens") - min_tokens), lambda at: F.struct(at.alias("at"), prefix(at).alias("prefix")))
+    long_enough = pages.select("_uid", "host", "body", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
+    suffixes = staged(long_enough.select("_uid", "body", F.explode(places).alias("place")).select("_uid", "body", "place.*"), "suffixes")
+    repeated = suffixes.groupBy("prefix").agg(F.min("body").alias("_low"), F.max("body").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
     repeated = staged(repeated.select("prefix", "_size"), "repeated")
-    covered = left_join_groups(suffixes, repeated, "prefix", "_size", suffixes.count()).where(F.col("_size").isNotNull())
-    covered = covered.groupBy("_uid", "block").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    # A token is covered if some repeated prefix starts at it or up to min_tokens - 1 before it.
-    gone = F.flatten(F.transform("starts", lambda a: F.sequence(a, a + (min_tokens - 1))))
-    left = tokens.join(covered, ["_uid", "block"], "left").withColumn("gone", F.coalesce(F.array_distinct(gone), F.array().cast("array<int>")))
-    kept = F.when(F.size("gone") == 0, F.col("tokens")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("tokens") - 1), "gone"), lambda i: F.get("tokens", i)))
-    lines = left.select("_uid", "block", F.array_join(kept, " ").alias("line")).where("line <> ''")
-    return lines.groupBy("_uid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n\n").alias("_runs"))
+    covered = left_join_groups(suffixes.drop("body"), repeated, "prefix", "_size", suffixes.count()).where(F.col("_size").isNotNull())
+    covered = covered.groupBy("_uid").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = []
+            for lines, starts in zip(batch.column("open").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+                # A token is covered if some repeated prefix starts at it or up to min_tokens - 1 before it.
+                gone = {i for a in starts or [] for i in range(a, a + min_tokens)}
+                kept, at = [], 0
+                for line in lines:
+                    words = line.split(" ")
+                    kept.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
+                    at += len(words)
+                text.append("\n\n".join(filter(None, kept)))
+            yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array(text, pa.string())], names=["_uid", "_runs"])
+
+    return pages.select("_uid", "open").join(covered, "_uid", "left").mapInArrow(cut, "_uid long, _runs string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 8) -> DataFrame:

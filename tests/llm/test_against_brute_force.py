@@ -104,6 +104,18 @@ def test_chrome_and_suffixes(spark):
     assert got == {1: "one story\n\nits end", 2: "another & one line", 3: boiler, 4: f"T\n\n{boiler}", 5: "start middle words stop"}
 
 
+def test_runs_over_short_blocks_and_copies(spark):
+    menu = "<div>Home</div><div>About us</div><div>Contact</div><h2>Our latest local news</h2>"
+    foot = "<div>Copyright 2020 Some Company</div><div>All rights reserved</div>"
+    copy = "<p>this very page is there twice under two addresses of its host"
+    pages = [(1, "http://a.com/1", f"<body>{menu}<p>one story of its own{foot}"), (2, "http://a.com/2", f"<body>{menu}<p>quite another{foot}"), (3, "http://b.com/1", copy), (4, "http://b.com/2", copy), (5, "http://c.com/1", menu)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    whole = copy.removeprefix("<p>")
+    # The foot has seven words: no run of eight with what is before it in either page.
+    end = "Copyright 2020 Some Company\n\nAll rights reserved"
+    assert got == {1: f"one story of its own\n\n{end}", 2: f"quite another\n\n{end}", 3: whole, 4: whole, 5: "Home\n\nAbout us\n\nContact\n\nOur latest local news"}
+
+
 def test_packing(spark, sf, docs, tokenizer):
     rows = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), part_rows=40, with_ids=True).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
