@@ -23,9 +23,7 @@ from tessera.llm.tokens import encoder
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -42,20 +40,26 @@ def test_sql(spark, sf, name):
     assert found(queries.QUERIES[name](spark, sf)) == expected(queries.ORACLES[name], sf)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=60) | st.text("ab \n'1", max_size=60))
-def test_tokens_are_those_of_the_library(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_tokens_are_those_of_the_library, "t") else test_tokens_are_those_of_the_library.t
-    test_tokens_are_those_of_the_library.t = t
-    t.encode_special_tokens = True
-    assert encoder().ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+SPECIAL = st.lists(st.text("ab \n<|endoftext|>", max_size=8) | st.just("<|endoftext|>"), max_size=8).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(max_size=60) | st.text("ab \n'1", max_size=60) | SPECIAL)
+def test_tokens_are_those_of_the_library(tokenizer, text):
+    assert encoder().ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_of_the_tables(tokenizer, docs):
+    for r in docs.values():
+        assert encoder().ids(r["text"]).tolist() == tokenizer.encode(r["text"], add_special_tokens=False).ids
 
 
 def test_long_runs_and_special_strings(tokenizer):
-    for text in ("ab" * 5000, "x <|endoftext|> y", "漢" * 3000 + " tail"):
+    for text in ("ab" * 5000, "x <|endoftext|> y", "漢" * 3000 + " tail <|endoftext|>", "<|endoftext|>" * 500):
         ids = encoder().ids(text)
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert encoder().width[ids].sum() == len(text.encode())
+    assert encoder().ids("<|endoftext|>").tolist() == [50256]
 
 
 def test_exact_copies(spark, docs):
@@ -138,6 +142,21 @@ def test_packing(spark, sf, docs, tokenizer):
         assert at <= 1024
     bound = packing.lower_bound(np.array([r["length"] for r in rows]), 1024)
     assert len(sequences) <= bound + 2
+    told = packing.certificate(spark.createDataFrame([(r["length"], r["sequence_id"]) for r in rows], "length long, sequence_id long"))
+    assert told == {"sequences": len(sequences), "bound": bound, "gap": len(sequences) - bound}
+
+
+@pytest.mark.parametrize("rounds", [0, 8])
+def test_parts_come_near_one_pass_over_all(spark, rounds):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 1025, 3000)
+    cut = spark.createDataFrame([(n, n, 0, 0, int(x), 0) for n, x in enumerate(lengths)], "doc_id long, _uid long, piece int, start long, length long, ids_crc32 long")
+    placed = packing.pack(cut, part_rows=300, rounds=rounds)
+    whole = packing.best_fit(lengths, 1024)[0].max() + 1
+    used = packing.certificate(placed)["sequences"]
+    assert placed.count() == 3000 and (used <= whole + 3 or not rounds)
+    with pytest.raises(ValueError):
+        packing.pack(cut, rounds=99)
 
 
 @settings(max_examples=40, deadline=None)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import hard
-from tessera.llm import exact_dedup, html_extract, mixing, packing, quality, secrets, sharding, simhash, token_counts, topk
+from tessera.llm import exact_dedup, html_extract, mixing, packing, quality, secrets, sharding, simhash, token_counts
 
 OPERATORS = {
     "exact": lambda s, d, lab: exact_dedup.duplicate_groups(d),
@@ -67,12 +67,3 @@ def test_pages(spark, rows):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and hard.count(out) == len(found) * rows
     if rows:
         assert {r["text"] for r in out.where("page_id = 4").collect()} == {"deep"}
-
-
-@pytest.mark.parametrize("rows", [True, False])
-def test_vectors(spark, rows):
-    inf, nan = float("inf"), float("nan")
-    found = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [1.0, 0.5]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (9, []), (10, [-2.0, 1e15]), (11, [0.0, 0.0])]
-    df = spark.createDataFrame(found if rows else [], "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("ids", F.lit(1)).withColumn("_query", F.lit(1))
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
-    assert got == ([(0, 1, 3, 5120), (0, 2, 20, 5120), (0, 3, 11, 0), (20, 1, 0, 5120), (20, 2, 3, 5120), (20, 3, 11, 0)] if rows else [])
