@@ -1,15 +1,14 @@
 """Shards of equal bytes by a k-d tree over the documents' metadata, in DataFrame operations only.
 
-The tree splits the set of shards in halves and the documents with it. Each node takes the metadata dimension in which it is widest and cuts it at the weighted quantile that gives both sides the bytes of their shards. The quantile is exact: a node's order is by dimension, then by the id's hash, then by row, and each pass sums the bytes by the next DIGIT bits of that order, for all nodes of a level at once, until one row is left at the cut; it goes to the side where it errs less.
+The tree splits the set of shards in halves and the documents with it, until each leaf is a shard and holds its target bytes. A node takes the metadata dimension in which it is widest and cuts it at the weighted quantile that gives both sides the bytes of their shards. The quantile is exact: a node's order is by coordinate, then by a hash of row and id, and each pass sums the bytes by the next 16 bits of that order, for all nodes of a level at once, until one row is left at the cut. What lies before that row goes to the low side, and with it one of the rest: the one whose size comes closest to the bytes still missing there, if that is closer than nothing. So a cut is off by less than half of the smallest difference in size that one row can make, at any number of documents. All rows go through the tree.
 
-Documents of over 1 / LARGE of a shard would make cuts uneven. There are at most shards * LARGE of them; the largest go first to the shards with the fewest bytes, and the tree gives each shard what is then missing.
+Coordinates have 32 bits. A numeric column is scaled to its range; null, NaN and infinities are its least value. Other columns are ordered by the bytes of their values, so that each value takes up its share of the range: values are put in 2**16 buckets by hash, which are few enough to sort at any number of values, and null is a value. Ties in size go by hash, then by row.
 
-Numeric columns are scaled to their range and others are hashed; a null is the least number, or a value of its own. Null text has 0 bytes. Rows that repeat are placed each. An empty table gives no rows. Other columns don't matter.
+Null text has 0 bytes. Very long texts are rows like others; a shard is at least as large as its largest text. Rows that repeat, and equal texts, are placed each: the law is bytes, and no row is tied to another. An empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +17,11 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import staged
 
-LARGE = 64
-DIGIT = 11
-#: The order's columns and their digits: the dimension and the hash have 33 bits, a row's number 66.
-_PARTS = (("dim", 3), ("_hash", 3), ("_uid", 6))
+DIGIT = 16
+#: The order's columns and the shifts of their digits.
+_PARTS = (("dim", (16, 0)), ("_hash", (48, 32, 16, 0)))
+_KEY = sum(len(shifts) for _, shifts in _PARTS)
+_TOP = (1 << 32) - 1
 #: Rows that one task numbers, unless there would be over 10,000 such chunks a shard.
 _CHUNK = 100_000
 
@@ -30,38 +30,39 @@ _CHUNK = 100_000
 class _Node:
     first: int
     last: int  # not included
+    bytes: int
+    spans: dict[str, tuple[int, int]]  # bounds of what it holds, by dimension
     dim: str = ""
+    wanted: int = 0
+    before: int = 0
     key: list[int] = field(default_factory=list)  # the digits of the cut
-    include: bool = False  # whether what has all these digits goes left
+    moved: int = -1  # the row from after the cut that goes to the low side
     low: "_Node | None" = None
     high: "_Node | None" = None
 
-
-def _digit(column: str, i: int, of: int) -> Column:
-    return F.shiftrightunsigned(column, min((of - 1 - i) * DIGIT, 63)).bitwiseAND(F.lit((1 << DIGIT) - 1))
+    @property
+    def middle(self) -> int:
+        return (self.first + self.last) // 2
 
 
 def _digits(dim: str) -> list[Column]:
-    return [_digit(dim if name == "dim" else name, i, n) for name, n in _PARTS for i in range(n)]
+    return [F.shiftrightunsigned(F.col(dim if name == "dim" else name), s).bitwiseAND(F.lit((1 << DIGIT) - 1)) for name, shifts in _PARTS for s in shifts]
 
 
-def _goes_low(node: _Node) -> Column:
-    """Whether a row's place in the node's order is before the cut. Digits that the cut needn't tell are the least, or the greatest if it is included."""
-    key = node.key + [node.include * ((1 << DIGIT) - 1)] * (sum(n for _, n in _PARTS) - len(node.key))
-    below, at = F.lit(node.include), len(key)
-    for name, n in reversed(_PARTS):
-        part, at = key[at - n : at], at - n
-        cut = min(sum(digit << (n - 1 - i) * DIGIT for i, digit in enumerate(part)), (1 << 63) - 1)
-        column = F.col(node.dim if name == "dim" else name)
-        below = (column < cut) | ((column == cut) & below)
-    return below
+def _before_cut(node: _Node) -> Column:
+    """Whether a row's place in the node's order is before the cut, whose unknown digits are 0."""
+    key = iter(node.key + [0] * (_KEY - len(node.key)))
+    (_, dim_shifts), (_, hash_shifts) = _PARTS
+    cut, cut_hash = sum(next(key) << s for s in dim_shifts), sum(next(key) << s for s in hash_shifts)
+    return (F.col(node.dim) < cut) | ((F.col(node.dim) == cut) & (F.col("_hash") < cut_hash))
 
 
 def _leaf(node: _Node) -> Column:
     """The first shard of the leaf, or of the open node, that a row falls into."""
     if node.low is None:
         return F.lit(node.first)
-    return F.when(_goes_low(node), _leaf(node.low)).otherwise(_leaf(node.high))
+    low = _before_cut(node) if node.moved < 0 else _before_cut(node) | (F.col("_uid") == node.moved)
+    return F.when(low, _leaf(node.low)).otherwise(_leaf(node.high))
 
 
 def _open(node: _Node) -> list[_Node]:
@@ -70,106 +71,104 @@ def _open(node: _Node) -> list[_Node]:
     return [node] if node.last - node.first > 1 else []
 
 
-def _coordinates(docs: DataFrame, dims: list[str]) -> dict[str, Column]:
+def coordinates(docs: DataFrame, dims: list[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """What the tree needs of each row, stored: _uid, _id, size, text_crc32, _hash and the coordinates, whose names come second."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    numeric = [d for d in dims if isinstance(kinds[d], T.NumericType)]
-    ends = docs.agg(*[f(F.col(f"`{d}`").cast("double")).alias(f"{f.__name__}_{d}") for d in numeric for f in (F.min, F.max)]).first() if numeric else {}
-    out = {}
-    for k, d in enumerate(dims):
-        name, col = f"_dim{k}", F.col(f"`{d}`")
-        if d in numeric:
-            low, high = ends[f"min_{d}"] or 0.0, ends[f"max_{d}"] or 0.0
-            out[name] = F.coalesce(((col.cast("double") - low) / (max(high - low, 1e-300)) * ((1 << 32) - 1)).cast("long"), F.lit(0).cast("long"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marks = []
+    for n, d in enumerate(dims):
+        x = F.col(f"`{d}`")
+        if isinstance(kinds[d], T.NumericType):
+            x = x.cast("double")
+            marks.append(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias(f"_raw{n}"))
+        else:
+            marks.append(F.pmod(F.xxhash64(x), F.lit(1 << DIGIT)).alias(f"_raw{n}"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *marks)
+    rows = staged(rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_uid", "_id"), 2)), "sizes")
+    numeric = [n for n, d in enumerate(dims) if isinstance(kinds[d], T.NumericType)]
+    ends = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *[f(f"_raw{n}").alias(f"{f.__name__}{n}") for n in numeric for f in (F.min, F.max)]).first()
+    for n in range(len(dims)):
+        if n in numeric:
+            low, high = ends[f"min{n}"] or 0.0, ends[f"max{n}"] or 0.0
+            # Halves, since the range itself may overflow.
+            x = (F.col(f"_raw{n}") / 2 - low / 2) / max(high / 2 - low / 2, 5e-324)
+            rows = rows.withColumn(f"_dim{n}", (F.least(F.coalesce(x, F.lit(0.0)), F.lit(1.0)) * _TOP).cast("long"))
         else:
-            out[name] = F.pmod(F.xxhash64(col), F.lit(1 << 32))
-    return out
+            buckets = rows.groupBy(f"_raw{n}").agg(F.sum("size").alias("_bytes"))  # at most 2**16
+            order = Window.orderBy(F.desc("_bytes"), f"_raw{n}").rowsBetween(Window.unboundedPreceding, -1)
+            share = F.coalesce(F.sum("_bytes").over(order), F.lit(0)) / F.lit(float(max(ends["total"], 1)))
+            rows = rows.join(F.broadcast(buckets.select(f"_raw{n}", (share * _TOP).cast("long").alias(f"_dim{n}"))), f"_raw{n}")
+    names = [f"_dim{n}" for n in range(len(dims))]
+    return staged(rows.select("_uid", "_id", "size", "text_crc32", "_hash", *names), "coordinates"), names
 
 
-def _cut(rows: DataFrame, root: _Node, targets: list[float]) -> None:
-    """Split every open node of the tree at its weighted quantile."""
+def _split(rows: DataFrame, root: _Node, names: list[str]) -> None:
+    """Cut every open node of the tree."""
     nodes = {n.first: n for n in _open(root)}
-    names = [c for c in rows.columns if c.startswith("_dim")]
     placed = rows.withColumn("_node", _leaf(root)).where(F.col("_node").isin(list(nodes)))
-    spans = placed.groupBy("_node").agg(F.sum("size").alias("bytes"), *[(F.max(c) - F.min(c)).alias(c) for c in names]).collect()
-    bytes_of = {r["_node"]: r["bytes"] for r in spans}
-    wanted, before, waiting = {}, dict.fromkeys(nodes, 0), set(bytes_of)
-    for r in spans:
-        nodes[r["_node"]].dim = max(names, key=lambda c: (r[c], -names.index(c)))
-    for first, node in nodes.items():
-        node.dim = node.dim or names[0]
-        middle = (node.first + node.last) // 2
-        share = sum(targets[node.first : middle]) / max(sum(targets[node.first : node.last]), 1e-9)
-        wanted[first] = share * bytes_of.get(first, 0)
+    for node in nodes.values():
+        node.dim = max(names, key=lambda c: (node.spans[c][1] - node.spans[c][0], -names.index(c)))
+        node.wanted = node.bytes * (node.middle - node.first) // (node.last - node.first)
+        for shift in _PARTS[0][1]:  # digits in which all rows agree need no pass
+            low, high = (x >> shift for x in node.spans[node.dim])
+            if low != high:
+                break
+            node.key.append(low & (1 << DIGIT) - 1)
+    waiting = {first for first, node in nodes.items() if node.bytes}
     while waiting:
-        here = F.lit(False)
-        digit = F.lit(None).cast("long")
+        here, digit, need = F.lit(False), F.lit(None).cast("long"), F.lit(None).cast("long")
         for first in waiting:
             node = nodes[first]
             parts = _digits(node.dim)
-            inside = F.col("_node") == first
+            mine = F.col("_node") == first
+            inside = mine
             for part, at in zip(parts, node.key, strict=False):
                 inside &= part == at
             here |= inside
-            digit = F.when(F.col("_node") == first, parts[len(node.key)]).otherwise(digit)
+            digit = F.when(mine, parts[len(node.key)]).otherwise(digit)
+            need = F.when(mine, F.lit(node.wanted - node.before)).otherwise(need)
         sums = placed.where(here).groupBy("_node", digit.alias("digit")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        by_node: dict[int, list] = {first: [] for first in waiting}
-        for r in sums.collect():  # at most 2**DIGIT a node
-            by_node[r["_node"]].append(r)
-        for first in list(waiting):
-            node, found = nodes[first], sorted(by_node[first], key=lambda r: r["digit"])
-            for k, r in enumerate(found):
-                if before[first] + r["bytes"] >= wanted[first] or k == len(found) - 1:
-                    node.key.append(r["digit"])
-                    if r["rows"] == 1 or len(node.key) == sum(n for _, n in _PARTS):
-                        node.include = wanted[first] - before[first] > r["bytes"] / 2
-                        waiting.discard(first)
-                    break
-                before[first] += r["bytes"]
-    for node in nodes.values():
-        middle = (node.first + node.last) // 2
-        node.low, node.high = _Node(node.first, middle), _Node(middle, node.last)
-
-
-def _fill(total: int, held: list[int]) -> list[float]:
-    """What each shard needs besides what it holds, so that all reach one level, or stay above it."""
-    order, need = sorted(held), float(total - sum(held))
-    level = order[0]
-    for n, h in enumerate(order, 1):
-        level = (need + sum(order[:n])) / n
-        if n == len(order) or level <= order[n]:
-            break
-    return [max(0.0, level - h) for h in held]
+        upto = F.sum("bytes").over(Window.partitionBy("_node").orderBy("digit"))  # of at most 2**16 digits a node
+        cut = sums.withColumn("upto", upto).where(F.col("upto") >= need).groupBy("_node").agg(F.min(F.struct("digit", "bytes", "rows", "upto")).alias("cut"))
+        for r in cut.select("_node", "cut.*").collect():
+            node = nodes[r["_node"]]
+            node.key.append(r["digit"])
+            node.before += r["upto"] - r["bytes"]
+            if r["rows"] == 1 or len(node.key) == _KEY:
+                waiting.discard(r["_node"])
+    low, gap = F.lit(True), F.lit(0)
+    for first, node in nodes.items():
+        mine = F.col("_node") == first
+        low = F.when(mine, _before_cut(node)).otherwise(low)
+        gap = F.when(mine, F.lit(node.wanted - node.before)).otherwise(gap)
+    closest = F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "_hash", "_uid", "size", *names)).alias("closest")
+    sides = placed.withColumn("_low", low).groupBy("_node", "_low").agg(F.sum("size").alias("bytes"), closest, *[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max)]).collect()
+    of_side = {(r["_node"], r["_low"]): r for r in sides}
+    for first, node in nodes.items():
+        held = {side: of_side.get((first, side)) for side in (True, False)}
+        spans = {side: {c: (r[f"min{c}"], r[f"max{c}"]) if r else (0, 0) for c in names} for side, r in held.items()}
+        size = {side: r["bytes"] if r else 0 for side, r in held.items()}
+        after = held[False]
+        if after and after["closest"]["off"] < node.wanted - node.before:
+            moved = after["closest"]
+            node.moved = moved["_uid"]
+            size[True] += moved["size"]
+            size[False] -= moved["size"]
+            for c in names:
+                low_end, high_end = spans[True][c] if held[True] else (moved[c], moved[c])
+                spans[True][c] = (min(low_end, moved[c]), max(high_end, moved[c]))
+        node.low, node.high = _Node(node.first, node.middle, size[True], spans[True]), _Node(node.middle, node.last, size[False], spans[False])
 
 
 def shard_documents(docs: DataFrame, dims: list[str], shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, size (UTF-8 bytes and 8), text_crc32, law, shard, slot (gapless from 0), grown_shard (null)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    coordinates = _coordinates(docs, dims)
-    rows = staged(
-        docs.select(
-            F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 32)).alias("_hash"), *[c.alias(n) for n, c in coordinates.items()],
-        ),
-        "sizes",
-    )
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    limit = max(total // (shards * LARGE), 1)
-    large = rows.where(F.col("size") > limit).select("_uid", "size").collect()  # fewer than shards * LARGE, by their size
-    held, place = [0] * shards, []
-    least = [(0, s) for s in range(shards)]
-    for r in sorted(large, key=lambda r: (-r["size"], r["_uid"])):
-        _, s = heapq.heappop(least)
-        held[s] += r["size"]
-        place.append((r["_uid"], s))
-        heapq.heappush(least, (held[s], s))
-    targets = _fill(total, held)
-    small = rows.where(F.col("size") <= limit)
-    root = _Node(0, shards)
+    rows, names = coordinates(docs, dims, id_col, text_col)
+    ends = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max)]).first()
+    root = _Node(0, shards, ends["bytes"], {c: (ends[f"min{c}"] or 0, ends[f"max{c}"] or 0) for c in names})
     while _open(root):
-        _cut(small, root, targets)
-    by_hand = docs.sparkSession.createDataFrame(place, "_uid long, shard int")
-    out = small.withColumn("shard", _leaf(root).cast("int")).unionByName(rows.where(F.col("size") > limit).join(F.broadcast(by_hand), "_uid"))
-    return _numbered(out, count, shards).select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        _split(rows, root, names)
+    out = _numbered(rows.withColumn("shard", _leaf(root).cast("int")), ends["rows"], shards)
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _numbered(rows: DataFrame, count: int, shards: int) -> DataFrame:

@@ -149,12 +149,12 @@ def test_packing(spark, sf, docs, tokenizer):
 @pytest.mark.parametrize("rounds", [0, 8])
 def test_parts_come_near_one_pass_over_all(spark, rounds):
     rng = np.random.default_rng(4)
-    lengths = rng.integers(1, 1025, 3000)
+    lengths = np.clip(rng.lognormal(5, 1, 3000).astype(int) + 1, 1, 1023)
     cut = spark.createDataFrame([(n, n, 0, 0, int(x), 0) for n, x in enumerate(lengths)], "doc_id long, _uid long, piece int, start long, length long, ids_crc32 long")
     placed = packing.pack(cut, part_rows=300, rounds=rounds)
     whole = packing.best_fit(lengths, 1024)[0].max() + 1
     used = packing.certificate(placed)["sequences"]
-    assert placed.count() == 3000 and (used <= whole + 3 or not rounds)
+    assert placed.count() == 3000 and (used <= 1.003 * whole or not rounds)
     with pytest.raises(ValueError):
         packing.pack(cut, rounds=99)
 
