@@ -1,10 +1,12 @@
-"""Main text of web pages: the page's structure, and host suffix arrays where it leaves a question.
+"""Main text of web pages: structure tells what a page says of itself, and a suffix array of its host what pages repeat.
 
-Pages are read into blocks, one per block-level element, in page order. What is inside scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments, by element or by class and id, is chrome and goes. If a page has an article (article, main or role=main), the blocks inside it are its text, whole, even if other pages repeat them.
+Structure. A page is read into blocks, one per block-level element, in page order. What is inside scripts and styles isn't text. What is inside forms, menus, headers, footers, sidebars, notices, adverts and comments, by element, role, or class and id names, is chrome. Inside an article a paragraph or the like is chrome only if a name ends in such a word (cookie-notice, not notice-board), and an article or main only if a name is such a word. The text of a page is its articles inside main, else main, else its articles; these blocks are whole, even if other pages repeat them. Where a page has none of them, its open blocks (all that isn't chrome) make the text, less what the host repeats.
 
-Pages without one have open blocks: neither chrome nor article. For those, the token streams of a host's pages are taken together, each page's over all its open blocks, and a token goes if it lies in a substring of min_tokens or more that a page of other contents of the host repeats; a substring may run over the ends of blocks, and unique runs stay. Pages of the same open blocks are copies, which don't erase each other. Whether a suffix shares min_tokens tokens with a suffix of another page only takes its first min_tokens: suffixes are grouped by host and by a hash of those, which is the suffix array cut into the runs that matter, so that no task holds a host. Groups tell distinct contents apart by combining within tasks first; hot groups are joined back by broadcast.
+Suffixes. The token streams of all pages of a host, chrome and articles included, are taken together, and a token is covered if it lies in a substring of min_tokens or more that a page of other contents of the host has too. A substring may run over the ends of blocks. Pages of the same text blocks are copies and don't cover each other. Covered tokens of open blocks go; unique runs stay. n_repeated tells for every page how many tokens are covered.
 
-White space within a block becomes one space, character references are decoded, blocks are joined by two line feeds. Null or empty html gives empty text. Pages are told apart by row, so rows that repeat an id are pages of their own. A null url is a host of its own. Other columns don't matter.
+The array is sparse, and no task holds a host. Any substring of min_tokens holds a sample: of each row of neighbouring suffixes, the one whose first min_tokens // 2 tokens have the least hash. Only samples are dealt out, as hashes of 8 bytes, combined within tasks first; those that pages of different contents share lead to the full suffixes around them, whose first min_tokens tokens are dealt out and compared in the same way. What a page shares comes back to it by its own hash. So the work is in proportion to the tokens, a host of any size is spread over all tasks, and a passage on very many pages is a row per task.
+
+White space within a block becomes one space, character references are decoded, blocks are joined by two line feeds. Null or empty html gives empty text and counts no tokens. Very long and broken pages take linear time: unmatched end tags cost one look each. Rows that repeat are pages of their own, which are copies. A null url is a host of its own. An empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,145 +39,269 @@ _NAMES = re.compile(r"""\b(class|id|role|hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Elements that hold text rather than other parts of a page.
+TEXT = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th tr".split())
+#: What a block is part of; a page's text is the greatest of the last three that it has.
+CHROME_PART, OPEN, ARTICLE, MAIN, ARTICLE_IN_MAIN = range(5)
+
+
 class Block(NamedTuple):
-    core: bool
+    part: int
     text: str
 
 
-def _is_chrome(tag: str, rest: str, in_core: bool) -> bool:
-    if tag in CHROME or tag == "header" and not in_core:
+def _is_chrome(tag: str, rest: str, is_core: bool, in_core: bool) -> bool:
+    if not is_core and (tag in CHROME or tag == "header" and not in_core):
         return True
-    if "=" not in rest and "hidden" not in rest or tag in ("body", "html", "main", "article"):
+    if "=" not in rest and "hidden" not in rest or tag in ("body", "html"):
         return False
     for name, value in _NAMES.findall(rest):
         value = value.strip("\"'")
         name = name.lower()
         if name == "hidden" or name == "role" and value.lower() in CHROME_ROLES and not in_core:
             return True
-        if name in ("class", "id") and any(w.lower() in CHROME_NAMES for w in _WORDS.findall(value)):
+        if name not in ("class", "id"):
+            continue
+        words = [[w.lower() for w in _WORDS.findall(n)] for n in value.split()]
+        if is_core:  # only a whole name counts
+            words = [w for w in words if len(w) == 1]
+        elif in_core and tag in TEXT:
+            words = [w[-1:] for w in words]
+        if any(w in CHROME_NAMES for own in words for w in own):
             return True
     return False
 
 
-def _closes(tag: str, open_tags: list[tuple[str, bool, bool]]) -> bool:
-    """Whether an end tag has a start tag; that of an inline element has none beyond the block it is in."""
-    for last, _, _ in reversed(open_tags):
-        if last == tag:
-            return True
-        if last in BLOCK and tag not in BLOCK:
-            return False
-    return False
+class _Open:
+    """The open elements. Pushing, popping and asking for one take constant time."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, bool, bool, bool]] = []  # tag, whether it is chrome, an article, main
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.chrome = self.article = self.main = 0
+
+    def push(self, tag: str, chrome: bool, article: bool, main: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append((tag, chrome, article, main))
+        self.chrome += chrome
+        self.article += article
+        self.main += main
+
+    def pop(self) -> None:
+        tag, chrome, article, main = self.tags.pop()
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+        self.chrome -= chrome
+        self.article -= article
+        self.main -= main
+
+    def close(self, tag: str) -> None:
+        """End the element, if an end tag has a start tag; that of an inline element has none beyond the block it is in."""
+        own = self.places.get(tag)
+        if own and (tag in BLOCK or not self.blocks or own[-1] > self.blocks[-1]):
+            for _ in range(len(self.tags) - own[-1]):
+                self.pop()
+
+    def part(self) -> int:
+        if self.article:
+            return ARTICLE_IN_MAIN if self.main else ARTICLE
+        return MAIN if self.main else OPEN
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page that aren't chrome, in page order."""
+    """The blocks of a page, in page order. Chrome inside a paragraph comes before it, as a block of its own."""
     found: list[Block] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, whether it is chrome, whether it is an article
-    chrome = core = at = 0
+    aside: list[str] = []
+    open_ = _Open()
+    at = 0
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            found.append(Block(core > 0, text))
+        for part, own in ((CHROME_PART, aside), (open_.part(), parts)):
+            text = " ".join(html.unescape("".join(own)).split())
+            own.clear()
+            if text:
+                found.append(Block(part, text))
 
     while m := _MARKUP.search(page, at):
-        if not chrome:
-            parts.append(page[at : m.start()])
+        (aside if open_.chrome else parts).append(page[at : m.start()])
         at = m.end()
         if m[1] is None:
             continue
         tag = m[1].lower()
-        closing = page[m.start() + 1] == "/"
-        if not chrome:
-            if tag in BLOCK:
-                flush()
-            elif tag in SPACE:
-                parts.append(" ")
-        if closing:
-            if _closes(tag, open_tags):
-                while open_tags:
-                    last, was_chrome, was_core = open_tags.pop()
-                    chrome -= was_chrome
-                    core -= was_core
-                    if last == tag:
-                        break
+        if open_.chrome:
+            if tag in BLOCK or tag in SPACE:
+                aside.append(" ")
+        elif tag in BLOCK:
+            flush()
+        elif tag in SPACE:
+            parts.append(" ")
+        if page[m.start() + 1] == "/":
+            open_.close(tag)
         elif tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[2].rstrip(">").endswith("/"):
-            if tag in BLOCK and open_tags and open_tags[-1][0] == "p":  # a paragraph ends where a block begins
-                _, was_chrome, was_core = open_tags.pop()
-                chrome -= was_chrome
-                core -= was_core
-            is_core = tag in ("article", "main") or "role" in m[2] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[2], re.I))
-            is_chrome = not is_core and _is_chrome(tag, m[2], core > 0)
-            open_tags.append((tag, is_chrome, is_core))
-            chrome += is_chrome
-            core += is_core
-    if not chrome:
-        parts.append(page[at:])
+            if tag in BLOCK and open_.tags and open_.tags[-1][0] == "p":  # a paragraph ends where a block begins
+                open_.pop()
+            main = tag == "main" or "role" in m[2] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[2], re.I))
+            core = main or tag == "article"
+            chrome = _is_chrome(tag, m[2], core, bool(open_.article or open_.main))
+            open_.push(tag, chrome, core and not main and not chrome, main and not chrome)
+    (aside if open_.chrome else parts).append(page[at:])
     flush()
     return found
 
 
-def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: _uid, _id, _url, text of the article (null without one), open (the open blocks, if there is no article)."""
-    rows = pages.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+def text_blocks(found: list[Block]) -> tuple[bool, list[int]]:
+    """Whether the page has an article or main, and which of its blocks make its text."""
+    best = max((b.part for b in found), default=OPEN)
+    best = best if best > OPEN else OPEN
+    return best > OPEN, [n for n, b in enumerate(found) if b.part == best]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, others = [], []
-            for page in batch.column("_html"):
-                found = blocks(page.as_py())
-                core = [b.text for b in found if b.core]
-                text.append("\n\n".join(core) if core or not found else None)
-                others.append([] if core else [b.text for b in found])
-            columns = [batch.column(c) for c in ("_uid", "_id", "_url")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string()), pa.array(others, pa.list_(pa.string()))], names=["_uid", "_id", "_url", "text", "open"])
-
-    return rows.mapInArrow(read, f"_uid long, _id {kinds[id_col]}, _url {kinds[url_col]}, text string, open array<string>")
-
-
-def unique_runs(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
-    """pages (_uid, host, open) -> (_uid, _runs): the open blocks without what other pages of the host repeat."""
-    pages = pages.select("_uid", "host", "open", F.sha2(F.to_json(F.struct("open")), 256).alias("body"))
-    tokens = F.flatten(F.transform("open", lambda line: F.split(line, " ")))
-    prefix = lambda at: F.sha2(F.concat_ws("\u0000", F.array(F.coalesce("host", F.lit("\u0000"))), F.slice("tokens", at + 1, min_tokens)), 256)
-    places = F.transform(F.sequence(F.lit(0), F.size("tokens") - min_tokens), lambda at: F.struct(at.alias("at"), prefix(at).alias("prefix")))
-    long_enough = pages.select("_uid", "host", "body", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
-    suffixes = staged(long_enough.select("_uid", "body", F.explode(places).alias("place")).select("_uid", "body", "place.*"), "suffixes")
-    repeated = suffixes.groupBy("prefix").agg(F.min("body").alias("_low"), F.max("body").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
-    repeated = staged(repeated.select("prefix", "_size"), "repeated")
-    covered = left_join_groups(suffixes.drop("body"), repeated, "prefix", "_size", suffixes.count()).where(F.col("_size").isNotNull())
-    covered = covered.groupBy("_uid").agg(F.sort_array(F.collect_list("at")).alias("starts"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = []
-            for lines, starts in zip(batch.column("open").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                # A token is covered if some repeated prefix starts at it or up to min_tokens - 1 before it.
-                gone = {i for a in starts or [] for i in range(a, a + min_tokens)}
-                kept, at = [], 0
-                for line in lines:
-                    words = line.split(" ")
-                    kept.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
-                    at += len(words)
-                text.append("\n\n".join(filter(None, kept)))
-            yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array(text, pa.string())], names=["_uid", "_runs"])
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def windows(tokens: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each `length` neighbouring tokens, whose hashes are given."""
+    n = len(tokens) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(length):
+        out = (out ^ tokens[k : k + n]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def samples(hashes: np.ndarray, among: int) -> np.ndarray:
+    """The places of the least of each `among` neighbouring hashes."""
+    if len(hashes) <= among:
+        return np.array([hashes.argmin()]) if len(hashes) else np.empty(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(hashes, among)
+    return np.unique(view.argmin(1) + np.arange(len(view)))
+
+
+class _Page(NamedTuple):
+    found: list[Block]
+    has_core: bool
+    text: list[int]
+    words: list[list[str]]
+    tokens: np.ndarray
+    body: int
 
-    return pages.select("_uid", "open").join(covered, "_uid", "left").mapInArrow(cut, "_uid long, _runs string")
+
+def _read(page: str | None, host: str) -> _Page:
+    """A page's blocks, its token stream as hashes that tell hosts apart, and a hash of its text."""
+    found = blocks(page or "")
+    has_core, text = text_blocks(found)
+    words = [b.text.split(" ") for b in found]
+    seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+    tokens = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for own in words for w in own], np.uint64)
+    body = xxhash.xxh64("\n".join([host, *(found[n].text for n in text)]).encode("utf-8", "surrogatepass")).intdigest()
+    return _Page(found, has_core, text, words, tokens, body)
+
+
+def _around(tokens: np.ndarray, known: np.ndarray, length: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of min_tokens that hold a known window of `length`: places and hashes."""
+    at = np.flatnonzero(np.isin(windows(tokens, length), known))
+    full = windows(tokens, min_tokens)
+    places = np.unique(at[:, None] - np.arange(min_tokens - length + 1)) if len(at) else at
+    places = places[(places >= 0) & (places < len(full))]
+    return places, full[places]
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (page, body, keys) of pages -> (page, keys), the keys that pages of other contents have too."""
+    keys = rows.select("page", "body", F.explode("keys").alias("key"))
+    repeated = keys.groupBy("key").agg(F.min("body").alias("_low"), F.max("body").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
+    repeated = staged(repeated.select("key", "_size"), "repeated")
+    if repeated.isEmpty():
+        return repeated.select(F.lit("").cast("binary").alias("page"), F.array("key").alias("keys"))
+    if repeated.count() <= _BROADCAST:
+        own = keys.join(F.broadcast(repeated), "key")
+    else:
+        own = left_join_groups(staged(keys.select("page", "key").distinct(), "page-keys"), repeated, "key", "_size", repeated.agg(F.sum("_size")).first()[0]).where(F.col("_size").isNotNull())
+    return staged(own.groupBy("page").agg(F.collect_set("key").alias("keys")), "shared-keys")
+
+
+#: Rows of a table of keys or of pages' keys that are broadcast at most; a key has 8 bytes.
+_BROADCAST = 500_000
+
+
+def _with_keys(pages: DataFrame, shared: DataFrame) -> DataFrame:
+    """pages (page, ...) with the keys that were found to be shared, or null."""
+    keys, rows = shared.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.count(F.lit(1))).first()
+    return pages.join(F.broadcast(shared) if keys + 4 * rows <= 4 * _BROADCAST else shared, "page", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 8) -> DataFrame:
-    """One row per row of pages: id_col, url_col, text, n_chars."""
-    rows = staged(page_blocks(pages, id_col, url_col, html_col), "page-blocks")
-    parts = rows.where(F.col("text").isNotNull()).select("_id", "_url", "text")
-    open_pages = rows.where(F.col("text").isNull()).select("_uid", "_id", "_url", "open")
-    if not open_pages.isEmpty():
-        host = F.lower(F.regexp_extract("_url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        runs = unique_runs(open_pages.select("_uid", host.alias("host"), "open"), min_tokens)
-        parts = parts.unionByName(open_pages.join(runs, "_uid", "left").select("_id", "_url", F.coalesce("_runs", F.lit("")).alias("text")))
-    return parts.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    """One row per row of pages: id_col, url_col, text, n_chars, n_tokens (of all blocks), n_repeated (those covered)."""
+    if min_tokens < 2:
+        raise ValueError("min_tokens must be 2 or more")
+    sample = max(min_tokens // 2, 1)
+    among = min_tokens - sample + 1
+    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("\u0000"))
+    html_of = F.coalesce(F.col(html_col), F.lit(""))
+    page = F.unhex(F.md5(F.concat_ws("\u0000", host, html_of).cast("binary")))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), html_of.alias("_html"), host.alias("_host"), page.alias("page"))
+    keyed = "page binary, body long, keys array<long>"
+
+    def dealt(choose):
+        """Of each page, its keys: what choose() takes of its tokens."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                body, keys = [], []
+                given = batch.column("keys") if "keys" in batch.schema.names else [None] * len(batch)
+                for text, at, known in zip(batch.column("_html"), batch.column("_host"), given, strict=True):
+                    own = _read(text.as_py(), at.as_py())
+                    body.append(own.body)
+                    keys.append(choose(own.tokens, known))
+                numbers = pa.array(np.array(body, np.uint64).view(np.int64)), pa.array([np.unique(k).view(np.int64) for k in keys], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("page"), *numbers], names=["page", "body", "keys"])
+
+        return read
+
+    def sampled(tokens: np.ndarray, _) -> np.ndarray:
+        hashes = windows(tokens, sample)
+        return hashes[samples(hashes, among)]
+
+    def full(tokens: np.ndarray, known) -> np.ndarray:
+        return _around(tokens, known.values.to_numpy().view(np.uint64), sample, min_tokens)[1]
+
+    read_cols = ["_html", "_host", "page"]
+    first = _shared(rows.select(*read_cols).mapInArrow(dealt(sampled), keyed))
+    asked = _with_keys(rows.select(*read_cols), first).where(F.col("keys").isNotNull())
+    repeated = _shared(asked.mapInArrow(dealt(full), keyed))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, n_tokens, n_repeated = [], [], []
+            for text, at, known in zip(batch.column("_html"), batch.column("_host"), batch.column("keys"), strict=True):
+                own = _read(text.as_py(), at.as_py())
+                gone = np.zeros(len(own.tokens) + 1, np.int64)
+                if known.is_valid:
+                    starts = np.flatnonzero(np.isin(windows(own.tokens, min_tokens), known.values.to_numpy().view(np.uint64)))
+                    np.add.at(gone, starts, 1)
+                    np.add.at(gone, starts + min_tokens, -1)
+                covered = np.cumsum(gone)[:-1] > 0
+                if own.has_core:
+                    kept = [own.found[n].text for n in own.text]
+                else:
+                    begin = np.cumsum([0, *map(len, own.words)])
+                    kept = [" ".join(w for w, g in zip(own.words[n], covered[begin[n] :], strict=False) if not g) for n in own.text]
+                out.append("\n\n".join(filter(None, kept)))
+                n_tokens.append(len(covered))
+                n_repeated.append(int(covered.sum()))
+            columns = [batch.column("_id"), batch.column("_url"), pa.array(out, pa.string()), pa.array(n_tokens, pa.int64()), pa.array(n_repeated, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_url", "text", "n_tokens", "n_repeated"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    final = _with_keys(rows, repeated).mapInArrow(cut, f"_id {kinds[id_col]}, _url {kinds[url_col]}, text string, n_tokens long, n_repeated long")
+    return final.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_tokens", "n_repeated")

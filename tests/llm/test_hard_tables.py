@@ -64,6 +64,6 @@ def test_pages(spark, rows):
     found = [(1, "http://a.b/c", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "<div>" * 5000 + "deep"), (4, "u", "<div>" * 5000 + "deep"), (5, "u", "<a title='>'>t</a" * 3), (6, "u", "<" * 50_000), (7, "u", "<a b=\"" * 3000)]
     pages = spark.createDataFrame(found if rows else [], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("open", F.lit(1)).withColumn("host", F.lit(2))
     out = html_extract.extract(pages)
-    assert out.columns == ["page_id", "url", "text", "n_chars"] and hard.count(out) == len(found) * rows
+    assert out.columns == ["page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"] and hard.count(out) == len(found) * rows
     if rows:
         assert {r["text"] for r in out.where("page_id = 4").collect()} == {"deep"}
