@@ -1,9 +1,11 @@
 """Operators that SQL can't express against plain Python over a whole small table."""
 
+import base64
 import collections
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -380,10 +382,44 @@ def test_secrets(spark, sf, docs):
 
 def test_models_on_held_out_strings(spark, sf):
     ratios = secrets.fit(secrets.labelled_strings(spark, spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")))
-    random = [hashlib.sha256(f"held {i}".encode()).hexdigest()[:32] for i in range(100)]
-    words = [r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split("text", r"[^A-Za-z]+"))).distinct().collect() if len(r[0]) > 8]
-    rows = spark.createDataFrame([(t, 1) for t in random] + [(t, 0) for t in words], "t string, y int").select("y", (secrets.score(F.col("t"), ratios) > 12).alias("hit")).groupBy("y").agg(F.avg(F.col("hit").cast("int"))).collect()
-    assert dict(map(tuple, rows))[1] > 0.97 and dict(map(tuple, rows))[0] < 0.02
+    digests = [hashlib.sha256(f"held {i}".encode()) for i in range(100)]
+    forms = {"hex": [d.hexdigest()[:16] for d in digests], "base64": [base64.b64encode(d.digest()).decode()[:16] for d in digests], "base32": [base64.b32encode(d.digest()).decode()[:16] for d in digests], "digits": [str(int(d.hexdigest(), 16))[:16] for d in digests]}
+    tables = "benchmark conversations"
+    words = {r[0] for t in tables.split() for r in spark.read.parquet(f"{sf}/{t}.parquet").select(F.explode(F.split("text", r"[^A-Za-z]+"))).distinct().collect() if len(r[0]) > 8}
+    forms |= {"words": list(words), "camel": [a + b.title() for a, b in zip(sorted(words), sorted(words)[1:])], "snake": [f"{a}_{b}" for a, b in zip(sorted(words), sorted(words)[1:])]}
+    rows = spark.createDataFrame([(t, kind) for kind, texts in forms.items() for t in texts], "t string, kind string")
+    hits = dict(map(tuple, rows.select("kind", (secrets.score(F.col("t"), ratios) > 12).cast("int").alias("hit")).groupBy("kind").agg(F.avg("hit")).collect()))
+    assert min(hits[k] for k in ("hex", "base64", "base32", "digits")) > 0.97 and max(hits[k] for k in ("words", "camel", "snake")) < 0.02, hits
+
+
+def test_planted_random_strings(spark, sf):
+    """Random strings that no rule takes are put into documents of a table; the models find them, and next to nothing else."""
+    frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    ratios = secrets.fit(secrets.labelled_strings(spark, frame, labels))
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    planted = {}
+    for i, text in texts.items():
+        key = base64.b64encode(hashlib.sha256(f"plant {i}".encode()).digest()).decode()[: 20 + i % 20]
+        at = len(text) // 2
+        at = text.find(" ", at) if text.find(" ", at) >= 0 else len(text)
+        texts[i] = f"{text[:at]} {key} {text[at:]}"
+        planted[i] = f"markov:{at + 1}:{at + 1 + len(key)}"
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.report(secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ratios)).collect()}
+    assert sum(planted[i] in got[i] for i in texts) >= 0.97 * len(texts)
+    others = [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i in texts for s in got[i] if s.startswith("markov") and s != planted[i]]
+    assert all(re.fullmatch(r"[0-9+/_-]{16,}", o) for o in others), others  # card numbers
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(["deadbeef" * 4, "wJalrXUtnFEMIK7MDENGbPxRfiCY", "token=abcdefgh"] * 8000)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ratios = secrets.fit(secrets.labelled_strings(spark, frame, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")))
+    assert ratios is not None
+    begin = time.monotonic()
+    found = secrets.report(secrets.scan(frame, ratios)).first()
+    assert (found["n_hex"], found["n_assign"]) == (8000, 8000) and time.monotonic() - begin < 30
+    spans = [tuple(map(int, s.split(":")[1:])) for s in found["spans"].split(",")]
+    assert spans == sorted(spans) and {text[a:b][:5] for a, b in spans} <= {"deadb", "wJalr", "token"}
 
 
 def test_quality_on_held_out_labels(spark):
