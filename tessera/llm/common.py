@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Groups that hold more than one row in this many are joined by broadcast. By counting, there are fewer of them than this number.
+#: Groups that hold more than one row in this many, or more than MOST rows, are joined by broadcast. By counting, there are fewer of them than this number or than rows / MOST.
 HOT_SHARE = 1000
+MOST = 1_000_000
+
+#: Scratch tables of this process, in the order of their writing.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a local session, as in tests, gets a folder of its own; a cluster has none that is safe."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,13 +32,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-scratch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables. Only once no DataFrame that reads them is still needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-scratch")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_mark() -> int:
+    """How many scratch tables were written until now."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete this process's scratch tables from the mark on, or all but the last of them. Only once no DataFrame that reads them is still needed."""
+    kept = _written[-1:] if keep_last else []
+    gone = _written[since : len(_written) - len(kept)]
+    _written[since:] = kept
+    for path in gone:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -44,9 +60,9 @@ def ascii_lower(text: Column) -> Column:
 def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str, total: int) -> DataFrame:
     """rows left-joined to groups (one row a key; size_col says how many rows carry the key) on key.
 
-    Keys with over total / HOT_SHARE rows would each fill one task of a shuffled join. There are fewer than HOT_SHARE of them, so they are broadcast; all other rows are shuffled, with at most total / HOT_SHARE a key. Null keys match nothing.
+    Keys with over total / HOT_SHARE rows, or over MOST, would each fill one task of a shuffled join. There are fewer than HOT_SHARE of them, or total / MOST, so they are broadcast; all other rows are shuffled. Null keys match nothing.
     """
-    most = max(total // HOT_SHARE, 1)
+    most = min(max(total // HOT_SHARE, 1), MOST)
     hot = F.broadcast(groups.where(F.col(size_col) > most))
     cold = groups.where(F.col(size_col) <= most)
     null = rows.where(F.col(key).isNull())

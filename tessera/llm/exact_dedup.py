@@ -1,18 +1,20 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass 1 maps each text's hash to HASHES positions of a filter and keeps the positions that are hit more than once. Pass 2 looks every row up: a row with a position that was hit once is unique and passes straight through; only the others are shuffled and grouped by their whole SHA-256.
+Pass 1 counts 8-byte hashes of the texts, combined within tasks before they are sent, and puts those that come more than once into a Bloom filter. Pass 2 looks every row up: a row that isn't in the filter is unique and passes straight through; only the others are shuffled and grouped by their whole SHA-256. Rows themselves, with their ids and texts, never take part in pass 1.
 
-The filter holds bits_per_row bits a row, up to max_bits, so its broadcast is bounded (max_bits / 8 bytes, 128 MB by default). Beyond that many rows it only lets more unique rows into the shuffle; the result is exact at any size.
+The filter has bits_per_hash bits for each repeated hash. Once that is over max_bits, the hashes are split into ranges with a filter each, which are looked up one after another, so no broadcast is over max_bits / 8 bytes (128 MB by default) and no filter fills up, at any size.
 
-Texts are equal if the same after lower-casing A-Z; null counts as empty. Of equal texts, the row with the largest id stays (null ids count as the smallest); of rows that repeat id and text, exactly one. Other columns, whatever their names, don't matter.
+Texts are equal if the same after lower-casing A-Z; null counts as empty, and very long texts are hashed whole. Of equal texts, the row with the largest id stays (null ids count as the smallest); of rows that repeat id and text, exactly one. An empty table gives no rows. Other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_SHARE, ascii_lower, left_join_groups, staged
+from tessera.llm.common import ascii_lower, left_join_groups, staged
 
 HASHES = 2
 #: Bits of one row of the filter table, as bitmap_construct_agg makes them.
@@ -24,48 +26,47 @@ def text_hash(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
 
 
-def _position(sha: Column, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(sha, F.lit(i)), F.lit(bits))
-
-
-def _repeat_filter(hashes: DataFrame, total: int, bits_per_row: int, max_bits: int) -> tuple[DataFrame, int]:
-    """The positions hit more than once, as rows of (bucket, bitmap), and the filter's bits."""
-    bits = _ROW_BITS
-    while bits < min(total * bits_per_row, max_bits):
+def _flagged(rows: DataFrame, bits_per_hash: int, max_bits: int) -> DataFrame:
+    """rows (_sha, ...), which are stored, with _maybe: whether _sha is in the filter of the repeated ones."""
+    rows = rows.withColumn("_h", F.xxhash64("_sha"))
+    repeated = staged(rows.groupBy("_h").count().where("count > 1").select("_h"), "repeated-hashes")
+    bits, wanted = _ROW_BITS, repeated.count() * bits_per_hash
+    while bits < min(wanted, max_bits):
         bits *= 2
-    hits = hashes.select(F.explode(F.array(*[_position(F.col("_sha"), i, bits) for i in range(HASHES)])).alias("pos"))
-    twice = hits.groupBy("pos").count().where("count > 1")
-    bitmaps = twice.groupBy(F.expr(f"pos div {_ROW_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"pos % {_ROW_BITS}")).alias("bitmap"))
-    return staged(bitmaps, "repeat-filter"), bits
+    ranges = max(1, -(-wanted // bits))
+    position = lambda i: F.pmod(F.xxhash64("_h", F.lit(i)), F.lit(bits))
+    out = None
+    for n in range(ranges):
+        own = repeated.where(F.pmod("_h", F.lit(ranges)) == n)
+        hits = own.select(F.explode(F.array(*map(position, range(HASHES)))).alias("pos"))
+        bitmaps = hits.groupBy(F.expr(f"pos div {_ROW_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"pos % {_ROW_BITS}")).alias("bitmap"))
+        part = _looked_up(rows.where(F.pmod("_h", F.lit(ranges)) == n) if ranges > 1 else rows, staged(bitmaps, "repeat-filter"), position)
+        if ranges > 1:  # so that one filter is held at a time
+            part = staged(part, "looked-up")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _flagged(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """rows with _maybe: whether all positions of _sha were hit more than once."""
+def _looked_up(rows: DataFrame, bitmaps: DataFrame, position: Callable[[int], Column]) -> DataFrame:
+    """rows with _maybe instead of _h: whether all positions of _h are set."""
     maybe = F.lit(True)
+    columns = [c for c in rows.columns if c != "_h"]
     for i in range(HASHES):
-        pos = _position(F.col("_sha"), i, bits)
-        rows = rows.withColumn("_pos", pos).withColumn("_bucket", F.expr(f"_pos div {_ROW_BITS}"))
+        rows = rows.withColumn("_pos", position(i)).withColumn("_bucket", F.expr(f"_pos div {_ROW_BITS}"))
         rows = rows.join(F.broadcast(bitmaps.toDF("_bucket", f"_bitmap{i}")), "_bucket", "left")
         byte = F.conv(F.hex(F.expr(f"substring(_bitmap{i}, cast((_pos % {_ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
         rows = rows.withColumn(f"_hit{i}", F.coalesce(F.expr("1 << cast(_pos % 8 as int)").bitwiseAND(byte) != 0, F.lit(False)))
         maybe = maybe & F.col(f"_hit{i}")
-    return rows.withColumn("_maybe", maybe).drop("_pos", "_bucket", *[f"_bitmap{i}" for i in range(HASHES)], *[f"_hit{i}" for i in range(HASHES)])
+    return rows.withColumn("_maybe", maybe).select(*columns, "_maybe")
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int):
-    hashes = staged(docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_sha")), "text-hashes")
-    total = hashes.count()
-    bitmaps, bits = _repeat_filter(hashes, total, bits_per_row, max_bits)
-    flagged = _flagged(hashes, bitmaps, bits)
-    groups = flagged.where("_maybe").groupBy("_sha").agg(F.max(F.struct("_id", "_uid")).alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    return flagged, staged(groups, "copy-groups"), total, bitmaps, bits
-
-
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
-    flagged, groups, total, _, _ = _plan(docs, id_col, text_col, bits_per_row, max_bits)
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_sha")), "text-hashes")
+    flagged = _flagged(rows, bits_per_hash, max_bits)
+    groups = flagged.where("_maybe").groupBy("_sha").agg(F.max(F.struct("_id", "_uid")).alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     unique = flagged.where("not _maybe").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
-    shared = left_join_groups(flagged.where("_maybe").drop("_maybe"), groups, "_sha", "_size", total)
+    shared = left_join_groups(flagged.where("_maybe").drop("_maybe"), staged(groups, "copy-groups"), "_sha", "_size", rows.count())
     shared = shared.select(
         "_id",
         F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep._id")).alias("keep_id"),
@@ -77,21 +78,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
-    """The rows of docs that stay, whole, with docs' columns."""
-    _, groups, total, bitmaps, bits = _plan(docs, id_col, text_col, bits_per_row, max_bits)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+    """The rows of docs that stay, whole, with docs' columns. Each text is hashed once; of each text, a task sends one row at most."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = _flagged(docs.select(whole.alias("_row"), F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_sha")), bitmaps, bits)
-    most = max(total // HOT_SHARE, 1)
-    maybe = rows.where("_maybe")
-    hot = F.broadcast(groups.where(F.col("_size") > most))
-    mine = F.col("_id").eqNullSafe(F.col("_keep._id"))
-    # A group's largest id can come more than once; then any one of those rows stays. dropDuplicates combines within tasks first.
-    from_hot = maybe.join(hot, "_sha").where(mine).dropDuplicates(["_sha"])
-    cold = maybe.join(hot.select("_sha"), "_sha", "left_anti").join(groups.where(F.col("_size") <= most), "_sha", "left")
-    from_cold = cold.where(F.col("_size").isNotNull() & mine).dropDuplicates(["_sha"])
-    alone = cold.where(F.col("_size").isNull())
-    out = rows.where("not _maybe").select("_row.*")
-    for part in (alone, from_hot, from_cold):
-        out = out.unionByName(part.select("_row.*"))
-    return out
+    order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"))
+    rows = staged(docs.select(whole.alias("_row"), order.alias("_order"), text_hash(F.col(text_col)).alias("_sha")), "hashed-documents")
+    flagged = _flagged(rows, bits_per_hash, max_bits)
+    largest = flagged.where("_maybe").groupBy("_sha").agg(F.max_by("_row", "_order").alias("_row"))
+    return flagged.where("not _maybe").select("_row.*").unionByName(largest.select("_row.*"))

@@ -2,7 +2,7 @@
 
 A logistic classifier over surface features, trained from labels, gives each document's evidence: its log odds less the log odds of the training labels. Hosts and, below them, paths have rates of good documents. They are estimated from the classifier's probabilities over all documents: a host's rate is shrunk to the global rate and a path's to its host's, each by a prior of as many documents as the spread between the sites warrants (method of moments), so sparse sites stay near their parent. A document is kept if its evidence and its path's log odds add up to 0 or more.
 
-Null text is empty text; null host or path is a site of its own. Labels that repeat for an id count as good if one of them is good; null labels don't count. Without labels of both kinds there is no evidence, all rates are one half and everything is kept. Rows that repeat are judged each, and all alike. Other columns don't matter.
+Null text is empty text; null host or path is a site of its own. Labels that repeat for an id count as good if one of them is good; null labels don't count. Without labels of both kinds there is no evidence, all rates are one half and everything is kept. Rows that repeat are judged each, and all alike; a tie, log odds of exactly 0, is kept. Very long texts are measured whole. An empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -139,10 +139,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = train(docs, labels, id_col, text_col, train_rows=train_rows)
     if model is None:
         return docs
-    evidence = _evidence(model, F.col("_text"))
-    scored = staged(_with_sites(docs.select(F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_text")), "_host", "_path").select("site_host", "site", evidence.alias("evidence")), "evidence")
-    sites = site_rates(scored, model.prior).select("site", "n", "path_rate")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = whole.withColumn("_host", F.col(f"_row.{host_col}")).withColumn("_path", F.col(f"_row.{path_col}")).withColumn("_text", F.col(f"_row.{text_col}"))
-    rows = _with_sites(rows, "_host", "_path").select("_row", "site", evidence.alias("evidence"))
-    return _rated(rows, sites, broadcast_sites).where(_posterior(model) >= 0).select("_row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_text"))
+    scored = _with_sites(whole, "_host", "_path").select("_row", "site_host", "site", _evidence(model, F.col("_text")).alias("evidence"))
+    scored = staged(scored, "judged-documents")  # so that each text is measured once
+    sites = site_rates(scored.select("site_host", "site", "evidence"), model.prior).select("site", "n", "path_rate")
+    return _rated(scored, sites, broadcast_sites).where(_posterior(model) >= 0).select("_row.*")

@@ -314,28 +314,30 @@ def _shared(distinct: DataFrame, bands: list[int]) -> DataFrame:
 
 
 def _pivot_links(rows: DataFrame, fps: DataFrame, sure: int) -> DataFrame:
-    """rows (node, key) of large nodes -> (a, b, apart): links of each member to its node's closest pivot and to the first one, at `sure` or fewer differing bits. The driver holds PIVOTS fingerprints a node, of which there are fewer than rows / NODE."""
-    drawn = rows.groupBy("node", F.pmod(F.xxhash64("key", "node"), F.lit(PIVOTS)).alias("_slot")).agg(F.min("key").alias("key")).join(fps, "key")
-    held: dict[int, list] = {}
-    for r in drawn.select("node", "key", "fp").collect():
-        held.setdefault(r["node"], []).append((r["key"], bytes(r["fp"])))
-    pivots = {n: (np.array([k for k, _ in sorted(p)]), np.frombuffer(b"".join(f for _, f in sorted(p)), "<u8").reshape(len(p), -1)) for n, p in held.items()}
-
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [np.empty((3, 0), np.int64)]
-            for node, part in batch.groupby("node"):
-                keys, own = pivots[node]
-                key, words = part["key"].to_numpy(), np.frombuffer(b"".join(part["fp"]), "<u8").reshape(len(part), -1)
-                apart = np.stack([np.bitwise_count(words ^ w).sum(1, dtype=np.int64) for w in own], axis=1)
-                apart[key[:, None] == keys] = 1 << 30
-                for at in (apart.argmin(1), (apart <= sure).argmax(1)):
-                    d = apart[np.arange(len(key)), at]
-                    out.append(np.stack([key, keys[at], d])[:, d <= sure])
-            a, b, d = np.concatenate(out, axis=1)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": d})
-
-    return rows.join(fps, "key").select("node", "key", "fp").mapInPandas(linked, "a long, b long, apart long").distinct()
+    """rows (node, key, _size) of large nodes -> (a, b, apart): links of each member to its node's closest pivot and to the first one, at `sure` or fewer differing bits. A node's members are dealt out in groups of about NODE, each with the node's pivots."""
+    groups = F.ceil(F.col("_size") / NODE).cast("long")
+    members = rows.join(fps, "key").select("node", F.pmod(F.xxhash64("key"), groups).alias("group"), "key", "fp")
+    drawn = rows.groupBy("node", F.pmod(F.xxhash64("key", "node"), F.lit(PIVOTS)).alias("_slot")).agg(F.min("key").alias("key"), F.max("_size").alias("_size")).join(fps, "key")
+    drawn = staged(drawn, "pivots").select("node", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"), "key", "fp")
+
+    def words_of(fps: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+
+    def linked(part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return pd.DataFrame({"a": [], "b": [], "apart": []}, dtype=np.int64)
+        pivots = pivots.sort_values("key")
+        keys, key, words = pivots["key"].to_numpy(), part["key"].to_numpy(), words_of(part["fp"])
+        apart = np.stack([np.bitwise_count(words ^ w).sum(1, dtype=np.int64) for w in words_of(pivots["fp"])], axis=1)
+        apart[key[:, None] == keys] = 1 << 30
+        out = []
+        for at in (apart.argmin(1), (apart <= sure).argmax(1)):
+            d = apart[np.arange(len(key)), at]
+            out.append(np.stack([key, keys[at], d])[:, d <= sure])
+        a, b, d = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": d})
+
+    return members.groupBy("node", "group").cogroup(drawn.groupBy("node", "group")).applyInPandas(linked, "a long, b long, apart long").distinct()
 
 
 def _cells(rows: DataFrame, most: int) -> DataFrame:
@@ -362,14 +364,14 @@ def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, no
     """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells."""
     rows = staged(_shared(distinct, bands), "shared")
     fps = distinct.select("key", "fp")
-    large = rows.where(F.col("_size") > node).select("node", "key", "known")
+    large = rows.where(F.col("_size") > node)
     rows = rows.where(F.col("_size") <= node).select("node", "key", "known")
     found = None
     if not large.isEmpty():
         if pivots:
-            found = _pivot_links(large.select("node", "key"), fps, sure)
+            found = _pivot_links(large.select("node", "key", "_size"), fps, sure)
         else:
-            rows = rows.unionByName(_cells(large, node))
+            rows = rows.unionByName(_cells(large.drop("_size"), node))
     rows = rows.join(fps, "key").select("node", "key", "known", "fp").repartition("node").sortWithinPartitions("node")
     pairs = rows.mapInPandas(_node_pairs(sure, most), "a long, b long, apart long").distinct()
     return staged(pairs if found is None else pairs.unionByName(found), "close-pairs")

@@ -7,6 +7,7 @@ import html
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from oracle import expected, found
-from tessera.llm import components, exact_dedup, html_extract, mixing, packing, quality, queries, secrets, simhash, token_counts
+from tessera.llm import common, components, exact_dedup, html_extract, mixing, packing, quality, queries, secrets, simhash, token_counts
 from tessera.llm.tokens import encoder
 
 
@@ -64,8 +65,10 @@ def test_long_runs_and_special_strings(tokenizer):
     assert encoder().ids("<|endoftext|>").tolist() == [50256]
 
 
-def test_exact_copies(spark, docs):
-    got = {r["doc_id"]: r for r in exact_dedup.duplicate_groups(spark.createDataFrame([(i, r["text"]) for i, r in docs.items()], "doc_id long, text string"), bits_per_row=1).collect()}  # a filter that is full
+@pytest.mark.parametrize("sizes", [{}, {"bits_per_hash": 1}, {"bits_per_hash": 8000, "max_bits": 1 << 15}])  # one filter, a full one, ranges
+def test_exact_copies(spark, docs, sizes):
+    frame = spark.createDataFrame([(i, r["text"]) for i, r in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in exact_dedup.duplicate_groups(frame, **sizes).collect()}
     groups = collections.defaultdict(list)
     for i, r in docs.items():
         groups[lower(r["text"])].append(i)
@@ -73,6 +76,7 @@ def test_exact_copies(spark, docs):
         for i in ids:
             r = got[i]
             assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(ids), len(ids), i == max(ids), hashlib.sha256(text.encode()).hexdigest())
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(frame, **sizes).collect()} == {max(ids) for ids in groups.values()}
 
 
 def test_hot_copies_take_the_broadcast(spark):
@@ -193,6 +197,28 @@ def test_raking(spark, sf):
     assert (rows.kept == (np.array(draws) < rows.probability)).all()
 
 
+@pytest.mark.parametrize("small_cells", [100_000, 0])
+def test_raking_in_one_task_and_by_joins(spark, small_cells):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 50, (4, 3)) * (rng.random((4, 3)) < 0.8)
+    cells = spark.createDataFrame([(f"a{i}", f"b{j}", int(base[i, j])) for i in range(4) for j in range(3)], "a string, b string, base long")
+    goals = {"a": rng.random(4), "b": rng.random(3)}
+    goals = {m: g / g.sum() for m, g in goals.items()}
+    targets = {m: spark.createDataFrame([(f"{m}{i}", float(x)) for i, x in enumerate(g)], f"{m} string, share double") for m, g in goals.items()}
+    weight = base.astype(float)
+    for _ in range(20):
+        for axis, goal in ((1, goals["a"]), (0, goals["b"])):
+            sums = weight.sum(axis, keepdims=True)
+            factor = np.where(sums > 0, goal.reshape(sums.shape) * base.sum() / np.where(sums > 0, sums, 1), 1)
+            off = np.abs(factor - 1).max()
+            weight = weight * factor
+    found = mixing.rake(cells, targets, sweeps=20, tolerance=0, small_cells=small_cells).toPandas().set_index(["a", "b"])
+    for i in range(4):
+        for j in range(3):
+            assert found.weight[f"a{i}", f"b{j}"] == pytest.approx(weight[i, j])
+    assert found.margin_error.max() >= off * 0.99
+
+
 def test_given_targets_are_met(spark, sf):
     want = spark.createDataFrame([("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)], "lang string, share double")
     rows = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), targets={"lang": want}, powers={"lang": 1.0}).toPandas()
@@ -431,6 +457,36 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.05
 
 
+def brute_prior(rate, n, parent):
+    spread, noise, variance = np.mean((rate - parent) ** 2), np.mean(parent * (1 - parent) / n), np.mean(parent * (1 - parent) * np.ones(len(rate)))
+    return np.clip(variance / max(spread - noise, 1e-9) - 1, 1, 1e6)
+
+
+@pytest.mark.parametrize("broadcast_sites", [100_000, 0])
+def test_judgements_equal_brute_force(spark, broadcast_sites):
+    """Grouped empirical Bayes in numpy over a whole table, and the filter's rows."""
+    where = "/root/testdata/sf0.01"
+    frame, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    rows = quality.judge(frame, labels, broadcast_sites=broadcast_sites).toPandas().merge(frame.select("doc_id", "source", "lang", "text").toPandas(), on="doc_id")
+    model = quality.train(frame, labels)
+    assert np.allclose(rows.evidence, model.evidence(rows.text))
+    rows["p"] = 1 / (1 + np.exp(-(rows.evidence + model.prior)))
+    hosts = rows.groupby("source").p.agg(["sum", "count"])
+    overall = hosts["sum"].sum() / hosts["count"].sum()
+    a = brute_prior((hosts["sum"] / hosts["count"]).to_numpy(), hosts["count"].to_numpy(), np.full(len(hosts), overall))
+    host_rate = (hosts["sum"] + a * overall) / (hosts["count"] + a)
+    paths = rows.groupby(["source", "lang"]).p.agg(["sum", "count"])
+    parent = paths.index.get_level_values(0).map(host_rate).to_numpy()
+    b = brute_prior((paths["sum"] / paths["count"]).to_numpy(), paths["count"].to_numpy(), parent)
+    path_rate = (paths["sum"] + b * parent) / (paths["count"] + b)
+    want = path_rate.loc[list(zip(rows.source, rows.lang))].to_numpy()
+    assert np.allclose(rows.host_rate, rows.source.map(host_rate)) and np.allclose(rows.path_rate, want)
+    odds = rows.evidence + np.log(want / (1 - want))
+    assert np.allclose(rows.quality, 1 / (1 + np.exp(-odds))) and (rows.kept == (odds >= 0)).all() and 0 < rows.kept.sum() < len(rows)
+    kept = {r["doc_id"] for r in quality.quality_filter(frame, labels, broadcast_sites=broadcast_sites).collect()}
+    assert kept == set(rows.doc_id[rows.kept])
+
+
 def test_sparse_sites_shrink_to_their_parents(spark):
     rows = [("h1", "h1/a", 9.0)] * 200 + [("h1", "h1/b", -9.0)] + [("h2", "h2/a", -9.0)] * 200 + [("h2", "h2/b", 9.0)]
     got = {r["site"]: r["path_rate"] for r in quality.site_rates(spark.createDataFrame(rows, "site_host string, site string, evidence double"), 0.0).collect()}
@@ -451,6 +507,18 @@ def test_shards(spark, sf, docs):
     assert max(sizes.values()) - min(sizes.values()) <= largest
 
 
+def test_scratch_is_cleared_and_shared(spark, tmp_path):
+    mark = common.scratch_mark()
+    one, two = common.staged(spark.range(3), "one"), common.staged(spark.range(4), "two")
+    common.clear_scratch(spark, mark, keep_last=True)
+    assert two.count() == 4 and common.scratch_mark() == mark + 1
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        one.count()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
+
+
 def test_pipeline(spark, sf, docs, tokenizer):
     rows = corpus_pipeline.run(spark, sf).collect()
     good = {r["doc_id"] for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("kept").collect()}
