@@ -4,7 +4,7 @@ Structure. A page is read into blocks, one per block-level element, in page orde
 
 Suffixes. The token streams of all pages of a host, chrome and articles included, are taken together, and a token is covered if it lies in a substring of min_tokens or more that a page of other contents of the host has too. A substring may run over the ends of blocks. Pages of the same text blocks are copies and don't cover each other. Covered tokens of open blocks go; unique runs stay. n_repeated tells for every page how many tokens are covered.
 
-The array is sparse, and no task holds a host. Any substring of min_tokens holds a sample: of each row of neighbouring suffixes, the one whose first min_tokens // 2 tokens have the least hash. Only samples are dealt out, as hashes of 8 bytes, combined within tasks first; those that pages of different contents share lead to the full suffixes around them, whose first min_tokens tokens are dealt out and compared in the same way. What a page shares comes back to it by its own hash. So the work is in proportion to the tokens, a host of any size is spread over all tasks, and a passage on very many pages is a row per task.
+The array is sparse, and no task holds a host. Any substring of min_tokens holds a sample: of each row of neighbouring suffixes, the one whose first tokens, three quarters of min_tokens, have the least hash. Only samples are dealt out, as hashes of 8 bytes, combined within tasks first; those that pages share lead to the full suffixes around them, whose first min_tokens tokens are dealt out and compared in the same way. What a page shares comes back to it by its own hash. So the work is in proportion to the tokens, a host of any size is spread over all tasks, and a passage on very many pages is a row per task.
 
 White space within a block becomes one space, character references are decoded, blocks are joined by two line feeds. Null or empty html gives empty text and counts no tokens. Very long and broken pages take linear time: unmatched end tags cost one look each. Rows that repeat are pages of their own, which are copies. A null url is a host of its own. An empty table gives no rows. Other columns don't matter.
 """
@@ -196,100 +196,124 @@ class _Page(NamedTuple):
     body: int
 
 
-def _read(page: str | None, host: str) -> _Page:
+class _Hashes(dict):
+    """Hashes of words, kept since words repeat."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def _read(page: str, host: str, hashes: _Hashes) -> _Page:
     """A page's blocks, its token stream as hashes that tell hosts apart, and a hash of its text."""
-    found = blocks(page or "")
+    found = blocks(page)
     has_core, text = text_blocks(found)
     words = [b.text.split(" ") for b in found]
-    seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
-    tokens = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for own in words for w in own], np.uint64)
-    body = xxhash.xxh64("\n".join([host, *(found[n].text for n in text)]).encode("utf-8", "surrogatepass")).intdigest()
+    tokens = np.fromiter((hashes[w] for own in words for w in own), np.uint64)
+    tokens = (tokens ^ np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")))) * _MIX
+    body = xxhash.xxh64_intdigest("\n".join([host, *(found[n].text for n in text)]).encode("utf-8", "surrogatepass"))
     return _Page(found, has_core, text, words, tokens, body)
 
 
-def _around(tokens: np.ndarray, known: np.ndarray, length: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of min_tokens that hold a known window of `length`: places and hashes."""
-    at = np.flatnonzero(np.isin(windows(tokens, length), known))
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of the values that are in known, which is sorted."""
+    at = np.searchsorted(known, values)
+    return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == values) if len(known) else np.empty(0, np.int64)
+
+
+def _around(tokens: np.ndarray, known: np.ndarray, length: int, min_tokens: int) -> np.ndarray:
+    """Hashes of the windows of min_tokens that hold a known window of `length`."""
+    at = _among(windows(tokens, length), known)
     full = windows(tokens, min_tokens)
     places = np.unique(at[:, None] - np.arange(min_tokens - length + 1)) if len(at) else at
-    places = places[(places >= 0) & (places < len(full))]
-    return places, full[places]
+    return full[places[(places >= 0) & (places < len(full))]]
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """rows (page, body, keys) of pages -> (page, keys), the keys that pages of other contents have too."""
-    keys = rows.select("page", "body", F.explode("keys").alias("key"))
-    repeated = keys.groupBy("key").agg(F.min("body").alias("_low"), F.max("body").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
-    repeated = staged(repeated.select("key", "_size"), "repeated")
-    if repeated.isEmpty():
-        return repeated.select(F.lit("").cast("binary").alias("page"), F.array("key").alias("keys"))
-    if repeated.count() <= _BROADCAST:
-        own = keys.join(F.broadcast(repeated), "key")
-    else:
-        own = left_join_groups(staged(keys.select("page", "key").distinct(), "page-keys"), repeated, "key", "_size", repeated.agg(F.sum("_size")).first()[0]).where(F.col("_size").isNotNull())
-    return staged(own.groupBy("page").agg(F.collect_set("key").alias("keys")), "shared-keys")
+#: So many shared keys at most, of 8 bytes each, are broadcast; beyond that each page gets its own by a shuffled join.
+_BROADCAST = 500_000
 
 
-#: Rows of a table of keys or of pages' keys that are broadcast at most; a key has 8 bytes.
-_BROADCAST = 500_000
+class _Shared:
+    """The keys that pages of a host have in common, found from rows (page, body, keys) of pages: pages of different contents, or for samples, which only lead to what is then compared, any."""
+
+    def __init__(self, rows: DataFrame, contents: bool) -> None:
+        keys = rows.select("page", "body", F.explode("keys").alias("key"))
+        bodies = [F.min("body").alias("_low"), F.max("body").alias("_high")] if contents else []
+        repeated = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), *bodies).where("_low < _high" if contents else "_size > 1")
+        repeated = staged(repeated.select("key", "_size"), "repeated")
+        self.everywhere = self.by_page = None
+        if repeated.count() <= _BROADCAST:
+            found = np.array([r["key"] for r in repeated.select("key").collect()], np.int64).view(np.uint64)
+            self.everywhere = rows.sparkSession.sparkContext.broadcast(np.sort(found))
+        else:
+            keys = staged(keys.select("page", "key").distinct(), "page-keys")
+            own = left_join_groups(keys, repeated, "key", "_size", repeated.agg(F.sum("_size")).first()[0]).where(F.col("_size").isNotNull())
+            self.by_page = staged(own.groupBy("page").agg(F.collect_list("key").alias("known")), "shared-keys")
+
+    def given_to(self, pages: DataFrame) -> DataFrame:
+        return pages.withColumn("known", F.lit(None).cast("array<long>")) if self.by_page is None else pages.join(self.by_page, "page", "left")
 
 
-def _with_keys(pages: DataFrame, shared: DataFrame) -> DataFrame:
-    """pages (page, ...) with the keys that were found to be shared, or null."""
-    keys, rows = shared.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.count(F.lit(1))).first()
-    return pages.join(F.broadcast(shared) if keys + 4 * rows <= 4 * _BROADCAST else shared, "page", "left")
+def known_of(everywhere, cell: pa.ListScalar) -> np.ndarray:
+    """What is shared of one page's keys, or of all, sorted."""
+    if everywhere is not None:
+        return everywhere.value
+    return np.sort(cell.values.to_numpy().view(np.uint64)) if cell.is_valid else np.empty(0, np.uint64)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 8) -> DataFrame:
     """One row per row of pages: id_col, url_col, text, n_chars, n_tokens (of all blocks), n_repeated (those covered)."""
     if min_tokens < 2:
         raise ValueError("min_tokens must be 2 or more")
-    sample = max(min_tokens // 2, 1)
+    sample = max(min_tokens * 3 // 4, 1)
     among = min_tokens - sample + 1
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("\u0000"))
     html_of = F.coalesce(F.col(html_col), F.lit(""))
     page = F.unhex(F.md5(F.concat_ws("\u0000", host, html_of).cast("binary")))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), html_of.alias("_html"), host.alias("_host"), page.alias("page"))
-    keyed = "page binary, body long, keys array<long>"
 
-    def dealt(choose):
-        """Of each page, its keys: what choose() takes of its tokens."""
+    def dealt(choose, shared: _Shared | None):
+        """Of each page, its keys: what choose() takes of its tokens and of what is known to be shared."""
+        alone, everywhere = shared is None, shared and shared.everywhere
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = _Hashes()
             for batch in batches:
                 body, keys = [], []
-                given = batch.column("keys") if "keys" in batch.schema.names else [None] * len(batch)
-                for text, at, known in zip(batch.column("_html"), batch.column("_host"), given, strict=True):
-                    own = _read(text.as_py(), at.as_py())
+                for text, at, cell in zip(batch.column("_html"), batch.column("_host"), batch.column("known"), strict=True):
+                    own = _read(text.as_py(), at.as_py(), hashes)
                     body.append(own.body)
-                    keys.append(choose(own.tokens, known))
-                numbers = pa.array(np.array(body, np.uint64).view(np.int64)), pa.array([np.unique(k).view(np.int64) for k in keys], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("page"), *numbers], names=["page", "body", "keys"])
+                    keys.append(np.unique(choose(own.tokens, cell if alone else known_of(everywhere, cell))).view(np.int64))
+                columns = [batch.column("page"), pa.array(np.array(body, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["page", "body", "keys"])
 
         return read
 
     def sampled(tokens: np.ndarray, _) -> np.ndarray:
-        hashes = windows(tokens, sample)
-        return hashes[samples(hashes, among)]
+        found = windows(tokens, sample)
+        return found[samples(found, among)]
 
-    def full(tokens: np.ndarray, known) -> np.ndarray:
-        return _around(tokens, known.values.to_numpy().view(np.uint64), sample, min_tokens)[1]
+    def full(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return _around(tokens, known, sample, min_tokens)
 
-    read_cols = ["_html", "_host", "page"]
-    first = _shared(rows.select(*read_cols).mapInArrow(dealt(sampled), keyed))
-    asked = _with_keys(rows.select(*read_cols), first).where(F.col("keys").isNotNull())
-    repeated = _shared(asked.mapInArrow(dealt(full), keyed))
+    keyed = "page binary, body long, keys array<long>"
+    bare = rows.select("_html", "_host", "page")
+    samples_shared = _Shared(bare.withColumn("known", F.lit(None).cast("array<long>")).mapInArrow(dealt(sampled, None), keyed), contents=False)
+    shared = _Shared(samples_shared.given_to(bare).mapInArrow(dealt(full, samples_shared), keyed), contents=True)
+    everywhere = shared.everywhere
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             out, n_tokens, n_repeated = [], [], []
-            for text, at, known in zip(batch.column("_html"), batch.column("_host"), batch.column("keys"), strict=True):
-                own = _read(text.as_py(), at.as_py())
+            for text, at, cell in zip(batch.column("_html"), batch.column("_host"), batch.column("known"), strict=True):
+                own = _read(text.as_py(), at.as_py(), hashes)
                 gone = np.zeros(len(own.tokens) + 1, np.int64)
-                if known.is_valid:
-                    starts = np.flatnonzero(np.isin(windows(own.tokens, min_tokens), known.values.to_numpy().view(np.uint64)))
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, starts + min_tokens, -1)
+                starts = _among(windows(own.tokens, min_tokens), known_of(everywhere, cell))
+                np.add.at(gone, starts, 1)
+                np.add.at(gone, starts + min_tokens, -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 if own.has_core:
                     kept = [own.found[n].text for n in own.text]
@@ -303,5 +327,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_url", "text", "n_tokens", "n_repeated"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    final = _with_keys(rows, repeated).mapInArrow(cut, f"_id {kinds[id_col]}, _url {kinds[url_col]}, text string, n_tokens long, n_repeated long")
+    final = shared.given_to(rows).mapInArrow(cut, f"_id {kinds[id_col]}, _url {kinds[url_col]}, text string, n_tokens long, n_repeated long")
     return final.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_tokens", "n_repeated")
