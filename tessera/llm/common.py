@@ -36,19 +36,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark() -> int:
-    """How many scratch tables were written until now."""
-    return len(_written)
+def scratch_mark() -> str | None:
+    """The last scratch table written until now."""
+    return _written[-1] if _written else None
 
 
-def clear_scratch(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
-    """Delete this process's scratch tables from the mark on, or all but the last of them. Only once no DataFrame that reads them is still needed."""
-    kept = _written[-1:] if keep_last else []
-    gone = _written[since : len(_written) - len(kept)]
-    _written[since:] = kept
-    for path in gone:
+def written_since(mark: str | None) -> list[str]:
+    """The scratch tables written after the mark that are still there."""
+    return _written[_written.index(mark) + 1 if mark in _written else 0 :]
+
+
+def clear_scratch(spark: SparkSession, paths: list[str], unless_read_by: DataFrame | None = None) -> None:
+    """Delete these scratch tables, and take them off the list. Only once no DataFrame that reads them is still needed."""
+    read = {name for f in unless_read_by.inputFiles() for name in f.split("/")} if unless_read_by is not None and paths else set()
+    for path in [p for p in paths if p.rsplit("/", 1)[1] not in read]:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        paths.remove(path)
+        if path in _written:
+            _written.remove(path)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity count and join classes, and each other pair near its edge, unless its classes are joined by surer ones, is decided by the texts' shingle sets. Every fourth band goes first, with the sure pairs alone; then all bands give what joins the classes that those left. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; the work is the size of the node times the texts outside of its largest class.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity count and join classes, and each other pair near its edge, unless its classes are joined by surer ones, is decided by the texts' shingle sets. Every fourth band goes first, with the sure pairs alone; then all bands, with the closest unsure pair of each text outside of a node's largest class; then all bands give all that could join the classes that those left. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; the work is the size of the node times the texts outside of its largest class.
 
 Rows that repeat link like copies. Null ids take part; a component's id is its smallest non-null one. Other columns don't matter.
 """
@@ -241,8 +241,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int) -> np.ndarray:
-    """(a, b, apart) of a node's members, which are rows of 64-bit words: pairs at `sure` or fewer differing bits that join their classes (labels[x] is the smallest member of x's class), and all others at `most` or fewer whose classes stay apart. A pair merges classes only once it is sure."""
+def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int, closest: bool = False) -> np.ndarray:
+    """(a, b, apart) of a node's members, which are rows of 64-bit words: pairs at `sure` or fewer differing bits that join their classes (labels[x] is the smallest member of x's class), and all others at `most` or fewer whose classes stay apart. A pair merges classes only once it is sure. closest: of the others, only the closest of each member outside of the largest class."""
     common = np.bincount(labels).argmax()
     rest = np.flatnonzero(labels != common)
     columns, place = np.ascontiguousarray(words.T), np.full(len(words), -1)
@@ -261,11 +261,16 @@ def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int) -
         kept = joined(labels, a[near], b[near], apart[near])
         found.append(np.concatenate([kept, np.bitwise_count(words[kept[0]] ^ words[kept[1]]).sum(1, dtype=np.int64)[None]]))
         labels = merged(labels, a[near], b[near])
-        doubtful.append(np.stack([a, b, apart])[:, ~near])
+        other = np.stack([a, b, apart])[:, ~near]
+        if closest:
+            other = other[:, labels[other[0]] != labels[other[1]]]
+            other = other[:, np.lexsort([other[2], other[0]])]
+            other = other[:, np.unique(other[0], return_index=True)[1]]
+        doubtful.append(other)
     return np.concatenate(found + [d[:, labels[d[0]] != labels[d[1]]] for d in doubtful], axis=1)
 
 
-def _node_pairs(sure: int, most: int):
+def _node_pairs(sure: int, most: int, closest: bool):
     """Over rows (node, key, known, fp), sorted by node: pairs_between() of keys, known being their class."""
 
     def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
@@ -281,7 +286,7 @@ def _node_pairs(sure: int, most: int):
             part = slice(starts[k], stops[k])
             _, first, place = np.unique(known[part], return_index=True, return_inverse=True)
             if len(first) > 1:
-                a, b, apart = pairs_between(words[part], first[place], sure, most)
+                a, b, apart = pairs_between(words[part], first[place], sure, most, closest)
                 out.append(np.stack([key[part][a], key[part][b], apart]))
         a, b, apart = np.concatenate(out, axis=1)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart})
@@ -360,8 +365,8 @@ def _cells(rows: DataFrame, most: int) -> DataFrame:
     return rows.select(F.explode(F.when(core, beside).otherwise(F.concat(under, across))).alias("node"), "key", "known")
 
 
-def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, node: int, pivots: bool) -> DataFrame:
-    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells."""
+def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, node: int, pivots: bool = False, closest: bool = False) -> DataFrame:
+    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells. closest: see pairs_between()."""
     rows = staged(_shared(distinct, bands), "shared")
     fps = distinct.select("key", "fp")
     large = rows.where(F.col("_size") > node)
@@ -373,7 +378,7 @@ def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, no
         else:
             rows = rows.unionByName(_cells(large.drop("_size"), node))
     rows = rows.join(fps, "key").select("node", "key", "known", "fp").repartition("node").sortWithinPartitions("node")
-    pairs = rows.mapInPandas(_node_pairs(sure, most), "a long, b long, apart long").distinct()
+    pairs = rows.mapInPandas(_node_pairs(sure, most, closest), "a long, b long, apart long").distinct()
     return staged(pairs if found is None else pairs.unionByName(found), "close-pairs")
 
 
@@ -415,17 +420,19 @@ def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: s
     off = np.sqrt(edge * (1 - edge / bits))
     sure, most = edge - round(2.5 * off), edge + round(4 * off)  # the estimate may be off by as much; a pair beyond `most` is lost
     first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), list(range(0, BANDS, 4)), sure, sure, node, pivots=True)
-    known = components(first).withColumnRenamed("node", "key")
-    labelled = distinct.join(known, "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
-    second = _close_pairs(staged(labelled, "labelled"), list(range(BANDS)), sure, most, node, pivots=False)
-    found = known.toDF("a", "b").unionByName(second.where(F.col("apart") <= sure).select("a", "b"))
-    doubtful = second.where(F.col("apart") > sure)
-    # The closest pair of two classes comes first: where its sets link, the other pairs of those classes need no look.
-    classes_apart = _between(doubtful, components(found))
-    asked = staged(classes_apart.groupBy("_a", "_b").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "asked-pairs")
-    found = staged(found.unionByName(_similar(docs, asked, distinct, id_col, text_col, words, similarity, broadcast_rows)), "found-links")
-    left = staged(_between(classes_apart.select("a", "b"), components(found)).select("a", "b").join(asked, ["a", "b"], "left_anti"), "asked-pairs")
-    return found.unionByName(_similar(docs, left, distinct, id_col, text_col, words, similarity, broadcast_rows))
+    found = first.select("a", "b")
+    # At first the closest pairs alone, whose number is that of the texts: most classes that are one are one then. All pairs between the classes left follow.
+    for closest in (True, False):
+        known = components(found)
+        labelled = distinct.join(known.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
+        pairs = _close_pairs(staged(labelled, "labelled"), list(range(BANDS)), sure, most, node, closest=closest)
+        found = known.toDF("a", "b").unionByName(pairs.where(F.col("apart") <= sure).select("a", "b"))
+        doubtful = pairs.where(F.col("apart") > sure)
+        asked = _between(doubtful, components(found))
+        if closest:  # one pair of each two classes
+            asked = staged(asked.groupBy("_a", "_b").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "asked-pairs")
+        found = staged(found.unionByName(_similar(docs, asked.select("a", "b"), distinct, id_col, text_col, words, similarity, broadcast_rows)), "found-links")
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1024, broadcast_rows: int = 1_000_000, node: int = NODE) -> DataFrame:

@@ -510,8 +510,8 @@ def test_shards(spark, sf, docs):
 def test_scratch_is_cleared_and_shared(spark, tmp_path):
     mark = common.scratch_mark()
     one, two = common.staged(spark.range(3), "one"), common.staged(spark.range(4), "two")
-    common.clear_scratch(spark, mark, keep_last=True)
-    assert two.count() == 4 and common.scratch_mark() == mark + 1
+    common.clear_scratch(spark, common.written_since(mark), unless_read_by=two)
+    assert two.count() == 4 and len(common.written_since(mark)) == 1
     with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
         one.count()
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
