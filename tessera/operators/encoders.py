@@ -124,11 +124,15 @@ class SentenceTransformerEncoder(BatchEncoder):
     device: str | None = None
     max_length: int | None = None
 
-    def encode(self, df: DataFrame, kind: str) -> DataFrame:
+    def resolve(self) -> None:
+        """Read the width from the model, if it isn't given. Fingerprints and manifests need it."""
         if not self.dimension:
             from sentence_transformers import SentenceTransformer
 
             self.dimension = SentenceTransformer(self.model_id, revision=self.revision).get_sentence_embedding_dimension()
+
+    def encode(self, df: DataFrame, kind: str) -> DataFrame:
+        self.resolve()
         return super().encode(df, kind)
 
     @property
@@ -178,13 +182,20 @@ class HostedEncoder(BatchEncoder):
         return lambda: lambda texts, kind: provider.embed(model_id, texts)
 
 
+def resolved(encoder: Encoder) -> Encoder:
+    """The encoder, with all known that is read from its model."""
+    getattr(encoder, "resolve", lambda: None)()
+    return encoder
+
+
 LOCAL = ("e5", "qwen3", "gte", "sentence-transformers")
 
 
 def create_encoder(config: dict) -> Encoder:
     """From a registry entry: hash, hosted if it names a provider, else a local model by adapter."""
     model_id = config.get("model_id", "")
-    adapter = config.get("adapter") or adapter_of(model_id)
+    adapter = config.get("adapter", "auto")
+    adapter = adapter_of(model_id) if adapter in (None, "", "auto") else adapter
     if "hash" in (adapter, model_id):
         return HashEncoder(config.get("dimension", 64), config.get("seed", 0))
     common = {k: config[k] for k in ("revision", "batch_size", "query_instruction") if k in config}
@@ -195,6 +206,6 @@ def create_encoder(config: dict) -> Encoder:
         return HostedEncoder(model_id, config["dimension"], create_provider(config["provider"]), adapter=adapter, **common, **more)
     if adapter not in LOCAL:
         raise KeyError(f"no local encoder for adapter {adapter}")
-    more = {k: config[k] for k in ("device", "max_length") if k in config}
+    more = {k: config[k] for k in ("device",) if k in config} | {"max_length": config.get("max_seq_length", config.get("max_length"))}
     return SentenceTransformerEncoder(model_id, config.get("dimension") or 0, adapter=adapter, **common, **more)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import document_text
 from tessera.operators.adapt import LinearQueryCalibrator, fit_corpus_alignment, fit_gold_supervised
-from tessera.operators.encoders import Encoder, create_encoder
+from tessera.operators.encoders import create_encoder, Encoder, HashEncoder, resolved
 from tessera.operators.metrics import compute_metrics
 from tessera.operators.search import search
 from tessera.sources.beir import Dataset, load_corpus, load_dataset
@@ -22,6 +22,10 @@ BASELINE_CUTOFFS = (5, 10)
 DEPTH = 10
 
 
+#: Appends in which missing vectors are stored, so that an interrupted run keeps most of them.
+CHUNKS = 16
+
+
 def query_rows(dataset: Dataset) -> DataFrame:
     return dataset.queries.select(F.col("query_id").alias("id"), "pos", F.col("query_text").alias("text"))
 
@@ -49,7 +53,9 @@ def _manifest(dataset: Dataset, encoder: Encoder, model: str, policy: str, finge
 
 def _encode(spark, name, model, root, split, config, cache_root, download, policy, suffix, encoder, chunks) -> dict:
     dataset = load_dataset(spark, name, root, split, download, policy)
-    encoder = encoder or create_encoder(load_model_config(model, config))
+    encoder = resolved(encoder or create_encoder(load_model_config(model, config)))
+    # Hash vectors cost nothing to make again; what a model or a paid service made is kept as it comes.
+    chunks = chunks or (1 if isinstance(encoder, HashEncoder) else CHUNKS)
     fingerprint = cache_fingerprint(dataset.name, split, encoder)
     folder = f"{cache_root}/{dataset.name}/{model}/{fingerprint}{suffix}"
     queries = encode_with_resume(spark, encoder.encode, query_rows(dataset), "query", f"{folder}/parts/query", chunks)
@@ -63,12 +69,12 @@ def _encode(spark, name, model, root, split, config, cache_root, download, polic
     return {"cache": folder, "queries": saved["n_queries"], "documents": saved["n_documents"], "fingerprint": fingerprint}
 
 
-def encode_dataset(spark: SparkSession, dataset: str, model: str, dataset_root: str = "datasets", split: str = "test", models_config=DEFAULT_PATH, cache_root: str = "cache", download: bool = False, missing_relevant_policy: str = "error", encoder: Encoder | None = None, chunks: int = 1) -> dict:
+def encode_dataset(spark: SparkSession, dataset: str, model: str, dataset_root: str = "datasets", split: str = "test", models_config=DEFAULT_PATH, cache_root: str = "cache", download: bool = False, missing_relevant_policy: str = "error", encoder: Encoder | None = None, chunks: int | None = None) -> dict:
     """Encode both sides of a collection into a store of its own fingerprint."""
     return _encode(spark, dataset, model, dataset_root, split, models_config, cache_root, download, missing_relevant_policy, "", encoder, chunks)
 
 
-def encode_queries(spark: SparkSession, dataset: str, model: str, dataset_root: str = "datasets", split: str = "train", models_config=DEFAULT_PATH, cache_root: str = "cache", download: bool = False, missing_relevant_policy: str = "error", encoder: Encoder | None = None, chunks: int = 1) -> dict:
+def encode_queries(spark: SparkSession, dataset: str, model: str, dataset_root: str = "datasets", split: str = "train", models_config=DEFAULT_PATH, cache_root: str = "cache", download: bool = False, missing_relevant_policy: str = "error", encoder: Encoder | None = None, chunks: int | None = None) -> dict:
     """Encode a split's queries alone."""
     return _encode(spark, dataset, model, dataset_root, split, models_config, cache_root, download, missing_relevant_policy, "-query-only", encoder, chunks)
 
@@ -87,7 +93,7 @@ def evaluate(spark: SparkSession, cache: str, dataset_root: str = "datasets", se
     _check_order(dataset, queries, documents)
     metrics = evaluate_baseline(dataset, queries, documents, search_k)
     keep = ("dataset", "split", "model_id", "model_name", "revision", "dimension", "cache_fingerprint")
-    output = {k: manifest.get(k) for k in keep} | {"cache": cache, "search_k": search_k, "missing_relevant_policy": policy, "metrics": metrics}
+    output = {k: manifest.get(k) for k in keep} | {"cache": cache, "search_k": search_k, "missing_relevant_policy": policy} | metrics
     name = manifest.get("model_name") or manifest["model_id"].replace("/", "__")
     write_text(spark, f"{results_root}/{dataset.name}/{name}/baseline.json", json.dumps(output, sort_keys=True, indent=2))
     return output
@@ -122,7 +128,7 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
     else:
         if encoder is None and not model:
             raise ValueError("corpus mode needs a model")
-        encoder = encoder or create_encoder(load_model_config(model, models_config))
+        encoder = resolved(encoder or create_encoder(load_model_config(model, models_config)))
         if encoder.dimension != manifest["dimension"]:
             raise ValueError("the model's width isn't the store's")
         rows = document_rows(load_corpus(spark, name, dataset_root))
@@ -131,7 +137,7 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
             if not 1 <= max_corpus_documents <= n:
                 raise ValueError(f"max_corpus_documents must be from 1 to {n}")
             rows = rows.orderBy("pos").limit(max_corpus_documents)
-        sources = encode_with_resume(spark, encoder.encode, rows, "query", f"{folder}/corpus_query_parts")
+        sources = encode_with_resume(spark, encoder.encode, rows, "query", f"{folder}/corpus_query_parts", 1 if isinstance(encoder, HashEncoder) else CHUNKS)
         calibrator = fit_corpus_alignment(sources, documents, alpha)
         provenance = {"query_model_id": encoder.model_id, "query_model_revision": encoder.revision, "max_corpus_documents": max_corpus_documents}
     baseline = evaluate_baseline(dataset, queries, documents, search_k)

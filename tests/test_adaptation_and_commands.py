@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -73,9 +74,10 @@ def test_four_commands(spark, toy):
     assert (made["queries"], made["documents"]) == (3, 12) and made["cache"] == f"{toy}/cache/toy/hash/{made['fingerprint']}"
     train = cli.main(["encode-queries", "--dataset", "toy", "--model", "hash", "--cache-root", str(toy / "cache"), *root], spark)
     assert train["cache"].endswith("-query-only") and train["documents"] == 0
-    runs = [cli.main(["evaluate", "--cache", made["cache"], "--search-k", k, "--results-root", str(toy / "results"), *root], spark)["metrics"] for k in ("1", "50")]
-    assert runs[0] == runs[1] and runs[0]["num_queries"] == 3
-    assert json.loads((toy / "results/toy/hash/baseline.json").read_text())["metrics"] == runs[0]
+    runs = [cli.main(["evaluate", "--cache", made["cache"], "--search-k", k, "--results-root", str(toy / "results"), *root], spark) for k in ("1", "50")]
+    assert json.loads((toy / "results/toy/hash/baseline.json").read_text()) == runs[1]
+    runs = [{k: v for k, v in r.items() if "@" in k or k == "num_queries"} for r in runs]
+    assert runs[0] == runs[1] and runs[0]["num_queries"] == 3 and len(runs[0]) == 7
     for mode, more in (("gold", ["--train-query-cache", train["cache"]]), ("corpus", ["--model", "hash", "--max-corpus-documents", "5"])):
         out = cli.main(["adapt", "--cache", made["cache"], "--mode", mode, "--adaptation-root", str(toy / "adapted"), *more, *root], spark)
         assert out["baseline"] == runs[0] and set(out["delta"]) == set(runs[0]) - {"num_queries"}
@@ -107,3 +109,13 @@ def test_identity_changes_nothing(spark, toy):
     data = load_dataset(spark, "toy", str(toy / "datasets"))
     same = adapt.LinearQueryCalibrator(np.eye(64))
     assert pipelines.evaluate_calibrator(data, q, d, same) == pipelines.evaluate_baseline(data, q, d)
+
+
+def test_keys_from_a_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# keys\nONE_KEY='a b'\nexport TWO_KEY=c # mine\nnot a line\nPATH=/nowhere\n")
+    for key in ("ONE_KEY", "TWO_KEY"):
+        monkeypatch.setenv(key, "")
+        monkeypatch.delenv(key)
+    assert cli.load_env(str(tmp_path / ".env")) == {"ONE_KEY": "a b", "TWO_KEY": "c", "PATH": "/nowhere"}
+    assert (os.environ["ONE_KEY"], os.environ["TWO_KEY"]) == ("a b", "c") and os.environ["PATH"] != "/nowhere"
+    assert cli.load_env(str(tmp_path / "none")) == {}
