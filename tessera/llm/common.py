@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 MOST = 1_000_000
 
-#: Scratch tables of this process, in the order of their writing.
-_written: list[str] = []
+#: Scratch tables of this process that are there, with their numbers in the order of writing.
+_written: dict[str, int] = {}
+_numbers = count(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,18 +34,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-scratch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written[path] = next(_numbers)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark() -> str | None:
-    """The last scratch table written until now."""
-    return _written[-1] if _written else None
+def scratch_mark() -> int:
+    """A number below those of all scratch tables yet to be written."""
+    return next(_numbers)
 
 
-def written_since(mark: str | None) -> list[str]:
+def written_since(mark: int) -> list[str]:
     """The scratch tables written after the mark that are still there."""
-    return _written[_written.index(mark) + 1 if mark in _written else 0 :]
+    return [path for path, n in _written.items() if n > mark]
 
 
 def clear_scratch(spark: SparkSession, paths: list[str], unless_read_by: DataFrame | None = None) -> None:
@@ -53,8 +55,7 @@ def clear_scratch(spark: SparkSession, paths: list[str], unless_read_by: DataFra
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         paths.remove(path)
-        if path in _written:
-            _written.remove(path)
+        _written.pop(path, None)
 
 
 def ascii_lower(text: Column) -> Column:
