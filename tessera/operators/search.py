@@ -13,6 +13,8 @@ from tessera.functions.vectors import check_widths
 
 #: Up to so many bytes of query vectors are sent to every task; beyond, queries and documents meet in cells.
 BROADCAST_BYTES = 64 << 20
+#: Scores are made for so many queries and documents at a time, 32 MB.
+QUERY_TILE, DOC_TILE = 1024, 4096
 _HITS = "query_id string, doc_id string, doc_pos long, score float"
 
 
@@ -21,31 +23,41 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 class _Best:
-    """The k best documents of each query so far: by score, NaN last, then by position."""
+    """The k best documents of each query so far: by score, NaN last, then by position. Scores are made and held in tiles of bounded size."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
-        self.score = np.empty((len(ids), 0), np.float32)
-        self.pos = np.empty((len(ids), 0), np.int64)
-        self.doc = np.empty((len(ids), 0), object)
+        self.k = k
+        self.tiles = [(ids[i : i + QUERY_TILE], queries[i : i + QUERY_TILE]) for i in range(0, len(ids), QUERY_TILE)]
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, object)) for _ in self.tiles]
 
     def add(self, docs: pd.DataFrame) -> None:
-        docs = docs.sort_values("pos", kind="stable")
-        rows = len(self.ids), len(docs)
-        score = np.hstack([self.score, (self.queries @ _matrix(docs["embedding"]).T).astype(np.float32)])
-        pos = np.hstack([self.pos, np.broadcast_to(docs["pos"].to_numpy(), rows)])
-        doc = np.hstack([self.doc, np.broadcast_to(docs["id"].to_numpy(object), rows)])
-        order = np.lexsort([pos, np.where(np.isnan(score), np.inf, -score.astype(np.float64)), np.isnan(score)])[:, : self.k]
-        self.score, self.pos, self.doc = (np.take_along_axis(x, order, 1) for x in (score, pos, doc))
-
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": np.repeat(self.ids, self.score.shape[1]), "doc_id": self.doc.ravel(), "doc_pos": self.pos.ravel(), "score": self.score.ravel()})
-
-
-def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = 4096, doc_blocks: int | None = None) -> DataFrame:
+        for j in range(0, len(docs), DOC_TILE):
+            part = docs.iloc[j : j + DOC_TILE]
+            vectors, pos, names = _matrix(part["embedding"]).T, part["pos"].to_numpy(), part["id"].to_numpy(object)
+            for n, (_, queries) in enumerate(self.tiles):
+                score = (queries @ vectors).astype(np.float32)
+                # Whatever is below a query's k-th score here is out; equal ones stay until they are ranked.
+                high = np.where(np.isnan(score), -np.inf, score)
+                least = np.partition(high, -self.k, axis=1)[:, -self.k] if high.shape[1] > self.k else np.full(len(high), -np.inf)
+                q, d = np.nonzero(high >= least[:, None])
+                self.held[n] = self._first(*(np.concatenate(x) for x in zip(self.held[n], (q, pos[d], score[q, d], names[d]), strict=True)))
+
+    def _first(self, q: np.ndarray, pos: np.ndarray, score: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
+        void = np.isnan(score)
+        order = np.lexsort([pos, np.where(void, 0, -score), void, q])
+        ranked = q[order]
+        order = order[np.arange(len(q)) - np.searchsorted(ranked, ranked) < self.k]
+        return q[order], pos[order], score[order], names[order]
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for (ids, _), (q, pos, score, names) in zip(self.tiles, self.held, strict=True):
+            yield pd.DataFrame({"query_id": ids[q], "doc_id": names, "doc_pos": pos, "score": score})
+
+
+def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = 4096, doc_blocks: int | None = None, doc_rows: int = 65536) -> DataFrame:
     """queries (id, embedding), documents (id, pos, embedding) -> (query_id, rank, doc_id, doc_pos, score), rank from 1.
 
-    k is cut to the number of documents; a query gets no row only if there is no document. Scores are sums in double, given and compared as float. Documents stay where they are while the queries are small; each task sends on at most k rows a query.
+    k is cut to the number of documents; a query gets no row only if there is no document. Scores are sums in double, given and compared as float. Documents stay where they are while the queries are small; each task sends on at most k rows a query. Else query_rows queries and doc_rows documents, about, meet in a cell; doc_blocks sets the number of document blocks instead.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -62,21 +74,22 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_byte
             for batch in batches:
                 if len(batch) and len(ids):
                     best.add(batch)
-            yield best.rows()
+            yield from best.rows()
 
         hits = documents.mapInPandas(block, _HITS)
     else:
-        groups = -(-count // query_rows)
-        blocks = doc_blocks or max(1, documents.rdd.getNumPartitions())
-        left = queries.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        right = documents.withColumn("_b", F.pmod(F.xxhash64("pos"), F.lit(blocks))).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        groups, blocks = -(-count // query_rows), doc_blocks or -(-max(documents.count(), 1) // doc_rows)
+        # The sides may come from one table, so their columns are told apart by name.
+        left = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+        right = documents.select("*", F.pmod(F.xxhash64("pos"), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_group"))
 
         def cell(asked: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-            best = _Best(asked["id"].to_numpy(object), _matrix(asked["embedding"]), k)
-            for i in range(0, len(docs) if len(asked) else 0, 4096):
-                best.add(docs.iloc[i : i + 4096])
-            return best.rows()
+            if asked.empty or docs.empty:
+                return pd.DataFrame({"query_id": [], "doc_id": [], "doc_pos": np.empty(0, np.int64), "score": np.empty(0, np.float32)})
+            best = _Best(asked["query_id"].to_numpy(object), _matrix(asked["vector"]), k)
+            best.add(docs)
+            return pd.concat(best.rows(), ignore_index=True)
 
-        hits = left.groupBy("_g", "_b").cogroup(right.groupBy("_g", "_b")).applyInPandas(cell, _HITS)
+        hits = left.groupBy("_g", "_b").cogroup(right.groupBy("_group", "_block")).applyInPandas(cell, _HITS)
     order = Window.partitionBy("query_id").orderBy(F.when(~F.isnan("score"), F.col("score")).desc_nulls_last(), "doc_pos")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "doc_pos", "score")

@@ -1,11 +1,13 @@
 """The queries of the retrieval operators over the driver's tables, and the same in DuckDB's SQL.
 
 Protocol V: queries are the vectors whose id is divisible by 20, documents all vectors; relevant to a query are the vectors of its label with ids at most 50 away, but itself, of grade 2 if the ids differ by an even number and else 1.
-Protocol T: queries are the first lines of the documents whose id is divisible by 20, documents all documents, both encoded by digests.
+Protocol T: queries are the documents whose id is divisible by 20, documents all documents, both encoded by digests of their whole texts.
+Protocol F: as T, but written to files as a collection and read back.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +19,9 @@ from tessera.functions.vectors import inner_product, l2_normalize, norm
 from tessera.operators import adapt, metrics
 from tessera.operators.encoders import HashEncoder, hash_words
 from tessera.operators.search import search
+from tessera.plans import pipelines
 from tessera.sources import beir, store
+from tessera.sources.files import shared_folder
 
 WIDTH = 64
 
@@ -64,7 +68,7 @@ def qrels_parse(spark, sf_dir):
 
 def _dataset(spark, sf_dir) -> beir.Dataset:
     documents = _table(spark, sf_dir, "documents")
-    queries = documents.where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.substring_index("text", "\n", 1).alias("query_text"), F.col("doc_id").alias("pos"))
+    queries = documents.where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("query_text"), F.col("doc_id").alias("pos"))
     corpus = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("title"), "text", F.col("doc_id").alias("pos"))
     qrels = beir.parse_qrels(_label_lines(spark, sf_dir))
     return beir.Dataset("labelled", beir.assemble(queries, qrels), corpus, qrels)
@@ -76,7 +80,8 @@ def dataset_assemble(spark, sf_dir):
 
 def validate_missing(spark, sf_dir):
     whole = _dataset(spark, sf_dir)
-    return beir.Dataset("cut", whole.queries.where("pos % 40 <> 0"), whole.corpus.where("title <> 'fr'"), whole.qrels).problems()
+    kept = whole.queries.where("pos % 40 <> 0")
+    return beir.Dataset("cut", kept.unionByName(kept.where("pos % 100 = 20")), whole.corpus.where("title <> 'fr'"), whole.qrels).problems()
 
 
 def sanitize_template_e5(spark, sf_dir):
@@ -99,13 +104,13 @@ def hash_words_query(spark, sf_dir):
 def hash_encode(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
     out = HashEncoder(WIDTH).encode(rows, "document")
-    return out.select(F.col("pos").alias("doc_id"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in (*range(8), 63)])
+    return out.select(F.col("pos").alias("doc_id"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
 
 
 def l2_normalize_query(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") * (F.col("vec_id") % 7)).cast("float")).alias("v"))
     unit = rows.select("vec_id", l2_normalize(F.col("v")).alias("u"))
-    return unit.select("vec_id", F.round(norm(F.col("u")), 4).alias("norm"), *[F.round(F.get("u", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in (0, 31, 63)])
+    return unit.select("vec_id", F.round(norm(F.col("u")), 4).alias("norm"), *[F.round(F.get("u", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
 
 
 def inner_product_query(spark, sf_dir):
@@ -121,9 +126,8 @@ def topk_exact(spark, sf_dir):
 
 def topk_text_ties(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
-    queries = documents.where("pos % 20 = 0").withColumn("text", F.substring_index("text", "\n", 1))
     encoder = HashEncoder(WIDTH)
-    return _ranked(search(encoder.encode(queries, "query"), encoder.encode(documents, "document"), 10)).drop("score")
+    return _ranked(search(encoder.encode(documents.where("pos % 20 = 0"), "query"), encoder.encode(documents, "document"), 10)).drop("score")
 
 
 def topk_k_exceeds_n(spark, sf_dir):
@@ -133,11 +137,13 @@ def topk_k_exceeds_n(spark, sf_dir):
 
 
 def topk_nan_last(spark, sf_dir):
-    queries, _, _ = _vectors(spark, sf_dir)
-    few = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    spoilt = F.transform("embedding", lambda x, i: F.when((F.col("label") % 3 == 0) & (i == 0), F.lit(float("nan")).cast("float")).otherwise(x))
-    hits = search(queries, few.select(F.col("label").cast("string").alias("id"), F.col("label").alias("pos"), spoilt.alias("embedding")), 50)
-    return _ranked(hits).withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    """Of 50 documents one is as it is, two are zeros of either sign, and the rest hold a NaN."""
+    queries, documents, _ = _vectors(spark, sf_dir)
+    kind = F.col("pos") % 50
+    zero = F.when(kind == 2, -0.0).otherwise(0.0).cast("float")
+    spoilt = F.transform("embedding", lambda x, i: F.when(kind == 1, x).when(kind.isin(2, 3), zero).when(i == 0, F.lit(float("nan")).cast("float")).otherwise(x))
+    hits = search(queries, documents.withColumn("embedding", spoilt), 50)
+    return _ranked(hits).withColumn("score", F.when(~F.isnan("score"), F.col("score") + 0.0))
 
 
 def doc_prefix_limit(spark, sf_dir):
@@ -176,11 +182,12 @@ def ideal_dcg(spark, sf_dir):
 
 
 def search_k_invariance(spark, sf_dir):
+    """The metrics at a search depth below and above the one that they need."""
     queries, documents, qrels = _vectors(spark, sf_dir)
-    judged = queries.select(F.col("id").alias("query_id")).join(qrels, "query_id", "left_semi")
-    rows = [metrics.summarise(metrics.per_query(search(queries, documents, max(k, 10)), qrels, judged, (5, 10)), (5, 10)) for k in (3, 25)]
-    moved = metrics.metric_delta(*rows)
-    return moved.select("metric", F.round("delta", 9).alias("delta"))
+    judged = queries.join(qrels.select(F.col("query_id").alias("id")), "id", "left_semi")
+    whole = beir.Dataset("vectors", judged, documents, qrels)
+    found = [(k, m, round(float(v), 6)) for k in (3, 25) for m, v in pipelines.evaluate_baseline(whole, judged, documents, k).items()]
+    return spark.createDataFrame(found, "search_k int, metric string, value double")
 
 
 def _pairs(spark, sf_dir, width: int = WIDTH):
@@ -196,9 +203,14 @@ def ridge_cross(spark, sf_dir):
     return adapt.moments(_pairs(spark, sf_dir), WIDTH, WIDTH).where("kind = 'cross'").select("i", "j", F.round("value", 5).alias("value"))
 
 
+def _with_strangers(qrels: DataFrame) -> DataFrame:
+    """Each query is judged to need a document that isn't there, too."""
+    return qrels.unionByName(qrels.select("query_id", F.lit("nowhere").alias("doc_id"), F.lit(2).alias("score"), F.lit(-1).cast("long").alias("pos")).distinct())
+
+
 def gold_centroid(spark, sf_dir):
     queries, documents, qrels = _vectors(spark, sf_dir)
-    pairs = adapt.gold_pairs(queries, documents, qrels, queries.where("pos % 40 = 0").select("id"))
+    pairs = adapt.gold_pairs(documents, documents, _with_strangers(qrels), queries.select("id"))
     return pairs.select("id", F.posexplode("target").alias("i", "x")).select("id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
@@ -207,14 +219,22 @@ def ridge_fit_2d(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(w[i, j]), 4)) for i in range(2) for j in range(2)], "i int, j int, w double")
 
 
-def ridge_residual(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    w = adapt.ridge_map(pairs, 0.01).astype(float)
-    found = {"gram": np.zeros((WIDTH, WIDTH)), "cross": np.zeros((WIDTH, WIDTH))}
-    for r in adapt.moments(pairs, WIDTH, WIDTH).collect():
-        found[r["kind"]][r["i"], r["j"]] = r["value"]
-    off = np.abs((found["gram"] + 0.01 * np.eye(WIDTH)) @ w - found["cross"]).max()
-    return spark.createDataFrame([(bool(off < 1e-3 * max(np.abs(found["cross"]).max(), 1)),)], "solved boolean")
+def _weights(spark: SparkSession, w: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, j, round(float(x), 4)) for (i, j), x in np.ndenumerate(w)], "i int, j int, w double")
+
+
+def ridge_fit(spark, sf_dir):
+    return _weights(spark, adapt.ridge_map(_pairs(spark, sf_dir), 0.01))
+
+
+def fit_corpus_alignment(spark, sf_dir):
+    _, documents, _ = _vectors(spark, sf_dir)
+    return _weights(spark, adapt.fit_corpus_alignment(documents.where("pos % 3 <> 0"), documents.withColumn("embedding", F.reverse("embedding"))).weights)
+
+
+def fit_gold_supervised(spark, sf_dir):
+    queries, documents, qrels = _vectors(spark, sf_dir)
+    return _weights(spark, adapt.fit_gold_supervised(documents, documents, _with_strangers(qrels), queries.select("id")).weights)
 
 
 def _turn(normalize: bool) -> adapt.LinearQueryCalibrator:
@@ -261,13 +281,113 @@ def adapter_detect(spark, sf_dir):
     return spark.createDataFrame([(n, tx.adapter_of(n)) for n in names], "model string, adapter string")
 
 
+def _collection(spark: SparkSession, sf_dir: str, qrels: DataFrame) -> str:
+    """Write protocol F's files, with qrels (value, pos) below a header -> the root folder; the collection's name is "written".
+
+    Ids are under either key, every tenth document is there twice, every seventh has a null title, and there are blank lines.
+    """
+    root = f"{shared_folder(spark)}/tessera-collections/{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("title"), "text")
+    name, even = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    ids = [F.when(even, name).alias("_id"), F.when(~even, name).alias("id")]
+
+    def write(parts: list[DataFrame], path: str) -> None:
+        lines = [p.select(F.lit(n).alias("part"), p.columns[0], "value") for n, p in enumerate(parts)]
+        whole = lines[0]
+        for more in lines[1:]:
+            whole = whole.union(more)
+        whole.orderBy(*whole.columns[:2]).select("value").write.text(f"{root}/written/{path}")
+
+    first = rows.select("doc_id", F.to_json(F.struct(*ids, "title", "text")).alias("value"))
+    blank = rows.where("doc_id % 5 = 0").select("doc_id", F.lit(" ").alias("value"))
+    again = rows.where("doc_id % 10 = 0").select("doc_id", F.to_json(F.struct(*ids, F.lit("again").alias("title"), "text")).alias("value"))
+    write([first, blank, again], "corpus.jsonl")
+    asked = rows.where("doc_id % 20 = 0")
+    under = [F.when(F.col("doc_id") % 40 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 40 != 0, F.col("text")).alias("query")]
+    write([asked.select("doc_id", F.to_json(F.struct(*ids, *under)).alias("value"))], "queries.jsonl")
+    header = spark.createDataFrame([(0, "query-id\tcorpus-id\tscore")], "pos long, value string")
+    write([header, qrels.select("pos", "value")], "qrels/test.tsv")
+    return root
+
+
+def collection_corpus(spark, sf_dir):
+    return beir.load_corpus(spark, "written", _collection(spark, sf_dir, _label_lines(spark, sf_dir)))
+
+
+def collection_dataset(spark, sf_dir):
+    found = beir.load_dataset(spark, "Written", _collection(spark, sf_dir, _label_lines(spark, sf_dir)))
+    return found.samples().select("query_id", "query_text", F.array_join("relevant_doc_ids", ",").alias("relevant"), "pos")
+
+
+def encode_and_evaluate(spark, sf_dir):
+    """The commands encode-dataset and evaluate, over the positive judgments."""
+    root = _collection(spark, sf_dir, _label_lines(spark, sf_dir).where("get(split(value, '\t'), 2) > 0"))
+    made = pipelines.encode_dataset(spark, "written", "hash", root, cache_root=f"{root}/cache")
+    found = pipelines.evaluate(spark, made["cache"], root, results_root=f"{root}/results")
+    rows = [(m, round(float(v), 6)) for m, v in found.items() if "@" in m or m == "num_queries"]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+def store_round_trip(spark, sf_dir):
+    queries, documents, _ = _vectors(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/tessera-stores/{uuid.uuid4().hex}"
+    store.save_store(spark, folder, queries, documents, {"dimension": WIDTH})
+    queries, documents, manifest = store.load_store(spark, folder)
+    both = queries.withColumn("side", F.lit("query")).unionByName(documents.withColumn("side", F.lit("document")))
+    number = F.when(F.col("side") == "query", manifest["n_queries"]).otherwise(manifest["n_documents"])
+    return both.select("side", "id", "pos", number.cast("long").alias("n"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
+
+
+def calibrator_round_trip(spark, sf_dir):
+    queries, _, _ = _vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/tessera-stores/{uuid.uuid4().hex}"
+    _turn(True).save(spark, path, note="turned")
+    out = adapt.LinearQueryCalibrator.load(spark, path).transform(queries)
+    return out.select("id", F.posexplode("embedding").alias("i", "x")).select("id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def encode_resumed(spark, sf_dir):
+    """Half of the documents are encoded, then all: a text is stored once."""
+    path = f"{shared_folder(spark)}/tessera-stores/{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), "text")
+    encode = HashEncoder(WIDTH).encode
+    store.encode_with_resume(spark, encode, rows.where("pos % 2 = 0"), "document", path)
+    out = store.encode_with_resume(spark, encode, rows, "document", path, chunks=2)
+    times = spark.read.parquet(path).groupBy("text_key").agg(F.count(F.lit(1)).alias("n_stored"))
+    out = out.join(store.with_key(rows).select("id", "text_key"), "id").join(times, "text_key")
+    return out.select(F.col("pos").alias("doc_id"), "n_stored", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
+
+
+def search_cells(spark, sf_dir):
+    """Exact search where the queries are too many to send to every task."""
+    queries, documents, _ = _vectors(spark, sf_dir)
+    return _ranked(search(queries, documents, 10, broadcast_bytes=0, query_rows=16, doc_rows=100))
+
+
+def order_digests(spark, sf_dir):
+    """Whether two lists' digests agree: one in another order of rows, with two ids exchanged, and with the last row gone."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"))
+    swapped = rows.select("pos", F.when(F.col("pos") == 0, "1").when(F.col("pos") == 1, "0").otherwise(F.col("id")).alias("id"))
+    cases = {"dealt": rows.repartition(3, "id"), "swapped": swapped, "cut": rows.where(F.col("pos") < rows.agg(F.max("pos")).first()[0])}
+    whole = store.order_digest(rows)
+    found = [(name, n, (n, digest) == whole) for name, df in cases.items() for n, digest in [store.order_digest(df)]]
+    return spark.createDataFrame(found, "moved string, n long, same boolean")
+
+
+def template_others(spark, sf_dir):
+    rows, t = _table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    cases = {"gte_query": ("gte", "query", "find it"), "plain_query": ("sentence-transformers", "query", None), "told_query": ("sentence-transformers", "query", "find it: "), "told_document": ("sentence-transformers", "document", "find it: ")}
+    return rows.select("doc_id", *[tx.template(adapter, t, kind, told).alias(name) for name, (adapter, kind, told) in cases.items()])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     {"hash_words_query": "hash_words", "l2_normalize_query": "l2_normalize", "inner_product_query": "inner_product"}.get(f.__name__, f.__name__): f
     for f in (
         corpus_text, dedupe_first_pos_last_value, qrels_parse, dataset_assemble, validate_missing, sanitize_template_e5, sanitize_template_qwen3, hash_words_query, hash_encode,
         l2_normalize_query, inner_product_query, topk_exact, topk_text_ties, topk_k_exceeds_n, topk_nan_last, doc_prefix_limit, metrics_per_query, metrics_baseline,
-        metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit_2d, ridge_residual, calibrate_transform,
+        metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit_2d, ridge_fit, fit_corpus_alignment, fit_gold_supervised, calibrate_transform,
         calibrated_metrics_delta, resume_missing, order_consistency, cache_fingerprint, adapter_detect,
+        collection_corpus, collection_dataset, encode_and_evaluate, store_round_trip, calibrator_round_trip, encode_resumed, search_cells, order_digests, template_others,
     )
 }
 
@@ -311,6 +431,8 @@ def _summary(hits: str) -> str:
 
 
 _TEXT = "coalesce(text, '')"
+#: What protocol F's documents are encoded from.
+_DOCUMENT_TEXT = r"regexp_replace(CASE WHEN doc_id % 10 = 0 THEN 'again' WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(lang, '') END || chr(10) || coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 _TEMPLATE_ROWS = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN '[EMPTY]' ELSE text END AS t FROM documents)"
 _WORD = "('0x' || substr(h, {a} + 7, 2) || substr(h, {a} + 5, 2) || substr(h, {a} + 3, 2) || substr(h, {a} + 1, 2))::BIGINT"
 _WORDS = ", ".join(f"{_WORD.format(a=8 * i)} AS w{i}" for i in range(8))
@@ -324,11 +446,28 @@ def _hash_vectors(kind: str, text: str, where: str = "") -> str:
     return f"(SELECT doc_id AS vec_id, [{unit}] AS v FROM ({_HASHED.format(words=_WORDS, kind=kind, text=text, where=where)}))"
 
 
+def _components(vector: str) -> str:
+    return ", ".join(f"round({vector}[{i + 1}], 5) AS x{i}" for i in range(WIDTH))
+
+
+#: A digest's eight numbers, repeated to the width.
+_HASH_COLUMNS = ", ".join(f"round(v[{i % 8 + 1}], 5) AS x{i}" for i in range(WIDTH))
 _LABEL_RELS = "(SELECT doc_id - doc_id % 20 AS qid, doc_id AS did, quality FROM labels)"
 _TURNED = "(SELECT vec_id, list_transform(w, lambda x: (x / sqrt(list_inner_product(w, w)))::FLOAT::DOUBLE) AS v FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: (v[65 - i] * (1 + (i - 1) / 64.0::DOUBLE))::FLOAT::DOUBLE) AS w FROM q))"
 _FEW = "few AS (SELECT label AS vec_id, arg_min(embedding, vec_id) AS v0 FROM embeddings GROUP BY label)"
 _MOMENT = "SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(sum(a * b), 5) AS value FROM (SELECT i, j, v[i] AS a, v[{j}] AS b FROM e, range(1, 65) r(i), range(1, 65) s(j)) GROUP BY i, j"
 _DELTA = "unnest([('HitRate@5', b.hit_5 - a.hit_5), ('Recall@5', b.recall_5 - a.recall_5), ('HitRate@10', b.hit_10 - a.hit_10), ('Recall@10', b.recall_10 - a.recall_10), ('MRR@10', b.rr - a.rr), ('NDCG@10', b.ndcg - a.ndcg)])"
+#: The ridge map of pairs p (s, t), by elimination over the rows of (S'S + 0.01 I | S'T).
+_SOLVED = """
+    system AS (SELECT i, j, sum(s[i] * st[j]) + CASE WHEN i = j THEN 0.01::DOUBLE ELSE 0 END AS x FROM (SELECT s, list_concat(s, t) AS st FROM p), range(1, 65) a(i), range(1, 129) b(j) GROUP BY i, j),
+    steps AS (
+        SELECT 1 AS k, i, j, x FROM system
+        UNION ALL
+        SELECT r.k + 1, r.i, r.j, CASE WHEN r.i = r.k THEN r.x / d.x ELSE r.x - f.x * p.x / d.x END
+        FROM steps r JOIN steps p ON p.i = r.k AND p.j = r.j JOIN steps f ON f.i = r.i AND f.j = r.k JOIN steps d ON d.i = r.k AND d.j = r.k WHERE r.k <= 64
+    )
+    SELECT (i - 1)::INT AS i, (j - 65)::INT AS j, round(x::FLOAT::DOUBLE, 4) AS w FROM steps WHERE k = 65 AND j > 64"""
+_METRIC_ROWS = "unnest([('num_queries', num_queries), ('HitRate@5', hit_5), ('Recall@5', recall_5), ('HitRate@10', hit_10), ('Recall@10', recall_10), ('MRR@10', mrr), ('NDCG@10', ndcg)])"
 _MEANS = "SELECT avg(hit_5) AS hit_5, avg(recall_5) AS recall_5, avg(hit_10) AS hit_10, avg(recall_10) AS recall_10, avg(rr) AS rr, avg(ndcg) AS ndcg FROM "
 
 ORACLES: dict[str, str] = {
@@ -336,51 +475,81 @@ ORACLES: dict[str, str] = {
     "dedupe_first_pos_last_value": "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, min(turn) AS pos FROM conversations GROUP BY conv_id",
     "qrels_parse": f"SELECT qid::VARCHAR AS query_id, did::VARCHAR AS doc_id, quality AS score, did AS pos FROM {_LABEL_RELS}",
     "dataset_assemble": f"""
-        SELECT d.doc_id::VARCHAR AS query_id, string_split(d.text, chr(10))[1] AS query_text, coalesce(string_agg(CASE WHEN quality > 0 THEN did::VARCHAR END, ',' ORDER BY did), '') AS relevant, min(did) AS pos
+        SELECT d.doc_id::VARCHAR AS query_id, d.text AS query_text, coalesce(string_agg(CASE WHEN quality > 0 THEN did::VARCHAR END, ',' ORDER BY did), '') AS relevant, min(did) AS pos
         FROM documents d JOIN {_LABEL_RELS} r ON r.qid = d.doc_id GROUP BY d.doc_id, d.text""",
     "validate_missing": f"""
         WITH kept AS (SELECT qid, min(did) AS pos FROM {_LABEL_RELS} GROUP BY qid HAVING min(did) % 40 <> 0)
         SELECT DISTINCT 'unknown query' AS problem, qid::VARCHAR AS id FROM {_LABEL_RELS} WHERE qid NOT IN (SELECT qid FROM kept)
         UNION ALL
+        SELECT 'repeated query', qid::VARCHAR FROM kept WHERE pos % 100 = 20
+        UNION ALL
         SELECT 'missing document', did::VARCHAR FROM {_LABEL_RELS} WHERE quality > 0 AND did NOT IN (SELECT doc_id FROM documents WHERE lang <> 'fr')""",
     "sanitize_template_e5": f"SELECT doc_id, 'query: ' || t AS as_query, 'passage: ' || t AS as_document FROM {_TEMPLATE_ROWS}",
     "sanitize_template_qwen3": f"SELECT doc_id, 'Instruct: find it' || chr(10) || 'Query:' || t AS as_query, t AS as_document FROM {_TEMPLATE_ROWS}",
     "hash_words": _HASHED.format(words=_WORDS, kind="document", text="coalesce(text, '')", where=""),
-    "hash_encode": f"SELECT vec_id AS doc_id, {', '.join(f'round(v[{i + 1}], 5) AS x{i}' for i in range(8))}, round(v[8], 5) AS x63 FROM {_hash_vectors('document', _TEXT)}",
-    "l2_normalize": """
+    "hash_encode": f"SELECT vec_id AS doc_id, {_HASH_COLUMNS} FROM {_hash_vectors('document', _TEXT)}",
+    "l2_normalize": f"""
         WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE * (vec_id % 7))::FLOAT::DOUBLE) AS v FROM embeddings),
         u AS (SELECT vec_id, list_transform(v, lambda x: (x / greatest(sqrt(list_inner_product(v, v)), 1e-12))::FLOAT::DOUBLE) AS u FROM s)
-        SELECT vec_id, round(sqrt(list_inner_product(u, u)), 4) AS norm, round(u[1], 5) AS x0, round(u[32], 5) AS x31, round(u[64], 5) AS x63 FROM u""",
+        SELECT vec_id, round(sqrt(list_inner_product(u, u)), 4) AS norm, {_components("u")} FROM u""",
     "inner_product": f"WITH {_V} SELECT a.vec_id, round(list_inner_product(a.v, b.v), 6) AS product FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
     "topk_exact": f"WITH {_V} SELECT qid::VARCHAR AS query_id, rank, did::VARCHAR AS doc_id, round(score::DOUBLE, 5) AS score FROM {_hits('q', 'e', 10)}",
     "topk_text_ties": f"""
-        WITH a AS {_hash_vectors("query", "string_split(coalesce(text, ''), chr(10))[1]", "WHERE doc_id % 20 = 0")}, b AS {_hash_vectors("document", "coalesce(text, '')")},
+        WITH a AS {_hash_vectors("query", _TEXT, "WHERE doc_id % 20 = 0")}, b AS {_hash_vectors("document", _TEXT)},
         a8 AS (SELECT vec_id, list_transform(v, lambda x: 8 * x) AS v FROM a)
         SELECT qid::VARCHAR AS query_id, rank, did::VARCHAR AS doc_id FROM {_hits("a8", "b", 10)}""",
     "topk_k_exceeds_n": f"WITH {_V}, {_FEW}, f AS (SELECT vec_id, list_transform(v0, lambda x: x::DOUBLE) AS v FROM few) SELECT qid::VARCHAR AS query_id, rank, did::VARCHAR AS doc_id, round(score::DOUBLE, 5) AS score FROM {_hits('q', 'f', 50)}",
     "topk_nan_last": f"""
-        WITH {_V}, {_FEW}, f AS (SELECT vec_id, list_transform(v0, lambda x: x::DOUBLE) AS v FROM few),
-        s AS (SELECT q.vec_id AS qid, f.vec_id AS did, CASE WHEN f.vec_id % 3 <> 0 THEN list_inner_product(q.v, f.v)::FLOAT END AS score FROM q, f)
-        SELECT qid::VARCHAR AS query_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, did) AS rank, did::VARCHAR AS doc_id, round(score::DOUBLE, 5) AS score FROM s""",
+        WITH {_V}, s AS (SELECT q.vec_id AS qid, e.vec_id AS did, CASE WHEN e.vec_id % 50 = 1 THEN list_inner_product(q.v, e.v)::FLOAT WHEN e.vec_id % 50 IN (2, 3) THEN 0::FLOAT END AS score FROM q, e)
+        SELECT qid::VARCHAR AS query_id, rank, did::VARCHAR AS doc_id, round(score::DOUBLE, 5) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, did) AS rank FROM s) WHERE rank <= 50""",
     "doc_prefix_limit": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100",
     "metrics_per_query": f"WITH {_V} SELECT qid::VARCHAR AS query_id, hit_5, round(recall_5, 6) AS recall_5, hit_10, round(recall_10, 6) AS recall_10, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM {_per_query(_hits('q', 'e', 10))}",
     "metrics_baseline": f"WITH {_V} {_summary(_hits('q', 'e', 10))}",
     "metrics_missing_relevant": f"WITH {_V}, d AS (SELECT * FROM e WHERE vec_id % 3 <> 0) {_summary(_hits('q', 'd', 10))}",
     "ideal_dcg": f"WITH {_V} SELECT qid::VARCHAR AS query_id, n_relevant, round(idcg, 6) AS idcg FROM ideal",
-    "search_k_invariance": "SELECT unnest(['HitRate@5', 'Recall@5', 'HitRate@10', 'Recall@10', 'MRR@10', 'NDCG@10']) AS metric, 0.0::DOUBLE AS delta",
+    "search_k_invariance": f"WITH {_V}, m AS ({_summary(_hits('q', 'e', 10))}) SELECT k::INT AS search_k, x[1] AS metric, x[2]::DOUBLE AS value FROM (SELECT {_METRIC_ROWS} AS x FROM m), (SELECT unnest([3, 25]) AS k)",
     "ridge_gram": f"WITH {_V} {_MOMENT.format(j='j')}",
     "ridge_cross": f"WITH {_V} {_MOMENT.format(j='65 - j')}",
     "gold_centroid": f"""
         WITH {_V} SELECT qid::VARCHAR AS id, (i - 1)::INT AS i, round((sum(grade * v[i]) / sum(grade))::FLOAT::DOUBLE, 5) AS x
-        FROM rel JOIN e ON e.vec_id = rel.did, range(1, 65) r(i) WHERE qid % 40 = 0 GROUP BY qid, i""",
+        FROM rel JOIN e ON e.vec_id = rel.did, range(1, 65) r(i) GROUP BY qid, i""",
     "ridge_fit_2d": f"""
         WITH {_V}, m AS (
             SELECT sum(v[1] * v[1]) + 0.01 AS a, sum(v[1] * v[2]) AS b, sum(v[2] * v[2]) + 0.01 AS d, sum(v[1] * v[64]) AS p, sum(v[1] * v[63]) AS q, sum(v[2] * v[64]) AS r, sum(v[2] * v[63]) AS s FROM e
         )
         SELECT unnest([0, 0, 1, 1])::INT AS i, unnest([0, 1, 0, 1])::INT AS j,
                round(unnest([d * p - b * r, d * q - b * s, a * r - b * p, a * s - b * q]) / (a * d - b * b), 4)::DOUBLE AS w FROM m""",
-    "ridge_residual": "SELECT true AS solved",
+    "ridge_fit": f"WITH RECURSIVE {_V}, p AS (SELECT v AS s, list_reverse(v) AS t FROM e), {_SOLVED}",
+    "fit_corpus_alignment": f"WITH RECURSIVE {_V}, p AS (SELECT v AS s, list_reverse(v) AS t FROM e WHERE vec_id % 3 <> 0), {_SOLVED}",
+    "fit_gold_supervised": f"""
+        WITH RECURSIVE {_V}, c AS (SELECT qid, i, (sum(grade * v[i]) / sum(grade))::FLOAT::DOUBLE AS x FROM rel JOIN e ON e.vec_id = rel.did, range(1, 65) r(i) GROUP BY qid, i),
+        p AS (SELECT any_value(q.v) AS s, list(x ORDER BY i) AS t FROM c JOIN q ON q.vec_id = c.qid GROUP BY qid), {_SOLVED}""",
     "calibrate_transform": f"WITH {_V} SELECT vec_id::VARCHAR AS id, (i - 1)::INT AS i, round(v[i], 5) AS x FROM {_TURNED}, range(1, 65) r(i)",
+    "calibrator_round_trip": f"WITH {_V} SELECT vec_id::VARCHAR AS id, (i - 1)::INT AS i, round(v[i], 5) AS x FROM {_TURNED}, range(1, 65) r(i)",
+    "collection_corpus": """
+        SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'again' WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(lang, '') END AS title, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) - 1 AS pos
+        FROM documents""",
+    "collection_dataset": f"""
+        SELECT d.doc_id::VARCHAR AS query_id, coalesce(d.text, '') AS query_text, coalesce(string_agg(CASE WHEN quality > 0 THEN did::VARCHAR END, ',' ORDER BY did), '') AS relevant, min(line) AS pos
+        FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY did) AS line FROM {_LABEL_RELS}) r ON r.qid = d.doc_id GROUP BY d.doc_id, d.text""",
+    "encode_and_evaluate": f"""
+        WITH rel AS (SELECT qid, did, quality AS grade FROM {_LABEL_RELS} WHERE quality > 0),
+        ideal AS (
+            SELECT qid, count(*) AS n_relevant, sum(CASE WHEN r <= 10 THEN (2 ** grade - 1) / log2(r + 1) END) AS idcg
+            FROM (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS r FROM rel) GROUP BY qid
+        ),
+        a AS {_hash_vectors("query", _TEXT, "WHERE doc_id IN (SELECT qid FROM rel)")}, b AS {_hash_vectors("document", _DOCUMENT_TEXT)},
+        a8 AS (SELECT vec_id, list_transform(v, lambda x: 8 * x) AS v FROM a), m AS ({_summary(_hits("a8", "b", 10))})
+        SELECT x[1] AS metric, x[2]::DOUBLE AS value FROM (SELECT {_METRIC_ROWS} AS x FROM m)""",
+    "store_round_trip": f"""
+        WITH {_V} SELECT side, vec_id::VARCHAR AS id, vec_id AS pos, count(*) OVER (PARTITION BY side) AS n, {_components("v")} FROM (SELECT 'query' AS side, vec_id, v FROM q UNION ALL SELECT 'document', vec_id, v FROM e)""",
+    "encode_resumed": f"SELECT vec_id AS doc_id, 1::BIGINT AS n_stored, {_HASH_COLUMNS} FROM {_hash_vectors('document', _TEXT)}",
+    "search_cells": f"WITH {_V} SELECT qid::VARCHAR AS query_id, rank, did::VARCHAR AS doc_id, round(score::DOUBLE, 5) AS score FROM {_hits('q', 'e', 10)}",
+    "order_digests": """
+        SELECT 'dealt' AS moved, count(*) AS n, true AS same FROM documents UNION ALL SELECT 'swapped', count(*), false FROM documents
+        UNION ALL SELECT 'cut', count(*), false FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents)""",
+    "template_others": f"SELECT doc_id, {_TEXT} AS gte_query, {_TEXT} AS plain_query, 'find it: ' || {_TEXT} AS told_query, {_TEXT} AS told_document FROM documents",
     "calibrated_metrics_delta": f"""
         WITH {_V}, turned AS {_TURNED}, a AS ({_MEANS} {_per_query(_hits('q', 'e', 10))}), b AS ({_MEANS} {_per_query(_hits('turned', 'e', 10))})
         SELECT m[1] AS metric, round(m[2], 6)::DOUBLE AS delta FROM (SELECT {_DELTA} AS m FROM a, b)""",

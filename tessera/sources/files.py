@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +13,16 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from spark.checkpoint.dir. A local session without one gets a temporary folder; a cluster without one is refused."""
+    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)
