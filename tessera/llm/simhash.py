@@ -271,35 +271,47 @@ def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int, c
 
 
 def _node_pairs(sure: int, most: int, closest: bool):
-    """Over rows (node, key, known, fp), sorted by node: pairs_between() of keys, known being their class."""
+    """Over rows (node, key, known, fp), sorted by node: pairs_between() of keys, known being their class. With (home, twin, nodes) too, a pair that isn't sure is given once: in the first band node that both are in, home being this row's, and in one cell of that, where twins, other than 0, differ."""
 
-    def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+    def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray, home=None, twin=None, nodes=None) -> pd.DataFrame:
         edges = np.flatnonzero(node[1:] != node[:-1]) + 1
         starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(node)]])
         out = [np.empty((3, 0), np.int64)]
         words = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+        bands = None if nodes is None else np.frombuffer(b"".join(nodes), ">i8").reshape(len(nodes), -1).T
+
+        def add(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+            if bands is not None:
+                first = np.full(len(a), -1)
+                for band in bands[::-1]:
+                    first = np.where(band[a] == band[b], band[a], first)
+                here = (apart <= sure) | (first == home[a]) & ((twin[a] == 0) | (twin[a] != twin[b]))
+                a, b, apart = a[here], b[here], apart[here]
+            out.append(np.stack([key[a], key[b], apart]))
+
         two = starts[stops - starts == 2]
         apart = np.bitwise_count(words[two] ^ words[two + 1]).sum(1, dtype=np.int64)
         near = (known[two] != known[two + 1]) & (apart <= most)
-        out.append(np.stack([key[two][near], key[two + 1][near], apart[near]]))
+        add(two[near], two[near] + 1, apart[near])
         for k in np.flatnonzero(stops - starts > 2):
             part = slice(starts[k], stops[k])
             _, first, place = np.unique(known[part], return_index=True, return_inverse=True)
             if len(first) > 1:
                 a, b, apart = pairs_between(words[part], first[place], sure, most, closest)
-                out.append(np.stack([key[part][a], key[part][b], apart]))
+                add(a + starts[k], b + starts[k], apart)
         a, b, apart = np.concatenate(out, axis=1)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart})
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.empty(0, np.int64)] * 3 + [np.empty(0, object)]
+        held = []
         for batch in batches:
-            held = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("node", "key", "known", "fp"), strict=True)]
+            rows = [batch[c].to_numpy() for c in batch.columns]
+            held = [np.concatenate(parts) for parts in zip(held, rows, strict=True)] if held else rows
             last = int(np.argmax(held[0] == held[0][-1])) if len(held[0]) else 0
             if last:
                 yield pairs_of(*(h[:last] for h in held))
                 held = [h[last:] for h in held]
-        if len(held[0]):
+        if held and len(held[0]):
             yield pairs_of(*held)
 
     return paired
@@ -346,7 +358,7 @@ def _pivot_links(rows: DataFrame, fps: DataFrame, sure: int) -> DataFrame:
 
 
 def _cells(rows: DataFrame, most: int) -> DataFrame:
-    """rows (node, key, known) of large nodes, known being their class -> the same, node being a cell of about `most` members: any two of a node that are of different classes meet in a cell.
+    """rows (node, key, known) of large nodes, known being their class -> (node, key, known, home, twin), node being a cell of about `most` members and home the node: any two of a node that are of different classes meet in a cell. Those that meet in several have the same twin in all of these but one, in which both have 0.
 
     A node's largest class and the rest of it are each dealt out by the key's hash into chunks; a cell holds one chunk of each, or two of the rest. So only the rest's number counts more than once.
     """
@@ -357,27 +369,33 @@ def _cells(rows: DataFrame, most: int) -> DataFrame:
     rows = rows.join(F.broadcast(staged(per, "large-nodes")), "node")
     core = F.col("known") == F.col("_common")
     rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("key", "node"), F.when(core, F.col("_c")).otherwise(F.col("_r"))).cast("int"))
-    cell = lambda x, y: F.xxhash64("node", x, y)
+    # Two of a chunk of the rest meet in each of its cells; that with the core's first chunk is the one that counts.
+    cell = lambda x, y, twin=0: F.struct(F.xxhash64("node", x, y).alias("node"), F.lit(twin).alias("twin"))
+    own = F.col("_chunk") + 1
     beside = F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda j: cell(F.col("_chunk"), F.col("_c") + j))
-    under = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda i: cell(i, F.col("_c") + F.col("_chunk")))
+    under = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda i: cell(i, F.col("_c") + F.col("_chunk"), F.when(i == 0, 0).otherwise(own)))
     others = F.filter(F.sequence(F.lit(0), F.col("_r") - 1), lambda j: j != F.col("_chunk"))
-    across = F.transform(others, lambda j: cell(F.col("_c") + F.least(j, "_chunk"), F.col("_c") + F.greatest(j, "_chunk")))
-    return rows.select(F.explode(F.when(core, beside).otherwise(F.concat(under, across))).alias("node"), "key", "known")
+    across = F.transform(others, lambda j: cell(F.col("_c") + F.least(j, "_chunk"), F.col("_c") + F.greatest(j, "_chunk"), own))
+    rows = rows.select(F.explode(F.when(core, beside).otherwise(F.concat(under, across))).alias("_cell"), "key", "known", F.col("node").alias("home"))
+    return rows.select("_cell.node", "key", "known", "home", "_cell.twin")
 
 
 def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, node: int, pivots: bool = False, closest: bool = False) -> DataFrame:
     """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells. closest: see pairs_between()."""
     rows = staged(_shared(distinct, bands), "shared")
-    fps = distinct.select("key", "fp")
+    # Where all unsure pairs are asked for, the members' band nodes go along, so that each pair is given once.
+    once = not pivots and not closest
+    packed = F.unhex(F.array_join(F.transform("nodes", lambda n: F.lpad(F.hex(n), 16, "0")), ""))
+    fps = distinct.select("key", "fp", *([packed.alias("nodes")] if once else []))
     large = rows.where(F.col("_size") > node)
-    rows = rows.where(F.col("_size") <= node).select("node", "key", "known")
+    rows = rows.where(F.col("_size") <= node).select("node", "key", "known", F.col("node").alias("home"), F.lit(0).alias("twin"))
     found = None
     if not large.isEmpty():
         if pivots:
             found = _pivot_links(large.select("node", "key", "_size"), fps, sure)
         else:
             rows = rows.unionByName(_cells(large.drop("_size"), node))
-    rows = rows.join(fps, "key").select("node", "key", "known", "fp").repartition("node").sortWithinPartitions("node")
+    rows = rows.join(fps, "key").select("node", "key", "known", "fp", *(["home", "twin", "nodes"] if once else [])).repartition("node").sortWithinPartitions("node")
     pairs = rows.mapInPandas(_node_pairs(sure, most, closest), "a long, b long, apart long").distinct()
     return staged(pairs if found is None else pairs.unionByName(found), "close-pairs")
 

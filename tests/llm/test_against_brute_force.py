@@ -384,6 +384,29 @@ def test_large_nodes_are_dealt_out_and_lose_nothing(spark):
     assert max(map(len, cells.values())) < 120
 
 
+def test_unsure_pairs_are_given_once(spark):
+    """Brute force over the shared nodes, with nodes dealt out in cells and without."""
+    rng = np.random.default_rng(17)
+    members, bands = 240, simhash.BANDS
+    words = rng.integers(0, 2**63, 16).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 63, (members, 16)).astype(np.uint64))
+    nodes = np.arange(bands) * 100 + rng.integers(0, 3, (members, bands))
+    known = np.where(np.arange(members) < 90, 0, np.arange(members))
+    rows = [(i, int(known[i]), words[i].tobytes(), nodes[i].tolist()) for i in range(members)]
+    distinct = spark.createDataFrame(rows, "key long, known long, fp binary, nodes array<long>")
+    pair = lambda a, b: int(np.bitwise_count(words[a] ^ words[b]).sum())
+    true = {(a, b, pair(a, b)) for a in range(members) for b in range(a + 1, members) if known[a] != known[b] and (nodes[a] == nodes[b]).any()}
+    for node in (1024, 16):
+        shared = simhash._close_pairs(distinct, list(range(bands)), 0, 1024, node)
+        assert {tuple(r) for r in shared.collect()} == true
+    # Before pairs are made distinct there are as many.
+    homes = distinct.select(simhash.F.explode("nodes").alias("node"), "key", "known")
+    packed = {i: nodes[i].astype(">i8").tobytes() for i in range(members)}
+    dealt = simhash._cells(homes, 16).toPandas().sort_values("node", kind="stable")
+    frame = dealt.assign(fp=[words[k].tobytes() for k in dealt["key"]], nodes=[packed[k] for k in dealt["key"]])[["node", "key", "known", "fp", "home", "twin", "nodes"]]
+    made = [tuple(r) for out in simhash._node_pairs(0, 1024, False)(iter([frame])) for r in out.itertuples(index=False)]
+    assert len(made) == len(set(made)) and set(made) == true
+
+
 RULES = [
     (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
     (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
