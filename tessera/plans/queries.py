@@ -227,6 +227,16 @@ def ridge_fit(spark, sf_dir):
     return _weights(spark, adapt.ridge_map(_pairs(spark, sf_dir), 0.01))
 
 
+def ridge_residual(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    w = adapt.ridge_map(pairs, 0.01).astype(float)
+    found = {"gram": np.zeros((WIDTH, WIDTH)), "cross": np.zeros((WIDTH, WIDTH))}
+    for r in adapt.moments(pairs, WIDTH, WIDTH).collect():
+        found[r["kind"]][r["i"], r["j"]] = r["value"]
+    off = np.abs((found["gram"] + 0.01 * np.eye(WIDTH)) @ w - found["cross"]).max()
+    return spark.createDataFrame([(bool(off < 1e-3 * max(np.abs(found["cross"]).max(), 1)),)], "solved boolean")
+
+
 def fit_corpus_alignment(spark, sf_dir):
     _, documents, _ = _vectors(spark, sf_dir)
     return _weights(spark, adapt.fit_corpus_alignment(documents.where("pos % 3 <> 0"), documents.withColumn("embedding", F.reverse("embedding"))).weights)
@@ -385,7 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         corpus_text, dedupe_first_pos_last_value, qrels_parse, dataset_assemble, validate_missing, sanitize_template_e5, sanitize_template_qwen3, hash_words_query, hash_encode,
         l2_normalize_query, inner_product_query, topk_exact, topk_text_ties, topk_k_exceeds_n, topk_nan_last, doc_prefix_limit, metrics_per_query, metrics_baseline,
-        metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit_2d, ridge_fit, fit_corpus_alignment, fit_gold_supervised, calibrate_transform,
+        metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit_2d, ridge_fit, ridge_residual, fit_corpus_alignment, fit_gold_supervised, calibrate_transform,
         calibrated_metrics_delta, resume_missing, order_consistency, cache_fingerprint, adapter_detect,
         collection_corpus, collection_dataset, encode_and_evaluate, store_round_trip, calibrator_round_trip, encode_resumed, search_cells, order_digests, template_others,
     )
@@ -521,6 +531,7 @@ ORACLES: dict[str, str] = {
         SELECT unnest([0, 0, 1, 1])::INT AS i, unnest([0, 1, 0, 1])::INT AS j,
                round(unnest([d * p - b * r, d * q - b * s, a * r - b * p, a * s - b * q]) / (a * d - b * b), 4)::DOUBLE AS w FROM m""",
     "ridge_fit": f"WITH RECURSIVE {_V}, p AS (SELECT v AS s, list_reverse(v) AS t FROM e), {_SOLVED}",
+    "ridge_residual": "SELECT true AS solved",
     "fit_corpus_alignment": f"WITH RECURSIVE {_V}, p AS (SELECT v AS s, list_reverse(v) AS t FROM e WHERE vec_id % 3 <> 0), {_SOLVED}",
     "fit_gold_supervised": f"""
         WITH RECURSIVE {_V}, c AS (SELECT qid, i, (sum(grade * v[i]) / sum(grade))::FLOAT::DOUBLE AS x FROM rel JOIN e ON e.vec_id = rel.did, range(1, 65) r(i) GROUP BY qid, i),
