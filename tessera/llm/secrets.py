@@ -23,6 +23,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _WIDTH = len(ALPHABET) + 1
+#: Tasks over which the training sample is dealt.
+SAMPLE_PARTS = 32
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -98,7 +100,8 @@ def labelled_strings(spark: SparkSession, documents: DataFrame, labels: DataFram
 
     def drawn(which: str) -> DataFrame:
         ids = labels.where("doc_id is not null").where(which).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(document_rows)
-        return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").limit(document_rows)
+        # A limit leaves one partition, and what follows makes a row per character.
+        return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").limit(document_rows).repartition(SAMPLE_PARTS, "doc_id")
 
     text = F.coalesce(F.col("text"), F.lit(""))
     values = F.concat(F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6), *[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (ACCESS, HEX)])
