@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Groups that hold more than one row in this many, or more than MOST rows, are joined by broadcast. By counting, there are fewer of them than this number or than rows / MOST.
@@ -77,3 +77,10 @@ def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str
     out = full.join(hot, key).unionByName(full.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
     extra = [f for f in groups.schema.fields if f.name != key]
     return out.unionByName(null.withColumns({f.name: F.lit(None).cast(f.dataType) for f in extra}))
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list, k: int, groups: int = 64) -> DataFrame:
+    """The first k rows of each key, with their place _n from 1. Each task holds at most a few rows of a key; they meet in groups of tasks first, so that no task gets a row of every task."""
+    part = Window.partitionBy(*keys, "_group").orderBy(*order)
+    rows = rows.withColumn("_group", F.spark_partition_id() % groups).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_group", "_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k)

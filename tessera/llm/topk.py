@@ -32,7 +32,7 @@ def scaled(vector: Column, scale: int) -> Column:
     return F.when(F.coalesce(finite, F.lit(False)), F.transform(vector, lambda x: whole(times(x))))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
+def vector_matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.concatenate([np.empty(0), *column.to_numpy()]).reshape(-1, width)
 
 
@@ -42,7 +42,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     def gram(batches):
         sums = np.zeros((width, width))
         for batch in batches:
-            x = _matrix(batch["v"], width)
+            x = vector_matrix(batch["v"], width)
             x = x[(np.abs(x) < 2.0**53).all(1)]
             sums += x.T @ x
         yield pd.DataFrame({"i": np.repeat(np.arange(width), width), "j": np.tile(np.arange(width), width), "x": sums.ravel()})
@@ -54,7 +54,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(sums)[1][:, ::-1]
 
 
-def _scores(q: np.ndarray, x: np.ndarray, exact: np.ndarray) -> np.ndarray:
+def pair_scores(q: np.ndarray, x: np.ndarray, exact: np.ndarray) -> np.ndarray:
     """The inner products of rows, where exact by Python's integers."""
     with np.errstate(all="ignore"):
         out = np.where(exact, 0.0, np.einsum("ij,ij->i", q, x)).astype(np.int64)
@@ -69,7 +69,7 @@ def best_of_cell(queries: pd.DataFrame, block: pd.DataFrame, basis: np.ndarray,
     if not len(queries) or not len(block):
         return pd.DataFrame({c: np.empty(0, np.int64) for c in ("qkey", "vkey", "score", "first")})
     width = len(basis)
-    q, x = _matrix(queries["v"], width), _matrix(block["v"], width)
+    q, x = vector_matrix(queries["v"], width), vector_matrix(block["v"], width)
     first = block["first"].to_numpy()
     least = queries["least"].to_numpy(float).copy()
     hits = np.empty((0, 3), np.int64)  # query, candidate, score
@@ -91,7 +91,7 @@ def best_of_cell(queries: pd.DataFrame, block: pd.DataFrame, basis: np.ndarray,
             if len(a) > bound.size // 8 and not huge.any():
                 scores = (q @ x[part].T)[a, b].astype(np.int64)
             else:
-                scores = _scores(q[a], x[part[b]], huge[a, b])
+                scores = pair_scores(q[a], x[part[b]], huge[a, b])
             reach = scores >= least[a]
             hits = np.vstack([hits, np.column_stack([a[reach], part[b[reach]], scores[reach]])])
             # Scores of one query, falling, then by first id. ~score falls where score rises, and never overflows.
