@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,22 @@ def widths(df: DataFrame, vector_col: str = "embedding") -> tuple[int | None, in
     return tuple(df.agg(F.min(F.size(vector_col)), F.max(F.size(vector_col))).first())
 
 
-def check_widths(queries: DataFrame, documents: DataFrame, vector_col: str = "embedding") -> int | None:
-    """The width that all vectors of both sides share, or ValueError. One pass over each side."""
-    found = {w for side in (queries, documents) for w in widths(side, vector_col) if w is not None}
+def sides(queries: DataFrame, documents: DataFrame, vector_col: str = "embedding") -> tuple[int, int, int | None]:
+    """The number of rows of either side, and the width that all vectors share, or ValueError. One pass over each side."""
+    seen = [side.agg(F.count(F.lit(1)), F.min(F.size(vector_col)), F.max(F.size(vector_col))).first() for side in (queries, documents)]
+    found = {w for s in seen for w in s[1:] if w is not None}
     if len(found) > 1:
         raise ValueError(f"vectors must be of one width, but there are widths from {min(found)} to {max(found)}")
-    return found.pop() if found else None
+    return seen[0][0], seen[1][0], found.pop() if found else None
+
+
+def check_widths(queries: DataFrame, documents: DataFrame, vector_col: str = "embedding") -> int | None:
+    """The width that all vectors of both sides share, or ValueError."""
+    return sides(queries, documents, vector_col)[2]
 
 
 def weighted_centroids(rows: DataFrame, key: str, weight: str, vector_col: str = "embedding") -> DataFrame:
-    """(key, vector): sum of weight * vector over sum of weight, per key. Sums are combined before the shuffle."""
-    parts = rows.select(key, F.col(weight).cast("double").alias("_w"), F.posexplode(vector_col).alias("_i", "_x"))
-    sums = parts.groupBy(key, "_i").agg((F.sum(F.col("_w") * F.col("_x")) / F.greatest(F.sum("_w"), F.lit(TINY))).alias("_x"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"].cast("float"))
-    return sums.groupBy(key).agg(ordered.alias(vector_col))
+    """(key, vector): sum of weight * vector over sum of weight, per key. Whole vectors are summed in each task and again after the shuffle: one row a key and task. Rows of no positive weight don't count, nor do keys that have no others."""
+    parts = rows.where(F.col(weight) > 0).select(key, array_to_vector(F.col(vector_col)).alias("_v"), F.col(weight).cast("double").alias("_w"))
+    means = parts.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+    return means.select(key, vector_to_array("_m").cast("array<float>").alias(vector_col))

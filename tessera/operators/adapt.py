@@ -9,12 +9,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import TINY, widths, weighted_centroids
-from tessera.sources.files import read_text, write_text
+from tessera.operators.blocks import solve, spans, to_matrix
+from tessera.sources.files import read_text, stored, write_text
 
+#: Rows and columns of a block of the moments: 512 KB.
+BLOCK = 256
 RESERVED = ("normalize", "method")
 
 
@@ -65,11 +70,12 @@ class LinearQueryCalibrator:
         return cls(np.array([r["row"] for r in rows], np.float32), found.get("normalize", True), found.get("method", "ridge"))
 
 
-def moments(pairs: DataFrame, width: int, target_width: int) -> DataFrame:
-    """pairs (source, target) -> (kind, i, j, value): the Gram matrix S'S and the cross moment S'T, summed in double.
+def moments(pairs: DataFrame, width: int, target_width: int, block: int = BLOCK) -> DataFrame:
+    """pairs (source, target) -> (kind, i, j, values): blocks of the Gram matrix S'S (those with i >= j) and the cross moment S'T, row by row, summed in double.
 
-    Each task multiplies its batches and sends on one matrix of each kind.
+    Each task multiplies its batches and sends on one row a block; whole blocks are added, in the tasks and after the shuffle.
     """
+    rows, columns = spans(width, block), spans(target_width, block)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram, cross, some = np.zeros((width, width)), np.zeros((width, target_width)), False
@@ -80,16 +86,29 @@ def moments(pairs: DataFrame, width: int, target_width: int) -> DataFrame:
                 gram += s.T @ s
                 cross += s.T @ t
         if some:
-            for kind, m in (("gram", gram), ("cross", cross)):
-                i, j = np.indices(m.shape)
-                yield pd.DataFrame({"kind": kind, "i": i.ravel(), "j": j.ravel(), "value": m.ravel()})
+            for kind, m, across in (("gram", gram, rows), ("cross", cross, columns)):
+                for i, (a, b) in enumerate(rows):
+                    for j, (c, d) in enumerate(across[: i + 1] if kind == "gram" else across):
+                        yield pd.DataFrame({"kind": [kind], "i": [i], "j": [j], "values": [m[a:b, c:d].ravel()]})
 
-    parts = pairs.select("source", "target").mapInPandas(sums, "kind string, i int, j int, value double")
-    return parts.groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
+    parts = pairs.select("source", "target").mapInPandas(sums, "kind string, i int, j int, values array<double>")
+    total = parts.groupBy("kind", "i", "j").agg(Summarizer.sum(array_to_vector("values")).alias("values"))
+    return total.withColumn("values", vector_to_array("values"))
 
 
-def ridge_map(pairs: DataFrame, alpha: float) -> np.ndarray:
-    """The float32 matrix W that solves (S'S + alpha I) W = S'T. Only the moments, width x width, come to the driver."""
+def cells(found: DataFrame, width: int, target_width: int, block: int = BLOCK) -> DataFrame:
+    """moments() -> (kind, i, j, value), a row per cell of both matrices."""
+    own = F.when(F.col("kind") == "gram", F.lit(width)).otherwise(F.lit(target_width))
+    across = F.least(F.lit(block), own - F.col("j") * block)
+    each = found.select("kind", F.col("i").alias("bi"), F.col("j").alias("bj"), across.alias("n"), F.posexplode("values").alias("at", "value"))
+    i, j = (F.col("bi") * block + F.expr("at div n")).cast("int"), (F.col("bj") * block + F.col("at") % F.col("n")).cast("int")
+    lower = each.select("kind", i.alias("i"), j.alias("j"), "value")
+    upper = each.where("kind = 'gram' and bi > bj").select("kind", j.alias("i"), i.alias("j"), "value")
+    return lower.unionByName(upper)
+
+
+def ridge_map(pairs: DataFrame, alpha: float, block: int = BLOCK) -> np.ndarray:
+    """The float32 matrix W that solves (S'S + alpha I) W = S'T. The system is solved over its blocks; the driver gets one of them at a time, and W."""
     if alpha < 0:
         raise ValueError("alpha must not be negative")
     r = pairs.agg(F.count(F.lit(1)).alias("n"), *[f(F.size(c)).alias(f"{n}_{c}") for c in ("source", "target") for n, f in (("min", F.min), ("max", F.max))]).first()
@@ -98,13 +117,24 @@ def ridge_map(pairs: DataFrame, alpha: float) -> np.ndarray:
     if any(r[f"min_{c}"] != r[f"max_{c}"] for c in ("source", "target")):
         raise ValueError("vectors must be of one width")
     width, target_width = r["min_source"], r["min_target"]
-    gram, cross = np.zeros((width, width)), np.zeros((width, target_width))
-    for row in moments(pairs, width, target_width).collect():
-        (gram if row["kind"] == "gram" else cross)[row["i"], row["j"]] = row["value"]
-    system = gram + alpha * np.eye(width)
-    if np.linalg.cond(system) > 1e12:
+    found = stored(moments(pairs, width, target_width, block), "moments")
+    sizes = [b - a for a, b in spans(width, block)]
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for kind, i, j, v in zip(batch["kind"], batch["i"], batch["j"], batch["values"], strict=True):
+                m = np.array(v, np.float64).reshape(sizes[i], -1)
+                if kind == "gram" and i == j:
+                    m = m + alpha * np.eye(len(m))
+                out.append(m.tobytes())
+            yield pd.DataFrame({"kind": batch["kind"], "i": batch["i"], "j": batch["j"], "m": out})
+
+    system = found.mapInPandas(packed, "kind string, i int, j int, m binary")
+    solved = solve(system.where("kind = 'gram'").drop("kind"), system.where("kind = 'cross'").drop("kind"), width, block)
+    if not solved.condition <= 1e12:
         warnings.warn("the system is close to singular; raise alpha", stacklevel=2)
-    return np.linalg.solve(system, cross).astype(np.float32)
+    return to_matrix(solved.x, width, target_width, block).astype(np.float32)
 
 
 def fit_corpus_alignment(sources: DataFrame, documents: DataFrame, alpha: float = 1e-2, normalize: bool = True) -> LinearQueryCalibrator:

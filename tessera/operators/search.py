@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import check_widths
+from tessera.functions.ranking import first_of_each
+from tessera.functions.vectors import sides
+from tessera.sources.files import stored
 
-#: Up to so many bytes of query vectors are sent to every task; beyond, queries and documents meet in cells.
+#: So many bytes of query vectors, a tile, are sent to every task at a time.
 BROADCAST_BYTES = 64 << 20
+#: One document in so many is searched first.
+PILOT = 64
 #: Scores are made for so many queries and documents at a time, 32 MB.
 QUERY_TILE, DOC_TILE = 1024, 4096
 _HITS = "query_id string, doc_id string, doc_pos long, score float"
@@ -23,24 +27,28 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 class _Best:
-    """The k best documents of each query so far: by score, NaN last, then by position. Scores are made and held in tiles of bounded size."""
+    """The k best documents of each query so far: by score, NaN last, then by position. Scores are made and held in tiles of bounded size. least: of each query a score that k documents are known to reach, or -inf."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray):
         self.k = k
-        self.tiles = [(ids[i : i + QUERY_TILE], queries[i : i + QUERY_TILE]) for i in range(0, len(ids), QUERY_TILE)]
+        steps = [slice(i, i + QUERY_TILE) for i in range(0, len(ids), QUERY_TILE)]
+        self.tiles = [(ids[i], queries[i], least[i].copy()) for i in steps]
         self.held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, object)) for _ in self.tiles]
 
     def add(self, docs: pd.DataFrame) -> None:
         for j in range(0, len(docs), DOC_TILE):
             part = docs.iloc[j : j + DOC_TILE]
             vectors, pos, names = _matrix(part["embedding"]).T, part["pos"].to_numpy(), part["id"].to_numpy(object)
-            for n, (_, queries) in enumerate(self.tiles):
+            for n, (_, queries, least) in enumerate(self.tiles):
                 score = (queries @ vectors).astype(np.float32)
-                # Whatever is below a query's k-th score here is out; equal ones stay until they are ranked.
+                # What is below a query's k-th score is out, here or so far; equal ones stay until they are ranked.
                 high = np.where(np.isnan(score), -np.inf, score)
-                least = np.partition(high, -self.k, axis=1)[:, -self.k] if high.shape[1] > self.k else np.full(len(high), -np.inf)
-                q, d = np.nonzero(high >= least[:, None])
+                here = np.partition(high, -self.k, axis=1)[:, -self.k] if high.shape[1] > self.k else np.full(len(high), -np.inf)
+                q, d = np.nonzero(high >= np.maximum(here, least)[:, None])
                 self.held[n] = self._first(*(np.concatenate(x) for x in zip(self.held[n], (q, pos[d], score[q, d], names[d]), strict=True)))
+                q, _, score, _ = self.held[n]
+                full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1)
+                least[q[full]] = np.fmax(least[q[full]], score[full])  # a NaN raises nothing
 
     def _first(self, q: np.ndarray, pos: np.ndarray, score: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
         void = np.isnan(score)
@@ -50,46 +58,50 @@ class _Best:
         return q[order], pos[order], score[order], names[order]
 
     def rows(self) -> Iterator[pd.DataFrame]:
-        for (ids, _), (q, pos, score, names) in zip(self.tiles, self.held, strict=True):
+        for (ids, *_), (q, pos, score, names) in zip(self.tiles, self.held, strict=True):
             yield pd.DataFrame({"query_id": ids[q], "doc_id": names, "doc_pos": pos, "score": score})
 
 
-def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = 4096, doc_blocks: int | None = None, doc_rows: int = 65536) -> DataFrame:
+def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = 1, pilot: int = PILOT) -> DataFrame:
     """queries (id, embedding), documents (id, pos, embedding) -> (query_id, rank, doc_id, doc_pos, score), rank from 1.
 
-    k is cut to the number of documents; a query gets no row only if there is no document. Scores are sums in double, given and compared as float. Documents stay where they are while the queries are small; each task sends on at most k rows a query. Else query_rows queries and doc_rows documents, about, meet in a cell; doc_blocks sets the number of document blocks instead.
+    k is cut to the number of documents; a query gets no row only if there is no document. Scores are sums in double, given and compared as float.
+
+    Documents stay where they are. Queries are cut into tiles of broadcast_bytes, or query_rows if that is more, and a pass takes a tile to all documents; each task holds k of them a query. One document in `pilot` is searched first: the k-th score found there is one that all others have to reach, so tasks send on little more than what counts. Their rows meet in two steps.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    width = check_widths(queries, documents)
     queries = queries.select(F.col("id").cast("string").alias("id"), "embedding")
     documents = documents.select(F.col("id").cast("string").alias("id"), F.col("pos").cast("long").alias("pos"), "embedding")
-    count = queries.count()
-    if count * (width or 1) * 8 <= broadcast_bytes:
-        local = queries.toPandas()
-        ids, vectors = local["id"].to_numpy(object), _matrix(local["embedding"])
-
+    count, n_documents, width = sides(queries, documents)
+    tiles = -(-count // max(broadcast_bytes // (8 * (width or 1)), query_rows, 1))
+    if tiles > 1:
+        queries = stored(queries, "queries")
+    order = [F.when(~F.isnan("score"), F.col("score")).desc_nulls_last(), "doc_pos"]
+    few = documents.where(F.pmod(F.xxhash64("pos"), F.lit(pilot)) == 0) if pilot and n_documents >= 2 * k * pilot else None
+
+    def hits(docs: DataFrame, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray) -> DataFrame:
         def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(ids, vectors, k)
+            best = _Best(ids, vectors, k, least)
             for batch in batches:
-                if len(batch) and len(ids):
+                if len(batch):
                     best.add(batch)
             yield from best.rows()
 
-        hits = documents.mapInPandas(block, _HITS)
-    else:
-        groups, blocks = -(-count // query_rows), doc_blocks or -(-max(documents.count(), 1) // doc_rows)
-        # The sides may come from one table, so their columns are told apart by name.
-        left = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
-        right = documents.select("*", F.pmod(F.xxhash64("pos"), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_group"))
-
-        def cell(asked: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-            if asked.empty or docs.empty:
-                return pd.DataFrame({"query_id": [], "doc_id": [], "doc_pos": np.empty(0, np.int64), "score": np.empty(0, np.float32)})
-            best = _Best(asked["query_id"].to_numpy(object), _matrix(asked["vector"]), k)
-            best.add(docs)
-            return pd.concat(best.rows(), ignore_index=True)
-
-        hits = left.groupBy("_g", "_b").cogroup(right.groupBy("_group", "_block")).applyInPandas(cell, _HITS)
-    order = Window.partitionBy("query_id").orderBy(F.when(~F.isnan("score"), F.col("score")).desc_nulls_last(), "doc_pos")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "doc_pos", "score")
+        return first_of_each(docs.mapInPandas(block, _HITS), ["query_id"], order, k)
+
+    out = None
+    for n in range(tiles):
+        local = (queries.where(F.pmod(F.xxhash64("id"), F.lit(tiles)) == n) if tiles > 1 else queries).toPandas()
+        if not len(local):
+            continue
+        ids, vectors = local["id"].to_numpy(object), _matrix(local["embedding"])
+        least = np.full(len(ids), -np.inf)
+        if few is not None:
+            known = hits(few, ids, vectors, least).where((F.col("rank") == k) & ~F.isnan("score")).select("query_id", "score").toPandas()
+            least = local["id"].map(dict(zip(known["query_id"], known["score"], strict=True))).fillna(-np.inf).to_numpy(float)
+        found = hits(documents, ids, vectors, least).select("query_id", "rank", "doc_id", "doc_pos", "score")
+        if tiles > 1:
+            found = stored(found, "hits")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else queries.sparkSession.createDataFrame([], "query_id string, rank int, doc_id string, doc_pos long, score float")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from test_collections import collection
-from tessera.operators import adapt
+from tessera.operators import adapt, blocks
 from tessera.operators.encoders import HashEncoder
 from tessera.plans import cli, pipelines
 
@@ -46,6 +46,28 @@ def test_ridge_equals_numpy(spark):
         adapt.ridge_map(flat, 1e-14)
 
 
+@pytest.mark.parametrize("block", [1, 3, 4, 50])
+def test_block_elimination_equals_numpy(spark, block):
+    rng = np.random.default_rng(2)
+    s, b = rng.normal(size=(30, 10)), rng.normal(size=(10, 7))
+    a = s.T @ s + 0.1 * np.eye(10)
+    found = blocks.solve(blocks.to_blocks(spark, a, block, lower=True), blocks.to_blocks(spark, b, block), 10, block)
+    assert blocks.to_matrix(found.x, 10, 7, block) == pytest.approx(np.linalg.solve(a, b), rel=1e-9, abs=1e-12)
+    exact = np.linalg.norm(a) * np.linalg.norm(np.linalg.inv(a))
+    assert exact / 3 < found.condition < exact * 3 and found.condition > np.linalg.cond(a) / 3
+
+
+def test_wide_moments(spark):
+    """At width 1536 a task sends its sums in blocks, and the driver gets W alone."""
+    rng = np.random.default_rng(3)
+    s, t = rng.normal(size=(60, 1536)).astype(np.float32), rng.normal(size=(60, 40)).astype(np.float32)
+    pairs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(s, t)], "source array<float>, target array<float>").repartition(3)
+    found = adapt.moments(pairs, 1536, 40)
+    assert found.count() == 6 * 7 // 2 + 6 and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    s, t = s.astype(float), t.astype(float)
+    assert adapt.ridge_map(pairs, 2.0, 512) == pytest.approx(np.linalg.solve(s.T @ s + 2 * np.eye(1536), s.T @ t), abs=1e-5)
+
+
 def test_calibrator_round_trip(spark, tmp_path):
     path = str(tmp_path / "c")
     adapt.LinearQueryCalibrator(np.eye(2)).save(spark, path, note=1)

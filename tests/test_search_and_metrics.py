@@ -1,3 +1,5 @@
+import tempfile
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -27,17 +29,27 @@ def ranked(hits):
     return sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits.collect())
 
 
+@pytest.mark.parametrize("pilot", [0, 2])
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
-def test_search_equals_brute_force(spark, broadcast_bytes):
+def test_search_equals_brute_force(spark, broadcast_bytes, pilot):
     rng = np.random.default_rng(0)
     documents = rng.integers(-2, 3, (60, 4)).astype(float).tolist()  # many ties
     documents[7] = [float("nan")] * 4
     queries = rng.integers(-2, 3, (9, 4)).astype(float).tolist()
     for k in (1, 5, 100):
-        hits = search(*frames(spark, queries, documents), k, broadcast_bytes=broadcast_bytes, query_rows=4, doc_blocks=3)
+        hits = search(*frames(spark, queries, documents), k, broadcast_bytes=broadcast_bytes, query_rows=4, pilot=pilot)
         assert ranked(hits) == brute(queries, documents, k)
 
 
+def test_documents_stay_where_they_are(spark):
+    q, d = frames(spark, [[1.0, 0.0]] * 9, [[1.0, float(i)] for i in range(40)])
+    plan = search(q, d.coalesce(2), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Generate", "CoGroup")) and plan.count("MapInPandas") == 1
+    d.coalesce(2).write.mode("overwrite").parquet(path := tempfile.mkdtemp() + "/d")
+    below = search(q, spark.read.parquet(path), 3)._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[-1]
+    assert "Exchange" not in below
+
+
 def test_search_limits(spark):
     q, d = frames(spark, [[1.0, 0.0]], [[1.0, 0.0], [0.0, 1.0]])
     with pytest.raises(ValueError):

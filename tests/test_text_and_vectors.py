@@ -58,3 +58,10 @@ def test_weighted_centroid(spark):
     rows = spark.createDataFrame([("q", 1, [1.0, 0.0]), ("q", 3, [0.0, 1.0])], "k string, w int, embedding array<float>")
     assert vx.weighted_centroids(rows, "k", "w").first()["embedding"] == pytest.approx([0.25, 0.75])
     assert math.isclose(rows.select(vx.norm(F.col("embedding"))).first()[0], 1.0)
+
+
+def test_centroids_are_sums_of_whole_vectors(spark):
+    rows = spark.createDataFrame([("a", 2, [1.0, 0.0]), ("a", 1, [0.0, 3.0]), ("a", 0, [9.0, 9.0]), ("b", 0, [1.0, 1.0])], "k string, w int, embedding array<float>").repartition(3)
+    found = vx.weighted_centroids(rows, "k", "w")
+    assert [(r["k"], r["embedding"]) for r in found.collect()] == [("a", pytest.approx([2 / 3, 1.0]))]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
