@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import EMPTY, adapter_of, sanitize, template
+from tessera.functions.text import DEFAULT_INSTRUCTION, EMPTY, adapter_of, sanitize, template
 from tessera.functions.vectors import TINY, l2_normalize
 from tessera.operators.providers import Provider, create_provider
 
@@ -137,7 +137,9 @@ class SentenceTransformerEncoder(BatchEncoder):
 
     @property
     def encoding_config(self) -> dict:
-        return {"adapter": self.adapter, "query_instruction": self.query_instruction, "max_length": self.max_length}
+        # The keys are part of the stores' fingerprints. All local models have one adapter here.
+        told = self.query_instruction or (DEFAULT_INSTRUCTION if self.adapter == "qwen3" else None)
+        return {"adapter": "sentence-transformers", "batch_size": self.batch_size, "max_seq_length": self.max_length, "query_instruction": told}
 
     def starter(self):
         model_id, revision, device, length, size = self.model_id, self.revision, self.device, self.max_length, self.batch_size
@@ -148,7 +150,9 @@ class SentenceTransformerEncoder(BatchEncoder):
             model = SentenceTransformer(model_id, revision=revision, device=device)
             if length:
                 model.max_seq_length = length
-            return lambda texts, kind: model.encode(texts, batch_size=size, normalize_embeddings=True)
+            # A model may have a prompt of its own for queries.
+            ways = {"query": getattr(model, "encode_query", model.encode), "document": model.encode}
+            return lambda texts, kind: ways[kind](texts, batch_size=size, normalize_embeddings=True)
 
         return start
 
@@ -168,6 +172,7 @@ class HostedEncoder(BatchEncoder):
 
     @property
     def encoding_config(self) -> dict:
+        # The keys are part of the stores' fingerprints.
         return {
             "adapter": self.adapter, "provider": self.provider.settings, "batch_size": self.batch_size, "query_instruction": self.query_instruction,
             "empty_text_placeholder": self.empty_text_placeholder, "normalization": "l2",

@@ -14,7 +14,7 @@ from tessera.operators.encoders import create_encoder, Encoder, HashEncoder, res
 from tessera.operators.metrics import compute_metrics
 from tessera.operators.search import search
 from tessera.sources.beir import Dataset, load_corpus, load_dataset
-from tessera.sources.files import write_text
+from tessera.sources.files import stored, write_text
 from tessera.sources.registry import DEFAULT_PATH, load_model_config
 from tessera.sources.store import cache_fingerprint, encode_with_resume, load_store, order_digest, save_store
 
@@ -35,7 +35,9 @@ def document_rows(corpus: DataFrame) -> DataFrame:
 
 
 def evaluate_baseline(dataset: Dataset, queries: DataFrame, documents: DataFrame, search_k: int = 10) -> dict:
-    """Metrics of exact search. The depth is at least DEPTH, so search_k below it changes nothing."""
+    """Metrics of exact search. The depth is at least DEPTH, so search_k from 1 to that changes nothing."""
+    if search_k < 1:
+        raise ValueError("search_k must be at least 1")
     rankings = search(queries, documents, max(search_k, DEPTH))
     return compute_metrics(rankings, dataset.qrels, queries.select(F.col("id").alias("query_id")), BASELINE_CUTOFFS)
 
@@ -45,6 +47,7 @@ def evaluate_calibrator(dataset: Dataset, queries: DataFrame, documents: DataFra
 
 
 def _manifest(dataset: Dataset, encoder: Encoder, model: str, policy: str, fingerprint: str) -> dict:
+    # The keys of manifests and results are read by others.
     return {
         "dataset": dataset.name, "split": dataset.split, "model_id": encoder.model_id, "model_name": model, "revision": encoder.revision, "dimension": encoder.dimension,
         "encoding_config": encoder.encoding_config, "cache_fingerprint": fingerprint, "missing_relevant_policy": policy,
@@ -52,19 +55,19 @@ def _manifest(dataset: Dataset, encoder: Encoder, model: str, policy: str, finge
 
 
 def _encode(spark, name, model, root, split, config, cache_root, download, policy, suffix, encoder, chunks) -> dict:
-    dataset = load_dataset(spark, name, root, split, download, policy)
+    dataset = load_dataset(spark, name, root, split, download, policy, once=True)
     encoder = resolved(encoder or create_encoder(load_model_config(model, config)))
     # Hash vectors cost nothing to make again; what a model or a paid service made is kept as it comes.
     chunks = chunks or (1 if isinstance(encoder, HashEncoder) else CHUNKS)
     fingerprint = cache_fingerprint(dataset.name, split, encoder)
     folder = f"{cache_root}/{dataset.name}/{model}/{fingerprint}{suffix}"
-    queries = encode_with_resume(spark, encoder.encode, query_rows(dataset), "query", f"{folder}/parts/query", chunks)
+    queries = encode_with_resume(spark, encoder.encode, query_rows(dataset), "query", f"{folder}/parts/query", chunks, encoder.dimension)
     manifest = _manifest(dataset, encoder, model, policy, fingerprint)
     if suffix:
         manifest["cache_kind"] = "query_only"
         documents = queries.limit(0)
     else:
-        documents = encode_with_resume(spark, encoder.encode, document_rows(dataset.corpus), "document", f"{folder}/parts/document", chunks)
+        documents = encode_with_resume(spark, encoder.encode, document_rows(dataset.corpus), "document", f"{folder}/parts/document", chunks, encoder.dimension)
     saved = save_store(spark, folder, queries, documents, manifest)
     return {"cache": folder, "queries": saved["n_queries"], "documents": saved["n_documents"], "fingerprint": fingerprint}
 
@@ -87,9 +90,11 @@ def _check_order(dataset: Dataset, queries: DataFrame, documents: DataFrame) ->
 
 def evaluate(spark: SparkSession, cache: str, dataset_root: str = "datasets", search_k: int = 10, results_root: str = "results", missing_relevant_policy: str | None = None) -> dict:
     """Score a store against its dataset and write <results_root>/<dataset>/<model>/baseline.json."""
+    if search_k < 1:
+        raise ValueError("search_k must be at least 1")
     queries, documents, manifest = load_store(spark, cache)
     policy = missing_relevant_policy or manifest.get("missing_relevant_policy", "error")
-    dataset = load_dataset(spark, manifest["dataset"], dataset_root, manifest["split"], missing_relevant_policy=policy)
+    dataset = load_dataset(spark, manifest["dataset"], dataset_root, manifest["split"], missing_relevant_policy=policy, once=True)
     _check_order(dataset, queries, documents)
     metrics = evaluate_baseline(dataset, queries, documents, search_k)
     keep = ("dataset", "split", "model_id", "model_name", "revision", "dimension", "cache_fingerprint")
@@ -103,14 +108,16 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
     """Fit a map on queries by judgments (gold) or by the corpus (corpus), score with and without it, and write both."""
     if mode not in ("gold", "corpus"):
         raise ValueError("mode must be gold or corpus")
+    if search_k < 1:
+        raise ValueError("search_k must be at least 1")
     queries, documents, manifest = load_store(spark, cache)
     name, split = manifest["dataset"], eval_split or manifest["split"]
     policy = manifest.get("missing_relevant_policy", "error")
-    dataset = load_dataset(spark, name, dataset_root, split, missing_relevant_policy=policy)
+    dataset = load_dataset(spark, name, dataset_root, split, missing_relevant_policy=policy, once=True)
     _check_order(dataset, queries, documents)
     folder = f"{adaptation_root}/{name}/{manifest.get('model_name') or 'cache'}/{manifest.get('cache_fingerprint', 'unknown')}"
     if mode == "gold":
-        train = load_dataset(spark, name, dataset_root, train_split, missing_relevant_policy=policy)
+        train = load_dataset(spark, name, dataset_root, train_split, missing_relevant_policy=policy, once=True)
         sources = queries
         if train_query_cache:
             sources, _, other = load_store(spark, train_query_cache)
@@ -124,22 +131,24 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
         if not shared.join(dataset.queries.select(F.col("query_id").alias("id")), "id", "left_semi").isEmpty():
             warnings.warn("training and evaluation share queries; the gain is no estimate for new ones", stacklevel=2)
         calibrator = fit_gold_supervised(sources, documents, train.qrels, ids, alpha)
-        provenance = {"train_split": train_split, "train_query_cache": train_query_cache}
+        provenance = {"train_split": train_split, "label_source": "qrels_positive_centroid", "train_query_cache": train_query_cache}
     else:
         if encoder is None and not model:
             raise ValueError("corpus mode needs a model")
         encoder = resolved(encoder or create_encoder(load_model_config(model, models_config)))
         if encoder.dimension != manifest["dimension"]:
             raise ValueError("the model's width isn't the store's")
-        rows = document_rows(load_corpus(spark, name, dataset_root))
+        rows = document_rows(stored(load_corpus(spark, name, dataset_root), "corpus"))
+        n = used = rows.count()
         if max_corpus_documents:
-            n = rows.count()
+            used = max_corpus_documents
             if not 1 <= max_corpus_documents <= n:
                 raise ValueError(f"max_corpus_documents must be from 1 to {n}")
             rows = rows.orderBy("pos").limit(max_corpus_documents)
-        sources = encode_with_resume(spark, encoder.encode, rows, "query", f"{folder}/corpus_query_parts", 1 if isinstance(encoder, HashEncoder) else CHUNKS)
+        parts = f"{folder}/corpus_query_parts"
+        sources = encode_with_resume(spark, encoder.encode, rows, "query", parts, 1 if isinstance(encoder, HashEncoder) else CHUNKS, encoder.dimension)
         calibrator = fit_corpus_alignment(sources, documents, alpha)
-        provenance = {"query_model_id": encoder.model_id, "query_model_revision": encoder.revision, "max_corpus_documents": max_corpus_documents}
+        provenance = {"label_source": "same_document_query_protocol_alignment", "corpus_documents_used": used, "query_corpus_embedding_path": parts, "query_model": encoder.model_id, "query_model_revision": encoder.revision}
     baseline = evaluate_baseline(dataset, queries, documents, search_k)
     calibrated = evaluate_calibrator(dataset, queries, documents, calibrator, search_k)
     output = {

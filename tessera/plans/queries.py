@@ -7,6 +7,7 @@ Protocol F: as T, but written to files as a collection and read back.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +22,7 @@ from tessera.operators.encoders import HashEncoder, hash_words
 from tessera.operators.search import search
 from tessera.plans import pipelines
 from tessera.sources import beir, store
-from tessera.sources.files import shared_folder
+from tessera.sources.files import read_text, shared_folder
 
 WIDTH = 64
 
@@ -273,12 +274,19 @@ def order_consistency(spark, sf_dir):
     return store.order_mismatches(rows, moved)
 
 
+def _sources(spark, sf_dir) -> list[str]:
+    return [r[0] for r in _table(spark, sf_dir, "documents").where("source is not null").select("source").distinct().collect()]
+
+
 def cache_fingerprint(spark, sf_dir):
-    return spark.createDataFrame([(s, store.cache_fingerprint("toy", s, HashEncoder())) for s in ("test", "train")], "split string, fingerprint string")
+    """The store's name for each source as a dataset of its own."""
+    found = [(x, s, store.cache_fingerprint(x, s, HashEncoder())) for x in _sources(spark, sf_dir) for s in ("test", "train")]
+    return spark.createDataFrame(found, "source string, split string, fingerprint string")
 
 
 def adapter_detect(spark, sf_dir):
-    names = ("intfloat/E5-base", "Qwen/Qwen3-Embedding", "thenlper/GTE-large", "other/model")
+    """The adapters of models that are named after each source."""
+    names = [f"{kind}-{x}" for x in _sources(spark, sf_dir) for kind in ("intfloat/E5", "Qwen/Qwen3-Embedding", "thenlper/GTE", "other/model")]
     return spark.createDataFrame([(n, tx.adapter_of(n)) for n in names], "model string, adapter string")
 
 
@@ -324,7 +332,8 @@ def encode_and_evaluate(spark, sf_dir):
     """The commands encode-dataset and evaluate, over the positive judgments."""
     root = _collection(spark, sf_dir, _label_lines(spark, sf_dir).where("get(split(value, '\t'), 2) > 0"))
     made = pipelines.encode_dataset(spark, "written", "hash", root, cache_root=f"{root}/cache")
-    found = pipelines.evaluate(spark, made["cache"], root, results_root=f"{root}/results")
+    pipelines.evaluate(spark, made["cache"], root, results_root=f"{root}/results")
+    found = json.loads(read_text(spark, f"{root}/results/written/hash/baseline.json"))
     rows = [(m, round(float(v), 6)) for m, v in found.items() if "@" in m or m == "num_queries"]
     return spark.createDataFrame(rows, "metric string, value double")
 
@@ -354,11 +363,40 @@ def encode_resumed(spark, sf_dir):
     encode = HashEncoder(WIDTH).encode
     store.encode_with_resume(spark, encode, rows.where("pos % 2 = 0"), "document", path)
     out = store.encode_with_resume(spark, encode, rows, "document", path, chunks=2)
-    times = spark.read.parquet(path).groupBy("text_key").agg(F.count(F.lit(1)).alias("n_stored"))
+    times = store.all_vectors(spark, path).groupBy("text_key").agg(F.count(F.lit(1)).alias("n_stored"))
     out = out.join(store.with_key(rows).select("id", "text_key"), "id").join(times, "text_key")
     return out.select(F.col("pos").alias("doc_id"), "n_stored", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
 
 
+def encode_damaged(spark, sf_dir):
+    """All documents are encoded in four parts; then one loses half its rows, one gets vectors of another width, one is no Parquet and one isn't committed. A second run mends them."""
+    path = f"{shared_folder(spark)}/tessera-stores/{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), "text")
+    encode = HashEncoder(WIDTH).encode
+    store.encode_with_resume(spark, encode, rows, "document", path, 4, WIDTH)
+    half, wide, broken, lost = store.good_parts(spark, path, WIDTH)
+    for name, change in ((half, lambda df: df.where("substring(text_key, 1, 1) < '8'")), (wide, lambda df: df.withColumn("embedding", F.concat("embedding", "embedding")))):
+        damaged = change(spark.read.parquet(f"{path}/{name}")).persist()
+        damaged.count()
+        damaged.write.mode("overwrite").parquet(f"{path}/{name}")
+        damaged.unpersist()
+    for name in store.names_in(spark, f"{path}/{broken}"):
+        if name.endswith(".parquet"):
+            store.write_text(spark, f"{path}/{broken}/{name}", "no table")
+    store.forget(spark, path, lost)
+    if store.good_parts(spark, path, WIDTH):
+        raise AssertionError("a damaged part counts")
+    out = store.encode_with_resume(spark, encode, rows, "document", path, 2, WIDTH)
+    return out.select(F.col("pos").alias("doc_id"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
+
+
+def order_ranges(spark, sf_dir):
+    """In which ranges of 64 places two ordered lists differ."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"))
+    moved = rows.select("pos", F.when(F.col("pos") % 97 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id")).where("pos % 211 <> 5")
+    return store.differing_ranges(store.range_digests(rows, 64), store.range_digests(moved, 64))
+
+
 def search_cells(spark, sf_dir):
     """Exact search where the queries are too many to send to every task at once, and a few documents are searched first."""
     queries, documents, _ = _vectors(spark, sf_dir)
@@ -388,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         l2_normalize_query, inner_product_query, topk_exact, topk_text_ties, topk_k_exceeds_n, topk_nan_last, doc_prefix_limit, metrics_per_query, metrics_baseline,
         metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit, ridge_fit_blocks, fit_corpus_alignment, fit_gold_supervised, calibrate_transform,
         calibrated_metrics_delta, resume_missing, order_consistency, cache_fingerprint, adapter_detect,
-        collection_corpus, collection_dataset, encode_and_evaluate, store_round_trip, calibrator_round_trip, encode_resumed, search_cells, order_digests, template_others,
+        collection_corpus, collection_dataset, encode_and_evaluate, store_round_trip, calibrator_round_trip, encode_resumed, encode_damaged, search_cells, order_digests, order_ranges, template_others,
     )
 }
 
@@ -541,6 +579,10 @@ ORACLES: dict[str, str] = {
     "store_round_trip": f"""
         WITH {_V} SELECT side, vec_id::VARCHAR AS id, vec_id AS pos, count(*) OVER (PARTITION BY side) AS n, {_components("v")} FROM (SELECT 'query' AS side, vec_id, v FROM q UNION ALL SELECT 'document', vec_id, v FROM e)""",
     "encode_resumed": f"SELECT vec_id AS doc_id, 1::BIGINT AS n_stored, {_HASH_COLUMNS} FROM {_hash_vectors('document', _TEXT)}",
+    "encode_damaged": f"SELECT vec_id AS doc_id, {_HASH_COLUMNS} FROM {_hash_vectors('document', _TEXT)}",
+    "order_ranges": """
+        SELECT doc_id // 64 AS range, count(*) AS left_n, count(*) FILTER (doc_id % 211 <> 5) AS right_n FROM documents
+        GROUP BY range HAVING bool_or(doc_id % 97 = 0 OR doc_id % 211 = 5)""",
     "search_cells": f"WITH {_V} SELECT qid::VARCHAR AS query_id, rank, did::VARCHAR AS doc_id, round(score::DOUBLE, 5) AS score FROM {_hits('q', 'e', 10)}",
     "order_digests": """
         SELECT 'dealt' AS moved, count(*) AS n, true AS same FROM documents UNION ALL SELECT 'swapped', count(*), false FROM documents
@@ -555,7 +597,9 @@ ORACLES: dict[str, str] = {
     "order_consistency": """
         SELECT doc_id AS pos, doc_id::VARCHAR AS left_id, CASE WHEN doc_id % 11 <> 0 THEN doc_id::VARCHAR || 'x' END AS right_id FROM documents WHERE doc_id % 11 = 0 OR doc_id % 9 = 0""",
     "cache_fingerprint": """
-        SELECT s AS split, substr(sha256('{"dataset":"toy","dimension":64,"encoding_config":{"seed":0,"type":"sha256"},"model_id":"hash","revision":"0","split":"' || s || '"}'), 1, 20) AS fingerprint
-        FROM (SELECT unnest(['test', 'train']) AS s)""",
-    "adapter_detect": "SELECT * FROM (VALUES ('intfloat/E5-base', 'e5'), ('Qwen/Qwen3-Embedding', 'qwen3'), ('thenlper/GTE-large', 'gte'), ('other/model', 'sentence-transformers')) t(model, adapter)",
+        SELECT source, s AS split, substr(sha256('{"dataset":"' || source || '","dimension":64,"encoding_config":{"seed":0,"type":"sha256"},"model_id":"hash","revision":"0","split":"' || s || '"}'), 1, 20) AS fingerprint
+        FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), (SELECT unnest(['test', 'train']) AS s)""",
+    "adapter_detect": """
+        SELECT name || '-' || source AS model, adapter FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL),
+        (VALUES ('intfloat/E5', 'e5'), ('Qwen/Qwen3-Embedding', 'qwen3'), ('thenlper/GTE', 'gte'), ('other/model', 'sentence-transformers')) t(name, adapter)""",
 }

@@ -1,6 +1,6 @@
 """Retrieval collections on disk: corpus.jsonl, queries.jsonl and qrels/<split>.tsv as DataFrames.
 
-Every row carries pos, its place in the file from 0. An id that repeats keeps its first place and its last value. A key that is null counts as missing, so the other key is used.
+Every row carries pos, its place in the file from 0. An id that repeats keeps its first place and its last value. A key that is null counts as missing, so the other key is used; with null_keys="text" it counts as the text "None".
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
-from tessera.sources.files import exists
+from tessera.sources.files import exists, stored
 
-#: Collections that can be downloaded.
+# Collections that can be downloaded.
 REGISTERED = ("arguana", "fiqa", "scifact", "nfcorpus")
 #: JSON values that count as empty where text is wanted, by their type.
 _FALSY = {"BIGINT": ("0",), "DOUBLE": ("0", "0.0"), "BOOLEAN": ("false",)}
@@ -84,6 +84,21 @@ def _json_text(value: Column, key: str, falsy_is_empty: bool = False) -> Column:
     return F.when(empty | kind.startswith("DECIMAL") & (text.cast("double") == 0) | text.isin("[]", "{}") & (kind != "STRING"), F.lit("")).otherwise(text)
 
 
+def _first_key(value: Column, *keys: str, null_keys: str, default: Column) -> Column:
+    """The text of the first of these keys that is there."""
+    if null_keys not in ("missing", "text"):
+        raise ValueError("null_keys must be missing or text")
+    out = default
+    for key in reversed(keys):
+        text = _json_text(value, key)
+        if null_keys == "text":
+            there = F.variant_get(value, f"$.{key}", "variant")
+            out = F.when(there.isNotNull(), F.coalesce(text, F.lit("None"))).otherwise(out)
+        else:
+            out = F.coalesce(text, out)
+    return out
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(value: variant, pos) of each line that isn't blank. A malformed line raises when it is read."""
     return numbered_lines(spark, path).where(F.length(strip("value")) > 0).select(F.parse_json("value").alias("value"), "pos")
@@ -96,19 +111,23 @@ def last_value_first_place(rows: DataFrame, keys: list[str], pos: str = "pos") -
     return found.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others], F.col("_first").alias(pos))
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def _no_id(null_keys: str) -> Column:
+    return F.lit("None" if null_keys == "text" else None).cast("string")
+
+
+def read_corpus(spark: SparkSession, path: str, null_keys: str = "missing") -> DataFrame:
     """(doc_id, title, text, pos)"""
     v = F.col("value")
-    doc_id = F.coalesce(_json_text(v, "_id"), _json_text(v, "id"))
+    doc_id = _first_key(v, "_id", "id", null_keys=null_keys, default=_no_id(null_keys))
     fields = [F.coalesce(_json_text(v, k, True), F.lit("")).alias(k) for k in ("title", "text")]
     return last_value_first_place(read_jsonl(spark, path).select(doc_id.alias("doc_id"), *fields, "pos"), ["doc_id"])
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
+def read_queries(spark: SparkSession, path: str, null_keys: str = "missing") -> DataFrame:
     """(query_id, query_text, pos)"""
     v = F.col("value")
-    query_id = F.coalesce(_json_text(v, "_id"), _json_text(v, "id"))
-    text = F.coalesce(_json_text(v, "text"), _json_text(v, "query"), F.lit(""))
+    query_id = _first_key(v, "_id", "id", null_keys=null_keys, default=_no_id(null_keys))
+    text = _first_key(v, "text", "query", null_keys=null_keys, default=F.lit(""))
     return last_value_first_place(read_jsonl(spark, path).select(query_id.alias("query_id"), text.alias("query_text"), "pos"), ["query_id"])
 
 
@@ -148,15 +167,17 @@ def resolve_root(spark: SparkSession, name: str, root: str, download: bool = Fal
     return util.download_and_unzip(f"https://public.ukp.informatik.tu-darmstadt.de/thakur/BEIR/datasets/{name}.zip", f"{root}/{name}")
 
 
-def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split: str = "test", download: bool = False, missing_relevant_policy: str = "error") -> Dataset:
+def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split: str = "test", download: bool = False, missing_relevant_policy: str = "error", null_keys: str = "missing", once: bool = False) -> Dataset:
+    """once: the parsed collection is stored in the shared folder, so that whatever is done with it, each file is read once."""
     if missing_relevant_policy not in ("error", "keep"):
         raise ValueError("missing_relevant_policy must be error or keep")
     folder = resolve_root(spark, name, root, download)
     if not exists(spark, path := f"{folder}/qrels/{split}.tsv"):
         raise FileNotFoundError(path)
-    qrels = read_qrels(spark, path)
-    queries = assemble(read_queries(spark, f"{folder}/queries.jsonl"), qrels)
-    found = Dataset(name.lower(), queries, read_corpus(spark, f"{folder}/corpus.jsonl"), qrels, split)
+    keep = stored if once else lambda df, name: df
+    qrels = keep(read_qrels(spark, path), "qrels")
+    queries = keep(assemble(read_queries(spark, f"{folder}/queries.jsonl", null_keys), qrels), "queries")
+    found = Dataset(name.lower(), queries, keep(read_corpus(spark, f"{folder}/corpus.jsonl", null_keys), "corpus"), qrels, split)
     return found.validate(missing_relevant_policy)
 
 

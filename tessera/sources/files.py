@@ -36,6 +36,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    p, fs = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     p, fs = _path(spark, path)
     out = fs.create(p, True)

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.files import exists, read_text, write_text
+from tessera.sources.files import delete, exists, names_in, read_text, stored, write_text
 
-MANIFEST = "manifest.json"
+MANIFEST, LOG = "manifest.json", "_commits"
+#: Rows of a range of an ordered list.
+RANGE = 1 << 20
 
 
+# The keys and their order are part of the stores' names.
 def cache_fingerprint(dataset: str, split: str, model, encoding_config: dict | None = None) -> str:
     """20 hex digits over the dataset, the split and all that shapes the vectors."""
     config = model.encoding_config if encoding_config is None else encoding_config
@@ -31,24 +35,77 @@ def missing_texts(texts: DataFrame, stored: DataFrame | None) -> DataFrame:
     return wanted if stored is None else wanted.join(stored, "text_key", "left_anti")
 
 
-def encode_with_resume(spark: SparkSession, encode: Callable[[DataFrame, str], DataFrame], texts: DataFrame, kind: str, path: str, chunks: int = 1) -> DataFrame:
+_PART = "text_key string, embedding array<float>"
+
+
+def _digest(part: DataFrame) -> dict:
+    """What a commit says of a part: rows, widths, and a sum over keys and vectors."""
+    mixed = F.xxhash64("text_key", "embedding").cast("decimal(38,0)")
+    n, low, high, total = part.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding")), F.sum(mixed)).first()
+    return {"rows": n, "width": [low, high], "digest": str(total or 0)}
+
+
+def commits(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The parts of a path that were finished, by name, with what was said of them."""
+    return {name.removesuffix(".json"): json.loads(read_text(spark, f"{path}/{LOG}/{name}")) for name in names_in(spark, f"{path}/{LOG}") if name.endswith(".json")}
+
+
+def good_parts(spark: SparkSession, path: str, width: int | None = None) -> list[str]:
+    """The committed parts that hold what their commit says: all rows, with vectors of one width (this one, if given), unchanged. Files that are gone or can't be read count as rows that are missing.
+
+    All parts are looked at in one pass.
+    """
+    said = commits(spark, path)
+    if not said:
+        return []
+    read = spark.read.schema(_PART).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    there = [name for name in said if exists(spark, f"{path}/{name}")]
+    if not there:
+        return []
+    rows = read.parquet(*[f"{path}/{name}" for name in there]).select("text_key", "embedding", F.regexp_extract("_metadata.file_path", r"/(part-[0-9a-f]+)/[^/]*$", 1).alias("part"))
+    mixed = F.xxhash64("text_key", "embedding").cast("decimal(38,0)")
+    sums = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.sum(mixed).alias("total")).collect()
+    found = {r["part"]: {"rows": r["n"], "width": [r["low"], r["high"]], "digest": str(r["total"] or 0)} for r in sums}
+    empty = {"rows": 0, "width": [None, None], "digest": "0"}
+    return sorted(name for name in there if found.get(name, empty) == said[name] and (not said[name]["rows"] or said[name]["width"] == [width or said[name]["width"][0]] * 2))
+
+
+def all_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(text_key, embedding) of all committed parts, as they are."""
+    return spark.read.schema(_PART).parquet(*[f"{path}/{name}" for name in commits(spark, path)])
+
+
+def forget(spark: SparkSession, path: str, name: str) -> None:
+    """Take a part out of the log."""
+    delete(spark, f"{path}/{LOG}/{name}.json")
+
+
+def stored_vectors(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """(text_key, embedding) of the good parts; a text that two writers stored is there once."""
+    good = good_parts(spark, path, width)
+    return spark.read.schema(_PART).parquet(*[f"{path}/{name}" for name in good]).dropDuplicates(["text_key"]) if good else spark.createDataFrame([], _PART)
+
+
+def encode_with_resume(spark: SparkSession, encode: Callable[[DataFrame, str], DataFrame], texts: DataFrame, kind: str, path: str, chunks: int = 1, width: int | None = None) -> DataFrame:
     """texts (id, pos, text) -> (id, pos, embedding), with the vectors of distinct texts kept at path.
 
-    Each of `chunks` parts of the missing texts is one append: what is stored stays, whatever happens to the next.
+    The missing texts are found once and dealt into `chunks` parts. Each part is written to a folder of its own, and counts once its commit is in the log; so an interrupted part, or one that was damaged since, is encoded again, and runs at the same time don't touch each other's parts. width: parts of another one don't count.
     """
     if kind not in ("query", "document"):
         raise ValueError("kind must be query or document")
-    schema = "text_key string, embedding array<float>"
-    read = lambda: spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+    todo = missing_texts(texts, stored_vectors(spark, path, width))
+    rows = todo.select(F.col("text_key").alias("id"), F.lit(0).cast("long").alias("pos"), "text")
+    if chunks > 1:
+        rows = stored(rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")), "missing-texts")
     for n in range(chunks):
-        todo = missing_texts(texts, read())
-        if chunks > 1:
-            todo = todo.where(F.pmod(F.xxhash64("text_key"), F.lit(chunks)) == n)
-        rows = todo.select(F.col("text_key").alias("id"), F.lit(0).cast("long").alias("pos"), "text")
-        encode(rows, kind).select(F.col("id").alias("text_key"), "embedding").write.mode("append").parquet(path)
-    # Two runs at once may both have stored a text.
-    stored = read().dropDuplicates(["text_key"])
-    return with_key(texts).join(stored, "text_key").select("id", "pos", "embedding")
+        name = f"part-{uuid.uuid4().hex}"
+        some = rows.where(F.col("_part") == n).drop("_part") if chunks > 1 else rows
+        encode(some, kind).select(F.col("id").alias("text_key"), "embedding").write.parquet(f"{path}/{name}")
+        said = _digest(spark.read.schema(_PART).parquet(f"{path}/{name}"))
+        if width is not None and said["rows"] and said["width"] != [width] * 2:
+            raise ValueError(f"the encoder gave vectors of width {said['width'][0]} to {said['width'][1]} instead of {width}")
+        write_text(spark, f"{path}/{LOG}/{name}.json", json.dumps(said))
+    return with_key(texts).join(stored_vectors(spark, path, width), "text_key").select("id", "pos", "embedding")
 
 
 def order_digest(rows: DataFrame) -> tuple[int, str]:
@@ -58,6 +115,20 @@ def order_digest(rows: DataFrame) -> tuple[int, str]:
     return n, str(total or 0)
 
 
+def range_digests(rows: DataFrame, size: int = RANGE) -> DataFrame:
+    """(range, n, digest) of (id, pos) rows: order_digest() of each range of `size` places."""
+    mixed = F.xxhash64(F.col("id").cast("string"), F.col("pos").cast("long")).cast("decimal(38,0)")
+    by_range = rows.groupBy(F.floor(F.col("pos") / size).cast("long").alias("range"))
+    return by_range.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(mixed).cast("string"), F.lit("0")).alias("digest"))
+
+
+def differing_ranges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(range, left_n, right_n) where two range_digests() differ: where to look, without a join of the lists."""
+    a, b = left.toDF("range", "left_n", "_a"), right.toDF("range", "right_n", "_b")
+    both = a.join(b, "range", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")) | ~F.col("left_n").eqNullSafe(F.col("right_n")))
+    return both.select("range", F.coalesce("left_n", F.lit(0)).alias("left_n"), F.coalesce("right_n", F.lit(0)).alias("right_n"))
+
+
 def order_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(pos, left_id, right_id) where two (id, pos) lists differ."""
     a, b = left.select("pos", F.col("id").alias("left_id")), right.select("pos", F.col("id").alias("right_id"))

@@ -106,6 +106,13 @@ def test_four_commands(spark, toy):
         folder = toy / "adapted/toy/hash" / made["fingerprint"]
         assert json.loads((folder / f"{mode}_metrics.json").read_text())["calibrator"] == out["calibrator"]
         assert adapt.LinearQueryCalibrator.load(spark, str(folder / f"{mode}_calibrator")).method == out["calibrator"]
+        assert out["label_source"] == {"gold": "qrels_positive_centroid", "corpus": "same_document_query_protocol_alignment"}[mode]
+        assert (out["train_query_cache"] == train["cache"]) if mode == "gold" else (out["corpus_documents_used"], out["query_model"]) == (5, "hash")
+    for k in (0, -3):
+        with pytest.raises(ValueError, match="search_k"):
+            pipelines.evaluate(spark, made["cache"], str(toy / "datasets"), k)
+        with pytest.raises(ValueError, match="search_k"):
+            pipelines.run_adaptation(spark, made["cache"], "gold", str(toy / "datasets"), search_k=k)
     with pytest.raises(ValueError, match="no training query"):
         pipelines.run_adaptation(spark, made["cache"], "gold", str(toy / "datasets"), train_split="train")
     with pytest.raises(ValueError, match="needs a model"):

@@ -97,3 +97,14 @@ def test_validation(spark, tmp_path):
         beir.load_dataset(spark, "fiqa", root, download=True)
     with pytest.raises(ValueError):
         beir.load_dataset(spark, "v", root, "ok", missing_relevant_policy="drop")
+
+
+def test_null_keys_as_text(spark, tmp_path):
+    rows = [{"_id": None, "id": "z", "text": "a"}, {"id": None, "text": "b"}, {"id": 3, "text": None}, {"text": "c"}]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = lambda df: [tuple(r)[:-1] for r in df.orderBy("pos").collect()]
+    assert got(beir.read_corpus(spark, str(tmp_path / "c.jsonl"), "text")) == [("None", "", "c"), ("3", "", "")]
+    assert got(beir.read_queries(spark, str(tmp_path / "c.jsonl"), "text")) == [("None", "c"), ("3", "None")]
+    assert got(beir.read_queries(spark, str(tmp_path / "c.jsonl")))[0] == ("z", "a")
+    with pytest.raises(ValueError):
+        beir.read_corpus(spark, str(tmp_path / "c.jsonl"), "else")

@@ -1,4 +1,6 @@
 import hashlib
+import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -167,6 +169,43 @@ def test_resume_encodes_only_what_is_missing(spark, tmp_path):
         store.encode_with_resume(spark, encoder.encode, rows("a"), "text", path)
 
 
+def test_parts_that_dont_count(spark, tmp_path):
+    seen, path = tmp_path / "seen", f"file://{tmp_path}/parts"
+    encoder = Counting(str(seen))
+    rows = spark.createDataFrame([(f"i{n}", n, "x" * n) for n in range(12)], TEXTS)
+    store.encode_with_resume(spark, encoder.encode, rows, "query", path, 2, 2)
+    one, two = store.good_parts(spark, path, 2)
+    assert store.good_parts(spark, path, 3) == [] and len(store.commits(spark, path)) == 2
+    (tmp_path / "parts" / "part-0abc").mkdir()  # another run's, not finished
+    store.forget(spark, path, one)
+    assert store.good_parts(spark, path) == [two]
+    seen.unlink()
+    out = store.encode_with_resume(spark, encoder.encode, rows, "query", path, 1, 2)
+    assert out.count() == 12 and len(seen.read_text().splitlines()) == 12 - spark.read.parquet(f"{path}/{two}").count()
+    with pytest.raises(ValueError, match="instead of 5"):
+        store.encode_with_resume(spark, encoder.encode, rows, "query", f"{path}-2", 1, 5)
+
+
+def test_queries_of_a_local_model(monkeypatch):
+    """A model with a way of its own for queries is asked that way; all local models have the same keys."""
+    class Model:
+        def __init__(self, *args, **more): ...
+
+        def encode(self, texts, **more):
+            return [[1.0, 0.0]] * len(texts)
+
+        def encode_query(self, texts, **more):
+            return [[0.0, 1.0]] * len(texts)
+
+    monkeypatch.setitem(sys.modules, "sentence_transformers", SimpleNamespace(SentenceTransformer=Model))
+    run = SentenceTransformerEncoder("m", 2).starter()()
+    assert run(["a"], "query") == [[0.0, 1.0]] and run(["a"], "document") == [[1.0, 0.0]]
+    del Model.encode_query
+    assert SentenceTransformerEncoder("m", 2).starter()()(["a"], "query") == [[1.0, 0.0]]
+    assert SentenceTransformerEncoder("m", 2, adapter="e5").encoding_config == {"adapter": "sentence-transformers", "batch_size": 32, "max_seq_length": None, "query_instruction": None}
+    assert SentenceTransformerEncoder("m", 2, adapter="qwen3").encoding_config["query_instruction"].startswith("Given a web search")
+
+
 def test_store_round_trip(spark, tmp_path):
     q = spark.createDataFrame([("q1", 0, [1.0, 1.0]), ("q2", 1, [1.0, 0.0])], "id string, pos long, embedding array<float>")
     d = q.limit(0)
