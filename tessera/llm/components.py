@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
 
 
+#: Links (32 MB of them, either way) that one task joins.
+ONE_TASK = 1 << 21
+
+
 def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the classes of a[i] and b[i]; labels[x] is the smallest member of x's class, before and after."""
     while True:
@@ -39,12 +46,21 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray)
         labels = merged(labels, a[first], b[first])
 
 
+def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [batch[["a", "b"]].to_numpy(np.int64) for batch in batches]
+    nodes, at = np.unique(np.concatenate([np.empty((0, 2), np.int64), *held]), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    yield pd.DataFrame({"node": nodes, "component": nodes[merged(np.arange(len(nodes)), a, b)]})
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, component), component being the smallest node reachable. Nodes without a link don't come.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, which halves the way. Both joins start from stored tables, so Spark can split the partitions of nodes with many links.
+    Up to ONE_TASK links, which are bounded memory, are joined in one task. Beyond, each round takes the smallest label among the neighbours and then the label's own label, which halves the way. Both joins start from stored tables, so Spark can split the partitions of nodes with many links.
     """
     links = staged(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    if links.count() <= ONE_TASK:
+        return staged(links.coalesce(1).mapInPandas(_in_one_task, "node long, component long"), "labels")
     labels = staged(links.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     while True:
         near = links.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

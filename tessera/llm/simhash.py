@@ -4,9 +4,9 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity count and join classes, and each other pair near its edge, unless its classes are joined by surer ones, is decided by the texts' shingle sets. Every fourth band goes first, with the sure pairs alone; then all bands, with the closest unsure pair of each text outside of a node's largest class; then all bands give all that could join the classes that those left. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; the work is the size of the node times the texts outside of its largest class.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity join classes at once. Every fourth band goes first, with these sure pairs alone; then all bands. Pairs of different classes that aren't sure are never written out: a node gives its members that have one, and their shingle sets meet in one task a group, which decides each pair and gives the links that join the group's classes. A pair is left out only if its fingerprints differ by more than a true pair's do with a chance of 1e-9 (by Chernoff's bound, on bits that differ with the chance of the limit at most), and never if a text has fewer than FEW shingles. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; rows written are the texts times the bands at most, times the cells of a large node; comparisons inside tasks are the size of the node times the texts outside of its largest class.
 
-Rows that repeat link like copies. Null ids take part; a component's id is its smallest non-null one. Other columns don't matter.
+Rows that repeat link like copies, also where they repeat an id with another text: texts are told apart by their hash. Null ids take part in near_groups, where a component's id is its smallest non-null one; near_dedup keeps them. Null and empty texts are texts without words, and near copies of each other. Very long texts are read whole, in steps of bounded memory. Ties don't arise: the smallest id of a group stays. Empty tables give no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import left_join_groups, shared_dir, staged
@@ -30,6 +30,8 @@ FAN = 8
 _CHUNK = 1 << 16
 #: Bands of near_dedup, and least shingles in each.
 BANDS, ROWS = 20, 5
+#: Texts with fewer distinct shingles are told apart by these alone.
+FEW = 64
 #: A node over NODE texts has so many of them as pivots.
 NODE, PIVOTS = 1024, 16
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,18 +115,24 @@ def chance(similarity: float, bands: int = BANDS) -> float:
     return 1 - (1 - similarity**ROWS) ** bands
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
-    """(_id, fp, nodes) of each row, fp being binary."""
+    """(_id, th, fp, nodes, few) of each row: th is a hash of the text, fp is binary, few says that there are fewer than FEW shingles."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t.as_py(), words) for t in batch.column("_text")]
             fps = pa.array([wide_fingerprint(h, bits) for h in hashes], pa.binary())
             nodes = np.array([nodes_of(h) for h in hashes], np.uint64).reshape(-1, BANDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), fps, pa.array(list(nodes), pa.list_(pa.int64()))], names=["_id", "fp", "nodes"])
+            few = pa.array([len(h) < FEW for h in hashes], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("th"), fps, pa.array(list(nodes), pa.list_(pa.int64())), few], names=["_id", "th", "fp", "nodes", "few"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(hashed, f"_id {docs.schema[id_col].dataType.simpleString()}, fp binary, nodes array<long>")
+    rows = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("th"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(hashed, f"_id {docs.schema[id_col].dataType.simpleString()}, th long, fp binary, nodes array<long>, few boolean")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -241,12 +249,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int, closest: bool = False) -> np.ndarray:
-    """(a, b, apart) of a node's members, which are rows of 64-bit words: pairs at `sure` or fewer differing bits that join their classes (labels[x] is the smallest member of x's class), and all others at `most` or fewer whose classes stay apart. A pair merges classes only once it is sure. closest: of the others, only the closest of each member outside of the largest class."""
+def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int, few: np.ndarray | None = None) -> np.ndarray:
+    """(a, b, apart) of a node's members, which are rows of 64-bit words: pairs at `sure` or fewer differing bits that join their classes (labels[x] is the smallest member of x's class), and all others at `most` or fewer whose classes stay apart. A pair merges classes only once it is sure. few: members whose pairs count however much they differ."""
     common = np.bincount(labels).argmax()
     rest = np.flatnonzero(labels != common)
     columns, place = np.ascontiguousarray(words.T), np.full(len(words), -1)
     place[rest] = np.arange(len(rest))
+    few = np.zeros(len(words), bool) if few is None else few
     found, doubtful = [np.empty((3, 0), np.int64)], []
     step = max(1, _CHUNK // len(words))
     for i in range(0, len(rest), step):
@@ -254,30 +263,26 @@ def pairs_between(words: np.ndarray, labels: np.ndarray, sure: int, most: int, c
         apart = np.zeros((len(block), len(words)), np.int16)
         for c in columns:
             apart += np.bitwise_count(c[block, None] ^ c)
-        x, b = np.nonzero((apart <= most) & (labels[block, None] != labels) & ((place < 0) | (place > place[block, None])))
+        x, b = np.nonzero(((apart <= most) | few[block, None] | few) & (labels[block, None] != labels) & ((place < 0) | (place > place[block, None])))
         a, apart = block[x], apart[x, b].astype(np.int64)
         near = apart <= sure
         # The distance is found again from the pair, since joined() gives the pairs alone.
         kept = joined(labels, a[near], b[near], apart[near])
         found.append(np.concatenate([kept, np.bitwise_count(words[kept[0]] ^ words[kept[1]]).sum(1, dtype=np.int64)[None]]))
         labels = merged(labels, a[near], b[near])
-        other = np.stack([a, b, apart])[:, ~near]
-        if closest:
-            other = other[:, labels[other[0]] != labels[other[1]]]
-            other = other[:, np.lexsort([other[2], other[0]])]
-            other = other[:, np.unique(other[0], return_index=True)[1]]
-        doubtful.append(other)
+        doubtful.append(np.stack([a, b, apart])[:, ~near])
     return np.concatenate(found + [d[:, labels[d[0]] != labels[d[1]]] for d in doubtful], axis=1)
 
 
-def _node_pairs(sure: int, most: int, closest: bool):
-    """Over rows (node, key, known, fp), sorted by node: pairs_between() of keys, known being their class. With (home, twin, nodes) too, a pair that isn't sure is given once: in the first band node that both are in, home being this row's, and in one cell of that, where twins, other than 0, differ."""
+def _node_pairs(sure: int, most: int, members: bool = False):
+    """Over rows (node, key, known, fp), sorted by node: pairs_between() of keys, known being their class. With (home, twin, nodes) too, a pair that isn't sure is given once: in the first band node that both are in, home being this row's, and in one cell of that, where twins, other than 0, differ. members: of these pairs, rows (member, group, node) are given instead, groups being what the pairs join in a node; sure pairs are (a, b, null)."""
 
-    def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray, home=None, twin=None, nodes=None) -> pd.DataFrame:
+    def pairs_of(node: np.ndarray, key: np.ndarray, known: np.ndarray, fps: np.ndarray, home=None, twin=None, nodes=None, few=None) -> pd.DataFrame:
         edges = np.flatnonzero(node[1:] != node[:-1]) + 1
         starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(node)]])
-        out = [np.empty((3, 0), np.int64)]
+        out, grouped = [np.empty((3, 0), np.int64)], [np.empty((3, 0), np.int64)]
         words = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+        few = np.zeros(len(fps), bool) if few is None else few.astype(bool)
         bands = None if nodes is None else np.frombuffer(b"".join(nodes), ">i8").reshape(len(nodes), -1).T
 
         def add(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
@@ -287,20 +292,32 @@ def _node_pairs(sure: int, most: int, closest: bool):
                     first = np.where(band[a] == band[b], band[a], first)
                 here = (apart <= sure) | (first == home[a]) & ((twin[a] == 0) | (twin[a] != twin[b]))
                 a, b, apart = a[here], b[here], apart[here]
+            if members:
+                open_ = apart > sure
+                x, y = a[open_], b[open_]
+                a, b, apart = a[~open_], b[~open_], apart[~open_]
+                some, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                group = merged(np.arange(len(some)), *at.reshape(2, -1))
+                grouped.append(np.stack([key[some], key[some[group]], node[some]]))
             out.append(np.stack([key[a], key[b], apart]))
 
         two = starts[stops - starts == 2]
         apart = np.bitwise_count(words[two] ^ words[two + 1]).sum(1, dtype=np.int64)
-        near = (known[two] != known[two + 1]) & (apart <= most)
+        near = (known[two] != known[two + 1]) & ((apart <= most) | few[two] | few[two + 1])
         add(two[near], two[near] + 1, apart[near])
         for k in np.flatnonzero(stops - starts > 2):
             part = slice(starts[k], stops[k])
             _, first, place = np.unique(known[part], return_index=True, return_inverse=True)
             if len(first) > 1:
-                a, b, apart = pairs_between(words[part], first[place], sure, most, closest)
+                a, b, apart = pairs_between(words[part], first[place], sure, most, few[part])
                 add(a + starts[k], b + starts[k], apart)
         a, b, apart = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart})
+        pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart})
+        if not members:
+            return pairs
+        x, group, node = np.concatenate(grouped, axis=1)
+        both = [pairs.drop(columns="apart").assign(node=0, sure=True), pd.DataFrame({"a": x, "b": group, "node": node, "sure": False})]
+        return pd.concat(both, ignore_index=True)
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
@@ -322,6 +339,16 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def most_apart(similarity: float, bits: int, chance: float = 1e-9) -> int:
+    """The differing bits that a pair of this Jaccard similarity or more exceeds with at most this chance: by Chernoff's bound for bits that differ with the chance that bits_apart() takes, or less."""
+    p = bits_apart(similarity, bits) / bits
+    for m in range(int(p * bits) + 1, bits):
+        q = m / bits
+        if bits * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))) >= -np.log(chance):
+            return m
+    return bits
+
+
 def _shared(distinct: DataFrame, bands: list[int]) -> DataFrame:
     """(node, key, known, _size): distinct (key, known, nodes) in each node of these bands that holds more than one class."""
     dealt = staged(distinct.select(F.explode(F.array(*[F.get("nodes", F.lit(n)) for n in bands])).alias("node"), "key", "known"), "dealt")
@@ -365,8 +392,9 @@ def _cells(rows: DataFrame, most: int) -> DataFrame:
     per = rows.groupBy("node", "known").agg(F.count(F.lit(1)).alias("_n"))
     per = per.groupBy("node").agg(F.max(F.struct("_n", "known")).alias("_core"), F.sum("_n").alias("_all"))
     chunks = lambda n: F.ceil(n / F.lit(max(most // 2, 1))).cast("int")
-    per = per.select("node", F.col("_core.known").alias("_common"), chunks(F.col("_core._n")).alias("_c"), chunks(F.col("_all") - F.col("_core._n")).alias("_r")).where("_r > 0")
-    rows = rows.join(F.broadcast(staged(per, "large-nodes")), "node")
+    per = per.select("node", F.col("_core.known").alias("_common"), chunks(F.col("_core._n")).alias("_c"), chunks(F.col("_all") - F.col("_core._n")).alias("_r"), "_all").where("_r > 0")
+    per = staged(per, "large-nodes")
+    rows = left_join_groups(rows, per, "node", "_all", rows.count()).where(F.col("_r").isNotNull())
     core = F.col("known") == F.col("_common")
     rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("key", "node"), F.when(core, F.col("_c")).otherwise(F.col("_r"))).cast("int"))
     # Two of a chunk of the rest meet in each of its cells; that with the core's first chunk is the one that counts.
@@ -380,13 +408,13 @@ def _cells(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("_cell.node", "key", "known", "home", "_cell.twin")
 
 
-def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, node: int, pivots: bool = False, closest: bool = False) -> DataFrame:
-    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells. closest: see pairs_between()."""
+def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, node: int, pivots: bool = False, members: bool = False) -> DataFrame:
+    """(a, b, apart): keys of distinct (key, known, fp, nodes) that share a node of these bands, known being their class: enough pairs at `sure` or fewer differing bits to join what they join, and all others at `most` or fewer between classes that those leave apart in a node. Nodes over `node` members give links to pivots only, or else are dealt again in cells. members: (a, b, node, sure), see _node_pairs()."""
     rows = staged(_shared(distinct, bands), "shared")
-    # Where all unsure pairs are asked for, the members' band nodes go along, so that each pair is given once.
-    once = not pivots and not closest
+    # The members' band nodes go along, so that each unsure pair counts once.
+    once = not pivots
     packed = F.unhex(F.array_join(F.transform("nodes", lambda n: F.lpad(F.hex(n), 16, "0")), ""))
-    fps = distinct.select("key", "fp", *([packed.alias("nodes")] if once else []))
+    fps = distinct.select("key", "fp", *([packed.alias("nodes"), F.col("few") if "few" in distinct.columns else F.lit(False).alias("few")] if once else []))
     large = rows.where(F.col("_size") > node)
     rows = rows.where(F.col("_size") <= node).select("node", "key", "known", F.col("node").alias("home"), F.lit(0).alias("twin"))
     found = None
@@ -395,8 +423,10 @@ def _close_pairs(distinct: DataFrame, bands: list[int], sure: int, most: int, no
             found = _pivot_links(large.select("node", "key", "_size"), fps, sure)
         else:
             rows = rows.unionByName(_cells(large.drop("_size"), node))
-    rows = rows.join(fps, "key").select("node", "key", "known", "fp", *(["home", "twin", "nodes"] if once else [])).repartition("node").sortWithinPartitions("node")
-    pairs = rows.mapInPandas(_node_pairs(sure, most, closest), "a long, b long, apart long").distinct()
+    rows = rows.join(fps, "key").select("node", "key", "known", "fp", *(["home", "twin", "nodes", "few"] if once else [])).repartition("node").sortWithinPartitions("node")
+    if members:
+        return staged(rows.mapInPandas(_node_pairs(sure, most, True), "a long, b long, node long, sure boolean"), "close-members")
+    pairs = rows.mapInPandas(_node_pairs(sure, most), "a long, b long, apart long").distinct()
     return staged(pairs if found is None else pairs.unionByName(found), "close-pairs")
 
 
@@ -411,56 +441,86 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(hashed, "key long, set array<long>")
 
 
-def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different classes of known (node, component), with these as (_a, _b), the smaller first."""
-    columns = pairs.columns
-    for side in ("a", "b"):
-        pairs = pairs.join(known.toDF(side, f"_{side}"), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    pairs = pairs.where("_a <> _b").select(*columns, F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-    return staged(pairs, "doubtful-pairs")
+def _verified(similarity: float):
+    """Over rows (node, group, key, known, set), sorted by node and group: links (a, b) that join what pairs of this similarity join in a group, known being the members' classes."""
+
+    def links(key: np.ndarray, known: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        _, first, place = np.unique(known, return_index=True, return_inverse=True)
+        labels, marked, out = first[place], np.zeros(ids.max() + 1, np.int64), [np.empty((2, 0), np.int64)]
+        for i in range(len(key) - 1):
+            if (labels[i + 1 :] == labels[i]).all():
+                continue
+            own = ids[starts[i] : starts[i + 1]]
+            marked[own] = 1
+            shared = np.add.reduceat(marked[ids[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1])
+            marked[own] = 0
+            linked = (shared / (sizes[i] + sizes[i + 1 :] - shared) >= similarity) & (labels[i + 1 :] != labels[i])
+            b = i + 1 + np.flatnonzero(linked)
+            b = b[np.unique(labels[b], return_index=True)[1]]  # one link a class
+            out.append(np.stack([np.full(len(b), key[i]), key[b]]))
+            labels = merged(labels, np.full(len(b), i), b)
+        return np.concatenate(out, axis=1)
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            node, group = rows["node"].to_numpy(), rows["group"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((node[1:] != node[:-1]) | (group[1:] != group[:-1])) + 1]) if len(rows) else [0]
+            yield from each(rows, edges)
+            held = rows.iloc[edges[-1] :]  # the last group may go on in the next batch
+        if held is not None and len(held):
+            yield from each(held, [0, len(held)])
+
+    def each(rows: pd.DataFrame, edges) -> Iterator[pd.DataFrame]:
+        columns = [rows[c].to_numpy() for c in ("key", "known", "set")]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            a, b = links(*(c[i:j] for c in columns))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return verified
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' shingle sets have the similarity."""
-    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", "least"), "key"), "asked")
-    side = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(side, "least").select("key", "text")
-    sets = staged(shingle_sets(texts, words), "shingle-sets").dropDuplicates(["key"])
-    one, two = sets.select(F.col("key").alias("a"), F.col("set").alias("_sa")), sets.select(F.col("key").alias("b"), F.col("set").alias("_sb"))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    jaccard = shared / (F.size("_sa") + F.size("_sb") - shared)
-    return staged(pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b"), "similar-pairs")
+def _texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """(key, text) of keys (key, least, th): the text of that id and hash."""
+    side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    return docs.select(F.col(id_col).alias("least"), text_hash(text_col).alias("th"), F.col(text_col).alias("text")).join(side, ["least", "th"]).select("key", "text")
 
 
 def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int, node: int = NODE) -> DataFrame:
-    """(a, b): links between keys of distinct (key, fp, nodes, least), least being the id of a document with that fingerprint."""
+    """(a, b): links between keys of distinct (key, fp, nodes, few, least, th), least and th being the id and the text's hash of a document with that fingerprint."""
     edge = bits_apart(similarity, bits)
-    off = np.sqrt(edge * (1 - edge / bits))
-    sure, most = edge - round(2.5 * off), edge + round(4 * off)  # the estimate may be off by as much; a pair beyond `most` is lost
+    sure, most = edge - round(2.5 * np.sqrt(edge * (1 - edge / bits))), most_apart(similarity, bits)
     first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), list(range(0, BANDS, 4)), sure, sure, node, pivots=True)
-    found = first.select("a", "b")
-    # At first the closest pairs alone, whose number is that of the texts: most classes that are one are one then. All pairs between the classes left follow.
-    for closest in (True, False):
-        known = components(found)
-        labelled = distinct.join(known.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("known"), "fp", "nodes")
-        pairs = _close_pairs(staged(labelled, "labelled"), list(range(BANDS)), sure, most, node, closest=closest)
-        found = known.toDF("a", "b").unionByName(pairs.where(F.col("apart") <= sure).select("a", "b"))
-        doubtful = pairs.where(F.col("apart") > sure)
-        asked = _between(doubtful, components(found))
-        if closest:  # one pair of each two classes
-            asked = staged(asked.groupBy("_a", "_b").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "asked-pairs")
-        found = staged(found.unionByName(_similar(docs, asked.select("a", "b"), distinct, id_col, text_col, words, similarity, broadcast_rows)), "found-links")
-    return found
+
+    def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(known.toDF("key", "known"), "key", "left").withColumn("known", F.coalesce("known", "key"))
+
+    known = components(first.select("a", "b"))
+    found = _close_pairs(staged(labelled(distinct.select("key", "fp", "nodes", "few"), known), "labelled"), list(range(BANDS)), sure, most, node, members=True)
+    links = known.toDF("a", "b").unionByName(found.where("sure").select("a", "b"))
+    known = components(links)
+    members = staged(labelled(found.where("not sure").select("node", F.col("b").alias("group"), F.col("a").alias("key")), known), "unsure-members")
+    apart = members.groupBy("node", "group").agg(F.min("known").alias("_low"), F.max("known").alias("_high")).where("_low < _high").select("node", "group")
+    members = staged(members.join(apart, ["node", "group"], "left_semi"), "open-members")
+    asked = staged(members.select("key").distinct().join(distinct.select("key", "least", "th"), "key"), "asked")
+    sets = staged(shingle_sets(_texts_of(docs, asked, id_col, text_col, broadcast_rows), words), "shingle-sets").dropDuplicates(["key"])
+    rows = members.join(sets, "key").select("node", "group", "key", "known", "set").repartition("node", "group").sortWithinPartitions("node", "group")
+    return staged(links.unionByName(rows.mapInPandas(_verified(similarity), "a long, b long")), "found-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1024, broadcast_rows: int = 1_000_000, node: int = NODE) -> DataFrame:
     """The rows of docs but those that link, directly or not, to one of a smaller id; rows of one id stay or go together, and rows of null id stay."""
     prints = staged(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, bits), "wide-fingerprints")
-    same = prints.groupBy("fp").agg(F.min("_id").alias("least"), F.min_by("nodes", "_id").alias("nodes"), F.count(F.lit(1)).alias("_size"))
+    same = prints.groupBy("fp").agg(F.min(F.struct("_id", "th", "nodes", "few")).alias("_one"), F.count(F.lit(1)).alias("_size"))
+    same = same.select("fp", F.col("_one._id").alias("least"), "_one.th", "_one.nodes", "_one.few", "_size")
     distinct = staged(same.withColumn("key", F.monotonically_increasing_id()), "distinct-wide")
     total = distinct.count()
     linked = components(similar_links(docs, distinct, id_col, text_col, words, similarity, bits, broadcast_rows, node)).withColumnRenamed("node", "key")
-    known = staged(distinct.drop("fp", "nodes").join(linked, "key"), "linked")
+    known = staged(distinct.drop("fp", "nodes", "th", "few").join(linked, "key"), "linked")
     sizes = known.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("_members"))
     first = left_join_groups(known, sizes, "component", "_members", total).select("key", "first")
     groups = distinct.join(first, "key", "left").where(F.col("first").isNotNull() | (F.col("_size") > 1)).select("fp", "_size", F.coalesce("first", "least").alias("first"))

@@ -360,6 +360,42 @@ def test_templated_family_equals_brute_force(spark):
     assert kept == {i for i in texts if least[i] == i}
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    """100 texts at similarity 0.85 to a kept one, under ids that other texts have too: each goes, as under an id of its own."""
+    rng = np.random.default_rng(23)
+    rows, copies = [], []
+    for n in range(100):
+        words = [f"w{n}x{i}" for i in range(300)]
+        near = list(words)
+        for at in range(20, 300, 60):  # five words of 300 change 25 of 296 shingles each way
+            near[at] = "changed"
+        a, b = five_words(" ".join(words)), five_words(" ".join(near))
+        assert 0.8 < len(a & b) / len(a | b) < 0.87
+        rows.append((n, " ".join(words)))
+        copies.append((1000 + n, " ".join(near)))
+        rows += [(n, " ".join(f"q{rng.integers(1 << 40)}" for _ in range(50))), (1000 + n, " ".join(f"q{rng.integers(1 << 40)}" for _ in range(50)))]
+    for shift in (0, 5000):  # shared ids, then ids of their own
+        frame = spark.createDataFrame(rows + [(i + shift, t) for i, t in copies], "doc_id long, text string").repartition(4)
+        kept = {r["text"] for r in simhash.near_dedup(frame).collect()}
+        assert sum(t in kept for _, t in copies) == 0
+
+
+def test_families_of_short_texts_equal_brute_force(spark):
+    """Few shingles: fingerprints say little, sets decide."""
+    rng = np.random.default_rng(29)
+    texts = {n: " ".join(f"v{x}" for x in np.where(rng.random(14) < 0.06, rng.integers(100, 103, 14), np.arange(14) + 20 * (n % 3))[: rng.integers(3, 15)]) for n in range(150)}
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sets = {i: five_words(t) for i, t in texts.items()}
+    least = brute_components(texts, [(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    assert kept == {i for i in texts if least[i] == i}
+
+
+def test_a_cut_by_a_bound():
+    m = simhash.most_apart(0.8, 1024)
+    q, p = m / 1024, simhash.bits_apart(0.8, 1024) / 1024
+    assert 200 < m < 300 and np.exp(-1024 * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))) <= 1e-9
+
+
 def test_a_rejected_pair_stands_for_no_other():
     zero = np.zeros(16, np.uint64)
     flipped = lambda bits: np.packbits([i in bits for i in range(1024)], bitorder="little").view(np.uint64)
@@ -403,7 +439,7 @@ def test_unsure_pairs_are_given_once(spark):
     packed = {i: nodes[i].astype(">i8").tobytes() for i in range(members)}
     dealt = simhash._cells(homes, 16).toPandas().sort_values("node", kind="stable")
     frame = dealt.assign(fp=[words[k].tobytes() for k in dealt["key"]], nodes=[packed[k] for k in dealt["key"]])[["node", "key", "known", "fp", "home", "twin", "nodes"]]
-    made = [tuple(r) for out in simhash._node_pairs(0, 1024, False)(iter([frame])) for r in out.itertuples(index=False)]
+    made = [tuple(r) for out in simhash._node_pairs(0, 1024)(iter([frame])) for r in out.itertuples(index=False)]
     assert len(made) == len(set(made)) and set(made) == true
 
 
