@@ -99,12 +99,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tol
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, source: Column, lang: Column, about: Column) -> list[Column]:
     value = lambda c: F.coalesce(c.cast("string"), F.lit("\u0000"))
-    return [F.col(id_col).alias("_id"), n_tokens(F.col(text_col)).alias("tokens"), value(source).alias("source"), value(lang).alias("lang"), value(about).alias("topic")]
+    return [F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_at"), n_tokens(F.col(text_col)).alias("tokens"), value(source).alias("source"), value(lang).alias("lang"), value(about).alias("topic")]
 
 
 def _draw(id_col: Column) -> Column:
-    """A number in [0, 1) from the id alone."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / float(16**13)
+    """A number in [0, 1) from the id alone; of a row without an id, from its place in the stored rows."""
+    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.concat(F.lit("row "), F.col("_at").cast("string")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
 def calibrated(rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None, sweeps: int = 200) -> DataFrame:
@@ -115,7 +115,7 @@ def calibrated(rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict
     cells = rake(cells, goals, sweeps)
     ratio = F.when(F.col("base") > 0, F.col("weight") / F.col("base"))
     most = cells.agg(F.max(ratio)).first()[0] or 1.0
-    return staged(cells.select(*margins, "n", "base", "weight", "margin_error", F.coalesce(F.round(ratio / most, 9), F.lit(1.0)).alias("probability")), "calibrated")
+    return staged(cells.select(*margins, "n", "base", "weight", "margin_error", F.coalesce(ratio / most, F.lit(1.0)).alias("probability")), "calibrated")
 
 
 def _given(rows: DataFrame, cells: DataFrame, margins: list[str], broadcast_cells: int) -> DataFrame:
@@ -143,5 +143,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     about = topic(F.col(text_col)) if about is None else about
     marks = _marked(docs, id_col, text_col, F.col(source), F.col(lang), about)
     rows = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *marks), "weighed-documents")  # so that each text is read once
-    cells = calibrated(rows.drop("_row", "_id"), powers, targets, sweeps).withColumn("base", F.nullif(F.col("base"), F.lit(0)))
+    cells = calibrated(rows.drop("_row", "_id", "_at"), powers, targets, sweeps).withColumn("base", F.nullif(F.col("base"), F.lit(0)))
     return _given(rows.drop("tokens"), cells, list(powers), broadcast_cells).where(_draw(F.col("_id")) < F.col("probability")).select("_row.*")

@@ -54,7 +54,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     sample = staged(known.orderBy(F.xxhash64(id_col), id_col).limit(train_rows), "labelled")
     measure = F.pandas_udf(lambda texts: pd.Series([features(t).tolist() for t in texts]), "array<double>")
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).limit(train_rows).select(measure(text_col).alias("x"), "_y").collect()
+    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(train_rows).select(measure(text_col).alias("x"), "_y").collect()
     y = np.array([r["_y"] for r in rows], float)
     if len(set(y > 0)) < 2:
         return None

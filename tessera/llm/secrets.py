@@ -3,7 +3,7 @@
 Rules (leftmost, non-overlapping per kind; matches that are too short are dropped afterwards, so they still take up their characters):
 assign: a keyword, a separator and a value of 6 or more characters; access: AKIA..., 20 or more; hex: 24 or more lowercase hex digits.
 
-Models: order 1, over ALPHABET, add-one smoothed, trained from labelled strings (1 random, 0 ordinary). Every maximal run of ALPHABET with min_length or more characters that touches no rule's span gets the sum over its characters of log P(c | previous, random) - log P(c | previous, ordinary); above min_score it becomes a span of kind markov. Long numbers, such as those of cards, are random strings. If either label is missing from the sample, the models add nothing.
+Models: order 1, over ALPHABET, add-one smoothed, trained from labelled strings (1 random, 0 ordinary). Every maximal run of ALPHABET with min_length or more characters that touches no rule's span gets the sum over its characters of log P(c | previous, random) - log P(c | previous, ordinary); above min_score it becomes a span of kind markov. Numbers, such as those of cards, are ordinary strings, however long. If either label is missing from the sample, the models add nothing.
 
 Spans are kind:start:end in code points, end exclusive, over the whole match, sorted by start and then by kind in the order above, joined by commas. Null text counts as empty: no spans. A very long text is one task's; n spans in it cost about n to the power of 1.5. Rows that repeat are scanned each, ties don't arise, an empty table gives no rows, and other columns don't matter.
 """
@@ -91,11 +91,14 @@ def base_spans(text: Column) -> list[Column]:
 def labelled_strings(spark: SparkSession, documents: DataFrame, labels: DataFrame, random_rows: int = 4000, document_rows: int = 2000) -> DataFrame:
     """A training sample (text, label), bounded by its two parameters. The documents are drawn by their ids' hash among the labelled ones.
 
-    Label 1: what the rules find in document_rows labelled documents, and synthetic random strings, digests written in hex, base64, upper-case alphabets and digits, random_rows of each. Label 0: the words of document_rows documents labelled as of good quality, as they stand and in upper case, and identifiers made of neighbouring words.
+    Label 1: what the rules find in document_rows labelled documents, and synthetic random strings, digests written in hex, base64 and upper-case alphabets, random_rows of each. Label 0: the words of document_rows documents labelled as of good quality, as they stand and in upper case, identifiers made of neighbouring words, the numbers in these documents, and synthetic numbers of 8 to 24 digits, with and without hyphens, random_rows of each.
     """
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    forms = F.array(F.substring(digest, 1, 40), base64, F.upper(F.regexp_replace(base64, "[+/]", "")), F.substring(F.regexp_replace(digest, "[a-f]", ""), 1, 24))
+    forms = F.array(F.substring(digest, 1, 40), base64, F.upper(F.regexp_replace(base64, "[+/]", "")))
+    digits = F.regexp_replace(F.sha2(F.concat(F.lit("number "), F.col("id").cast("string")), 256), "[a-f]", "")
+    numbers = F.array(F.expr("substring(digits, 1, 8 + cast(id % 17 as int))"), F.expr("concat_ws('-', substring(digits, 1, 4), substring(digits, 5, 4), substring(digits, 9, 4), substring(digits, 13, 4))"))
+    numbers = spark.range(random_rows).withColumn("digits", digits).select(F.explode(numbers).alias("text"), F.lit(0).alias("label"))
     synthetic = spark.range(random_rows).select(F.explode(forms).alias("text"), F.lit(1).alias("label"))
 
     def drawn(which: str) -> DataFrame:
@@ -106,11 +109,13 @@ def labelled_strings(spark: SparkSession, documents: DataFrame, labels: DataFram
     text = F.coalesce(F.col("text"), F.lit(""))
     values = F.concat(F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6), *[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (ACCESS, HEX)])
     found = drawn("true").select(F.explode(values).alias("text"), F.lit(1).alias("label"))
-    words = drawn("quality = 1 and coalesce(toxic, 0) = 0").select(F.posexplode(F.split(F.col("text"), r"[^A-Za-z]+")), F.col("doc_id")).where("col <> ''").select("doc_id", "pos", F.col("col").alias("word"))
+    good = drawn("quality = 1 and coalesce(toxic, 0) = 0")
+    numbers = numbers.unionByName(good.select(F.explode(F.regexp_extract_all(text, F.lit("[0-9]+(?:[/-][0-9]+)*"), F.lit(0))).alias("text"), F.lit(0).alias("label")))
+    words = good.select(F.posexplode(F.split(F.col("text"), r"[^A-Za-z]+")), F.col("doc_id")).where("col <> ''").select("doc_id", "pos", F.col("col").alias("word"))
     after = F.coalesce(F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(""))
     forms = F.array("word", F.upper("word"), F.concat_ws("_", "word", "after"), F.upper(F.concat_ws("_", "word", "after")), F.concat("word", F.initcap("after")))
     plain = words.withColumn("after", after).select(F.explode(forms).alias("text"), F.lit(0).alias("label"))
-    return synthetic.unionByName(found).unionByName(plain)
+    return synthetic.unionByName(found).unionByName(plain).unionByName(numbers)
 
 
 def fit(samples: DataFrame) -> list[float] | None:

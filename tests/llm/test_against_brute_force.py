@@ -477,6 +477,27 @@ def test_models_on_held_out_strings(spark, sf):
     assert min(hits[k] for k in ("hex", "base64", "base32", "digits")) > 0.97 and max(hits[k] for k in ("words", "camel", "snake")) < 0.02, hits
 
 
+def test_markov_spans_equal_plain_python(spark, sf, docs):
+    """Every maximal run of 16 or more that touches no rule's span, by its sum of log ratios; numbers are never spans, planted keys are."""
+    keys = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode().strip("=")[: 16 + i % 24] for i in range(40)]
+    numbers = ["4111111111111111", "12345678901234567890123", "2024-11-28/2023-01-01", "0049-171-1234567-89"]
+    texts = {i: r["text"] for i, r in docs.items()} | {7000 + i: f"see {k} and password={k}x there" for i, k in enumerate(keys)} | {8000 + i: f"card {n} paid" for i, n in enumerate(numbers)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ratios = secrets.fit(secrets.labelled_strings(spark, frame, spark.read.parquet(f"{sf}/labels.parquet")))
+    width, found = len(secrets.ALPHABET) + 1, 0
+    for r in secrets.scan(frame, ratios).collect():
+        base = [(x["start"], x["stop"]) for x in r["base"]]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", texts[r["doc_id"]] or ""):
+            codes = [0, *(secrets.ALPHABET.index(c) + 1 for c in m[0])]
+            if sum(ratios[a * width + b] for a, b in zip(codes, codes[1:])) > 12.0 and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append((m.start(), m.end()))
+                assert not m[0].strip("-/").replace("-", "").replace("/", "").isdigit()
+        assert [(x["start"], x["stop"]) for x in r["added"]] == want
+        found += len(want) * (7000 <= r["doc_id"] < 8000)
+    assert found >= 38
+
+
 def test_planted_random_strings(spark, sf):
     """Random strings that no rule takes are put into documents of a table; the models find them, and next to nothing else."""
     frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
