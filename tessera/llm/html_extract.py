@@ -1,6 +1,6 @@
 """Main text of web pages: structure tells what a page says of itself, and a suffix array of its host what pages repeat.
 
-Structure. A page is read into blocks, one per block-level element, in page order. What is inside scripts and styles isn't text. What is inside forms, menus, headers, footers, sidebars, notices, adverts and comments, by element, role, or class and id names, is chrome. Inside an article a paragraph or the like is chrome only if a name ends in such a word (cookie-notice, not notice-board), and an article or main only if a name is such a word. The text of a page is its articles inside main, else main, else its articles; these blocks are whole, even if other pages repeat them. Where a page has none of them, its open blocks (all that isn't chrome) make the text, less what the host repeats.
+Structure. A page is read into blocks, one per block-level element, in page order. What is inside scripts and styles isn't text. What is inside forms, menus, headers, footers, sidebars, notices, adverts and comments, by element, role, or class and id names, is chrome. Inside an article an element is chrome only if a name ends in such a word (cookie-notice, not notice-board), or has one and ends in a word for a part of a page (share-buttons and social-links, not share-price and social-history). An article or main is chrome only if a name is such a word, or one of what readers write (user-review), or if it is a teaser: most of its words are links, and another article of the page is four times as long. What is hidden, by attribute or by style, is chrome. The text of a page is its articles inside main, else main, else its articles; these blocks are whole, even if other pages repeat them. Where a page has none of them, its open blocks (all that isn't chrome) make the text, less what the host repeats.
 
 Suffixes. The token streams of all pages of a host, chrome and articles included, are taken together, and a token is covered if it lies in a substring of min_tokens or more that a page of other contents of the host has too. A substring may run over the ends of blocks. Pages of the same text blocks are copies and don't cover each other. Covered tokens of open blocks go; unique runs stay. n_repeated tells for every page how many tokens are covered.
 
@@ -31,12 +31,20 @@ CHROME = frozenset("aside button dialog footer form head iframe menu nav noscrip
 BLOCK = frozenset("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACE = frozenset("br td th".split())
 CHROME_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that end the names of parts of a page, whatever they hold; who writes below an article, and what; names that are one word of two.
+PARTS = frozenset("area bar block box button buttons container form group icons item items links list module panel posts row section signup slot stack stream thread unit wrap wrapper".split())
+READERS = frozenset("community customer guest member reader readers user users visitor".split())
+READER_TEXTS = frozenset("answer answers comment comments feedback opinion opinions replies reply response responses review reviews".split())
+ONE_WORD_NAMES = frozenset("adslot adunit adbox gdpr teaser teasers responses replies recommended recommendations".split())
 CHROME_ROLES = frozenset("banner complementary contentinfo form navigation search".split())
 
 #: A comment, a declaration, or a tag. Quantifiers never give back, so no page takes more than linear time.
 _MARKUP = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+>|/?+([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z)))""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNSEEN = re.compile(r"""\bstyle\s*+=\s*+["'][^"']*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+#: A teaser has this share of its characters in links, and so many times fewer than the longest article.
+LINKED, LONGER = 0.5, 4
 
 
 #: Elements that hold text rather than other parts of a page.
@@ -48,6 +56,9 @@ CHROME_PART, OPEN, ARTICLE, MAIN, ARTICLE_IN_MAIN = range(5)
 class Block(NamedTuple):
     part: int
     text: str
+    #: The number of the outermost article that it is in, from 1; 0 outside. And how many characters of it are in links.
+    article: int = 0
+    linked: int = 0
 
 
 def _is_chrome(tag: str, rest: str, is_core: bool, in_core: bool) -> bool:
@@ -55,6 +66,8 @@ def _is_chrome(tag: str, rest: str, is_core: bool, in_core: bool) -> bool:
         return True
     if "=" not in rest and "hidden" not in rest or tag in ("body", "html"):
         return False
+    if "style" in rest.lower() and _UNSEEN.search(rest):
+        return True
     for name, value in _NAMES.findall(rest):
         value = value.strip("\"'")
         name = name.lower()
@@ -63,11 +76,13 @@ def _is_chrome(tag: str, rest: str, is_core: bool, in_core: bool) -> bool:
         if name not in ("class", "id"):
             continue
         words = [[w.lower() for w in _WORDS.findall(n)] for n in value.split()]
-        if is_core:  # only a whole name counts
+        if any(own and own[-1] in READER_TEXTS and READERS & set(own[:-1]) for own in words):
+            return True
+        if is_core:  # else only a whole name counts
             words = [w for w in words if len(w) == 1]
-        elif in_core and tag in TEXT:
-            words = [w[-1:] for w in words]
-        if any(w in CHROME_NAMES for own in words for w in own):
+        elif in_core:
+            words = [w if w[-1:] and w[-1] in PARTS else w[-1:] for w in words]
+        if any(w in CHROME_NAMES or w in ONE_WORD_NAMES and not is_core for own in words for w in own):
             return True
     return False
 
@@ -80,6 +95,7 @@ class _Open:
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.chrome = self.article = self.main = 0
+        self.links = self.articles = 0
 
     def push(self, tag: str, chrome: bool, article: bool, main: bool) -> None:
         self.places.setdefault(tag, []).append(len(self.tags))
@@ -87,6 +103,8 @@ class _Open:
             self.blocks.append(len(self.tags))
         self.tags.append((tag, chrome, article, main))
         self.chrome += chrome
+        self.articles += article and not self.article
+        self.links += tag == "a"
         self.article += article
         self.main += main
 
@@ -96,6 +114,7 @@ class _Open:
         if tag in BLOCK:
             self.blocks.pop()
         self.chrome -= chrome
+        self.links -= tag == "a"
         self.article -= article
         self.main -= main
 
@@ -118,17 +137,20 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     aside: list[str] = []
     open_ = _Open()
-    at = 0
+    at = linked = 0
 
     def flush() -> None:
+        nonlocal linked
         for part, own in ((CHROME_PART, aside), (open_.part(), parts)):
             text = " ".join(html.unescape("".join(own)).split())
             own.clear()
             if text:
-                found.append(Block(part, text))
+                found.append(Block(part, text, open_.articles if open_.article and part else 0, linked if part else 0))
+        linked = 0
 
     while m := _MARKUP.search(page, at):
         (aside if open_.chrome else parts).append(page[at : m.start()])
+        linked += (m.start() - at) * (open_.links > 0 and not open_.chrome)
         at = m.end()
         if m[1] is None:
             continue
@@ -161,7 +183,16 @@ def text_blocks(found: list[Block]) -> tuple[bool, list[int]]:
     """Whether the page has an article or main, and which of its blocks make its text."""
     best = max((b.part for b in found), default=OPEN)
     best = best if best > OPEN else OPEN
-    return best > OPEN, [n for n, b in enumerate(found) if b.part == best]
+    kept = [n for n, b in enumerate(found) if b.part == best]
+    sizes: dict[int, list[int]] = {}
+    for n in kept:
+        size = sizes.setdefault(found[n].article, [0, 0])
+        size[0] += len(found[n].text)
+        size[1] += found[n].linked
+    if 0 not in sizes and len(sizes) > 1:
+        longest = max(size for size, _ in sizes.values())
+        kept = [n for n in kept if not (sizes[found[n].article][1] >= LINKED * sizes[found[n].article][0] and LONGER * sizes[found[n].article][0] <= longest)]
+    return best > OPEN, kept
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -72,6 +72,21 @@ def test_structure():
     assert text_of("") == [] and text_of("plain") == ["plain"]
 
 
+def test_names_that_only_hold_such_a_word():
+    """Main text stays whatever its class says, comments, teasers and hidden parts go."""
+    inner = "<div class='{}'><p>on</div>"
+    for name in ("share-price", "modal-verbs", "social-history", "widget-theory", "menu-planning recipe"):
+        assert text_of(f"<article><p>text{inner.format(name)}</article>") == ["text", "on"], name
+    for name in ("share-buttons", "social-links", "cookie-notice", "ad-slot", "adslot", "gdpr", "responses", "related-posts", "newsletter-signup", "user-review", "reader-comments"):
+        assert text_of(f"<article><p>text{inner.format(name)}</article>") == ["text"], name
+    body = "<p>" + "long text of the article itself " * 9
+    assert text_of(f"<main><article>{body}</article><article class='user-review'><p>mine</article></main>") == [body[3:].strip()]
+    assert text_of(f"<main><article>{body}</article><article><a href=x>Another story</a><p>More</article></main>") == [body[3:].strip()]
+    assert text_of(f"<main><article>{body}</article><article><p>A second part of it.</article></main>") == [body[3:].strip(), "A second part of it."]
+    assert text_of(f"<article>{body}<p style='display: none'>unseen<p style='color:red'>seen</article>") == [body[3:].strip(), "seen"]
+    assert text_of("<article class='review'><p>A film.</article>") == ["A film."]
+
+
 @pytest.mark.parametrize("form", ["<div>|</section>", "<div><b>|</i>", "<p>|</article>", "<span>|</div>", "<|", "<a b=\"|", "<!--|", "<nav>|</nav", "&amp|;", "<div><article>|</main>", "<title>|"])
 def test_broken_pages_take_linear_time(form):
     start, end = form.split("|")
