@@ -66,7 +66,7 @@ def _is_chrome(tag: str, rest: str, is_core: bool, in_core: bool) -> bool:
         return True
     if "=" not in rest and "hidden" not in rest or tag in ("body", "html"):
         return False
-    if "style" in rest.lower() and _UNSEEN.search(rest):
+    if ("style" in rest or "STYLE" in rest) and _UNSEEN.search(rest):
         return True
     for name, value in _NAMES.findall(rest):
         value = value.strip("\"'")
@@ -150,7 +150,8 @@ def blocks(page: str) -> list[Block]:
 
     while m := _MARKUP.search(page, at):
         (aside if open_.chrome else parts).append(page[at : m.start()])
-        linked += (m.start() - at) * (open_.links > 0 and not open_.chrome)
+        if open_.links and not open_.chrome:
+            linked += m.start() - at
         at = m.end()
         if m[1] is None:
             continue
