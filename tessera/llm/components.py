@@ -1,4 +1,4 @@
-"""Connected components of a graph of links, by shuffled joins over stored tables."""
+"""Connected components of a graph of links: in one task while they are few, else by shuffled joins over stored tables."""
 
 from __future__ import annotations
 

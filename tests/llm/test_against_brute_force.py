@@ -301,7 +301,9 @@ def test_bit_counts():
     assert (simhash.bit_counts(words) == np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 21, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 160), 100)
