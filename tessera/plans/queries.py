@@ -400,7 +400,8 @@ def order_ranges(spark, sf_dir):
 def search_cells(spark, sf_dir):
     """Exact search where the queries are too many to send to every task at once, and a few documents are searched first."""
     queries, documents, _ = _vectors(spark, sf_dir)
-    return _ranked(search(queries, documents, 10, broadcast_bytes=0, query_rows=16, pilot=4))
+    # About four tiles, whatever the table: tiles of a fixed few queries would make passes without end.
+    return _ranked(search(queries, documents, 10, broadcast_bytes=0, query_rows=-(-queries.count() // 4), pilot=4))
 
 
 def order_digests(spark, sf_dir):
