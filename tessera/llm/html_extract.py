@@ -43,6 +43,8 @@ _MARKUP = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+>|/?+([a-zA-Z]
 _NAMES = re.compile(r"""\b(class|id|role|hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"""\bstyle\s*+=\s*+["'][^"']*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+>?", re.I) for tag in RAW}
+_MAIN_ROLE = re.compile(r"""role\s*=\s*["']?main\b""", re.I)
 #: A teaser has this share of its characters in links, and so many times fewer than the longest article.
 LINKED, LONGER = 0.5, 4
 
@@ -142,20 +144,25 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         for part, own in ((CHROME_PART, aside), (open_.part(), parts)):
-            text = " ".join(html.unescape("".join(own)).split())
+            if not own:
+                continue
+            text = "".join(own)
             own.clear()
-            if text:
+            if text := " ".join((html.unescape(text) if "&" in text else text).split()):
                 found.append(Block(part, text, open_.articles if open_.article and part else 0, linked if part else 0))
         linked = 0
 
     while m := _MARKUP.search(page, at):
-        (aside if open_.chrome else parts).append(page[at : m.start()])
-        if open_.links and not open_.chrome:
-            linked += m.start() - at
-        at = m.end()
-        if m[1] is None:
+        begin, end = m.span()
+        if begin > at:
+            (aside if open_.chrome else parts).append(page[at:begin])
+            if open_.links and not open_.chrome:
+                linked += begin - at
+        at = end
+        tag, rest = m.groups()
+        if tag is None:
             continue
-        tag = m[1].lower()
+        tag = tag.lower()
         if open_.chrome:
             if tag in BLOCK or tag in SPACE:
                 aside.append(" ")
@@ -163,19 +170,20 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag in SPACE:
             parts.append(" ")
-        if page[m.start() + 1] == "/":
+        if page[begin + 1] == "/":
             open_.close(tag)
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[2].rstrip(">").endswith("/"):
+            close = _RAW_END[tag].search(page, at)
+            at = close.end() if close else len(page)
+        elif tag not in VOID and not rest.rstrip(">").endswith("/"):
             if tag in BLOCK and open_.tags and open_.tags[-1][0] == "p":  # a paragraph ends where a block begins
                 open_.pop()
-            main = tag == "main" or "role" in m[2] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[2], re.I))
+            main = tag == "main" or "role" in rest and bool(_MAIN_ROLE.search(rest))
             core = main or tag == "article"
-            chrome = _is_chrome(tag, m[2], core, bool(open_.article or open_.main))
+            chrome = _is_chrome(tag, rest, core, bool(open_.article or open_.main))
             open_.push(tag, chrome, core and not main and not chrome, main and not chrome)
-    (aside if open_.chrome else parts).append(page[at:])
+    if at < len(page):
+        (aside if open_.chrome else parts).append(page[at:])
     flush()
     return found
 
@@ -197,6 +205,27 @@ def text_blocks(found: list[Block]) -> tuple[bool, list[int]]:
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX_2 = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word of text, whose words are separated by one space: the sum of hashes of its bytes at their places."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint64)
+    gaps = np.flatnonzero(raw == 32)
+    starts = np.concatenate(([0], gaps + 1))
+    mixed = np.arange(len(raw), dtype=np.uint64)
+    mixed -= np.repeat(starts.astype(np.uint64), np.diff(starts, append=len(raw)))
+    mixed <<= np.uint64(8)
+    mixed += raw
+    mixed += np.uint64(1)
+    mixed *= _MIX
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= _MIX_2
+    mixed ^= mixed >> np.uint64(29)
+    mixed[gaps] = 0
+    return np.add.reduceat(mixed, starts)
 
 
 def windows(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -215,52 +244,61 @@ def samples(hashes: np.ndarray, among: int) -> np.ndarray:
     """The places of the least of each `among` neighbouring hashes."""
     if len(hashes) <= among:
         return np.array([hashes.argmin()]) if len(hashes) else np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, among)
-    return np.unique(view.argmin(1) + np.arange(len(view)))
+    n = len(hashes) - among + 1
+    least, at = hashes[:n], np.zeros(n, np.int64)
+    for k in range(1, among):
+        at[hashes[k : k + n] < least] = k
+        least = np.minimum(least, hashes[k : k + n])
+    at += np.arange(n)  # never falls from one row to the next
+    return at[np.diff(at, prepend=-1) > 0]
 
 
 class _Page(NamedTuple):
     found: list[Block]
     has_core: bool
     text: list[int]
-    words: list[list[str]]
     tokens: np.ndarray
     body: int
 
 
-class _Hashes(dict):
-    """Hashes of words, kept since words repeat."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-def _read(page: str, host: str, hashes: _Hashes) -> _Page:
+def _read(page: str, host: str) -> _Page:
     """A page's blocks, its token stream as hashes that tell hosts apart, and a hash of its text."""
     found = blocks(page)
     has_core, text = text_blocks(found)
-    words = [b.text.split(" ") for b in found]
-    tokens = np.fromiter((hashes[w] for own in words for w in own), np.uint64)
+    tokens = word_hashes(" ".join(b.text for b in found))
     tokens = (tokens ^ np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")))) * _MIX
     body = xxhash.xxh64_intdigest("\n".join([host, *(found[n].text for n in text)]).encode("utf-8", "surrogatepass"))
-    return _Page(found, has_core, text, words, tokens, body)
+    return _Page(found, has_core, text, tokens, body)
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The places of the values that are in known, which is sorted."""
-    at = np.searchsorted(known, values)
-    return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == values) if len(known) else np.empty(0, np.int64)
+class _Known:
+    """Sorted keys, and a table by their first bits, which sorts out most values that aren't there at one look."""
 
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(int(len(keys)).bit_length() + 3, 8))
+        self.table = np.zeros(1 << int(np.uint64(64) - self.shift), bool)
+        self.table[keys >> self.shift] = True
 
-def _around(tokens: np.ndarray, known: np.ndarray, length: int, min_tokens: int) -> np.ndarray:
+    def places_of(self, values: np.ndarray) -> np.ndarray:
+        """The places of the values that are among the keys."""
+        near = np.flatnonzero(self.table[values >> self.shift])
+        if not len(near):
+            return near
+        wanted = values[near]
+        return near[self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted]
+
+
+def _around(tokens: np.ndarray, known: _Known, length: int, min_tokens: int) -> np.ndarray:
     """Hashes of the windows of min_tokens that hold a known window of `length`."""
-    at = _among(windows(tokens, length), known)
+    at = known.places_of(windows(tokens, length))
+    if not len(at):
+        return np.empty(0, np.uint64)
     full = windows(tokens, min_tokens)
-    places = np.unique(at[:, None] - np.arange(min_tokens - length + 1)) if len(at) else at
-    return full[places[(places >= 0) & (places < len(full))]]
+    wanted = np.zeros(len(full) + min_tokens, bool)
+    for k in range(min_tokens - length + 1):
+        wanted[at[at >= k] - k] = True
+    return full[wanted[: len(full)]]
 
 
 #: So many shared keys at most, of 8 bytes each, are broadcast; beyond that each page gets its own by a shuffled join.
@@ -288,11 +326,14 @@ class _Shared:
         return pages.withColumn("known", F.lit(None).cast("array<long>")) if self.by_page is None else pages.join(self.by_page, "page", "left")
 
 
-def known_of(everywhere, cell: pa.ListScalar) -> np.ndarray:
-    """What is shared of one page's keys, or of all, sorted."""
-    if everywhere is not None:
-        return everywhere.value
-    return np.sort(cell.values.to_numpy().view(np.uint64)) if cell.is_valid else np.empty(0, np.uint64)
+class _KnownOf:
+    """What is shared of all pages' keys, or of one page's."""
+
+    def __init__(self, everywhere) -> None:
+        self.everywhere = None if everywhere is None else _Known(everywhere.value)
+
+    def __call__(self, cell: pa.ListScalar) -> _Known:
+        return self.everywhere or _Known(np.sort(cell.values.to_numpy().view(np.uint64)) if cell.is_valid else np.empty(0, np.uint64))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 8) -> DataFrame:
@@ -311,13 +352,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         alone, everywhere = shared is None, shared and shared.everywhere
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = _Hashes()
+            known_of = None if alone else _KnownOf(everywhere)
             for batch in batches:
                 body, keys = [], []
                 for text, at, cell in zip(batch.column("_html"), batch.column("_host"), batch.column("known"), strict=True):
-                    own = _read(text.as_py(), at.as_py(), hashes)
+                    own = _read(text.as_py(), at.as_py())
                     body.append(own.body)
-                    keys.append(np.unique(choose(own.tokens, cell if alone else known_of(everywhere, cell))).view(np.int64))
+                    keys.append(np.unique(choose(own.tokens, cell if alone else known_of(cell))).view(np.int64))
                 columns = [batch.column("page"), pa.array(np.array(body, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page", "body", "keys"])
 
@@ -327,7 +368,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         found = windows(tokens, sample)
         return found[samples(found, among)]
 
-    def full(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    def full(tokens: np.ndarray, known: _Known) -> np.ndarray:
         return _around(tokens, known, sample, min_tokens)
 
     keyed = "page binary, body long, keys array<long>"
@@ -337,21 +378,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     everywhere = shared.everywhere
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        known_of = _KnownOf(everywhere)
         for batch in batches:
             out, n_tokens, n_repeated = [], [], []
             for text, at, cell in zip(batch.column("_html"), batch.column("_host"), batch.column("known"), strict=True):
-                own = _read(text.as_py(), at.as_py(), hashes)
+                own = _read(text.as_py(), at.as_py())
                 gone = np.zeros(len(own.tokens) + 1, np.int64)
-                starts = _among(windows(own.tokens, min_tokens), known_of(everywhere, cell))
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + min_tokens, -1)
+                starts = known_of(cell).places_of(windows(own.tokens, min_tokens))
+                gone[starts] += 1  # no place comes twice
+                gone[starts + min_tokens] -= 1
                 covered = np.cumsum(gone)[:-1] > 0
                 if own.has_core:
                     kept = [own.found[n].text for n in own.text]
                 else:
-                    begin = np.cumsum([0, *map(len, own.words)])
-                    kept = [" ".join(w for w, g in zip(own.words[n], covered[begin[n] :], strict=False) if not g) for n in own.text]
+                    words = [b.text.split(" ") for b in own.found]
+                    begin = np.cumsum([0, *map(len, words)])
+                    kept = [" ".join(w for w, g in zip(words[n], covered[begin[n] :], strict=False) if not g) for n in own.text]
                 out.append("\n\n".join(filter(None, kept)))
                 n_tokens.append(len(covered))
                 n_repeated.append(int(covered.sum()))
