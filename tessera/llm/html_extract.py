@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,32 +94,41 @@ class _Open:
     """The open elements. Pushing, popping and asking for one take constant time."""
 
     def __init__(self) -> None:
-        self.tags: list[tuple[str, bool, bool, bool]] = []  # tag, whether it is chrome, an article, main
-        self.places: dict[str, list[int]] = {}
+        self.tags: list[tuple[str, bool, bool, bool, bool]] = []  # tag, whether it is a block, chrome, an article, main
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
         self.chrome = self.article = self.main = 0
         self.links = self.articles = 0
 
     def push(self, tag: str, chrome: bool, article: bool, main: bool) -> None:
-        self.places.setdefault(tag, []).append(len(self.tags))
-        if tag in BLOCK:
-            self.blocks.append(len(self.tags))
-        self.tags.append((tag, chrome, article, main))
-        self.chrome += chrome
-        self.articles += article and not self.article
-        self.links += tag == "a"
-        self.article += article
-        self.main += main
+        n, block = len(self.tags), tag in BLOCK
+        self.places[tag].append(n)
+        self.tags.append((tag, block, chrome, article, main))
+        if block:
+            self.blocks.append(n)
+        elif tag == "a":
+            self.links += 1
+        if chrome:
+            self.chrome += 1
+        elif article:
+            self.articles += not self.article
+            self.article += 1
+        elif main:
+            self.main += 1
 
     def pop(self) -> None:
-        tag, chrome, article, main = self.tags.pop()
+        tag, block, chrome, article, main = self.tags.pop()
         self.places[tag].pop()
-        if tag in BLOCK:
+        if block:
             self.blocks.pop()
-        self.chrome -= chrome
-        self.links -= tag == "a"
-        self.article -= article
-        self.main -= main
+        elif tag == "a":
+            self.links -= 1
+        if chrome:
+            self.chrome -= 1
+        elif article:
+            self.article -= 1
+        elif main:
+            self.main -= 1
 
     def close(self, tag: str) -> None:
         """End the element, if an end tag has a start tag; that of an inline element has none beyond the block it is in."""
@@ -152,7 +162,8 @@ def blocks(page: str) -> list[Block]:
                 found.append(Block(part, text, open_.articles if open_.article and part else 0, linked if part else 0))
         linked = 0
 
-    while m := _MARKUP.search(page, at):
+    search = _MARKUP.search
+    while m := search(page, at):
         begin, end = m.span()
         if begin > at:
             (aside if open_.chrome else parts).append(page[at:begin])
@@ -167,7 +178,8 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK or tag in SPACE:
                 aside.append(" ")
         elif tag in BLOCK:
-            flush()
+            if parts or aside:
+                flush()
         elif tag in SPACE:
             parts.append(" ")
         if page[begin + 1] == "/":
@@ -175,13 +187,16 @@ def blocks(page: str) -> list[Block]:
         elif tag in RAW:
             close = _RAW_END[tag].search(page, at)
             at = close.end() if close else len(page)
-        elif tag not in VOID and not rest.rstrip(">").endswith("/"):
-            if tag in BLOCK and open_.tags and open_.tags[-1][0] == "p":  # a paragraph ends where a block begins
+        elif tag not in VOID and not rest.endswith("/>"):
+            if open_.tags and open_.tags[-1][0] == "p" and tag in BLOCK:  # a paragraph ends where a block begins
                 open_.pop()
-            main = tag == "main" or "role" in rest and bool(_MAIN_ROLE.search(rest))
-            core = main or tag == "article"
-            chrome = _is_chrome(tag, rest, core, bool(open_.article or open_.main))
-            open_.push(tag, chrome, core and not main and not chrome, main and not chrome)
+            if "=" in rest or "hidden" in rest or tag in CHROME or tag in ("article", "header", "main"):
+                main = tag == "main" or "role" in rest and bool(_MAIN_ROLE.search(rest))
+                core = main or tag == "article"
+                chrome = _is_chrome(tag, rest, core, bool(open_.article or open_.main))
+                open_.push(tag, chrome, core and not main and not chrome, main and not chrome)
+            else:
+                open_.push(tag, False, False, False)
     if at < len(page):
         (aside if open_.chrome else parts).append(page[at:])
     flush()
@@ -206,6 +221,7 @@ def text_blocks(found: list[Block]) -> tuple[bool, list[int]]:
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX_2 = np.uint64(0xBF58476D1CE4E5B9)
+_HIGH = np.uint64(29)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -214,9 +230,12 @@ def word_hashes(text: str) -> np.ndarray:
     if not len(raw):
         return np.empty(0, np.uint64)
     gaps = np.flatnonzero(raw == 32)
-    starts = np.concatenate(([0], gaps + 1))
+    edges = np.zeros(len(gaps) + 2, np.int64)
+    np.add(gaps, 1, out=edges[1:-1])
+    edges[-1] = len(raw)
+    starts = edges[:-1]
     mixed = np.arange(len(raw), dtype=np.uint64)
-    mixed -= np.repeat(starts.astype(np.uint64), np.diff(starts, append=len(raw)))
+    mixed -= np.repeat(starts.view(np.uint64), edges[1:] - starts)
     mixed <<= np.uint64(8)
     mixed += raw
     mixed += np.uint64(1)
@@ -233,10 +252,14 @@ def windows(tokens: np.ndarray, length: int) -> np.ndarray:
     n = len(tokens) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(length):
-        out = (out ^ tokens[k : k + n]) * _MIX
-        out ^= out >> np.uint64(29)
+    out, high = tokens[:n] * _MIX, np.empty(n, np.uint64)
+    for k in range(1, length):
+        np.right_shift(out, _HIGH, out=high)
+        out ^= high
+        out ^= tokens[k : k + n]
+        out *= _MIX
+    np.right_shift(out, _HIGH, out=high)
+    out ^= high
     return out
 
 
@@ -258,17 +281,24 @@ class _Page(NamedTuple):
     has_core: bool
     text: list[int]
     tokens: np.ndarray
-    body: int
+
+
+def _host_hash(host: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")))
 
 
 def _read(page: str, host: str) -> _Page:
-    """A page's blocks, its token stream as hashes that tell hosts apart, and a hash of its text."""
+    """A page's blocks, and its token stream as hashes that tell hosts apart."""
     found = blocks(page)
-    has_core, text = text_blocks(found)
-    tokens = word_hashes(" ".join(b.text for b in found))
-    tokens = (tokens ^ np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")))) * _MIX
-    body = xxhash.xxh64_intdigest("\n".join([host, *(found[n].text for n in text)]).encode("utf-8", "surrogatepass"))
-    return _Page(found, has_core, text, tokens, body)
+    tokens = word_hashes(" ".join([b.text for b in found]))
+    tokens ^= _host_hash(host)
+    tokens *= _MIX
+    return _Page(found, *text_blocks(found), tokens)
+
+
+def _body(page: _Page, host: str) -> int:
+    """A hash of a page's text."""
+    return xxhash.xxh64_intdigest("\n".join([host, *[page.found[n].text for n in page.text]]).encode("utf-8", "surrogatepass"))
 
 
 class _Known:
@@ -356,8 +386,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for batch in batches:
                 body, keys = [], []
                 for text, at, cell in zip(batch.column("_html"), batch.column("_host"), batch.column("known"), strict=True):
-                    own = _read(text.as_py(), at.as_py())
-                    body.append(own.body)
+                    own = _read(text.as_py(), host_of := at.as_py())
+                    body.append(0 if alone else _body(own, host_of))  # samples are compared whatever the contents
                     keys.append(np.unique(choose(own.tokens, cell if alone else known_of(cell))).view(np.int64))
                 columns = [batch.column("page"), pa.array(np.array(body, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page", "body", "keys"])
