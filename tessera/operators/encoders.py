@@ -5,18 +5,21 @@ encode(df, kind) takes (id, pos, text) and gives (id, pos, embedding); kind is q
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import DEFAULT_INSTRUCTION, EMPTY, adapter_of, sanitize, template
 from tessera.functions.vectors import TINY, l2_normalize
-from tessera.operators.providers import Provider, create_provider
+from tessera.operators.providers import Provider, Refused, create_provider, pause
+from tessera.sources.files import stored
 
 KINDS = ("query", "document")
 
@@ -78,6 +81,18 @@ class HashEncoder(Encoder):
         return rows.withColumn("embedding", l2_normalize(F.col("embedding")))
 
 
+ENCODED = "id string, pos long, embedding array<float>"
+
+
+def _unit_rows(part: pd.DataFrame, vectors: Sequence, dimension: int) -> pd.DataFrame:
+    """The part's rows with their vectors, scaled to unit length."""
+    found = np.asarray(vectors, np.float32)
+    if found.shape != (len(part), dimension):
+        raise ValueError(f"the encoder gave {found.shape} for {len(part)} texts of width {dimension}")
+    found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), TINY)
+    return pd.DataFrame({"id": part["id"], "pos": part["pos"], "embedding": list(found.astype(np.float32))})
+
+
 class BatchEncoder(Encoder):
     """An encoder that runs Python over batches of prepared texts, once started per task."""
 
@@ -101,14 +116,12 @@ class BatchEncoder(Encoder):
                 run = run or start()
                 for i in range(0, len(batch), size):
                     part = batch.iloc[i : i + size]
-                    found = np.asarray(run(part["text"].tolist(), kind), np.float32)
-                    if found.shape != (len(part), dimension):
-                        raise ValueError(f"the encoder gave {found.shape} for {len(part)} texts of width {dimension}")
-                    found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), TINY)
-                    yield pd.DataFrame({"id": part["id"], "pos": part["pos"], "embedding": list(found.astype(np.float32))})
+                    yield _unit_rows(part, run(part["text"].tolist(), kind), dimension)
 
-        rows = df.select("id", "pos", self.prepared(F.col("text"), kind).alias("text"))
-        return rows.mapInPandas(embed, "id string, pos long, embedding array<float>")
+        return self.rows(df, kind).mapInPandas(embed, ENCODED)
+
+    def rows(self, df: DataFrame, kind: str) -> DataFrame:
+        return df.select("id", "pos", self.prepared(F.col("text"), kind).alias("text"))
 
 
 @dataclass
@@ -157,9 +170,16 @@ class SentenceTransformerEncoder(BatchEncoder):
         return start
 
 
+#: Calls that a task makes before it hears from the others.
+CALLS_A_ROUND = 8
+
+
 @dataclass
 class HostedEncoder(BatchEncoder):
-    """A hosted model. Blank texts become the placeholder before the template."""
+    """A hosted model. Blank texts become the placeholder before the template.
+
+    calls_in_flight bounds the calls at one time over all executors: the texts are dealt over so many barrier tasks, each of which makes one call at a time. After a few calls, and at once when refused, tasks tell each other how long to wait, and all wait for the longest; so a service that refuses one isn't asked by the others meanwhile. The tasks start together, so they are never more than the cluster has slots. Vectors are written as they come, since a barrier stage runs whole or not at all.
+    """
 
     model_id: str
     dimension: int
@@ -169,6 +189,45 @@ class HostedEncoder(BatchEncoder):
     batch_size: int = 32
     query_instruction: str | None = None
     empty_text_placeholder: str = EMPTY
+    calls_in_flight: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.calls_in_flight is not None and self.calls_in_flight < 1:
+            raise ValueError("calls_in_flight must be at least 1")
+
+    def encode(self, df: DataFrame, kind: str) -> DataFrame:
+        if self.calls_in_flight is None:
+            return super().encode(df, kind)
+        provider, model_id, size, dimension = self.provider, self.model_id, self.batch_size, self.dimension
+        _checked(kind)
+
+        def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            others = BarrierTaskContext.get()
+            parts = (batch.iloc[i : i + size] for batch in batches for i in range(0, len(batch), size))
+            part, refused = next(parts, None), 0
+            while True:
+                wait = 0.0
+                for _ in range(CALLS_A_ROUND):
+                    if part is None:
+                        break
+                    try:
+                        found = provider.embed_once(model_id, part["text"].tolist())
+                    except Refused as e:
+                        refused += 1
+                        if refused > provider.max_retries:
+                            raise RuntimeError(f"gave up after {refused} tries: {e}") from e
+                        wait = pause(refused)
+                        break
+                    yield _unit_rows(part, found, dimension)
+                    part, refused = next(parts, None), 0
+                told = [json.loads(t) for t in others.allGather(json.dumps([part is None, wait]))]
+                if all(done for done, _ in told):
+                    return
+                if wait := max(w for _, w in told):
+                    provider.sleep(wait)
+
+        tasks = min(self.calls_in_flight, df.sparkSession.sparkContext.defaultParallelism)
+        return stored(self.rows(df, kind).repartition(tasks).mapInPandas(embed, ENCODED, barrier=True), "hosted-vectors")
 
     @property
     def encoding_config(self) -> dict:
@@ -207,7 +266,7 @@ def create_encoder(config: dict) -> Encoder:
     if config.get("provider") is not None:
         if "dimension" not in config:
             raise ValueError(f"hosted model {model_id} needs a dimension")
-        more = {k: config[k] for k in ("empty_text_placeholder",) if k in config}
+        more = {k: config[k] for k in ("empty_text_placeholder", "calls_in_flight") if k in config}
         return HostedEncoder(model_id, config["dimension"], create_provider(config["provider"]), adapter=adapter, **common, **more)
     if adapter not in LOCAL:
         raise KeyError(f"no local encoder for adapter {adapter}")

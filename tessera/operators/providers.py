@@ -15,6 +15,15 @@ class TransportError(Exception):
     """The request didn't reach the service, or its answer didn't come back."""
 
 
+class Refused(Exception):
+    """The service gave no vectors, but may if asked again."""
+
+
+def pause(attempt: int) -> float:
+    """Seconds to wait before an attempt, from 1 on."""
+    return min(2 ** (attempt - 1), 30)
+
+
 def _requests_post() -> Post:
     import requests
 
@@ -49,35 +58,40 @@ class Provider:
     sleep: Callable[[float], None] = field(default=time.sleep, repr=False)
 
     def embed(self, model_id: str, texts: Sequence[str]) -> list[list[float]]:
+        """Vectors of the texts, tried up to max_retries times more with a pause of this task's own."""
         if not texts:
             return []
-        key = os.environ.get(self.api_key_env)
-        if not key:
-            raise RuntimeError(f"{self.api_key_env} is not set")
-        post = self.post or _requests_post()
-        body = {"model": model_id, "input": list(texts), "encoding_format": self.encoding_format}
         why = ""
         for attempt in range(self.max_retries + 1):
             if attempt:
-                self.sleep(min(2 ** (attempt - 1), 30))
+                self.sleep(pause(attempt))
             try:
-                status, text, found = post(f"{self.base_url.rstrip('/')}/embeddings", body, {"Authorization": f"Bearer {key}"}, self.timeout_seconds)
-            except TransportError as e:
+                return self.embed_once(model_id, texts)
+            except Refused as e:
                 why = str(e)
-                continue
-            if status == 429 or status >= 500 or self.retry_conflicts and status in (408, 409):
-                why = f"status {status}: {text[:1000]}"
-                continue
-            if status >= 400:
-                raise RuntimeError(f"status {status}: {text[:1000]}")
-            rows = sorted((found or {}).get("data", []), key=lambda r: r["index"])
-            if len(rows) == len(texts):
-                return [r["embedding"] for r in rows]
-            why = f"{len(rows)} vectors for {len(texts)} texts"
-            if not self.retry_conflicts:
-                raise RuntimeError(why)
         raise RuntimeError(f"gave up after {self.max_retries + 1} tries: {why}")
 
+    def embed_once(self, model_id: str, texts: Sequence[str]) -> list[list[float]]:
+        """Vectors of the texts by one call; Refused if another may help."""
+        key = os.environ.get(self.api_key_env)
+        if not key:
+            raise RuntimeError(f"{self.api_key_env} is not set")
+        post = self.post or _requests_post()
+        body = {"model": model_id, "input": list(texts), "encoding_format": self.encoding_format}
+        try:
+            status, text, found = post(f"{self.base_url.rstrip('/')}/embeddings", body, {"Authorization": f"Bearer {key}"}, self.timeout_seconds)
+        except TransportError as e:
+            raise Refused(str(e)) from e
+        if status == 429 or status >= 500 or self.retry_conflicts and status in (408, 409):
+            raise Refused(f"status {status}: {text[:1000]}")
+        if status >= 400:
+            raise RuntimeError(f"status {status}: {text[:1000]}")
+        rows = sorted((found or {}).get("data", []), key=lambda r: r["index"])
+        if len(rows) != len(texts):
+            why = f"{len(rows)} vectors for {len(texts)} texts"
+            raise Refused(why) if self.retry_conflicts else RuntimeError(why)
+        return [r["embedding"] for r in rows]
+
 
 # The services' addresses and the variables that hold their keys.
 PRESETS = {

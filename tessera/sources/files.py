@@ -31,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system and folder, as tables need it."""
+    p, fs = _path(spark, path)
+    return str(fs.makeQualified(p).toString())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)

@@ -7,10 +7,10 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.files import delete, exists, names_in, read_text, stored, write_text
+from tessera.sources.files import delete, exists, names_in, qualified, read_text, stored, write_text
 
 MANIFEST, LOG = "manifest.json", "_commits"
 #: Rows of a range of an ordered list.
@@ -108,11 +108,11 @@ def encode_with_resume(spark: SparkSession, encode: Callable[[DataFrame, str], D
     return with_key(texts).join(stored_vectors(spark, path, width), "text_key").select("id", "pos", "embedding")
 
 
-def order_digest(rows: DataFrame) -> tuple[int, str]:
-    """The number of (id, pos) rows, and a digest that changes with any id or place; sums are combined within tasks."""
+def order_digest(rows: DataFrame, *more: Column) -> tuple:
+    """The number of (id, pos) rows, and a digest that changes with any id or place; sums are combined within tasks. more: aggregates of the same pass."""
     mixed = F.xxhash64(F.col("id").cast("string"), F.col("pos").cast("long"))
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(mixed.cast("decimal(38,0)"))).first()
-    return n, str(total or 0)
+    n, total, *rest = rows.agg(F.count(F.lit(1)), F.sum(mixed.cast("decimal(38,0)")), *more).first()
+    return n, str(total or 0), *rest
 
 
 def range_digests(rows: DataFrame, size: int = RANGE) -> DataFrame:
@@ -135,13 +135,35 @@ def order_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "pos", "full_outer").where(~F.col("left_id").eqNullSafe(F.col("right_id")))
 
 
-def save_store(spark: SparkSession, folder: str, queries: DataFrame, documents: DataFrame, manifest: dict) -> dict:
-    """Write both sides, (id, pos, embedding), and a manifest with their sizes and order."""
+def _table(where: str, buckets: int, id_type: str) -> str:
+    """The name under which a side is known to the session's catalog: one for each place and layout."""
+    return f"tessera_{hashlib.md5(f'{where} {buckets} {id_type}'.encode()).hexdigest()}"
+
+
+def _bucketed(spark: SparkSession, where: str, buckets: int, id_type: str) -> DataFrame:
+    """A side as a table, so that Spark knows how its files are dealt. The table refers to the files; dropping it leaves them."""
+    table = _table(where, buckets, id_type)
+    place = where.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (id {id_type}, pos BIGINT, embedding ARRAY<FLOAT>) USING parquet CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS LOCATION '{place}'")
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def save_store(spark: SparkSession, folder: str, queries: DataFrame, documents: DataFrame, manifest: dict, buckets: int | None = None) -> dict:
+    """Write both sides, (id, pos, embedding), and a manifest with their sizes and order.
+
+    Both are dealt by the hash of id into as many buckets, a sorted file each, so that joins of stores on id move no vectors. buckets: as many as a shuffle has partitions, if not given.
+    """
+    known = dict(manifest) | {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "id_types": {}}
     for name, side in (("queries", queries), ("documents", documents)):
-        side.select("id", F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{folder}/{name}")
-    known = dict(manifest)
-    for name in ("queries", "documents"):
-        known[f"n_{name}"], known[f"{name}_order"] = order_digest(spark.read.parquet(f"{folder}/{name}"))
+        rows = side.select("id", F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<float>").alias("embedding"))
+        known["id_types"][name] = rows.schema["id"].dataType.simpleString()
+        where = qualified(spark, f"{folder}/{name}")
+        table = _table(where, known["buckets"], known["id_types"][name])
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete(spark, where)
+        rows.repartition(known["buckets"], "id").write.bucketBy(known["buckets"], "id").sortBy("id").option("path", where).saveAsTable(table)
+        known[f"n_{name}"], known[f"{name}_order"] = order_digest(spark.table(table))
     write_text(spark, f"{folder}/{MANIFEST}", json.dumps(known, sort_keys=True, indent=2, default=str))
     return known
 
@@ -149,11 +171,14 @@ def save_store(spark: SparkSession, folder: str, queries: DataFrame, documents:
 def load_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict]:
     """queries, documents and the manifest; ValueError if they aren't what the manifest says, or vectors differ in width."""
     manifest = json.loads(read_text(spark, f"{folder}/{MANIFEST}"))
-    sides = [spark.read.parquet(f"{folder}/{name}") for name in ("queries", "documents")]
-    for name, side in zip(("queries", "documents"), sides, strict=True):
-        if order_digest(side) != (manifest[f"n_{name}"], manifest[f"{name}_order"]):
+    names = ("queries", "documents")
+    # Stores of before have no buckets.
+    dealt = "buckets" in manifest
+    sides = [_bucketed(spark, qualified(spark, f"{folder}/{name}"), manifest["buckets"], manifest["id_types"][name]) if dealt else spark.read.parquet(f"{folder}/{name}") for name in names]
+    for name, side in zip(names, sides, strict=True):
+        n, order, low, high = order_digest(side, F.min(F.size("embedding")), F.max(F.size("embedding")))
+        if (n, order) != (manifest[f"n_{name}"], manifest[f"{name}_order"]):
             raise ValueError(f"{name} of {folder} aren't those of its manifest")
-        low, high = side.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
         if low != high or low is not None and low != manifest.get("dimension", low):
             raise ValueError(f"{name} of {folder} have vectors of width {low} to {high}")
     return *sides, manifest

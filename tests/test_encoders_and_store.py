@@ -222,3 +222,79 @@ def test_order(spark):
     b = spark.createDataFrame([("y", 0), ("x", 1)], "id string, pos long")
     assert store.order_digest(a) != store.order_digest(b) and store.order_mismatches(a, b).count() == 2
     assert store.order_mismatches(a, a).count() == 0
+
+
+def test_joins_of_stores_move_no_vectors(spark, tmp_path):
+    ids = spark.range(500).select(F.concat(F.lit("it's "), "id").alias("id"), F.col("id").alias("pos"))
+    q = ids.withColumn("embedding", F.array(F.col("pos").cast("float"), F.lit(1.0).cast("float")))
+    d = ids.where("pos % 3 = 0").withColumn("embedding", F.array(F.lit(2.0).cast("float"), F.col("pos").cast("float")))
+    folder = str(tmp_path / "it's one")
+    store.save_store(spark, folder, q, d, {"dimension": 2}, buckets=3)
+    for _ in range(2):  # the second time as a session that doesn't know the tables
+        queries, documents, _ = store.load_store(spark, folder)
+        joined = queries.hint("merge").join(documents.select("id", F.col("embedding").alias("target")), "id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {r["id"]: (r["embedding"], r["target"]) for r in joined.collect()} == {f"it's {n}": ([n, 1.0], [2.0, n]) for n in range(0, 500, 3)}
+        for table in spark.catalog.listTables():
+            if table.name.startswith("tessera_"):
+                spark.sql(f"DROP TABLE {table.name}")
+    # Written anew, with fewer rows and in other buckets.
+    store.save_store(spark, folder, q.limit(4), d.limit(0), {"dimension": 2}, buckets=2)
+    queries, documents, manifest = store.load_store(spark, folder)
+    assert (queries.count(), documents.count(), manifest["buckets"]) == (4, 0, 2)
+
+
+def _service(folder, refusals):
+    """A service that notes how many calls it answers at one time, over all processes, and refuses the first calls."""
+
+    def post(url, body, headers, timeout):
+        import os
+        import time
+        import uuid
+
+        own = f"{folder}/now/{uuid.uuid4().hex}"
+        open(own, "w").close()
+        at_once = len(os.listdir(f"{folder}/now"))
+        open(f"{folder}/seen/{at_once}-{uuid.uuid4().hex}", "w").close()
+        time.sleep(0.02)
+        os.remove(own)
+        for n in range(refusals):
+            try:
+                os.close(os.open(f"{folder}/refused-{n}", os.O_CREAT | os.O_EXCL))
+                return 429, "slow down", None
+            except FileExistsError:
+                pass
+        return 200, "", {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])]}
+
+    def sleep(seconds):
+        import uuid
+
+        open(f"{folder}/slept/{seconds}-{uuid.uuid4().hex}", "w").close()
+
+    for name in ("now", "seen", "slept"):
+        (folder / name).mkdir(parents=True)
+    return post, sleep
+
+
+def test_calls_in_flight_are_bounded_and_tasks_wait_together(spark, tmp_path):
+    texts = spark.range(0, 120, 1, 8).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text"))
+    post, sleep = _service(tmp_path / "a", 1)
+    encoder = HostedEncoder("m", 2, Provider("u", "PATH", post=post, sleep=sleep), batch_size=3, calls_in_flight=3)
+    found = {r["id"]: r["embedding"] for r in encoder.encode(texts, "document").collect()}
+    plain, _ = _service(tmp_path / "b", 0)
+    expected = {r["id"]: r["embedding"] for r in HostedEncoder("m", 2, Provider("u", "PATH", post=plain), batch_size=3).encode(texts, "document").collect()}
+    assert found == expected and len(found) == 120
+    seen = [int(p.name.split("-")[0]) for p in (tmp_path / "a" / "seen").iterdir()]
+    assert 1 < max(seen) <= 3 and len(seen) >= 41
+    assert len(list((tmp_path / "a" / "slept").iterdir())) == 3  # one refusal: all three tasks waited once
+    assert encoder.encoding_config == HostedEncoder("m", 2, encoder.provider, batch_size=3).encoding_config
+
+
+def test_a_service_that_always_refuses_ends_the_job(spark, tmp_path):
+    post, sleep = _service(tmp_path / "a", 1000)
+    encoder = HostedEncoder("m", 2, Provider("u", "PATH", post=post, sleep=sleep, max_retries=1), calls_in_flight=2)
+    with pytest.raises(Exception, match="gave up after 2 tries"):
+        encoder.encode(spark.createDataFrame([("a", 0, "text")], TEXTS), "document")
+    with pytest.raises(ValueError):
+        HostedEncoder("m", 2, encoder.provider, calls_in_flight=0)
