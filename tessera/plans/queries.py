@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -290,8 +291,8 @@ def adapter_detect(spark, sf_dir):
     return spark.createDataFrame([(n, tx.adapter_of(n)) for n in names], "model string, adapter string")
 
 
-def _collection(spark: SparkSession, sf_dir: str, qrels: DataFrame) -> str:
-    """Write protocol F's files, with qrels (value, pos) below a header -> the root folder; the collection's name is "written".
+def _collection(spark: SparkSession, sf_dir: str, qrels: DataFrame, train: DataFrame | None = None) -> str:
+    """Write protocol F's files, with qrels (value, pos), and those of a split to train on, below a header -> the root folder; the collection's name is "written".
 
     Ids are under either key, every tenth document is there twice, every seventh has a null title, and there are blank lines.
     """
@@ -315,7 +316,9 @@ def _collection(spark: SparkSession, sf_dir: str, qrels: DataFrame) -> str:
     under = [F.when(F.col("doc_id") % 40 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 40 != 0, F.col("text")).alias("query")]
     write([asked.select("doc_id", F.to_json(F.struct(*ids, *under)).alias("value"))], "queries.jsonl")
     header = spark.createDataFrame([(0, "query-id\tcorpus-id\tscore")], "pos long, value string")
-    write([header, qrels.select("pos", "value")], "qrels/test.tsv")
+    for split, judged in (("test", qrels), ("train", train)):
+        if judged is not None:
+            write([header, judged.select("pos", "value")], f"qrels/{split}.tsv")
     return root
 
 
@@ -338,6 +341,54 @@ def encode_and_evaluate(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+def _splits(spark, sf_dir) -> str:
+    """A collection whose positive judgments are to train on, and those of every other query to test."""
+    positive = _label_lines(spark, sf_dir).where("get(split(value, '\t'), 2) > 0")
+    return _collection(spark, sf_dir, positive.where("get(split(value, '\t'), 0) % 40 = 0"), positive)
+
+
+def encode_queries_command(spark, sf_dir):
+    """The command encode-queries over the training split: the store's queries, and how many documents it has."""
+    root = _splits(spark, sf_dir)
+    made = pipelines.encode_queries(spark, "written", "hash", root, "train", cache_root=f"{root}/cache")
+    queries, documents, manifest = store.load_store(spark, made["cache"])
+    told = [F.lit(manifest["cache_kind"]).alias("kind"), F.lit(documents.count()).cast("long").alias("n_documents")]
+    return queries.select(F.col("id").cast("long").alias("doc_id"), *told, *[F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"x{i}") for i in range(WIDTH)])
+
+
+def _adapted(spark, sf_dir, mode: str, *told: str, **options) -> DataFrame:
+    """The commands encode-dataset and adapt: the map as it was written, and what the written metrics say of it."""
+    root = _splits(spark, sf_dir)
+    made = pipelines.encode_dataset(spark, "written", "hash", root, cache_root=f"{root}/cache")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the splits share queries
+        pipelines.run_adaptation(spark, made["cache"], mode, root, adaptation_root=f"{root}/adapted", **options)
+    folder = f"{root}/adapted/written/hash/{made['fingerprint']}"
+    found = json.loads(read_text(spark, f"{folder}/{mode}_metrics.json"))
+    return _weights(spark, adapt.LinearQueryCalibrator.load(spark, f"{folder}/{mode}_calibrator").weights).select("*", *[F.lit(found[k]).alias(k) for k in told])
+
+
+def adapt_gold_command(spark, sf_dir):
+    """A map by judgments: of the training queries, those that the store has vectors of."""
+    return _adapted(spark, sf_dir, "gold", "label_source", "eval_split")
+
+
+def adapt_corpus_command(spark, sf_dir):
+    """A map by the first half of the corpus, in the order of its file."""
+    half = _table(spark, sf_dir, "documents").count() // 2
+    return _adapted(spark, sf_dir, "corpus", "label_source", "corpus_documents_used", model="hash", max_corpus_documents=half).withColumn("corpus_documents_used", F.col("corpus_documents_used").cast("long"))
+
+
+def stores_joined(spark, sf_dir):
+    """A map from one store's vectors to another's, dealt by id into the same buckets: the products of what belongs together."""
+    _, documents, _ = _vectors(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/tessera-stores/{uuid.uuid4().hex}"
+    store.save_store(spark, folder, documents.where("pos % 3 <> 0"), documents.withColumn("embedding", F.reverse("embedding")), {"dimension": WIDTH})
+    some, turned, _ = store.load_store(spark, folder)
+    both = some.join(turned.select("id", F.col("embedding").alias("other")), "id")
+    return both.select(F.col("pos").alias("vec_id"), F.round(inner_product(F.col("embedding"), F.col("other")), 5).alias("product"))
+
+
 def store_round_trip(spark, sf_dir):
     queries, documents, _ = _vectors(spark, sf_dir)
     folder = f"{shared_folder(spark)}/tessera-stores/{uuid.uuid4().hex}"
@@ -427,7 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         l2_normalize_query, inner_product_query, topk_exact, topk_text_ties, topk_k_exceeds_n, topk_nan_last, doc_prefix_limit, metrics_per_query, metrics_baseline,
         metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit, ridge_fit_blocks, fit_corpus_alignment, fit_gold_supervised, calibrate_transform,
         calibrated_metrics_delta, resume_missing, order_consistency, cache_fingerprint, adapter_detect,
-        collection_corpus, collection_dataset, encode_and_evaluate, store_round_trip, calibrator_round_trip, encode_resumed, encode_damaged, search_cells, order_digests, order_ranges, template_others,
+        collection_corpus, collection_dataset, encode_and_evaluate, encode_queries_command, adapt_gold_command, adapt_corpus_command, stores_joined, store_round_trip, calibrator_round_trip, encode_resumed, encode_damaged, search_cells, order_digests, order_ranges, template_others,
     )
 }
 
@@ -492,6 +543,7 @@ def _components(vector: str) -> str:
 
 #: A digest's eight numbers, repeated to the width.
 _HASH_COLUMNS = ", ".join(f"round(v[{i % 8 + 1}], 5) AS x{i}" for i in range(WIDTH))
+_WIDE = "flatten(list_transform(range(8), lambda k: {}))"
 _LABEL_RELS = "(SELECT doc_id - doc_id % 20 AS qid, doc_id AS did, quality FROM labels)"
 _TURNED = "(SELECT vec_id, list_transform(w, lambda x: (x / sqrt(list_inner_product(w, w)))::FLOAT::DOUBLE) AS v FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: (v[65 - i] * (1 + (i - 1) / 64.0::DOUBLE))::FLOAT::DOUBLE) AS w FROM q))"
 _FEW = "few AS (SELECT label AS vec_id, arg_min(embedding, vec_id) AS v0 FROM embeddings GROUP BY label)"
@@ -577,6 +629,21 @@ ORACLES: dict[str, str] = {
         a AS {_hash_vectors("query", _TEXT, "WHERE doc_id IN (SELECT qid FROM rel)")}, b AS {_hash_vectors("document", _DOCUMENT_TEXT)},
         a8 AS (SELECT vec_id, list_transform(v, lambda x: 8 * x) AS v FROM a), m AS ({_summary(_hits("a8", "b", 10))})
         SELECT x[1] AS metric, x[2]::DOUBLE AS value FROM (SELECT {_METRIC_ROWS} AS x FROM m)""",
+    "encode_queries_command": f"""
+        SELECT vec_id AS doc_id, 'query_only' AS kind, 0::BIGINT AS n_documents, {_HASH_COLUMNS}
+        FROM {_hash_vectors('query', _TEXT, f"WHERE doc_id IN (SELECT qid FROM {_LABEL_RELS} WHERE quality > 0)")}""",
+    "adapt_gold_command": f"""
+        SELECT *, 'qrels_positive_centroid' AS label_source, 'test' AS eval_split FROM (
+            WITH RECURSIVE rel AS (SELECT * FROM {_LABEL_RELS} WHERE quality > 0 AND qid % 40 = 0),
+            a AS {_hash_vectors("query", _TEXT)}, b AS {_hash_vectors("document", _DOCUMENT_TEXT)},
+            c AS (SELECT qid, i, (sum(quality * v[i]) / sum(quality))::FLOAT::DOUBLE AS x FROM rel JOIN b ON b.vec_id = rel.did, range(1, 9) r(i) GROUP BY qid, i),
+            p AS (SELECT {_WIDE.format("any_value(a.v)")} AS s, {_WIDE.format("list(x ORDER BY i)")} AS t FROM c JOIN a ON a.vec_id = c.qid GROUP BY qid), {_SOLVED})""",
+    "adapt_corpus_command": f"""
+        SELECT *, 'same_document_query_protocol_alignment' AS label_source, (SELECT count(*) // 2 FROM documents) AS corpus_documents_used FROM (
+            WITH RECURSIVE half AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT (SELECT count(*) // 2 FROM documents)),
+            a AS {_hash_vectors("query", _DOCUMENT_TEXT)}, b AS {_hash_vectors("document", _DOCUMENT_TEXT)},
+            p AS (SELECT {_WIDE.format("a.v")} AS s, {_WIDE.format("b.v")} AS t FROM a JOIN b USING (vec_id) WHERE vec_id IN (SELECT doc_id FROM half)), {_SOLVED})""",
+    "stores_joined": f"WITH {_V} SELECT vec_id, round(list_inner_product(v, list_reverse(v)), 5) AS product FROM e WHERE vec_id % 3 <> 0",
     "store_round_trip": f"""
         WITH {_V} SELECT side, vec_id::VARCHAR AS id, vec_id AS pos, count(*) OVER (PARTITION BY side) AS n, {_components("v")} FROM (SELECT 'query' AS side, vec_id, v FROM q UNION ALL SELECT 'document', vec_id, v FROM e)""",
     "encode_resumed": f"SELECT vec_id AS doc_id, 1::BIGINT AS n_stored, {_HASH_COLUMNS} FROM {_hash_vectors('document', _TEXT)}",
