@@ -13,8 +13,8 @@ from tessera.operators.adapt import LinearQueryCalibrator, fit_corpus_alignment,
 from tessera.operators.encoders import create_encoder, Encoder, HashEncoder, resolved
 from tessera.operators.metrics import compute_metrics
 from tessera.operators.search import search
-from tessera.sources.beir import Dataset, load_corpus, load_dataset
-from tessera.sources.files import stored, write_text
+from tessera.sources.beir import Dataset, load_dataset
+from tessera.sources.files import write_text
 from tessera.sources.registry import DEFAULT_PATH, load_model_config
 from tessera.sources.store import cache_fingerprint, encode_with_resume, load_store, order_digest, save_store
 
@@ -138,7 +138,7 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
         encoder = resolved(encoder or create_encoder(load_model_config(model, models_config)))
         if encoder.dimension != manifest["dimension"]:
             raise ValueError("the model's width isn't the store's")
-        rows = document_rows(stored(load_corpus(spark, name, dataset_root), "corpus"))
+        rows = document_rows(dataset.corpus)
         n = used = rows.count()
         if max_corpus_documents:
             used = max_corpus_documents
