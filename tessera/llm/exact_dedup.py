@@ -1,8 +1,8 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass 1 counts 8-byte hashes of the texts, combined within tasks before they are sent, and puts those that come more than once into a Bloom filter. Pass 2 looks every row up: a row that isn't in the filter is unique and passes straight through; only the others are shuffled and grouped by their whole SHA-256. Rows themselves, with their ids and texts, never take part in pass 1.
+Pass 1 is a Bloom filter of slots_per_row bits a row, of one hash function, that tells bits set once from bits set again. So few of its bits are set by any task that each task keeps the places of its own, combined before they are sent, and the places meet by range; no hash of a text is counted or compared, and texts that share a bit by chance count as possibly repeated. The bits set again go into a dense filter that is small enough to send to all tasks. Pass 2 looks every row up: a row whose bit isn't in it is unique and passes straight through; only the others are shuffled and grouped by their whole SHA-256, which tells the chance meetings apart. Rows themselves, with their ids and texts, never take part in pass 1.
 
-The filter has bits_per_hash bits for each repeated hash. Once that is over max_bits, the hashes are split into ranges with a filter each, which are looked up one after another, so no broadcast is over max_bits / 8 bytes (128 MB by default) and no filter fills up, at any size.
+The dense filter has bits_per_hash bits for each bit set again. Once that is over max_bits, the bits are split into ranges with a filter each, which are looked up one after another, so no broadcast is over max_bits / 8 bytes (128 MB by default) and no filter fills up, at any size.
 
 Texts are equal if the same after lower-casing A-Z; null counts as empty, and very long texts are hashed whole. Of equal texts, the row with the largest id stays (null ids count as the smallest); of rows that repeat id and text, exactly one. An empty table gives no rows. Other columns, whatever their names, don't matter.
 """
@@ -26,10 +26,11 @@ def text_hash(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
 
 
-def _flagged(rows: DataFrame, bits_per_hash: int, max_bits: int) -> DataFrame:
-    """rows (_sha, ...), which are stored, with _maybe: whether _sha is in the filter of the repeated ones."""
-    rows = rows.withColumn("_h", F.xxhash64("_sha"))
-    repeated = staged(rows.groupBy("_h").count().where("count > 1").select("_h"), "repeated-hashes")
+def _flagged(rows: DataFrame, bits_per_hash: int, max_bits: int, slots_per_row: int) -> DataFrame:
+    """rows (_sha, ...), which are stored, with _maybe: whether the bit of _sha is in the filter of the bits set again."""
+    slots = 1 << max(rows.count() * slots_per_row - 1, 1).bit_length()
+    rows = rows.withColumn("_h", F.xxhash64("_sha").bitwiseAND(F.lit(slots - 1)))
+    repeated = staged(rows.groupBy("_h").count().where("count > 1").select("_h"), "bits-set-again")
     bits, wanted = _ROW_BITS, repeated.count() * bits_per_hash
     while bits < min(wanted, max_bits):
         bits *= 2
@@ -60,10 +61,10 @@ def _looked_up(rows: DataFrame, bitmaps: DataFrame, position: Callable[[int], Co
     return rows.withColumn("_maybe", maybe).select(*columns, "_maybe")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 30, slots_per_row: int = 64) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
     rows = staged(docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_sha")), "text-hashes")
-    flagged = _flagged(rows, bits_per_hash, max_bits)
+    flagged = _flagged(rows, bits_per_hash, max_bits, slots_per_row)
     groups = flagged.where("_maybe").groupBy("_sha").agg(F.max(F.struct("_id", "_uid")).alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     unique = flagged.where("not _maybe").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
     shared = left_join_groups(flagged.where("_maybe").drop("_maybe"), staged(groups, "copy-groups"), "_sha", "_size", rows.count())
@@ -78,11 +79,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 30, slots_per_row: int = 64) -> DataFrame:
     """The rows of docs that stay, whole, with docs' columns. Each text is hashed once; of each text, a task sends one row at most."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"))
     rows = staged(docs.select(whole.alias("_row"), order.alias("_order"), text_hash(F.col(text_col)).alias("_sha")), "hashed-documents")
-    flagged = _flagged(rows, bits_per_hash, max_bits)
+    flagged = _flagged(rows, bits_per_hash, max_bits, slots_per_row)
     largest = flagged.where("_maybe").groupBy("_sha").agg(F.max_by("_row", "_order").alias("_row"))
     return flagged.where("not _maybe").select("_row.*").unionByName(largest.select("_row.*"))

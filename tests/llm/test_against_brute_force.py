@@ -65,7 +65,7 @@ def test_long_runs_and_special_strings(tokenizer):
     assert encoder().ids("<|endoftext|>").tolist() == [50256]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bits_per_hash": 1}, {"bits_per_hash": 8000, "max_bits": 1 << 15}])  # one filter, a full one, ranges
+@pytest.mark.parametrize("sizes", [{}, {"bits_per_hash": 1}, {"bits_per_hash": 8000, "max_bits": 1 << 15}, {"slots_per_row": 1}])  # one filter, a full one, ranges, many bits shared by chance
 def test_exact_copies(spark, docs, sizes):
     frame = spark.createDataFrame([(i, r["text"]) for i, r in docs.items()], "doc_id long, text string")
     got = {r["doc_id"]: r for r in exact_dedup.duplicate_groups(frame, **sizes).collect()}
