@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -124,9 +124,15 @@ class BatchEncoder(Encoder):
         return df.select("id", "pos", self.prepared(F.col("text"), kind).alias("text"))
 
 
+def sentence_transformer(model_id: str, **options):
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(model_id, **options)
+
+
 @dataclass
 class SentenceTransformerEncoder(BatchEncoder):
-    """A local model, loaded once per task. Documents never take the query path. Dimension 0 is read from the model."""
+    """A local model, loaded once per task by load(model_id, revision=, device=). Documents never take the query path. Dimension 0 is read from the model."""
 
     model_id: str
     dimension: int = 0
@@ -136,13 +142,12 @@ class SentenceTransformerEncoder(BatchEncoder):
     query_instruction: str | None = None
     device: str | None = None
     max_length: int | None = None
+    load: Callable = field(default=sentence_transformer, repr=False)
 
     def resolve(self) -> None:
         """Read the width from the model, if it isn't given. Fingerprints and manifests need it."""
         if not self.dimension:
-            from sentence_transformers import SentenceTransformer
-
-            self.dimension = SentenceTransformer(self.model_id, revision=self.revision).get_sentence_embedding_dimension()
+            self.dimension = self.load(self.model_id, revision=self.revision).get_sentence_embedding_dimension()
 
     def encode(self, df: DataFrame, kind: str) -> DataFrame:
         self.resolve()
@@ -155,12 +160,10 @@ class SentenceTransformerEncoder(BatchEncoder):
         return {"adapter": "sentence-transformers", "batch_size": self.batch_size, "max_seq_length": self.max_length, "query_instruction": told}
 
     def starter(self):
-        model_id, revision, device, length, size = self.model_id, self.revision, self.device, self.max_length, self.batch_size
+        load, model_id, revision, device, length, size = self.load, self.model_id, self.revision, self.device, self.max_length, self.batch_size
 
         def start():
-            from sentence_transformers import SentenceTransformer
-
-            model = SentenceTransformer(model_id, revision=revision, device=device)
+            model = load(model_id, revision=revision, device=device)
             if length:
                 model.max_seq_length = length
             # A model may have a prompt of its own for queries.

@@ -7,6 +7,7 @@ Protocol F: as T, but written to files as a collection and read back.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 import warnings
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.vectors import inner_product, l2_normalize, norm
 from tessera.operators import adapt, metrics
-from tessera.operators.encoders import HashEncoder, hash_words
+from tessera.operators.encoders import HashEncoder, create_encoder, hash_words
 from tessera.operators.search import search
 from tessera.plans import pipelines
 from tessera.sources import beir, store
@@ -471,6 +472,91 @@ def template_others(spark, sf_dir):
     return rows.select("doc_id", *[tx.template(adapter, t, kind, told).alias(name) for name, (adapter, kind, told) in cases.items()])
 
 
+def _signs(text: str) -> list[float]:
+    """A vector of 16 numbers, 3 or -3 by the bits of the text's digest; of unit length they are quarters."""
+    return (6.0 * np.unpackbits(np.frombuffer(hashlib.sha256(text.encode()).digest()[:2], np.uint8)) - 3).tolist()
+
+
+class StandInService:
+    """Stands in for a hosted service: it turns every third call away and answers the others in reverse order, with vectors of the model's name and the text it was sent."""
+
+    def __init__(self, address: str, turned_away: tuple[int, ...]) -> None:
+        self.address, self.turned_away, self.calls = address, turned_away, 0
+
+    def __call__(self, url: str, body: dict, headers: dict, timeout: float):
+        if (url, headers["Authorization"]) != (f"{self.address}/embeddings", "Bearer stand-in"):
+            return 401, "unknown address or key", None
+        self.calls += 1
+        if self.calls % 3 == 1:
+            return self.turned_away[self.calls // 3 % len(self.turned_away)], "later", None
+        data = [{"index": i, "embedding": _signs(f"0:{body['model']}:{t}")} for i, t in enumerate(body["input"])]
+        return 200, "", {"data": data[::-1]}
+
+    @staticmethod
+    def wait(seconds: float) -> None:
+        """Its answers don't depend on the time."""
+
+
+class StandInModel:
+    """Stands in for a local model that has a way of its own for queries."""
+
+    def __init__(self, model_id: str, revision: str = "", device: str | None = None) -> None:
+        self.model_id = model_id
+
+    def get_sentence_embedding_dimension(self) -> int:
+        return 16
+
+    def encode(self, texts: list[str], **options) -> list[list[float]]:
+        return [_signs(f"0:{self.model_id}:{t}") for t in texts]
+
+    def encode_query(self, texts: list[str], **options) -> list[list[float]]:
+        return [_signs(f"1:{self.model_id}:{t}") for t in texts]
+
+
+def _encoded(rows: DataFrame, encoder, kind: str) -> DataFrame:
+    out = encoder.encode(rows, kind)
+    return out.select(F.col("pos").alias("doc_id"), F.lit(encoder.model_id).alias("model"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(16)])
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def hosted_encode(spark, sf_dir):
+    """All documents by hosted models of each kind of provider, from registry entries; blank texts get the placeholder, two models' calls are bounded over all tasks."""
+    key = "TESSERA_STAND_IN_KEY"
+    spark.sparkContext.environment.setdefault(key, "stand-in")
+    entries = [
+        ("plain", "document", {"type": "openai-compatible", "base_url": "http://stand-in/v1/"}, {}),
+        ("intfloat/e5", "document", {"type": "aiberm"}, {}),
+        ("Qwen/Qwen3-Embedding", "query", {"type": "siliconflow"}, {"query_instruction": "find it", "calls_in_flight": 4}),
+        ("other/model", "query", {"type": "openrouter"}, {"empty_text_placeholder": "(none)", "calls_in_flight": 2}),
+    ]
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), "text")
+    parts = []
+    for model, kind, provider, more in entries:
+        encoder = create_encoder({"model_id": model, "dimension": 16, "provider": provider | {"api_key_env": key}} | more)
+        turned_away = (409, 503, 408) if provider["type"] == "aiberm" else (429, 503)
+        encoder.provider.post, encoder.provider.sleep = StandInService(encoder.provider.base_url.rstrip("/"), turned_away), StandInService.wait
+        parts.append(_encoded(rows, encoder, kind))
+    return _united(parts)
+
+
+def local_encode(spark, sf_dir):
+    """All documents by local models of each adapter, from registry entries without a width; queries go the model's own way for them."""
+    entries = [("intfloat/e5", "query", {}), ("intfloat/e5-large", "document", {}), ("Qwen/Qwen3-Embedding", "query", {"query_instruction": "find it"}), ("thenlper/gte", "document", {"max_seq_length": 512}), ("other/model", "query", {})]
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = []
+    for model, kind, more in entries:
+        encoder = create_encoder({"model_id": model} | more)
+        encoder.load = StandInModel
+        parts.append(_encoded(rows, encoder, kind))
+    return _united(parts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     {"hash_words_query": "hash_words", "l2_normalize_query": "l2_normalize", "inner_product_query": "inner_product"}.get(f.__name__, f.__name__): f
     for f in (
@@ -478,7 +564,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         l2_normalize_query, inner_product_query, topk_exact, topk_text_ties, topk_k_exceeds_n, topk_nan_last, doc_prefix_limit, metrics_per_query, metrics_baseline,
         metrics_missing_relevant, ideal_dcg, search_k_invariance, ridge_gram, ridge_cross, gold_centroid, ridge_fit, ridge_fit_blocks, fit_corpus_alignment, fit_gold_supervised, calibrate_transform,
         calibrated_metrics_delta, resume_missing, order_consistency, cache_fingerprint, adapter_detect,
-        collection_corpus, collection_dataset, encode_and_evaluate, encode_queries_command, adapt_gold_command, adapt_corpus_command, stores_joined, store_round_trip, calibrator_round_trip, encode_resumed, encode_damaged, search_cells, order_digests, order_ranges, template_others,
+        collection_corpus, collection_dataset, encode_and_evaluate, encode_queries_command, adapt_gold_command, adapt_corpus_command, stores_joined, store_round_trip, calibrator_round_trip, encode_resumed, encode_damaged, search_cells, order_digests, order_ranges, template_others, hosted_encode, local_encode,
     )
 }
 
@@ -543,6 +629,8 @@ def _components(vector: str) -> str:
 
 #: A digest's eight numbers, repeated to the width.
 _HASH_COLUMNS = ", ".join(f"round(v[{i % 8 + 1}], 5) AS x{i}" for i in range(WIDTH))
+_SIGNS = ", ".join(f"CASE WHEN (('0x' || substr(h, 1, 4))::BIGINT >> {15 - i}) & 1 = 1 THEN 0.25::DOUBLE ELSE -0.25::DOUBLE END AS x{i}" for i in range(16))
+_BLANK = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = ''"
 _WIDE = "flatten(list_transform(range(8), lambda k: {}))"
 _LABEL_RELS = "(SELECT doc_id - doc_id % 20 AS qid, doc_id AS did, quality FROM labels)"
 _TURNED = "(SELECT vec_id, list_transform(w, lambda x: (x / sqrt(list_inner_product(w, w)))::FLOAT::DOUBLE) AS v FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: (v[65 - i] * (1 + (i - 1) / 64.0::DOUBLE))::FLOAT::DOUBLE) AS w FROM q))"
@@ -656,6 +744,14 @@ ORACLES: dict[str, str] = {
         SELECT 'dealt' AS moved, count(*) AS n, true AS same FROM documents UNION ALL SELECT 'swapped', count(*), false FROM documents
         UNION ALL SELECT 'cut', count(*), false FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents)""",
     "template_others": f"SELECT doc_id, {_TEXT} AS gte_query, {_TEXT} AS plain_query, 'find it: ' || {_TEXT} AS told_query, {_TEXT} AS told_document FROM documents",
+    "hosted_encode": f"""
+        SELECT doc_id, model, {_SIGNS} FROM (
+            SELECT doc_id, model, sha256('0:' || model || ':' || before || CASE WHEN {_BLANK} THEN blank ELSE text END) AS h
+            FROM documents, (VALUES ('plain', '', '[EMPTY]'), ('intfloat/e5', 'passage: ', '[EMPTY]'), ('Qwen/Qwen3-Embedding', 'Instruct: find it' || chr(10) || 'Query:', '[EMPTY]'), ('other/model', '', '(none)')) t(model, before, blank))""",
+    "local_encode": f"""
+        SELECT doc_id, model, {_SIGNS} FROM (
+            SELECT doc_id, model, sha256(way || ':' || model || ':' || before || {_TEXT}) AS h
+            FROM documents, (VALUES ('intfloat/e5', '1', 'query: '), ('intfloat/e5-large', '0', 'passage: '), ('Qwen/Qwen3-Embedding', '1', 'Instruct: find it' || chr(10) || 'Query:'), ('thenlper/gte', '0', ''), ('other/model', '1', '')) t(model, way, before))""",
     "calibrated_metrics_delta": f"""
         WITH {_V}, turned AS {_TURNED}, a AS ({_MEANS} {_per_query(_hits('q', 'e', 10))}), b AS ({_MEANS} {_per_query(_hits('turned', 'e', 10))})
         SELECT m[1] AS metric, round(m[2], 6)::DOUBLE AS delta FROM (SELECT {_DELTA} AS m FROM a, b)""",
