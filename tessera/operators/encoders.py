@@ -6,6 +6,7 @@ encode(df, kind) takes (id, pos, text) and gives (id, pos, embedding); kind is q
 from __future__ import annotations
 
 import json
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -173,15 +174,17 @@ class SentenceTransformerEncoder(BatchEncoder):
         return start
 
 
-#: Calls that a task makes before it hears from the others.
-CALLS_A_ROUND = 8
+#: Seconds of calls that a task makes before it hears from the others. To hear from them takes about a second, since Spark looks once a second whether all are there.
+ROUND_SECONDS = 8.0
+#: Bytes of text that a task of bounded calls gets at a time.
+WAVE_BYTES = 256 << 20
 
 
 @dataclass
 class HostedEncoder(BatchEncoder):
     """A hosted model. Blank texts become the placeholder before the template.
 
-    calls_in_flight bounds the calls at one time over all executors: the texts are dealt over so many barrier tasks, each of which makes one call at a time. After a few calls, and at once when refused, tasks tell each other how long to wait, and all wait for the longest; so a service that refuses one isn't asked by the others meanwhile. The tasks start together, so they are never more than the cluster has slots. Vectors are written as they come, since a barrier stage runs whole or not at all.
+    calls_in_flight bounds the calls at one time over all executors: the texts are dealt over so many barrier tasks, each of which makes one call at a time. A task that is refused waits by itself and tries again; after ROUND_SECONDS, and at once when refused again, tasks tell each other how long to wait, and each waits for what the longest is more than its own; so a service that goes on refusing one isn't asked by the others meanwhile, and one that turns away single calls costs no more rounds. The tasks start together, so they are never more than the cluster has slots. Vectors are written as they come, since a barrier stage runs whole or not at all; texts of over WAVE_BYTES a task are dealt into several such stages, one after the other.
     """
 
     model_id: str
@@ -201,36 +204,52 @@ class HostedEncoder(BatchEncoder):
     def encode(self, df: DataFrame, kind: str) -> DataFrame:
         if self.calls_in_flight is None:
             return super().encode(df, kind)
-        provider, model_id, size, dimension = self.provider, self.model_id, self.batch_size, self.dimension
+        provider, model_id, batch_size, dimension = self.provider, self.model_id, self.batch_size, self.dimension
         _checked(kind)
 
         def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             others = BarrierTaskContext.get()
-            parts = (batch.iloc[i : i + size] for batch in batches for i in range(0, len(batch), size))
+            parts = (batch.iloc[i : i + batch_size] for batch in batches for i in range(0, len(batch), batch_size))
             part, refused = next(parts, None), 0
             while True:
-                wait = 0.0
-                for _ in range(CALLS_A_ROUND):
-                    if part is None:
-                        break
+                # waited: the longest of the waits that this task had by itself in the round.
+                wait = waited = 0.0
+                stop = time.monotonic() + ROUND_SECONDS
+                while part is not None and time.monotonic() < stop:
                     try:
                         found = provider.embed_once(model_id, part["text"].tolist())
                     except Refused as e:
                         refused += 1
                         if refused > provider.max_retries:
                             raise RuntimeError(f"gave up after {refused} tries: {e}") from e
-                        wait = pause(refused)
-                        break
+                        wait = max(wait, pause(refused))
+                        if refused > 1:
+                            waited = 0.0
+                            break
+                        provider.sleep(pause(refused))
+                        waited = wait
+                        continue
                     yield _unit_rows(part, found, dimension)
                     part, refused = next(parts, None), 0
                 told = [json.loads(t) for t in others.allGather(json.dumps([part is None, wait]))]
+                longest = max(w for _, w in told)
+                if longest > waited:
+                    provider.sleep(longest - waited)
                 if all(done for done, _ in told):
                     return
-                if wait := max(w for _, w in told):
-                    provider.sleep(wait)
 
         tasks = min(self.calls_in_flight, df.sparkSession.sparkContext.defaultParallelism)
-        return stored(self.rows(df, kind).repartition(tasks).mapInPandas(embed, ENCODED, barrier=True), "hosted-vectors")
+        rows = self.rows(df, kind)
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        waves = max(1, -(-size // (tasks * WAVE_BYTES)))
+        if waves > 1:
+            rows = stored(rows.withColumn("_wave", F.pmod(F.xxhash64("id", "pos"), F.lit(waves)).cast("int")), "hosted-texts", by="_wave")
+        out = None
+        for n in range(waves):
+            some = rows.where(F.col("_wave") == n).drop("_wave") if waves > 1 else rows
+            part = stored(some.repartition(tasks).mapInPandas(embed, ENCODED, barrier=True), "hosted-vectors")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     @property
     def encoding_config(self) -> dict:

@@ -24,10 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once in the shared folder and read back: its lineage ends here, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once in the shared folder and read back: its lineage ends here, and a lost executor loses nothing. by: a column of few values, whose rows lie in folders of their own."""
     path = f"{shared_folder(df.sparkSession)}/tessera-stored/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

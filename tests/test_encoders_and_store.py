@@ -298,3 +298,22 @@ def test_a_service_that_always_refuses_ends_the_job(spark, tmp_path):
         encoder.encode(spark.createDataFrame([("a", 0, "text")], TEXTS), "document")
     with pytest.raises(ValueError):
         HostedEncoder("m", 2, encoder.provider, calls_in_flight=0)
+
+
+@pytest.mark.parametrize("waves", [1, 3])
+def test_a_service_that_turns_away_single_calls_costs_few_rounds(spark, monkeypatch, waves):
+    import time
+
+    from tessera.operators import encoders
+    from tessera.plans.queries import StandInService
+
+    texts = spark.range(0, 360, 1, 8).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"), F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    if waves > 1:
+        monkeypatch.setattr(encoders, "WAVE_BYTES", -(-360 * 4 // (2 * waves)))
+    spark.sparkContext.environment["TESSERA_STAND_IN_KEY"] = "stand-in"
+    provider = Provider("http://s", "TESSERA_STAND_IN_KEY", post=StandInService("http://s", (429, 503)), sleep=StandInService.wait)
+    began = time.monotonic()
+    bounded = HostedEncoder("m", 16, provider, batch_size=2, calls_in_flight=2).encode(texts, "document").collect()
+    assert time.monotonic() - began < 30  # a round takes a second at least, and a third of 270 calls are turned away
+    plain = HostedEncoder("m", 16, provider, batch_size=2).encode(texts, "document").collect()
+    assert len(bounded) == 360 and sorted(bounded) == sorted(plain)
