@@ -4,7 +4,7 @@ A text is read as code points: letters and marks, each in small form, and one sp
 
 The model. An n-gram that any language has is kept with its probabilities in all of them, and a context with the share that it leaves to shorter ones, so one search serves all languages. They are found by a hash of hash_bits bits, in sorted arrays: an order holds at most 2**hash_bits n-grams and as many contexts whatever the corpus, which bounds what is sent to the tasks (22 bits: 4 + 4 bytes times the languages, 4.2 million times). Of n-grams that share a hash, the smallest stays.
 
-Prediction. The language of the lowest cross-entropy, in bits a character; ties go to the first by name. score is the share of right answers among calibration texts at the same lead over the second language (in bits over the whole text), made monotone: calibration texts are a bounded sample of labelled texts that the model was not trained on. accepted is false where the cross-entropy is above what all but a share `reject` of the calibration texts of that language and length reach: such a text is likely of none of the languages; lang_pred names the nearest all the same.
+Prediction. The language of the lowest cross-entropy, in bits a character; ties go to the first by name. score is the share of right answers among calibration texts at the same lead over the second language (in bits over the whole text), made monotone: calibration texts are labelled texts that the model was not trained on, all that are given. accepted is false where the cross-entropy is above what all but a share `reject` of the calibration texts of that language and length reach: such a text is likely of none of the languages; lang_pred names the nearest all the same.
 
 A text without a letter, null or empty, has lang_pred `und`, score 0, and isn't accepted; so have all texts if there is no labelled one. Rows that repeat are each counted and each predicted. Long texts are read in pieces, whole. An empty lang is a label like others; a null one isn't learned. Other columns don't matter.
 """
@@ -306,15 +306,44 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(scored, schema)
 
 
-def calibrate(model: Model, labelled: DataFrame, rows: int = 20_000, reject: float = 0.001) -> Model:
-    """The model, with leads, shares and limits from about `rows` of labelled (lang, text), drawn by hash. They should be texts that it wasn't trained on."""
+#: Bins of a bit in which a quantile is looked for.
+BINS = 64
+
+
+def _quantiles(rows: DataFrame, keys: list[str], share: float) -> dict[tuple, tuple[int, float]]:
+    """Of each key: its rows, and the exact quantile of bits, on the line between two rows. Bins are counted first, so only the values of the one or two that hold the quantile are looked at."""
+    binned = rows.withColumn("bin", F.floor(F.col("bits") * BINS).cast("int"))
+    bins: dict[tuple, list[tuple[int, int]]] = {}
+    for *key, at, n in map(tuple, binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")).collect()):
+        bins.setdefault(tuple(key), []).append((at, n))
+    places, wanted = {}, []
+    for key, counts in bins.items():
+        at, counts = (sum(n for _, n in counts) - 1) * share, sorted(counts)
+        ends = np.cumsum([n for _, n in counts])
+        first, last = np.searchsorted(ends, [int(np.floor(at)), int(np.ceil(at))], side="right")
+        places[key] = int(ends[-1]), at - (int(ends[first - 1]) if first else 0)
+        wanted += [(*key, counts[i][0]) for i in {int(first), int(last)}]
+    if not wanted:
+        return {}
+    some = F.broadcast(rows.sparkSession.createDataFrame(wanted, ", ".join(f"{k} int" for k in (*keys, "bin"))))
+    values: dict[tuple, list[tuple[float, int]]] = {}
+    for *key, bits, n in map(tuple, binned.join(some, [*keys, "bin"]).groupBy(*keys, "bits").agg(F.count(F.lit(1)).alias("n")).collect()):
+        values.setdefault(tuple(key), []).append((bits, n))
+    out = {}
+    for key, (n, at) in places.items():
+        found = sorted(values[key])
+        low, high = (found[int(i)][0] for i in np.searchsorted(np.cumsum([k for _, k in found]), [np.floor(at), np.ceil(at)], side="right"))
+        out[key] = n, float(low + (high - low) * (at - np.floor(at)))
+    return out
+
+
+def calibrate(model: Model, labelled: DataFrame, reject: float = 0.001) -> Model:
+    """The model, with leads, shares and limits from all of labelled (lang, text). They should be texts that it wasn't trained on."""
     labelled = labelled.where("lang is not null").select("lang", "text")
-    total = labelled.count()
-    if not total or not model.langs:
+    if not model.langs:
         return model
-    drawn = labelled.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < min(rows / total, 1.0) * (1 << 30))
     names = F.array(*[F.lit(x) for x in model.langs])
-    found = staged(_scored(drawn, model).where("best >= 0").withColumn("guess", F.get(names, F.col("best"))), "calibration")
+    found = staged(_scored(labelled, model).where("best >= 0").withColumn("guess", F.get(names, F.col("best"))), "calibration")
     right = F.count_if(F.col("guess") == F.col("lang"))
     step = F.floor(4 * F.log2(1 + F.col("lead"))).cast("int")  # some hundred steps, whatever the texts
     steps = found.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), right.alias("right"), F.avg("lead").alias("lead")).orderBy("step").collect()
@@ -330,12 +359,11 @@ def calibrate(model: Model, labelled: DataFrame, rows: int = 20_000, reject: flo
         model.shares = np.array([(b[0] + 1) / (b[1] + 2) for b in blocks for _ in b[2]])
     good = found.where("guess = lang").withColumn("class", F.floor(F.log2("n")).cast("int"))
     enough = int(np.ceil(1 / reject))
-    quantile = F.percentile("bits", F.lit(1 - reject)).alias("most")
-    for r in good.groupBy("best").agg(quantile).collect():
-        model.limits[r["best"], None] = r["most"]
-    for r in good.groupBy("best", "class").agg(quantile, F.count(F.lit(1)).alias("n")).collect():
-        if r["n"] >= enough:
-            model.limits[r["best"], r["class"]] = r["most"]
+    for (best,), (_, most) in _quantiles(good, ["best"], 1 - reject).items():
+        model.limits[best, None] = most
+    for (best, length), (n, most) in _quantiles(good, ["best", "class"], 1 - reject).items():
+        if n >= enough:
+            model.limits[best, length] = most
     return model
 
 

@@ -96,6 +96,23 @@ def test_rejection(spark, sf):
     assert (found[4]["lang_pred"], found[4]["score"]) == ("und", 0.0) and found[2]["score"] > 0.8
 
 
+def test_all_labelled_texts_calibrate(spark):
+    rng = np.random.default_rng(5)
+    letters = {"aa": list("abcdefg "), "bb": list("efghijk ")}
+    rows = [(n, lang, "".join(rng.choice(letters[lang], rng.integers(4, 40)))) for n in range(24_000) for lang in [("aa", "bb")[n % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    model = language.calibrate(language.train(docs.where("doc_id < 2000")), docs, reject=0.01)
+    found = [(lang, *f) for (_, lang, _), f in zip(rows, language.entropies([t for *_, t in rows], model), strict=True)]
+    right = [(best, bits, int(np.log2(n))) for lang, best, bits, _, n in found if best >= 0 and model.langs[best] == lang]
+    expected = {}
+    for best in (0, 1):
+        for length in (None, *{c for *_, c in right}):
+            bits = [b for k, b, c in right if k == best and length in (None, c)]
+            if length is None or len(bits) >= 100:
+                expected[best, length] = np.percentile(bits, 99)
+    assert model.limits.keys() == expected.keys() and all(abs(model.limits[k] - v) < 1e-9 for k, v in expected.items())
+
+
 @pytest.mark.parametrize("rows", [True, False])
 def test_languages_of_hard_tables(spark, rows):
     docs = hard.documents(spark, rows)
