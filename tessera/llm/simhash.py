@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), split at ASCII white space into words
 
 Links: distinct fingerprints at `distance` (2) or fewer differing bits. The 64 bits are four blocks; two differing bits leave two blocks alone, so linked fingerprints share one of six masked patterns of 32 bits. These patterns are the index's upper nodes, and fingerprints are dealt out by them. In a node they are sorted by Gray rank, and every run of FAN neighbours, and of FAN such runs, and so on, is a node with the pattern of bits that all its members share. A pair of nodes is pruned as soon as the differences of their shared bits add up to more than `distance`. A node with over HOT fingerprints is dealt again by pairs of blocks of its other 32 bits; what then shares 48 bits are at most 2**16 fingerprints. No pair is written out: each node gives at most one link per member, to its class's smallest.
 
-Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The upper nodes are then MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity join classes at once. Every fourth band goes first, with these sure pairs alone; then all bands. Pairs of different classes that aren't sure are never written out: a node gives its members that have one, and their shingle sets meet in one task a group, which decides each pair and gives the links that join the group's classes. A pair is left out only if its fingerprints differ by more than a true pair's do with a chance of 1e-9 (by Chernoff's bound, on bits that differ with the chance of the limit at most), and never if a text has fewer than FEW shingles. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; rows written are the texts times the bands at most, times the cells of a large node; comparisons inside tasks are the size of the node times the texts outside of its largest class.
+Near copies by similarity: a fingerprint of 64 bits tells apart only copies that differ by a few shingles. near_dedup, which takes five words and a similarity of 0.8, uses fingerprints of `bits` (1024) bits of the same kind, but each distinct shingle counts once, since similarity is that of sets. Their angle estimates the cosine of two texts' shingles; texts whose shingle sets have Jaccard similarity s, and about the same size, have cosine 2s / (1 + s), so a similarity is a number of differing bits. The index above is used over their first 64 bits: each of its components is a node. What it can't tell shares an upper node of another kind, the MinHash bands: the least of the text's shingles in each of five orders, in 20 bands. Two texts agree on one order with a chance that is their similarity, so 0.8, 0.85, 0.9 share a band with a chance of 99.96, 99.999 and 99.99999 %, however many texts there are and however few shingles they have. A node's members are compared by all their bits: pairs far enough within the similarity join classes at once. The index's components and every fourth band go first, with these sure pairs alone; then the components and all bands. Pairs of different classes that aren't sure are never written out: a node gives its members that have one, and their shingle sets meet in one task a group, which decides each pair and gives the links that join the group's classes. A pair is left out only if its fingerprints differ by more than a true pair's do with a chance of 1e-9 (by Chernoff's bound, on bits that differ with the chance of the limit at most), and never if a text has fewer than FEW shingles. A node of many texts is no task's: at first its members link to a few pivots of it, in linear time, which makes a family of copies one class; then what is of other classes meets all the rest in cells, which Spark deals out. Nothing is left out; rows written are the texts times the bands at most, times the cells of a large node; comparisons inside tasks are the size of the node times the texts outside of its largest class.
 
 Rows that repeat link like copies, also where they repeat an id with another text: texts are told apart by their hash. Null ids take part in near_groups, where a component's id is its smallest non-null one; near_dedup keeps them. Null and empty texts are texts without words, and near copies of each other. Very long texts are read whole, in steps of bounded memory. Ties don't arise: the smallest id of a group stays. Empty tables give no rows. Other columns don't matter.
 """
@@ -490,17 +490,28 @@ def _texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broa
     return docs.select(F.col(id_col).alias("least"), text_hash(text_col).alias("th"), F.col(text_col).alias("text")).join(side, ["least", "th"]).select("key", "text")
 
 
+def _with_index(distinct: DataFrame) -> DataFrame:
+    """distinct, with a further node behind the bands: the component that the Gray-order index finds among the fingerprints' first 64 bits."""
+    rows = distinct.drop("_size").withColumn("_short", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long"))
+    short = staged(rows.select(F.col("_short").alias("fp"), "key"), "short-fingerprints")
+    sizes = staged(short.groupBy("fp").agg(F.count(F.lit(1)).alias("_size")), "distinct-short")
+    groups = sizes.join(components(links(sizes)).withColumnRenamed("node", "fp"), "fp", "left").select(F.col("fp").alias("_short"), "_size", F.coalesce("component", "fp").alias("_component"))
+    found = left_join_groups(rows, groups, "_short", "_size", short.count())
+    return found.withColumn("nodes", F.concat("nodes", F.array(F.xxhash64(F.lit(BANDS), "_component")))).drop("_short", "_size", "_component")
+
+
 def similar_links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, broadcast_rows: int, node: int = NODE) -> DataFrame:
     """(a, b): links between keys of distinct (key, fp, nodes, few, least, th), least and th being the id and the text's hash of a document with that fingerprint."""
     edge = bits_apart(similarity, bits)
     sure, most = edge - round(2.5 * np.sqrt(edge * (1 - edge / bits))), most_apart(similarity, bits)
-    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), list(range(0, BANDS, 4)), sure, sure, node, pivots=True)
+    distinct = staged(_with_index(distinct), "indexed")
+    first = _close_pairs(distinct.select("key", F.col("key").alias("known"), "fp", "nodes"), [*range(0, BANDS, 4), BANDS], sure, sure, node, pivots=True)
 
     def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
         return rows.join(known.toDF("key", "known"), "key", "left").withColumn("known", F.coalesce("known", "key"))
 
     known = components(first.select("a", "b"))
-    found = _close_pairs(staged(labelled(distinct.select("key", "fp", "nodes", "few"), known), "labelled"), list(range(BANDS)), sure, most, node, members=True)
+    found = _close_pairs(staged(labelled(distinct.select("key", "fp", "nodes", "few"), known), "labelled"), list(range(BANDS + 1)), sure, most, node, members=True)
     links = known.toDF("a", "b").unionByName(found.where("sure").select("a", "b"))
     known = components(links)
     members = staged(labelled(found.where("not sure").select("node", F.col("b").alias("group"), F.col("a").alias("key")), known), "unsure-members")

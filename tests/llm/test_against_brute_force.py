@@ -332,6 +332,21 @@ def test_near_dedup_by_similarity(spark, docs):
         assert max(similar(i, j) for j in texts if j < i) >= 0.7
 
 
+def test_near_dedup_uses_the_gray_order_index(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{n}" for n in range(5000)]
+    texts = {i: " ".join(rng.choice(vocabulary, 400)) for i in range(0, 40, 2)}
+    texts |= {i + 1: t + " more" for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = simhash.wide_fingerprints(docs, "doc_id", "text", 5, 1024)
+    # No two share a band.
+    distinct = prints.select(F.col("_id").alias("key"), "fp", F.transform(F.sequence(F.lit(0), F.lit(simhash.BANDS - 1)), lambda n: F.xxhash64("_id", n)).alias("nodes"), "few", F.col("_id").alias("least"), "th")
+    short = {r["_id"]: int.from_bytes(r["fp"][:8], "big") for r in prints.collect()}
+    expected = {(i, i + 1) for i in range(0, 40, 2) if (short[i] ^ short[i + 1]).bit_count() <= 2}
+    found = {(min(r), max(r)) for r in simhash.similar_links(docs, distinct, "doc_id", "text", 5, 0.8, 1024, 1000).select("a", "b").distinct().collect()}
+    assert len(expected) > 10 and {(a, b) for a, b in found if a != b} == expected
+
+
 def test_candidates_at_the_limit_at_any_size():
     rng = np.random.default_rng(5)
     met = []
