@@ -13,7 +13,7 @@ from tessera.operators.adapt import LinearQueryCalibrator, fit_corpus_alignment,
 from tessera.operators.encoders import create_encoder, Encoder, HashEncoder, resolved
 from tessera.operators.metrics import compute_metrics
 from tessera.operators.search import search
-from tessera.sources.beir import Dataset, load_dataset
+from tessera.sources.beir import Dataset, first_places, load_dataset, load_split
 from tessera.sources.files import write_text
 from tessera.sources.registry import DEFAULT_PATH, load_model_config
 from tessera.sources.store import cache_fingerprint, encode_with_resume, load_store, order_digest, save_store
@@ -61,13 +61,13 @@ def _encode(spark, name, model, root, split, config, cache_root, download, polic
     chunks = chunks or (1 if isinstance(encoder, HashEncoder) else CHUNKS)
     fingerprint = cache_fingerprint(dataset.name, split, encoder)
     folder = f"{cache_root}/{dataset.name}/{model}/{fingerprint}{suffix}"
-    queries = encode_with_resume(spark, encoder.encode, query_rows(dataset), "query", f"{folder}/parts/query", chunks, encoder.dimension)
+    queries = encode_with_resume(spark, encoder.encode, query_rows(dataset), "query", f"{folder}/parts/query", chunks, encoder.dimension, light=isinstance(encoder, HashEncoder))
     manifest = _manifest(dataset, encoder, model, policy, fingerprint)
     if suffix:
         manifest["cache_kind"] = "query_only"
         documents = queries.limit(0)
     else:
-        documents = encode_with_resume(spark, encoder.encode, document_rows(dataset.corpus), "document", f"{folder}/parts/document", chunks, encoder.dimension)
+        documents = encode_with_resume(spark, encoder.encode, document_rows(dataset.corpus), "document", f"{folder}/parts/document", chunks, encoder.dimension, light=isinstance(encoder, HashEncoder))
     saved = save_store(spark, folder, queries, documents, manifest)
     return {"cache": folder, "queries": saved["n_queries"], "documents": saved["n_documents"], "fingerprint": fingerprint}
 
@@ -83,7 +83,7 @@ def encode_queries(spark: SparkSession, dataset: str, model: str, dataset_root:
 
 
 def _check_order(dataset: Dataset, queries: DataFrame, documents: DataFrame) -> None:
-    for name, ours, stored in (("queries", query_rows(dataset), queries), ("documents", document_rows(dataset.corpus), documents)):
+    for name, ours, stored in (("queries", dataset.queries.withColumnRenamed("query_id", "id"), queries), ("documents", dataset.corpus.withColumnRenamed("doc_id", "id"), documents)):
         if order_digest(ours) != order_digest(stored):
             raise ValueError(f"the store's {name} aren't the dataset's")
 
@@ -94,7 +94,7 @@ def evaluate(spark: SparkSession, cache: str, dataset_root: str = "datasets", se
         raise ValueError("search_k must be at least 1")
     queries, documents, manifest = load_store(spark, cache)
     policy = missing_relevant_policy or manifest.get("missing_relevant_policy", "error")
-    dataset = load_dataset(spark, manifest["dataset"], dataset_root, manifest["split"], missing_relevant_policy=policy, once=True)
+    dataset = load_dataset(spark, manifest["dataset"], dataset_root, manifest["split"], missing_relevant_policy=policy, once=True, texts=False)
     _check_order(dataset, queries, documents)
     metrics = evaluate_baseline(dataset, queries, documents, search_k)
     keep = ("dataset", "split", "model_id", "model_name", "revision", "dimension", "cache_fingerprint")
@@ -113,11 +113,11 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
     queries, documents, manifest = load_store(spark, cache)
     name, split = manifest["dataset"], eval_split or manifest["split"]
     policy = manifest.get("missing_relevant_policy", "error")
-    dataset = load_dataset(spark, name, dataset_root, split, missing_relevant_policy=policy, once=True)
+    dataset = load_dataset(spark, name, dataset_root, split, missing_relevant_policy=policy, once=True, texts=mode == "corpus")
     _check_order(dataset, queries, documents)
     folder = f"{adaptation_root}/{name}/{manifest.get('model_name') or 'cache'}/{manifest.get('cache_fingerprint', 'unknown')}"
     if mode == "gold":
-        train = load_dataset(spark, name, dataset_root, train_split, missing_relevant_policy=policy, once=True)
+        train = load_split(spark, dataset, dataset_root, train_split, policy)
         sources = queries
         if train_query_cache:
             sources, _, other = load_store(spark, train_query_cache)
@@ -144,9 +144,9 @@ def run_adaptation(spark: SparkSession, cache: str, mode: str, dataset_root: str
             used = max_corpus_documents
             if not 1 <= max_corpus_documents <= n:
                 raise ValueError(f"max_corpus_documents must be from 1 to {n}")
-            rows = rows.orderBy("pos").limit(max_corpus_documents)
+            rows = first_places(rows, max_corpus_documents)
         parts = f"{folder}/corpus_query_parts"
-        sources = encode_with_resume(spark, encoder.encode, rows, "query", parts, 1 if isinstance(encoder, HashEncoder) else CHUNKS, encoder.dimension)
+        sources = encode_with_resume(spark, encoder.encode, rows, "query", parts, 1 if isinstance(encoder, HashEncoder) else CHUNKS, encoder.dimension, light=isinstance(encoder, HashEncoder))
         calibrator = fit_corpus_alignment(sources, documents, alpha)
         provenance = {"label_source": "same_document_query_protocol_alignment", "corpus_documents_used": used, "query_corpus_embedding_path": parts, "query_model": encoder.model_id, "query_model_revision": encoder.revision}
     baseline = evaluate_baseline(dataset, queries, documents, search_k)

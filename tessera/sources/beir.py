@@ -167,8 +167,8 @@ def resolve_root(spark: SparkSession, name: str, root: str, download: bool = Fal
     return util.download_and_unzip(f"https://public.ukp.informatik.tu-darmstadt.de/thakur/BEIR/datasets/{name}.zip", f"{root}/{name}")
 
 
-def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split: str = "test", download: bool = False, missing_relevant_policy: str = "error", null_keys: str = "missing", once: bool = False) -> Dataset:
-    """once: the parsed collection is stored in the shared folder, so that whatever is done with it, each file is read once."""
+def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split: str = "test", download: bool = False, missing_relevant_policy: str = "error", null_keys: str = "missing", once: bool = False, texts: bool = True) -> Dataset:
+    """once: the parsed collection is stored in the shared folder, so that whatever is done with it, each file is read once. Without texts, queries are (query_id, pos) and the corpus is (doc_id, pos), so parsing moves ids alone."""
     if missing_relevant_policy not in ("error", "keep"):
         raise ValueError("missing_relevant_policy must be error or keep")
     folder = resolve_root(spark, name, root, download)
@@ -176,11 +176,34 @@ def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split:
         raise FileNotFoundError(path)
     keep = stored if once else lambda df, name: df
     qrels = keep(read_qrels(spark, path), "qrels")
-    queries = keep(assemble(read_queries(spark, f"{folder}/queries.jsonl", null_keys), qrels), "queries")
-    found = Dataset(name.lower(), queries, keep(read_corpus(spark, f"{folder}/corpus.jsonl", null_keys), "corpus"), qrels, split)
+    queries, corpus = assemble(read_queries(spark, f"{folder}/queries.jsonl", null_keys), qrels), read_corpus(spark, f"{folder}/corpus.jsonl", null_keys)
+    if not texts:
+        queries, corpus = queries.select("query_id", "pos"), corpus.select("doc_id", "pos")
+    found = Dataset(name.lower(), keep(queries, "queries"), keep(corpus, "corpus"), qrels, split)
     return found.validate(missing_relevant_policy)
 
 
+def load_split(spark: SparkSession, dataset: Dataset, root: str, split: str, missing_relevant_policy: str = "error") -> Dataset:
+    """Another split of a collection that is loaded, without query texts; the corpus isn't read again."""
+    folder = resolve_root(spark, dataset.name, root)
+    if not exists(spark, path := f"{folder}/qrels/{split}.tsv"):
+        raise FileNotFoundError(path)
+    qrels = stored(read_qrels(spark, path), "qrels")
+    queries = stored(assemble(read_queries(spark, f"{folder}/queries.jsonl"), qrels).select("query_id", "pos"), "queries")
+    return Dataset(dataset.name, queries, dataset.corpus, qrels, split).validate(missing_relevant_policy)
+
+
+def first_places(rows: DataFrame, n: int, pos: str = "pos", size: int = 1 << 20) -> DataFrame:
+    """The n rows of the smallest places, which are distinct; all, if there are fewer. Ranges of places are counted, then the places of one range: no task gets the rows that are kept."""
+    left, edge = n, None
+    for r in rows.groupBy(F.floor(F.col(pos) / size).alias("range")).agg(F.count(F.lit(1)).alias("rows")).orderBy("range").collect():
+        if left <= r["rows"]:
+            edge = rows.where(F.floor(F.col(pos) / size) == r["range"]).select(pos).orderBy(pos).offset(left - 1).first()[0]
+            break
+        left -= r["rows"]
+    return rows if edge is None else rows.where(F.col(pos) <= edge)
+
+
 def load_corpus(spark: SparkSession, name: str, root: str = "datasets", download: bool = False) -> DataFrame:
     """The corpus alone; queries and judgments aren't opened."""
     return read_corpus(spark, f"{resolve_root(spark, name, root, download)}/corpus.jsonl")

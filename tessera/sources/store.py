@@ -83,28 +83,45 @@ def forget(spark: SparkSession, path: str, name: str) -> None:
 def stored_vectors(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
     """(text_key, embedding) of the good parts; a text that two writers stored is there once."""
     good = good_parts(spark, path, width)
-    return spark.read.schema(_PART).parquet(*[f"{path}/{name}" for name in good]).dropDuplicates(["text_key"]) if good else spark.createDataFrame([], _PART)
+    return _vectors_in(spark, path, good).dropDuplicates(["text_key"]) if good else spark.createDataFrame([], _PART)
 
 
-def encode_with_resume(spark: SparkSession, encode: Callable[[DataFrame, str], DataFrame], texts: DataFrame, kind: str, path: str, chunks: int = 1, width: int | None = None) -> DataFrame:
+def _vectors_in(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    return spark.read.schema(_PART).parquet(*[f"{path}/{name}" for name in parts])
+
+
+def _commit(spark: SparkSession, vectors: DataFrame, path: str, width: int | None) -> None:
+    """Write (text_key, embedding) as a part of its own, and what is in it to the log."""
+    name = f"part-{uuid.uuid4().hex}"
+    vectors.write.parquet(f"{path}/{name}")
+    said = _digest(spark.read.schema(_PART).parquet(f"{path}/{name}"))
+    if width is not None and said["rows"] and said["width"] != [width] * 2:
+        raise ValueError(f"the encoder gave vectors of width {said['width'][0]} to {said['width'][1]} instead of {width}")
+    write_text(spark, f"{path}/{LOG}/{name}.json", json.dumps(said))
+
+
+def encode_with_resume(spark: SparkSession, encode: Callable[[DataFrame, str], DataFrame], texts: DataFrame, kind: str, path: str, chunks: int = 1, width: int | None = None, light: bool = False) -> DataFrame:
     """texts (id, pos, text) -> (id, pos, embedding), with the vectors of distinct texts kept at path.
 
-    The missing texts are found once and dealt into `chunks` parts. Each part is written to a folder of its own, and counts once its commit is in the log; so an interrupted part, or one that was damaged since, is encoded again, and runs at the same time don't touch each other's parts. width: parts of another one don't count.
+    The missing texts are found once and dealt into `chunks` parts. Each part is written to a folder of its own, and counts once its commit is in the log; so an interrupted part, or one that was damaged since, is encoded again, and runs at the same time don't touch each other's parts. width: parts of another one don't count. light: vectors cost less than moving their texts, so all texts are encoded where they are, and of equal ones' vectors one is kept, if it is missing.
     """
     if kind not in ("query", "document"):
         raise ValueError("kind must be query or document")
+    if light:
+        good = good_parts(spark, path, width)
+        keyed = with_key(texts).select(F.col("text_key").alias("id"), F.lit(0).cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
+        made = encode(keyed, kind).select(F.col("id").alias("text_key"), "embedding").dropDuplicates(["text_key"])
+        if good:
+            made = made.join(_vectors_in(spark, path, good).select("text_key"), "text_key", "left_anti")
+        _commit(spark, made, path, width)
+        return with_key(texts).join(stored_vectors(spark, path, width), "text_key").select("id", "pos", "embedding")
     todo = missing_texts(texts, stored_vectors(spark, path, width))
     rows = todo.select(F.col("text_key").alias("id"), F.lit(0).cast("long").alias("pos"), "text")
     if chunks > 1:
         rows = stored(rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")), "missing-texts")
     for n in range(chunks):
-        name = f"part-{uuid.uuid4().hex}"
         some = rows.where(F.col("_part") == n).drop("_part") if chunks > 1 else rows
-        encode(some, kind).select(F.col("id").alias("text_key"), "embedding").write.parquet(f"{path}/{name}")
-        said = _digest(spark.read.schema(_PART).parquet(f"{path}/{name}"))
-        if width is not None and said["rows"] and said["width"] != [width] * 2:
-            raise ValueError(f"the encoder gave vectors of width {said['width'][0]} to {said['width'][1]} instead of {width}")
-        write_text(spark, f"{path}/{LOG}/{name}.json", json.dumps(said))
+        _commit(spark, encode(some, kind).select(F.col("id").alias("text_key"), "embedding"), path, width)
     return with_key(texts).join(stored_vectors(spark, path, width), "text_key").select("id", "pos", "embedding")
 
 

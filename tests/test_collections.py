@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import beir
 
@@ -108,3 +109,26 @@ def test_null_keys_as_text(spark, tmp_path):
     assert got(beir.read_queries(spark, str(tmp_path / "c.jsonl")))[0] == ("z", "a")
     with pytest.raises(ValueError):
         beir.read_corpus(spark, str(tmp_path / "c.jsonl"), "else")
+
+
+def test_first_places_pass_no_single_task(spark):
+    rows = spark.range(0, 3000, 1, 4).select(F.concat(F.lit("d"), "id").alias("doc_id"), (F.col("id") * 7 + 5).alias("pos"))
+    for n in (1, 15, 1500, 2999, 3000, 4000):
+        some = beir.first_places(rows, n, size=100)
+        assert sorted(r["pos"] for r in some.collect()) == [i * 7 + 5 for i in range(min(n, 3000))]
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Exchange" not in plan
+
+
+def test_a_collection_without_texts(spark, tmp_path):
+    folder = tmp_path / "toy"
+    (folder / "qrels").mkdir(parents=True)
+    (folder / "corpus.jsonl").write_text('{"_id": "a", "text": "x"}\n{"_id": "b", "text": "y"}\n{"_id": "a", "text": "z"}\n')
+    (folder / "queries.jsonl").write_text('{"_id": "q", "text": "x"}\n{"_id": "r", "text": "y"}\n')
+    (folder / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq\ta\t1\n")
+    (folder / "qrels" / "train.tsv").write_text("query-id\tcorpus-id\tscore\nr\tb\t1\n")
+    whole, bare = (beir.load_dataset(spark, "toy", str(tmp_path), once=True, texts=texts) for texts in (True, False))
+    assert (bare.corpus.columns, bare.queries.columns) == (["doc_id", "pos"], ["query_id", "pos"])
+    assert sorted(bare.corpus.collect()) == sorted(whole.corpus.select("doc_id", "pos").collect()) and bare.queries.collect() == whole.queries.select("query_id", "pos").collect()
+    train = beir.load_split(spark, bare, str(tmp_path), "train")
+    assert [tuple(r) for r in train.queries.collect()] == [("r", 1)] and train.corpus is bare.corpus

@@ -317,3 +317,12 @@ def test_a_service_that_turns_away_single_calls_costs_few_rounds(spark, monkeypa
     assert time.monotonic() - began < 30  # a round takes a second at least, and a third of 270 calls are turned away
     plain = HostedEncoder("m", 16, provider, batch_size=2).encode(texts, "document").collect()
     assert len(bounded) == 360 and sorted(bounded) == sorted(plain)
+
+
+def test_light_encoding_moves_no_texts(spark, tmp_path):
+    texts = spark.createDataFrame([("a", 0, "x"), ("b", 1, "y"), ("c", 2, "x"), ("d", 3, None), ("e", 4, "")], TEXTS)
+    encode, rows = HashEncoder(8).encode, lambda df: sorted((r["id"], r["pos"], tuple(r["embedding"])) for r in df.collect())
+    expected = rows(store.encode_with_resume(spark, encode, texts, "document", str(tmp_path / "a")))
+    store.encode_with_resume(spark, encode, texts.where("pos < 2"), "document", str(tmp_path / "b"), light=True)
+    assert rows(store.encode_with_resume(spark, encode, texts, "document", str(tmp_path / "b"), width=8, light=True)) == expected and len(expected) == 5
+    assert store.all_vectors(spark, str(tmp_path / "b")).count() == 3
