@@ -13,8 +13,10 @@ from tessera.functions.ranking import first_of_each
 from tessera.functions.vectors import sides
 from tessera.sources.files import stored
 
-#: So many bytes of query vectors, a tile, are sent to every task at a time.
+#: So many bytes, a tile, are held by every task at a time: query vectors, which are sent to it, and the documents found.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a document that a task holds for a query: its row, its name, and their copies while rows are ranked.
+HELD_BYTES = 256
 #: One document in so many is searched first.
 PILOT = 64
 #: Scores are made for so many queries and documents at a time, 32 MB.
@@ -67,14 +69,14 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_byte
 
     k is cut to the number of documents; a query gets no row only if there is no document. Scores are sums in double, given and compared as float.
 
-    Documents stay where they are. Queries are cut into tiles of broadcast_bytes, or query_rows if that is more, and a pass takes a tile to all documents; each task holds k of them a query. One document in `pilot` is searched first: the k-th score found there is one that all others have to reach, so tasks send on little more than what counts. Their rows meet in two steps.
+    Documents stay where they are. Queries are cut into tiles that, with the k documents that a task holds for each, take broadcast_bytes, or query_rows if that is more, and a pass takes a tile to all documents. One document in `pilot` is searched first: the k-th score found there is one that all others have to reach, so tasks send on little more than what counts. Their rows meet in two steps.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     queries = queries.select(F.col("id").cast("string").alias("id"), "embedding")
     documents = documents.select(F.col("id").cast("string").alias("id"), F.col("pos").cast("long").alias("pos"), "embedding")
     count, n_documents, width = sides(queries, documents)
-    tiles = -(-count // max(broadcast_bytes // (8 * (width or 1)), query_rows, 1))
+    tiles = -(-count // max(broadcast_bytes // (16 * (width or 1) + HELD_BYTES * k), query_rows, 1))
     if tiles > 1:
         queries = stored(queries, "queries")
     order = [F.when(~F.isnan("score"), F.col("score")).desc_nulls_last(), "doc_pos"]

@@ -123,3 +123,15 @@ def test_delta(spark):
     one = spark.createDataFrame([(1, 0.25, 0.5)], "num_queries long, `MRR@10` double, `NDCG@10` double")
     two = one.select("num_queries", (F.col("`MRR@10`") * 2).alias("MRR@10"), "`NDCG@10`")
     assert {r["metric"]: r["delta"] for r in metrics.metric_delta(one, two).collect()} == {"MRR@10": 0.25, "NDCG@10": 0.0}
+
+
+def test_tiles_count_what_tasks_hold(spark, monkeypatch):
+    from tessera.operators import search as module
+
+    rows = spark.range(0, 200, 1, 4).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"), F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(97)).cast("float") for i in range(4)]).alias("embedding"))
+    queries, names = rows.where("pos < 40"), []
+    whole = sorted(module.search(queries, rows, 30).collect())
+    monkeypatch.setattr(module, "stored", lambda df, name: names.append(name) or df)
+    # 80 KB hold the vectors of all queries, but not the documents found.
+    assert sorted(module.search(queries, rows, 30, broadcast_bytes=80_000).collect()) == whole and len(whole) == 1200
+    assert 1 < names.count("hits") <= 4
