@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EMPTY = "[EMPTY]"
 #: What a Python str.strip() removes, at either end.
-_ENDS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+_SPACE = "".join(chr(c) for c in range(1 << 16) if chr(c).isspace())
 
 # Templates that the encoders were trained with.
 E5_QUERY, E5_DOCUMENT = "query: ", "passage: "
@@ -16,7 +16,13 @@ DEFAULT_INSTRUCTION = "Given a web search query, retrieve relevant passages that
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends; trim() would take spaces only."""
-    return F.regexp_replace(text, _ENDS, "")
+    # A pattern for the end would be tried at each white space of a text.
+    return F.btrim(text, F.lit(_SPACE))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether there is nothing but white space; a text is read as far as its first other character."""
+    return F.ltrim(text, F.lit(_SPACE)) == ""
 
 
 def document_text(title: Column, text: Column) -> Column:
@@ -26,7 +32,7 @@ def document_text(title: Column, text: Column) -> Column:
 
 def sanitize(text: Column, placeholder: str = EMPTY) -> Column:
     """The text, or the placeholder where there is nothing but white space."""
-    return F.when(F.length(strip(F.coalesce(text, F.lit("")))) == 0, F.lit(placeholder)).otherwise(text)
+    return F.when(is_blank(F.coalesce(text, F.lit(""))), F.lit(placeholder)).otherwise(text)
 
 
 def e5(text: Column, kind: str) -> Column:

@@ -50,8 +50,10 @@ def _checked(kind: str) -> str:
 def hash_words(text: Column, kind: str, seed: int = 0) -> Column:
     """The eight little-endian 32-bit words of the SHA-256 of "seed:kind:text"."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:{_checked(kind)}:"), text), 256)
-    byte = lambda word, i: F.substring(digest, 8 * word + 2 * i + 1, 2)
-    return F.array(*[F.conv(F.concat(*[byte(w, i) for i in (3, 2, 1, 0)]), 16, 10).cast("long") for w in range(8)])
+    byte = lambda d, word, i: F.substring(d, 8 * word + 2 * i + 1, 2)
+    # As a lambda's variable the digest is computed once, not once a byte.
+    words = F.transform(F.array(digest), lambda d: F.array(*[F.conv(F.concat(*[byte(d, w, i) for i in (3, 2, 1, 0)]), 16, 10).cast("long") for w in range(8)]))
+    return F.get(words, F.lit(0))
 
 
 def hash_vector(text: Column, kind: str, dimension: int = 64, seed: int = 0) -> Column:

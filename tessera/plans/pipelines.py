@@ -14,9 +14,9 @@ from tessera.operators.encoders import create_encoder, Encoder, HashEncoder, res
 from tessera.operators.metrics import compute_metrics
 from tessera.operators.search import search
 from tessera.sources.beir import Dataset, first_places, load_dataset, load_split
-from tessera.sources.files import write_text
+from tessera.sources.files import stored, write_text
 from tessera.sources.registry import DEFAULT_PATH, load_model_config
-from tessera.sources.store import cache_fingerprint, encode_with_resume, load_store, order_digest, save_store
+from tessera.sources.store import cache_fingerprint, encode_with_resume, keep_vectors, load_store, order_digest, save_store, with_vectors
 
 BASELINE_CUTOFFS = (5, 10)
 DEPTH = 10
@@ -38,7 +38,8 @@ def evaluate_baseline(dataset: Dataset, queries: DataFrame, documents: DataFrame
     """Metrics of exact search. The depth is at least DEPTH, so search_k from 1 to that changes nothing."""
     if search_k < 1:
         raise ValueError("search_k must be at least 1")
-    rankings = search(queries, documents, max(search_k, DEPTH))
+    # The metrics read them more than once.
+    rankings = stored(search(queries, documents, max(search_k, DEPTH)), "rankings")
     return compute_metrics(rankings, dataset.qrels, queries.select(F.col("id").alias("query_id")), BASELINE_CUTOFFS)
 
 
@@ -55,19 +56,31 @@ def _manifest(dataset: Dataset, encoder: Encoder, model: str, policy: str, finge
 
 
 def _encode(spark, name, model, root, split, config, cache_root, download, policy, suffix, encoder, chunks) -> dict:
-    dataset = load_dataset(spark, name, root, split, download, policy, once=True)
     encoder = resolved(encoder or create_encoder(load_model_config(model, config)))
-    # Hash vectors cost nothing to make again; what a model or a paid service made is kept as it comes.
-    chunks = chunks or (1 if isinstance(encoder, HashEncoder) else CHUNKS)
+    # Hash vectors cost nothing to make again, so they are made where lines are parsed; what a model or a paid service made is kept as it comes.
+    light = isinstance(encoder, HashEncoder)
+
+    def encode(texts: DataFrame, kind: str) -> DataFrame:
+        return texts.select("id", "pos") if suffix and kind == "document" else with_vectors(texts, encoder.encode, kind)
+
+    dataset = load_dataset(spark, name, root, split, download, policy, once=True, encode=encode if light else None)
     fingerprint = cache_fingerprint(dataset.name, split, encoder)
     folder = f"{cache_root}/{dataset.name}/{model}/{fingerprint}{suffix}"
-    queries = encode_with_resume(spark, encoder.encode, query_rows(dataset), "query", f"{folder}/parts/query", chunks, encoder.dimension, light=isinstance(encoder, HashEncoder))
+
+    def vectors(kind: str) -> DataFrame:
+        parts = f"{folder}/parts/{kind}"
+        if light:
+            rows = dataset.queries.withColumnRenamed("query_id", "id") if kind == "query" else dataset.corpus.withColumnRenamed("doc_id", "id")
+            return keep_vectors(spark, rows, parts, encoder.dimension)
+        return encode_with_resume(spark, encoder.encode, query_rows(dataset) if kind == "query" else document_rows(dataset.corpus), kind, parts, chunks or CHUNKS, encoder.dimension)
+
+    queries = vectors("query")
     manifest = _manifest(dataset, encoder, model, policy, fingerprint)
     if suffix:
         manifest["cache_kind"] = "query_only"
         documents = queries.limit(0)
     else:
-        documents = encode_with_resume(spark, encoder.encode, document_rows(dataset.corpus), "document", f"{folder}/parts/document", chunks, encoder.dimension, light=isinstance(encoder, HashEncoder))
+        documents = vectors("document")
     saved = save_store(spark, folder, queries, documents, manifest)
     return {"cache": folder, "queries": saved["n_queries"], "documents": saved["n_documents"], "fingerprint": fingerprint}
 

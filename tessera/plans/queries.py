@@ -309,10 +309,11 @@ def _collection(spark: SparkSession, sf_dir: str, qrels: DataFrame, train: DataF
             whole = whole.union(more)
         whole.orderBy(*whole.columns[:2]).select("value").write.text(f"{root}/written/{path}")
 
-    first = rows.select("doc_id", F.to_json(F.struct(*ids, "title", "text")).alias("value"))
-    blank = rows.where("doc_id % 5 = 0").select("doc_id", F.lit(" ").alias("value"))
-    again = rows.where("doc_id % 10 = 0").select("doc_id", F.to_json(F.struct(*ids, F.lit("again").alias("title"), "text")).alias("value"))
-    write([first, blank, again], "corpus.jsonl")
+    # All documents, then blank lines, then some documents again, by one reading of the table.
+    parts = F.filter(F.array(F.lit(0), F.when(F.col("doc_id") % 5 == 0, 1), F.when(F.col("doc_id") % 10 == 0, 2)), lambda p: p.isNotNull())
+    lines = rows.select(F.explode(parts).alias("part"), "*").withColumn("text", F.when(F.col("part") != 1, F.col("text"))).orderBy("part", "doc_id")
+    title = F.when(F.col("part") == 2, "again").otherwise(F.col("title")).alias("title")
+    lines.select(F.when(F.col("part") == 1, " ").otherwise(F.to_json(F.struct(*ids, title, "text"))).alias("value")).write.text(f"{root}/written/corpus.jsonl")
     asked = rows.where("doc_id % 20 = 0")
     under = [F.when(F.col("doc_id") % 40 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 40 != 0, F.col("text")).alias("query")]
     write([asked.select("doc_id", F.to_json(F.struct(*ids, *under)).alias("value"))], "queries.jsonl")

@@ -5,18 +5,21 @@ Every row carries pos, its place in the file from 0. An id that repeats keeps it
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
+from tessera.functions.text import document_text, is_blank
 from tessera.sources.files import exists, stored
 
 # Collections that can be downloaded.
 REGISTERED = ("arguana", "fiqa", "scifact", "nfcorpus")
 #: JSON values that count as empty where text is wanted, by their type.
 _FALSY = {"BIGINT": ("0",), "DOUBLE": ("0", "0.0"), "BOOLEAN": ("false",)}
+#: Rows (id, pos, text) and their kind, query or document -> (id, pos) and what stands for the texts.
+Encode = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass
@@ -62,13 +65,13 @@ class Dataset:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, pos): the lines of a file or of a folder's files in the order of their names, numbered from 0 without gaps.
 
-    Each split's lines are numbered by themselves and follow those of the splits before; only the splits' sizes are put in order.
+    Each split's lines are numbered by themselves and follow those of the splits before; only the splits' sizes are put in order and sent to all tasks, so lines stay where they are read.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
     splits = lines.groupBy("_file", "_start").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    return lines.join(splits, ["_file", "_start"]).select("value", (F.col("_before") + F.col("_n") - F.col("_first")).alias("pos"))
+    return lines.join(F.broadcast(splits), ["_file", "_start"]).select("value", (F.col("_before") + F.col("_n") - F.col("_first")).alias("pos"))
 
 
 def _json_text(value: Column, key: str, falsy_is_empty: bool = False) -> Column:
@@ -101,7 +104,7 @@ def _first_key(value: Column, *keys: str, null_keys: str, default: Column) -> Co
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(value: variant, pos) of each line that isn't blank. A malformed line raises when it is read."""
-    return numbered_lines(spark, path).where(F.length(strip("value")) > 0).select(F.parse_json("value").alias("value"), "pos")
+    return numbered_lines(spark, path).where(~is_blank(F.col("value"))).select(F.parse_json("value").alias("value"), "pos")
 
 
 def last_value_first_place(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -115,20 +118,30 @@ def _no_id(null_keys: str) -> Column:
     return F.lit("None" if null_keys == "text" else None).cast("string")
 
 
-def read_corpus(spark: SparkSession, path: str, null_keys: str = "missing") -> DataFrame:
-    """(doc_id, title, text, pos)"""
+def _encoded(rows: DataFrame, key: str, text: Column, kind: str, encode: Encode) -> DataFrame:
+    return encode(rows.select(F.col(key).alias("id"), "pos", text.alias("text")), kind).withColumnRenamed("id", key)
+
+
+def read_corpus(spark: SparkSession, path: str, null_keys: str = "missing", encode: Encode | None = None) -> DataFrame:
+    """(doc_id, title, text, pos). encode: its columns instead of title and text, made where lines are parsed, so that no text moves where rows of an id meet."""
     v = F.col("value")
     doc_id = _first_key(v, "_id", "id", null_keys=null_keys, default=_no_id(null_keys))
     fields = [F.coalesce(_json_text(v, k, True), F.lit("")).alias(k) for k in ("title", "text")]
-    return last_value_first_place(read_jsonl(spark, path).select(doc_id.alias("doc_id"), *fields, "pos"), ["doc_id"])
+    rows = read_jsonl(spark, path).select(doc_id.alias("doc_id"), *fields, "pos")
+    if encode:
+        rows = _encoded(rows, "doc_id", document_text(F.col("title"), F.col("text")), "document", encode)
+    return last_value_first_place(rows, ["doc_id"])
 
 
-def read_queries(spark: SparkSession, path: str, null_keys: str = "missing") -> DataFrame:
-    """(query_id, query_text, pos)"""
+def read_queries(spark: SparkSession, path: str, null_keys: str = "missing", encode: Encode | None = None) -> DataFrame:
+    """(query_id, query_text, pos). encode: as for read_corpus()."""
     v = F.col("value")
     query_id = _first_key(v, "_id", "id", null_keys=null_keys, default=_no_id(null_keys))
     text = _first_key(v, "text", "query", null_keys=null_keys, default=F.lit(""))
-    return last_value_first_place(read_jsonl(spark, path).select(query_id.alias("query_id"), text.alias("query_text"), "pos"), ["query_id"])
+    rows = read_jsonl(spark, path).select(query_id.alias("query_id"), text.alias("query_text"), "pos")
+    if encode:
+        rows = _encoded(rows, "query_id", F.col("query_text"), "query", encode)
+    return last_value_first_place(rows, ["query_id"])
 
 
 def parse_qrels(lines: DataFrame) -> DataFrame:
@@ -147,7 +160,7 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 def assemble(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """The queries that have judgments, in the order in which the judgments name them first."""
     order = qrels.groupBy("query_id").agg(F.min("pos").alias("pos"))
-    return queries.select("query_id", "query_text").join(order, "query_id")
+    return queries.drop("pos").join(order, "query_id")
 
 
 def resolve_root(spark: SparkSession, name: str, root: str, download: bool = False) -> str:
@@ -167,8 +180,8 @@ def resolve_root(spark: SparkSession, name: str, root: str, download: bool = Fal
     return util.download_and_unzip(f"https://public.ukp.informatik.tu-darmstadt.de/thakur/BEIR/datasets/{name}.zip", f"{root}/{name}")
 
 
-def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split: str = "test", download: bool = False, missing_relevant_policy: str = "error", null_keys: str = "missing", once: bool = False, texts: bool = True) -> Dataset:
-    """once: the parsed collection is stored in the shared folder, so that whatever is done with it, each file is read once. Without texts, queries are (query_id, pos) and the corpus is (doc_id, pos), so parsing moves ids alone."""
+def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split: str = "test", download: bool = False, missing_relevant_policy: str = "error", null_keys: str = "missing", once: bool = False, texts: bool = True, encode: Encode | None = None) -> Dataset:
+    """once: the parsed collection is stored in the shared folder, so that whatever is done with it, each file is read once. Without texts, queries are (query_id, pos) and the corpus is (doc_id, pos), so parsing moves ids alone. encode: its columns stand for the texts, see read_corpus()."""
     if missing_relevant_policy not in ("error", "keep"):
         raise ValueError("missing_relevant_policy must be error or keep")
     folder = resolve_root(spark, name, root, download)
@@ -176,7 +189,7 @@ def load_dataset(spark: SparkSession, name: str, root: str = "datasets", split:
         raise FileNotFoundError(path)
     keep = stored if once else lambda df, name: df
     qrels = keep(read_qrels(spark, path), "qrels")
-    queries, corpus = assemble(read_queries(spark, f"{folder}/queries.jsonl", null_keys), qrels), read_corpus(spark, f"{folder}/corpus.jsonl", null_keys)
+    queries, corpus = assemble(read_queries(spark, f"{folder}/queries.jsonl", null_keys, encode), qrels), read_corpus(spark, f"{folder}/corpus.jsonl", null_keys, encode)
     if not texts:
         queries, corpus = queries.select("query_id", "pos"), corpus.select("doc_id", "pos")
     found = Dataset(name.lower(), keep(queries, "queries"), keep(corpus, "corpus"), qrels, split)

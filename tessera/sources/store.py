@@ -100,21 +100,30 @@ def _commit(spark: SparkSession, vectors: DataFrame, path: str, width: int | Non
     write_text(spark, f"{path}/{LOG}/{name}.json", json.dumps(said))
 
 
+def with_vectors(texts: DataFrame, encode: Callable[[DataFrame, str], DataFrame], kind: str) -> DataFrame:
+    """texts (id, pos, text) -> (id, pos, text_key, embedding), each text encoded where it is."""
+    keyed = with_key(texts).select(F.struct("id", "text_key").alias("id"), "pos", F.coalesce("text", F.lit("")).alias("text"))
+    return encode(keyed, kind).select("id.id", "pos", "id.text_key", "embedding")
+
+
+def keep_vectors(spark: SparkSession, rows: DataFrame, path: str, width: int | None = None) -> DataFrame:
+    """with_vectors() rows -> (id, pos, embedding); of equal texts' vectors one is kept at path, if it is missing. The rows are read twice."""
+    made = rows.select("text_key", "embedding").dropDuplicates(["text_key"])
+    if good := good_parts(spark, path, width):
+        made = made.join(_vectors_in(spark, path, good).select("text_key"), "text_key", "left_anti")
+    _commit(spark, made, path, width)
+    return rows.select("id", "pos", "embedding")
+
+
 def encode_with_resume(spark: SparkSession, encode: Callable[[DataFrame, str], DataFrame], texts: DataFrame, kind: str, path: str, chunks: int = 1, width: int | None = None, light: bool = False) -> DataFrame:
     """texts (id, pos, text) -> (id, pos, embedding), with the vectors of distinct texts kept at path.
 
-    The missing texts are found once and dealt into `chunks` parts. Each part is written to a folder of its own, and counts once its commit is in the log; so an interrupted part, or one that was damaged since, is encoded again, and runs at the same time don't touch each other's parts. width: parts of another one don't count. light: vectors cost less than moving their texts, so all texts are encoded where they are, and of equal ones' vectors one is kept, if it is missing.
+    The missing texts are found once and dealt into `chunks` parts. Each part is written to a folder of its own, and counts once its commit is in the log; so an interrupted part, or one that was damaged since, is encoded again, and runs at the same time don't touch each other's parts. width: parts of another one don't count. light: vectors cost less than moving their texts, so all texts are encoded once where they are, see keep_vectors().
     """
     if kind not in ("query", "document"):
         raise ValueError("kind must be query or document")
     if light:
-        good = good_parts(spark, path, width)
-        keyed = with_key(texts).select(F.col("text_key").alias("id"), F.lit(0).cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
-        made = encode(keyed, kind).select(F.col("id").alias("text_key"), "embedding").dropDuplicates(["text_key"])
-        if good:
-            made = made.join(_vectors_in(spark, path, good).select("text_key"), "text_key", "left_anti")
-        _commit(spark, made, path, width)
-        return with_key(texts).join(stored_vectors(spark, path, width), "text_key").select("id", "pos", "embedding")
+        return keep_vectors(spark, stored(with_vectors(texts, encode, kind), "vectors"), path, width)
     todo = missing_texts(texts, stored_vectors(spark, path, width))
     rows = todo.select(F.col("text_key").alias("id"), F.lit(0).cast("long").alias("pos"), "text")
     if chunks > 1:

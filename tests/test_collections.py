@@ -132,3 +132,39 @@ def test_a_collection_without_texts(spark, tmp_path):
     assert sorted(bare.corpus.collect()) == sorted(whole.corpus.select("doc_id", "pos").collect()) and bare.queries.collect() == whole.queries.select("query_id", "pos").collect()
     train = beir.load_split(spark, bare, str(tmp_path), "train")
     assert [tuple(r) for r in train.queries.collect()] == [("r", 1)] and train.corpus is bare.corpus
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("a\nb\nc\n")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = beir.numbered_lines(spark, str(tmp_path / "c.jsonl"))
+        assert sorted(map(tuple, lines.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_are_encoded_where_they_are_parsed(spark, tmp_path, monkeypatch):
+    from tessera.operators.encoders import HashEncoder
+    from tessera.plans import pipelines
+    from tessera.sources import store
+
+    corpus = [{"_id": "a", "title": "T", "text": "x"}, {"_id": "b", "text": "y"}, {"_id": "a", "text": " z "}, {"_id": "c", "text": "y"}]
+    collection(tmp_path / "toy", corpus, [{"_id": "q", "text": "x"}, {"_id": "r", "query": "y"}, {"_id": "q", "query": "w"}], {"test": ["q\ta\t1", "r\tb\t1"]})
+    keep, kept = beir.stored, {}
+    monkeypatch.setattr(beir, "stored", lambda df, name: kept.update({name: df}) or keep(df, name))
+    runs = [pipelines.encode_dataset(spark, "toy", "hash", str(tmp_path), cache_root=f"{tmp_path}/cache") for _ in range(2)]
+    assert runs[0] == runs[1] and (runs[0]["queries"], runs[0]["documents"]) == (2, 3)
+    assert all("text" not in kept[n].columns and "query_text" not in kept[n].columns for n in ("queries", "corpus"))
+    shuffled = [p.split("\n")[0] for p in kept["corpus"]._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1:]]
+    assert shuffled and not any("title" in p for p in shuffled)
+    plain = beir.load_dataset(spark, "toy", str(tmp_path))
+    for n, (rows, kind) in enumerate(((pipelines.query_rows(plain), "query"), (pipelines.document_rows(plain.corpus), "document"))):
+        got = sorted(map(tuple, store.load_store(spark, runs[0]["cache"])[n].collect()))
+        assert got == sorted(map(tuple, HashEncoder().encode(rows, kind).collect()))
+    assert store.all_vectors(spark, f"{runs[0]['cache']}/parts/document").count() == 2
+    one = pipelines.encode_queries(spark, "toy", "hash", str(tmp_path), "test", cache_root=f"{tmp_path}/cache")
+    assert (one["queries"], one["documents"]) == (2, 0) and kept["corpus"].columns == ["doc_id", "pos"]

@@ -1,6 +1,7 @@
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -135,3 +136,50 @@ def test_tiles_count_what_tasks_hold(spark, monkeypatch):
     # 80 KB hold the vectors of all queries, but not the documents found.
     assert sorted(module.search(queries, rows, 30, broadcast_bytes=80_000).collect()) == whole and len(whole) == 1200
     assert 1 < names.count("hits") <= 4
+
+
+@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize("narrow", [False, True])
+def test_bounds_leave_few_pairs_and_lose_none(monkeypatch, narrow, odd):
+    from tessera.operators import search as module
+
+    rng = np.random.default_rng(5)
+    make = lambda n: np.repeat(rng.integers(-99, 100, (n, 4)), 8, axis=1) / 64 if narrow else rng.integers(-99, 100, (n, 32)) / 64
+    documents, queries = make(6000), make(300)
+    documents[50:90] = documents[10]  # ties, and copies
+    if odd:
+        documents[100], documents[101], documents[102] = np.nan, np.inf, 0
+        documents[200:203] *= 1e4
+        documents[203] *= 1e30
+        queries[7], queries[8], queries[9] = 0, np.nan, 1e30
+    pairs, dense = [], module._Best._all
+    monkeypatch.setattr(module._Best, "_all", lambda self, tile, x: pairs.append(len(x) * len(tile.ids)) or dense(self, tile, x))
+    axes = module.spanned(queries)
+    assert (axes is not None and axes.shape == (32, 4)) if narrow else axes is None
+    best = module._Best(np.array([f"q{i}" for i in range(300)], object), queries.copy(), 10, np.full(300, -np.inf), axes)
+    for i in range(0, 6000, 2500):
+        part = documents[i : i + 2500].astype(np.float32)
+        best.add(pd.DataFrame({"id": [f"d{j}" for j in range(i, i + len(part))], "pos": range(i, i + len(part)), "embedding": list(part)}))
+    found = pd.concat(list(best.rows()))
+    found["rank"] = found.groupby("query_id").cumcount() + 1
+    with np.errstate(all="ignore"):
+        assert sorted(zip(found["query_id"], found["rank"], found["doc_id"])) == brute(queries, documents, 10)
+    # A tile with a query that has no bounds is scored whole, as are documents without them.
+    assert sum(pairs) <= (300 * 8 + 300 % 256 * 6000 if odd else 0)
+
+
+def test_the_search_runs_once_for_all_metrics(spark, monkeypatch):
+    from tessera.plans import pipelines
+    from tessera.sources.beir import Dataset
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(pipelines, "search", lambda *_: ranking(spark, ["x", "y"]).mapInPandas(counted, "query_id string, rank int, doc_id string"))
+    qrels = spark.createDataFrame([("q", "y", 1, 0)], QRELS)
+    found = pipelines.evaluate_baseline(Dataset("d", None, None, qrels), spark.createDataFrame([("q",)], "id string"), None)
+    assert found["MRR@10"] == 0.5 and runs.value == 2

@@ -65,3 +65,17 @@ def test_centroids_are_sums_of_whole_vectors(spark):
     found = vx.weighted_centroids(rows, "k", "w")
     assert [(r["k"], r["embedding"]) for r in found.collect()] == [("a", pytest.approx([2 / 3, 1.0]))]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blank_is_what_strip_leaves_nothing_of(spark):
+    spaces = [chr(c) for c in range(1 << 16) if chr(c).isspace()]
+    texts = ["", *spaces, "".join(spaces), *[f"{s}a{s}" for s in spaces], "​", "\x00", "x" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.strip(F.col("t")), tx.is_blank(F.col("t"))).collect()
+    assert [tuple(r) for r in rows] == [(t, t.strip(), not t.strip()) for t in texts]
+
+
+def test_a_text_is_hashed_once(spark):
+    from tessera.operators.encoders import hash_vector
+
+    plan = spark.createDataFrame([("a",)], "t string").select(hash_vector(F.col("t"), "query").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
