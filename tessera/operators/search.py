@@ -23,9 +23,13 @@ PILOT = 64
 #: From so many documents on there is a second search of some before that of all.
 MANY = 1 << 17
 #: Scores are made for so many queries and documents at a time, 1 MB; the latter is a multiple of 8.
-QUERY_TILE, DOC_TILE = 256, 1024
+QUERY_TILE, DOC_TILE = 512, 512
 #: Where more than one pair in so many is left by its bound, all of a tile are scored.
 DENSE = 16
+#: Rows that a task sends on at a time, or more.
+FRAME_ROWS = 1 << 13
+#: Tasks of a pass for each that runs at a time, at most; each takes a copy of the tile.
+TASKS = 4
 #: Bytes of pairs' vectors that are multiplied at a time.
 PAIR_BYTES = 8 << 20
 #: Vectors that are longer than this, or so many times longer than others, have no bounds.
@@ -152,10 +156,15 @@ class _Best:
         tile.least[q[full]] = np.fmax(tile.least[q[full]], score[full])  # a NaN raises nothing
 
     def rows(self) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
         for tile in self.tiles:
             self._rank(tile)
-            q, pos, score, names = tile.rows
-            yield pd.DataFrame({"query_id": tile.ids[q], "doc_id": names, "doc_pos": pos, "score": score})
+            q, *others = tile.rows
+            held.append((tile.ids[q], *others))
+            if tile is self.tiles[-1] or sum(len(x[0]) for x in held) >= FRAME_ROWS:
+                ids, pos, score, names = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield pd.DataFrame({"query_id": ids, "doc_id": names, "doc_pos": pos, "score": score})
+                held = []
 
 
 def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES, query_rows: int = 1, pilot: int = PILOT) -> DataFrame:
@@ -163,7 +172,7 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_byte
 
     k is cut to the number of documents; a query gets no row only if there is no document. Scores are sums in double, given and compared as float.
 
-    Documents stay where they are. Queries are cut into tiles that, with the k documents that a task holds for each, take broadcast_bytes, or query_rows if that is more, and a pass takes a tile to all documents. One document in `pilot` is kept aside and searched first, in no more tasks than run at a time, then one in its square root: the k-th score found among fewer is one that all others have to reach, so tasks send on little more than what counts. Their rows meet in two steps.
+    Documents stay where they are. Queries are cut into tiles that, with the k documents that a task holds for each, take broadcast_bytes, or query_rows if that is more, and a pass takes a tile to all documents. Some documents are kept aside and searched first, in no more tasks than run at a time: one in `pilot`, then one in its square root. The k-th score found among fewer is one that all others have to reach, so tasks send on little more than what counts. Their rows meet in two steps.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -174,13 +183,13 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_byte
     if tiles > 1:
         queries = stored(queries, "queries")
     order = [F.when(~F.isnan("score"), F.col("score")).desc_nulls_last(), "doc_pos"]
-    pilots = []
+    slots, pilots = queries.sparkSession.sparkContext.defaultParallelism, []
     if pilot and n_documents >= 2 * k * pilot:
-        few = stored(documents.where(F.pmod(F.xxhash64("pos"), F.lit(pilot)) == 0), "pilot").coalesce(queries.sparkSession.sparkContext.defaultParallelism)
-        pilots = [few]
+        one_in = lambda docs, n: docs.where(F.pmod(F.xxhash64("pos"), F.lit(n)) == 0)
         root = math.isqrt(pilot)
-        if n_documents >= MANY and 1 < root < pilot == root * root:
-            pilots.append(documents.where(F.pmod(F.xxhash64("pos"), F.lit(root)) == 0))
+        more = n_documents >= MANY and 1 < root < pilot == root * root
+        some = stored(one_in(documents, root if more else pilot), "pilot").coalesce(slots)
+        pilots = [one_in(some, pilot), *([some] if more else [])]
 
     def hits(docs: DataFrame, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, axes: np.ndarray | None) -> DataFrame:
         def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +213,7 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, broadcast_byte
             reached = local["id"].map(dict(zip(known["query_id"], known["score"], strict=True))).to_numpy(np.float32)
             # The same pair's score may differ in its last digit from one product to another.
             least = np.fmax(least, np.nextafter(reached, np.float32(-np.inf)))
-        found = hits(documents, ids, vectors, least, axes).select("query_id", "rank", "doc_id", "doc_pos", "score")
+        found = hits(documents.coalesce(TASKS * slots), ids, vectors, least, axes).select("query_id", "rank", "doc_id", "doc_pos", "score")
         if tiles > 1:
             found = stored(found, "hits")
         out = found if out is None else out.unionByName(found)

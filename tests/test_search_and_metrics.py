@@ -152,6 +152,7 @@ def test_bounds_leave_few_pairs_and_lose_none(monkeypatch, narrow, odd):
         documents[200:203] *= 1e4
         documents[203] *= 1e30
         queries[7], queries[8], queries[9] = 0, np.nan, 1e30
+    monkeypatch.setattr(module, "QUERY_TILE", 256)
     pairs, dense = [], module._Best._all
     monkeypatch.setattr(module._Best, "_all", lambda self, tile, x: pairs.append(len(x) * len(tile.ids)) or dense(self, tile, x))
     axes = module.spanned(queries)
